@@ -99,7 +99,7 @@ def cap_values(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row: q_cap, p_cap (the winsorizing caps)."""
     q = quantile_row(df, "Quantity", [cfg.quantity_cap_pct], ["q_cap"], cfg)
     p = quantile_row(df, "UnitPrice", [cfg.price_cap_pct], ["p_cap"], cfg)
-    return q.crossJoin(p)
+    return with_scalars(q, p)
 
 
 def winsorize(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -168,7 +168,7 @@ def clean_report(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         F.count_if(invalid).alias("invalid_removed"),
         F.count_if(non_product).alias("non_product_removed"),
     )
-    r = start.crossJoin(steps)
+    r = with_scalars(start, steps)
     end = (F.col("after_dedup") - F.col("missing_customer_removed") - F.col("empty_description_removed")
            - F.col("bad_date_removed") - F.col("invalid_removed") - F.col("non_product_removed"))
     removed = F.col("start_rows") - F.col("end_rows")

@@ -36,7 +36,11 @@ def quantile_row(df: DataFrame, column: str, probs: Sequence[float],
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row.
 
-    The right side is a global aggregate, so it is exactly one row at any
-    scale; broadcasting it is always safe.
+    The aggregate runs once as a scalar subquery and its value is inlined
+    into the plan (no join, nothing shuffled); it is a global aggregate, so
+    it is exactly one row at any scale.
     """
-    return df.crossJoin(F.broadcast(one_row))
+    cols = one_row.columns
+    packed = one_row.select(F.struct(*cols).alias("_scalars")).scalar()
+    return df.withColumn("_scalars", packed).withColumns(
+        {c: F.col("_scalars")[c] for c in cols}).drop("_scalars")

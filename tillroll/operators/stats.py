@@ -46,7 +46,6 @@ def histogram(df: DataFrame, column: str, bins: int, trim_q: float | None = None
         d = with_scalars(d, quantile_row(d, column, [trim_q], ["_cap"], cfg))
         d = d.where(x <= F.col("_cap")) if inclusive else d.where(x < F.col("_cap"))
     mm = d.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / F.lit(float(bins))
     raw_bin = F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(bins)))
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(F.least(raw_bin, F.lit(bins - 1))).cast("int")
     keys = [by] if by else []
@@ -95,7 +94,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, cfg: C
         base = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
                       F.min(x).alias("min"), F.max(x).alias("max"))
         qs = quantile_row(df, c, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], cfg)
-        parts.append(base.crossJoin(qs).select(F.lit(c).alias("column"), "count", "mean", "std", "min",
+        parts.append(with_scalars(base, qs).select(F.lit(c).alias("column"), "count", "mean", "std", "min",
                                                "p25", "p50", "p75", "max"))
     out = parts[0]
     for p in parts[1:]:
@@ -113,7 +112,7 @@ def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) ->
         summary = counts.agg(F.sum("_n").alias("count"), F.count(F.lit(1)).alias("unique"))
         top = counts.orderBy(F.desc("_n"), F.asc("_v")).limit(1).select(
             F.col("_v").alias("top"), F.col("_n").alias("freq"))
-        parts.append(summary.crossJoin(top).select(F.lit(c).alias("column"), "count", "unique", "top", "freq"))
+        parts.append(with_scalars(summary, top).select(F.lit(c).alias("column"), "count", "unique", "top", "freq"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -2,3 +2,5 @@
 
 from tillroll.plans import q_cleaning  # noqa: F401
 from tillroll.plans import q_sales  # noqa: F401
+from tillroll.plans import q_models  # noqa: F401
+from tillroll.plans import q_inventory  # noqa: F401

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import cleaning as C
 from tillroll.operators import features as FE
+from tillroll.operators.quantiles import with_scalars
 from tillroll.plans.oracle import with_chain
 from tillroll.plans.registry import query
 from tillroll.plans.stages import clean_frame, featured_frame
@@ -74,11 +75,11 @@ FROM caps"""))
 def q_winsorize(spark, sf):
     pre = C.pre_cap(_raw(spark, sf))
     caps = C.cap_values(pre)
-    flags = pre.crossJoin(F.broadcast(caps)).agg(
+    flags = with_scalars(pre, caps).agg(
         F.count(F.lit(1)).alias("lines"),
         F.count_if(F.col("Quantity") > F.col("q_cap")).alias("quantity_capped"),
         F.count_if(F.col("UnitPrice") > F.col("p_cap")).alias("price_capped"))
-    return caps.crossJoin(flags)
+    return with_scalars(caps, flags)
 
 
 @query("clean", with_chain("clean", "SELECT * FROM clean"))
