@@ -74,7 +74,7 @@ featured AS (
  FROM clean c CROSS JOIN dq JOIN inv_tot USING (Invoice) LEFT JOIN cust_val v USING (CustomerID))"""
 
 
-def with_chain(level: str, body: str, cfg=DEFAULT, extra: str = "") -> str:
+def with_chain(level: str, body: str, cfg=DEFAULT, extra: str = "", recursive: bool = False) -> str:
     """``level`` in {raw, clean, featured}; ``extra`` adds more CTEs after the chain."""
     parts = [duckdb_raw_ctes()]
     if level in ("clean", "featured"):
@@ -83,4 +83,5 @@ def with_chain(level: str, body: str, cfg=DEFAULT, extra: str = "") -> str:
         parts.append(featured_ctes(cfg))
     if extra:
         parts.append(extra.strip().rstrip(","))
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    head = "WITH RECURSIVE " if recursive else "WITH "
+    return head + ",\n".join(parts) + "\n" + body.strip()

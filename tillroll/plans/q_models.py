@@ -13,7 +13,7 @@ from tillroll.operators import stats as ST
 from tillroll.operators.features import snapshot_row
 from tillroll.plans.models import churn_model, segmentation
 from tillroll.plans.oracle import with_chain
-from tillroll.plans.registry import query, rounded
+from tillroll.plans.registry import cmp_round, query, rounded
 from tillroll.plans.stages import featured_frame
 
 MS = money_sum_sql("TotalPrice")
@@ -202,7 +202,7 @@ def q_binary_metrics(spark, sf):
     """Metric code on a deterministic recency score over the test split (oracle twin of churn_metrics)."""
     sp = CH.stratified_split(CH.training_set(_f(spark, sf))).where(F.col("is_test"))
     scored = sp.select(F.col("Churned").alias("label"),
-                       F.round(F.least(F.col("Recency") / 180.0, F.lit(1.0)), 3).alias("score"))
+                       cmp_round(F.least(F.col("Recency") / 180.0, F.lit(1.0)), 3).alias("score"))
     return CH.binary_metrics(scored)
 
 

@@ -26,15 +26,28 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def cmp_round(c, digits: int) -> Column:
+    """Rounding for compared outputs, the same double arithmetic as SQL engines'
+    ``round(x, n)`` on DOUBLE: half away from zero applied to ``x * 10**n``.
+    (Spark's ``round`` rounds the shortest decimal text instead, so the two
+    can disagree on values that print with a trailing 5.)"""
+    v = F.col(c) if isinstance(c, str) else c
+    m = F.lit(float(10 ** digits))
+    return F.signum(v) * F.floor(F.abs(v) * m + F.lit(0.5)) / m
+
+
 def r2(c) -> Column:
     """Money: 2 decimals (both engines see sums in different orders)."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 2)
+    return cmp_round(c, 2)
 
 
 def r6(c) -> Column:
     """Ratios: 6 decimals."""
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
+    return cmp_round(c, 6)
 
 
-def rounded(df: DataFrame, money=(), ratio=()) -> DataFrame:
-    return df.withColumns({**{c: r2(c) for c in money}, **{c: r6(c) for c in ratio}})
+def rounded(df: DataFrame, money=(), ratio=(), **digits: int) -> DataFrame:
+    """Round compared columns: money to 2, ratios to 6, others by name=digits."""
+    cols = {**{c: r2(c) for c in money}, **{c: r6(c) for c in ratio},
+            **{c: cmp_round(c, d) for c, d in digits.items()}}
+    return df.withColumns(cols)
