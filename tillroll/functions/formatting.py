@@ -1,7 +1,8 @@
 """Display text for KPI values (F15-F17) as Column expressions.
 
-Values are first rounded half-to-even (as Python's format does for exact
-ties), then rendered, so a tie like 12.5 prints as ``12``.
+Values are first rounded half-to-even on the scaled binary value (``rint``,
+as Python's format does for exact ties), then rendered, so a tie like 12.5
+prints as ``12``.
 """
 
 from __future__ import annotations
@@ -14,9 +15,14 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def round_even(c, digits: int) -> Column:
+    m = F.lit(float(10 ** digits))
+    return F.rint(_c(c) * m) / m
+
+
 def fmt_fixed(c, digits: int, thousands: bool = True) -> Column:
     """Fixed-point text, optionally with thousands separators."""
-    v = F.bround(_c(c), digits)
+    v = round_even(c, digits)
     if thousands:
         return F.format_number(v, digits)
     return F.format_string(f"%.{digits}f", v)
@@ -50,4 +56,4 @@ def fmt_percent(c, decimals: int = 1) -> Column:
 
 def fmt_plain_float(c, digits: int) -> Column:
     """Round half-even then render like Python's ``str(float)`` for moderate values."""
-    return F.bround(_c(c), digits).cast("double").cast("string")
+    return round_even(c, digits).cast("string")

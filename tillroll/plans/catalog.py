@@ -5,3 +5,4 @@ from tillroll.plans import q_sales  # noqa: F401
 from tillroll.plans import q_models  # noqa: F401
 from tillroll.plans import q_inventory  # noqa: F401
 from tillroll.plans import q_forecast  # noqa: F401
+from tillroll.plans import q_insights  # noqa: F401
