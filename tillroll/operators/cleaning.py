@@ -18,7 +18,7 @@ from tillroll.operators.quantiles import quantile_row, with_scalars
 RENAMES = {"Customer ID": "CustomerID", "Price": "UnitPrice"}
 REQUIRED = ("Invoice", "StockCode", "Description", "Quantity",
             "InvoiceDate", "UnitPrice", "CustomerID", "Country")
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
+DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
                 "M/d/yyyy H:mm", "d/M/yyyy H:mm", "M/d/yy H:mm")
 
 
@@ -36,7 +36,7 @@ def standardize(raw: DataFrame) -> DataFrame:
         raise ValueError(f"Dataset is missing expected columns: {missing}")
     cust = F.col("CustomerID")
     if isinstance(df.schema["CustomerID"].dataType, T.StringType):
-        cust = F.try_cast(F.trim(cust), "double")           # T14: bad text -> missing
+        cust = F.trim(cust).try_cast("double")           # T14: bad text -> missing
     return df.withColumns({
         "Quantity": _num("Quantity"),
         "UnitPrice": _num("UnitPrice"),
