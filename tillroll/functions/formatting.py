@@ -1,8 +1,8 @@
 """Display text for KPI values (F15-F17) as Column expressions.
 
-Values are first rounded half-to-even on the scaled binary value (``rint``,
-as Python's format does for exact ties), then rendered, so a tie like 12.5
-prints as ``12``.
+Values are first rounded the way Python's format spec rounds (the exact
+binary value, exact ties to even: 12.5 -> ``12``, 0.05 (just above) -> ``0.1``),
+then rendered.
 """
 
 from __future__ import annotations
@@ -10,19 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tillroll.functions.numeric import np_round, py_round
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def round_even(c, digits: int) -> Column:
-    m = F.lit(float(10 ** digits))
-    return F.rint(_c(c) * m) / m
-
-
 def fmt_fixed(c, digits: int, thousands: bool = True) -> Column:
     """Fixed-point text, optionally with thousands separators."""
-    v = round_even(c, digits)
+    v = py_round(c, digits)
     if thousands:
         return F.format_number(v, digits)
     return F.format_string(f"%.{digits}f", v)
@@ -55,5 +52,5 @@ def fmt_percent(c, decimals: int = 1) -> Column:
 
 
 def fmt_plain_float(c, digits: int) -> Column:
-    """Round half-even then render like Python's ``str(float)`` for moderate values."""
-    return round_even(c, digits).cast("string")
+    """pandas ``.round(d).astype(str)`` for moderate values."""
+    return np_round(c, digits).cast("string")

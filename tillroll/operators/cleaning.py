@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.config import CLEAN_COLUMNS, DEFAULT, NON_PRODUCT_CODES, Config
-from tillroll.functions.numeric import strip_ws
+from tillroll.functions.numeric import py_round, strip_ws
 from tillroll.operators.quantiles import quantile_row, with_scalars
 
 RENAMES = {"Customer ID": "CustomerID", "Price": "UnitPrice"}
@@ -24,7 +24,7 @@ DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:m
 
 def _num(c: str) -> Column:
     """Numeric column with NaN mapped to NULL (NaN >= x is true in Spark)."""
-    return F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    return F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double"))
 
 
 def standardize(raw: DataFrame) -> DataFrame:
@@ -180,5 +180,5 @@ def clean_report(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
                  "invalid_removed", "non_product_removed", "end_rows",
                  removed.alias("rows_removed"),
                  F.when(F.col("start_rows") > 0,
-                        F.bround(F.lit(100.0) * removed / F.col("start_rows"), 2))
+                        py_round(F.lit(100.0) * removed / F.col("start_rows"), 2))
                   .otherwise(F.lit(0.0)).alias("pct_removed")))

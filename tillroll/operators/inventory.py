@@ -1,5 +1,8 @@
 """Inventory recommendations.
 
+Displayed numbers are rounded like numpy (the per-SKU statistics are numpy
+floats), i.e. half-to-even on the scaled value.
+
 One grouped pass per SKU replaces the per-SKU loop: the zero-filled daily
 means and the 60-day standard deviation need only sums over day offsets
 from each SKU's own last sale day, so no gap rows are generated.
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tillroll.config import DEFAULT, STOCK_ACTIONS, Config
 from tillroll.functions.formatting import fmt_plain_float
+from tillroll.functions.numeric import np_round
 
 
 def sku_description(df: DataFrame) -> DataFrame:
@@ -89,12 +93,12 @@ def recommend(df: DataFrame, cfg: Config = DEFAULT, top_n: int | None = None) ->
     reorder = F.greatest(F.col("recent"), F.lit(0.0)) * cfg.lead_time_days + safety
     return (t.join(F.broadcast(desc), "StockCode", "left")
              .select("StockCode", "Description",
-                     F.bround("recent", 2).alias("RecentAvgDailyQty"),
-                     F.bround("prior", 2).alias("PriorAvgDailyQty"),
-                     F.bround(pct, 4).alias("PctChange"),
+                     np_round("recent", 2).alias("RecentAvgDailyQty"),
+                     np_round("prior", 2).alias("PriorAvgDailyQty"),
+                     np_round(pct, 4).alias("PctChange"),
                      action(pct, cfg).alias("RecommendedAction"),
-                     F.bround(conf, 2).alias("Confidence"),
-                     F.bround(F.greatest(reorder, F.lit(0.0)), 0).cast("bigint").alias("SuggestedReorderQty"),
+                     np_round(conf, 2).alias("Confidence"),
+                     np_round(F.greatest(reorder, F.lit(0.0)), 0).cast("bigint").alias("SuggestedReorderQty"),
                      F.col("total_qty").cast("bigint").alias("TotalHistoricalQty")))
 
 
@@ -122,6 +126,6 @@ def table(inv: DataFrame) -> DataFrame:
     return inv.select("StockCode", "Description", "RecentAvgDailyQty", "PriorAvgDailyQty",
                       F.concat(fmt_plain_float(F.col("PctChange") * 100, 1), F.lit("%")).alias("PctChange"),
                       "RecommendedAction",
-                      F.concat(F.bround(F.col("Confidence") * 100, 0).cast("bigint").cast("string"),
+                      F.concat(np_round(F.col("Confidence") * 100, 0).cast("bigint").cast("string"),
                                F.lit("%")).alias("Confidence"),
                       "SuggestedReorderQty")

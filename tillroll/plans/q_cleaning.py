@@ -97,8 +97,8 @@ SELECT (SELECT count(*) FROM raw) AS start_rows,
        (SELECT count(*) FROM valid) - (SELECT count(*) FROM products) AS non_product_removed,
        (SELECT count(*) FROM clean) AS end_rows,
        (SELECT count(*) FROM raw) - (SELECT count(*) FROM clean) AS rows_removed,
-       round_even(100.0 * ((SELECT count(*) FROM raw) - (SELECT count(*) FROM clean))
-                  / (SELECT count(*) FROM raw), 2)::DOUBLE AS pct_removed"""))
+       CAST(format('{:.2f}', CAST(100.0 AS DOUBLE) * ((SELECT count(*) FROM raw) - (SELECT count(*) FROM clean))
+                  / (SELECT count(*) FROM raw)) AS DOUBLE) AS pct_removed"""))
 def q_clean_report(spark, sf):
     return C.clean_report(_raw(spark, sf))
 

@@ -136,9 +136,9 @@ def q_forecast_error(spark, sf):
 
 
 @query("forecast_table", with_chain("featured", f"""
-SELECT series_key, strftime(ds, '%Y-%m-%d') AS Date, '{DEFAULT.currency}' || format('{{:,.0f}}', round_even(yhat, 0)) AS Forecast,
-       '{DEFAULT.currency}' || format('{{:,.0f}}', round_even(yhat_lower, 0)) AS "Lower Bound",
-       '{DEFAULT.currency}' || format('{{:,.0f}}', round_even(yhat_upper, 0)) AS "Upper Bound"
+SELECT series_key, strftime(ds, '%Y-%m-%d') AS Date, '{DEFAULT.currency}' || format('{{:,.0f}}', yhat) AS Forecast,
+       '{DEFAULT.currency}' || format('{{:,.0f}}', yhat_lower) AS "Lower Bound",
+       '{DEFAULT.currency}' || format('{{:,.0f}}', yhat_upper) AS "Upper Bound"
 FROM forecast WHERE IsForecast""", extra=hw_sql("'ALL'"), recursive=True))
 def q_forecast_table(spark, sf):
     return FC.forecast_table(FC.forecast_demand(_f(spark, sf)))
@@ -148,3 +148,9 @@ def q_forecast_table(spark, sf):
 def q_forecast_tuned(spark, sf):
     """Grid-tuned Holt-Winters per country (rows-only: the grid choice is a model search)."""
     return _fc_round(FC.forecast_demand(_f(spark, sf), keys=["Country"], tuned=True))
+
+
+@query("forecast_trend_season")
+def q_forecast_trend_season(spark, sf):
+    """Trend + weekly/yearly seasonality regression per country (rows-only)."""
+    return _fc_round(FC.trend_season(_f(spark, sf), keys=["Country"]))

@@ -25,9 +25,9 @@ def _dbl(v: float) -> str:
 def banded_sql(x: str, prefix: str) -> str:
     """SQL twin of formatting._banded."""
     return (f"(CASE WHEN {x} IS NULL OR isnan({x}) THEN '{prefix}0' "
-            f"WHEN abs({x}) >= 1000000 THEN '{prefix}' || format('{{:,.2f}}', round_even({x} / {_dbl(1e6)}, 2)) || 'M' "
-            f"WHEN abs({x}) >= 1000 THEN '{prefix}' || format('{{:,.1f}}', round_even({x} / {_dbl(1e3)}, 1)) || 'K' "
-            f"ELSE '{prefix}' || format('{{:,.0f}}', round_even({x}, 0)) END)")
+            f"WHEN abs({x}) >= 1000000 THEN '{prefix}' || format('{{:,.2f}}', {x} / {_dbl(1e6)}) || 'M' "
+            f"WHEN abs({x}) >= 1000 THEN '{prefix}' || format('{{:,.1f}}', {x} / {_dbl(1e3)}) || 'K' "
+            f"ELSE '{prefix}' || format('{{:,.0f}}', {x}) END)")
 
 
 def cur(x: str) -> str:
@@ -39,7 +39,7 @@ def num(x: str) -> str:
 
 
 def fixed(x: str, d: int) -> str:
-    return f"format('{{:.{d}f}}', round_even(CAST({x} AS DOUBLE), {d}))"
+    return f"format('{{:.{d}f}}', CAST({x} AS DOUBLE))"
 
 
 GROWTH_SQL = """pg_cut AS (SELECT max(InvoiceDate) - INTERVAL 30 DAY AS rc, max(InvoiceDate) - INTERVAL 60 DAY AS pc FROM featured),
