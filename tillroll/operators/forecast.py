@@ -51,11 +51,13 @@ def fill_daily(daily: DataFrame) -> DataFrame:
     rng = daily.groupBy("series_key").agg(F.min("ds").alias("_lo"), F.max("ds").alias("_hi"))
     days = rng.select("series_key", F.explode(F.sequence("_lo", "_hi", F.expr("INTERVAL 1 DAY"))).alias("ds"))
     j = days.join(daily, ["series_key", "ds"], "left")
+    # both look-ups are running frames (unbounded preceding .. current row), which
+    # Spark evaluates incrementally; the "next" value runs over descending days
     w_prev = Window.partitionBy("series_key").orderBy("ds").rowsBetween(Window.unboundedPreceding, 0)
-    w_next = Window.partitionBy("series_key").orderBy("ds").rowsBetween(0, Window.unboundedFollowing)
+    w_next = Window.partitionBy("series_key").orderBy(F.desc("ds")).rowsBetween(Window.unboundedPreceding, 0)
     obs_ds = F.when(F.col("y").isNotNull(), F.col("ds"))
     py, pd_ = F.last("y", True).over(w_prev), F.last(obs_ds, True).over(w_prev)
-    ny, nd = F.first("y", True).over(w_next), F.first(obs_ds, True).over(w_next)
+    ny, nd = F.last("y", True).over(w_next), F.last(obs_ds, True).over(w_next)
     interp = (F.col("_ny") - F.col("_py")) / F.datediff("_nd", "_pd") * F.datediff("ds", "_pd") + F.col("_py")
     return (j.withColumns({"_py": py, "_pd": pd_, "_ny": ny, "_nd": nd})
              .select("series_key", "ds", F.coalesce(F.col("y"), interp).alias("y"),

@@ -7,6 +7,8 @@ row per cluster (k rows), so broadcasting it is bounded by k.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -34,19 +36,23 @@ def rfm_scaled(rfm: DataFrame) -> DataFrame:
     return t.withColumns(z).drop(*[c for c in t.columns if c.startswith("_")])
 
 
-def fit_kmeans(scaled: DataFrame, k: int, cfg: Config = DEFAULT) -> KMeansModel:
-    """M2: k-means with ``kmeans_restarts`` seeds, keeping the lowest training cost."""
+def fit_kmeans(scaled: DataFrame, k: int, cfg: Config = DEFAULT, parallel: int | None = None) -> KMeansModel:
+    """M2: k-means with ``kmeans_restarts`` seeds, keeping the lowest training cost
+    (ties: lowest seed). The restarts are independent fits over one persisted
+    feature frame, submitted as concurrent Spark jobs (all restarts at once by default)."""
     data = VectorAssembler(inputCols=["R_z", "F_z", "M_z"], outputCol="features").transform(scaled) \
         .select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    best = None
     try:
-        for i in range(cfg.kmeans_restarts):
-            m = KMeans(k=k, seed=cfg.seed + i, maxIter=300, tol=1e-4, featuresCol="features").fit(data)
-            if best is None or m.summary.trainingCost < best.summary.trainingCost:
-                best = m
+        data.count()
+
+        def fit(i: int) -> KMeansModel:
+            return KMeans(k=k, seed=cfg.seed + i, maxIter=300, tol=1e-4, featuresCol="features").fit(data)
+
+        with ThreadPoolExecutor(max_workers=max(1, min(parallel or cfg.kmeans_restarts, cfg.kmeans_restarts))) as pool:
+            models = list(pool.map(fit, range(cfg.kmeans_restarts)))
     finally:
         data.unpersist()
-    return best
+    return min(enumerate(models), key=lambda im: (im[1].summary.trainingCost, im[0]))[1]
 
 
 def assign(model: KMeansModel, scaled: DataFrame) -> DataFrame:
