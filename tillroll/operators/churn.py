@@ -16,6 +16,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from tillroll.config import CHURN_FEATURES, DEFAULT, Config
 from tillroll.functions.calendar import elapsed_days
@@ -156,11 +157,18 @@ def assembler() -> VectorAssembler:
 
 def train_model(train: DataFrame, cfg: Config = DEFAULT) -> RandomForestClassificationModel:
     """Random Forest, 120 trees, depth 8, min leaf 5, balanced class weights."""
-    data = assembler().transform(balanced_weights(train)).select("features", "Churned", "weight")
+    # the fit makes one pass over the data per tree level: persist the assembled
+    # rows so the split lineage is not recomputed on every pass
+    data = assembler().transform(balanced_weights(train)).select("features", "Churned", "weight") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     rf = RandomForestClassifier(featuresCol="features", labelCol="Churned", weightCol="weight",
                                 numTrees=cfg.rf_trees, maxDepth=cfg.rf_depth,
-                                minInstancesPerNode=cfg.rf_min_leaf, seed=cfg.seed)
-    return rf.fit(data)
+                                minInstancesPerNode=cfg.rf_min_leaf, seed=cfg.seed,
+                                maxMemoryInMB=1024, cacheNodeIds=True)
+    try:
+        return rf.fit(data)
+    finally:
+        data.unpersist()
 
 
 def score(model: RandomForestClassificationModel | None, customers: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tillroll.config import CLEAN_COLUMNS, DEFAULT, NON_PRODUCT_CODES, Config
 from tillroll.functions.numeric import py_round, strip_ws
-from tillroll.operators.quantiles import quantile_row, with_scalars
+from tillroll.operators.quantiles import quantiles_row, with_scalars
 
 RENAMES = {"Customer ID": "CustomerID", "Price": "UnitPrice"}
 REQUIRED = ("Invoice", "StockCode", "Description", "Quantity",
@@ -97,9 +97,8 @@ def drop_non_products(df: DataFrame) -> DataFrame:
 
 def cap_values(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row: q_cap, p_cap (the winsorizing caps)."""
-    q = quantile_row(df, "Quantity", [cfg.quantity_cap_pct], ["q_cap"], cfg)
-    p = quantile_row(df, "UnitPrice", [cfg.price_cap_pct], ["p_cap"], cfg)
-    return with_scalars(q, p)
+    return quantiles_row(df, [("Quantity", cfg.quantity_cap_pct, "q_cap"),
+                              ("UnitPrice", cfg.price_cap_pct, "p_cap")], cfg)
 
 
 def winsorize(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

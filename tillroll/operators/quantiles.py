@@ -33,6 +33,33 @@ def quantile_row(df: DataFrame, column: str, probs: Sequence[float],
     return agg.select(*[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)])
 
 
+def quantiles_row(df: DataFrame, spec: Sequence[tuple[str, float, str]], cfg: Config = DEFAULT) -> DataFrame:
+    """Several columns' quantiles in one pass: one row, one DOUBLE column per
+    (column, probability, name) in ``spec``.
+
+    Values of all listed columns are exploded into (column id, value) pairs
+    and counted per distinct pair, so one shuffle of distinct values serves
+    every column.
+    """
+    cols = list(dict.fromkeys(c for c, _, _ in spec))
+    if len(cols) == 1:
+        return quantile_row(df, cols[0], [p for _, p, _ in spec], [n for _, _, n in spec], cfg)
+    probs = sorted({float(p) for _, p, _ in spec})
+    pairs = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_k"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)]))
+        .alias("_p")).select("_p._k", "_p._v").where(F.col("_v").isNotNull())
+    if cfg.approx_quantiles:
+        per = pairs.groupBy("_k").agg(F.percentile_approx("_v", probs, cfg.approx_accuracy).alias("_q"))
+    else:
+        counts = pairs.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
+        per = counts.groupBy("_k").agg(F.percentile(F.col("_v"), probs, F.col("_n")).alias("_q"))
+    # one row per listed column: at most len(cols) rows
+    out = per.agg(*[
+        F.max(F.when(F.col("_k") == cols.index(c), F.col("_q")[probs.index(float(p))])).cast("double").alias(n)
+        for c, p, n in spec])
+    return out
+
+
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row aggregate to every row.
 

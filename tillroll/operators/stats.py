@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.config import DEFAULT, Config
-from tillroll.operators.quantiles import quantile_row, with_scalars
+from tillroll.operators.quantiles import quantile_row, quantiles_row, with_scalars
 
 
 def quantile_table(df: DataFrame, spec: Sequence[tuple[str, float]], cfg: Config = DEFAULT) -> DataFrame:
@@ -88,18 +88,20 @@ def split_columns(df: DataFrame) -> tuple[list[str], list[str]]:
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, cfg: Config = DEFAULT) -> DataFrame:
     """Count, mean, sample std, min, 25/50/75 % (linear), max per numeric column."""
     columns = list(columns or split_columns(df)[0])
-    parts = []
+    names = {c: f"_c{i}" for i, c in enumerate(columns)}
+    moments = []
     for c in columns:
-        x = F.col(c).cast("double")
-        base = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                      F.min(x).alias("min"), F.max(x).alias("max"))
-        qs = quantile_row(df, c, [0.25, 0.5, 0.75], ["p25", "p50", "p75"], cfg)
-        parts.append(with_scalars(base, qs).select(F.lit(c).alias("column"), "count", "mean", "std", "min",
-                                               "p25", "p50", "p75", "max"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        x, n = F.col(c).cast("double"), names[c]
+        moments += [F.count(x).alias(f"{n}_count"), F.avg(x).alias(f"{n}_mean"),
+                    F.stddev_samp(x).alias(f"{n}_std"), F.min(x).alias(f"{n}_min"), F.max(x).alias(f"{n}_max")]
+    # one pass for all moments, one pass for all quartiles
+    qs = quantiles_row(df, [(c, p, f"{names[c]}_{tag}") for c in columns
+                            for p, tag in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))], cfg)
+    row = with_scalars(df.agg(*moments), qs)
+    stats = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    cells = [F.struct(F.lit(c).alias("column"), *[F.col(f"{names[c]}_{s}").alias(s) for s in stats])
+             for c in columns]
+    return row.select(F.explode(F.array(*cells)).alias("r")).select("r.*")
 
 
 def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
