@@ -145,3 +145,8 @@ def format_kpis(df: DataFrame, churn: DataFrame | None = None, cfg: Config = DEF
         F.col("_top").alias("top_market"),
         fmt_number("_countries").alias("countries_served"),
         fmt_percent("_churn").alias("churn_rate"))
+
+
+def top(insights: DataFrame, n: int = 4) -> DataFrame:
+    """K9: the first ``n`` insights by ordinal (the overview page shows four)."""
+    return insights.orderBy("ordinal").limit(n)

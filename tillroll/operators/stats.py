@@ -119,3 +119,13 @@ def describe_categorical(df: DataFrame, columns: Sequence[str] | None = None) ->
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def preview(df: DataFrame, n: int = 20) -> DataFrame:
+    """The first ``n`` rows (a display preview; the limit is the feature)."""
+    return df.limit(n)
+
+
+def shape(df: DataFrame) -> tuple[int, int]:
+    """(rows, columns)."""
+    return df.count(), len(df.columns)
