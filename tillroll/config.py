@@ -32,6 +32,23 @@ CLEAN_COLUMNS = ("Invoice", "StockCode", "Description", "Quantity",
 # Churn model features, in model order.
 CHURN_FEATURES = ("Recency", "Frequency", "Monetary", "AvgOrderValue", "TenureDays")
 STOCK_ACTIONS = ("Increase Stock", "Maintain Stock", "Reduce Stock")
+# Insight rows in order: (category, title, sentence with %s slots).
+INSIGHTS = (
+    ("Revenue", "Highest Revenue Month", "%s generated %s in revenue, the strongest month in the dataset."),
+    ("Revenue", "Lowest Revenue Month", "%s was the weakest month, with only %s in revenue."),
+    ("Geography", "Top Market", "%s is the top market, contributing %s (%s%% of total revenue)."),
+    ("Product", "Top Revenue Product", "'%s' is the highest-grossing product at %s in total sales."),
+    ("Product", "Best-Selling Product by Volume", "'%s' is the top seller by units, with %s units sold."),
+    ("Trend", "Fastest Growing Product",
+     "'%s' grew %s%% in the most recent 30-day period versus the prior 30 days."),
+    ("Trend", "Declining Demand",
+     "'%s' demand fell %s%% over the same comparison window and may need markdown or review."),
+    ("Customers", "Most Valuable Customer Segment",
+     "'%s' customers drive %s%% of total customer revenue despite being %s%% of the customer base."),
+    ("Inventory", "Stock Action Needed",
+     "%s top products show rising demand and should have stock increased; "
+     "%s show declining demand and are candidates for stock reduction."),
+)
 
 
 @dataclass(frozen=True)

@@ -10,16 +10,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.config import DEFAULT, STOCK_ACTIONS, Config
+from tillroll.config import DEFAULT, INSIGHTS, STOCK_ACTIONS, Config
 from tillroll.functions.formatting import fmt_currency, fmt_fixed, fmt_number, fmt_percent
 from tillroll.functions.numeric import money_sum, safe_divide
 from tillroll.operators.quantiles import with_scalars
 from tillroll.operators.sales import revenue_by
 
 
-def _row(df: DataFrame, ordinal: int, category: str, title: str, detail: Column) -> DataFrame:
+def _row(df: DataFrame, ordinal: int, *values: Column) -> DataFrame:
+    """One insight row: the ``ordinal``-th entry of the fixed INSIGHTS list filled with ``values``."""
+    category, title, sentence = INSIGHTS[ordinal - 1]
     return df.select(F.lit(ordinal).alias("ordinal"), F.lit(category).alias("category"),
-                     F.lit(title).alias("title"), detail.alias("detail"))
+                     F.lit(title).alias("title"), F.format_string(sentence, *values).alias("detail"))
 
 
 def _pct1(c) -> Column:
@@ -51,62 +53,41 @@ def generate(df: DataFrame, segments: DataFrame | None = None, inventory: DataFr
     monthly = revenue_by(df, "YearMonth")
     best = monthly.orderBy(F.desc("revenue"), F.asc("YearMonth")).limit(1)
     worst = monthly.orderBy(F.asc("revenue"), F.asc("YearMonth")).limit(1)
-    rows.append(_row(best, 1, "Revenue", "Highest Revenue Month", F.concat(
-        F.col("YearMonth"), F.lit(" generated "), fmt_currency("revenue", sym),
-        F.lit(" in revenue, the strongest month in the dataset."))))
-    rows.append(_row(worst, 2, "Revenue", "Lowest Revenue Month", F.concat(
-        F.col("YearMonth"), F.lit(" was the weakest month, with only "), fmt_currency("revenue", sym),
-        F.lit(" in revenue."))))
+    rows.append(_row(best, 1, F.col("YearMonth"), fmt_currency("revenue", sym)))
+    rows.append(_row(worst, 2, F.col("YearMonth"), fmt_currency("revenue", sym)))
 
     country = revenue_by(df, "Country")
     total = df.agg(money_sum("TotalPrice").alias("_total"))
     top_c = with_scalars(country.orderBy(F.desc("revenue"), F.asc("Country")).limit(1), total)
-    rows.append(_row(top_c, 3, "Geography", "Top Market", F.concat(
-        F.col("Country"), F.lit(" is the top market, contributing "), fmt_currency("revenue", sym),
-        F.lit(" ("), _pct1(F.lit(100.0) * F.col("revenue") / F.col("_total")), F.lit("% of total revenue)."))))
+    rows.append(_row(top_c, 3, F.col("Country"), fmt_currency("revenue", sym),
+                     _pct1(F.lit(100.0) * F.col("revenue") / F.col("_total"))))
 
     prod_rev = revenue_by(df, "Description").orderBy(F.desc("revenue"), F.asc("Description")).limit(1)
     prod_qty = (revenue_by(df, "Description", "Quantity", "units")
                 .orderBy(F.desc("units"), F.asc("Description")).limit(1))
-    rows.append(_row(prod_rev, 4, "Product", "Top Revenue Product", F.concat(
-        F.lit("'"), F.col("Description"), F.lit("' is the highest-grossing product at "),
-        fmt_currency("revenue", sym), F.lit(" in total sales."))))
-    rows.append(_row(prod_qty, 5, "Product", "Best-Selling Product by Volume", F.concat(
-        F.lit("'"), F.col("Description"), F.lit("' is the top seller by units, with "),
-        fmt_number("units"), F.lit(" units sold."))))
+    rows.append(_row(prod_rev, 4, F.col("Description"), fmt_currency("revenue", sym)))
+    rows.append(_row(prod_qty, 5, F.col("Description"), fmt_number("units")))
 
     growth = product_growth(df)
     fastest = growth.orderBy(F.desc("growth"), F.asc("Description")).limit(1)
     declining = growth.orderBy(F.asc("growth"), F.asc("Description")).limit(1)
-    rows.append(_row(fastest, 6, "Trend", "Fastest Growing Product", F.concat(
-        F.lit("'"), F.col("Description"), F.lit("' grew "),
-        fmt_fixed(F.col("growth") * 100, 0, thousands=False),
-        F.lit("% in the most recent 30-day period versus the prior 30 days."))))
-    rows.append(_row(declining, 7, "Trend", "Declining Demand", F.concat(
-        F.lit("'"), F.col("Description"), F.lit("' demand fell "),
-        fmt_fixed(F.abs(F.col("growth")) * 100, 0, thousands=False),
-        F.lit("% over the same comparison window and may need markdown or review."))))
+    rows.append(_row(fastest, 6, F.col("Description"), fmt_fixed(F.col("growth") * 100, 0, thousands=False)))
+    rows.append(_row(declining, 7, F.col("Description"),
+                     fmt_fixed(F.abs(F.col("growth")) * 100, 0, thousands=False)))
 
     if segments is not None:
         seg = segments.groupBy("Segment").agg(money_sum("Monetary").alias("_m"), F.count(F.lit(1)).alias("_n"))
         tot = segments.agg(money_sum("Monetary").alias("_tm"), F.count(F.lit(1)).alias("_tn"))
         top_s = with_scalars(seg.orderBy(F.desc("_m"), F.asc("Segment")).limit(1), tot)
-        rows.append(_row(top_s, 8, "Customers", "Most Valuable Customer Segment", F.concat(
-            F.lit("'"), F.col("Segment"), F.lit("' customers drive "),
-            _pct1(F.lit(100.0) * F.col("_m") / F.col("_tm")),
-            F.lit("% of total customer revenue despite being "),
-            _pct1(F.lit(100.0) * F.col("_n") / F.col("_tn")), F.lit("% of the customer base."))))
+        rows.append(_row(top_s, 8, F.col("Segment"), _pct1(F.lit(100.0) * F.col("_m") / F.col("_tm")),
+                         _pct1(F.lit(100.0) * F.col("_n") / F.col("_tn"))))
 
     if inventory is not None:
         a = F.col("RecommendedAction")
         inv = inventory.agg(F.count(F.lit(1)).alias("_n"),
                             F.count_if(a == STOCK_ACTIONS[0]).alias("_inc"),
                             F.count_if(a == STOCK_ACTIONS[2]).alias("_red")).where(F.col("_n") > 0)
-        rows.append(_row(inv, 9, "Inventory", "Stock Action Needed", F.concat(
-            F.col("_inc").cast("string"),
-            F.lit(" top products show rising demand and should have stock increased; "),
-            F.col("_red").cast("string"),
-            F.lit(" show declining demand and are candidates for stock reduction."))))
+        rows.append(_row(inv, 9, F.col("_inc").cast("string"), F.col("_red").cast("string")))
 
     out = rows[0]
     for r in rows[1:]:

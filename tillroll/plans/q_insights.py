@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillroll.config import DEFAULT
+from tillroll.config import DEFAULT, INSIGHTS
 from tillroll.functions.numeric import money_sum_sql
 from tillroll.operators import churn as CH
 from tillroll.operators import insights as IN
@@ -42,6 +42,20 @@ def fixed(x: str, d: int) -> str:
     return f"format('{{:.{d}f}}', CAST({x} AS DOUBLE))"
 
 
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def T(i: int) -> str:
+    """category, title of the i-th insight as SQL literals."""
+    return f"{_q(INSIGHTS[i - 1][0])} AS category, {_q(INSIGHTS[i - 1][1])} AS title"
+
+
+def S(i: int) -> str:
+    """sentence of the i-th insight as a printf format literal."""
+    return _q(INSIGHTS[i - 1][2])
+
+
 GROWTH_SQL = """pg_cut AS (SELECT max(InvoiceDate) - INTERVAL 30 DAY AS rc, max(InvoiceDate) - INTERVAL 60 DAY AS pc FROM featured),
 pg AS (SELECT Description, sum(Quantity) FILTER (WHERE InvoiceDate > rc) AS recent,
               sum(Quantity) FILTER (WHERE InvoiceDate <= rc AND InvoiceDate > pc) AS prior
@@ -54,42 +68,30 @@ monthly AS (SELECT YearMonth, {MS} AS revenue FROM featured GROUP BY 1),
 country AS (SELECT Country, {MS} AS revenue FROM featured GROUP BY 1),
 prod AS (SELECT Description, {MS} AS revenue, sum(Quantity) AS units FROM featured GROUP BY 1),
 ins AS (
- SELECT * FROM (SELECT 1 AS ordinal, 'Revenue' AS category, 'Highest Revenue Month' AS title,
-        YearMonth || ' generated ' || {cur('revenue')} || ' in revenue, the strongest month in the dataset.' AS detail
+ SELECT * FROM (SELECT 1 AS ordinal, {T(1)}, printf({S(1)}, YearMonth, {cur('revenue')}) AS detail
         FROM monthly ORDER BY revenue DESC, YearMonth LIMIT 1)
  UNION ALL
- SELECT * FROM (SELECT 2, 'Revenue', 'Lowest Revenue Month',
-        YearMonth || ' was the weakest month, with only ' || {cur('revenue')} || ' in revenue.'
+ SELECT * FROM (SELECT 2, {T(2)}, printf({S(2)}, YearMonth, {cur('revenue')})
         FROM monthly ORDER BY revenue, YearMonth LIMIT 1)
  UNION ALL
- SELECT * FROM (SELECT 3, 'Geography', 'Top Market',
-        Country || ' is the top market, contributing ' || {cur('revenue')} || ' ('
-        || {fixed(f"{_dbl(100.0)} * revenue / (SELECT {MS} FROM featured)", 1)} || '% of total revenue).'
+ SELECT * FROM (SELECT 3, {T(3)}, printf({S(3)}, Country, {cur('revenue')},
+        {fixed(f"{_dbl(100.0)} * revenue / (SELECT {MS} FROM featured)", 1)})
         FROM country ORDER BY revenue DESC, Country LIMIT 1)
  UNION ALL
- SELECT * FROM (SELECT 4, 'Product', 'Top Revenue Product',
-        '''' || Description || ''' is the highest-grossing product at ' || {cur('revenue')} || ' in total sales.'
+ SELECT * FROM (SELECT 4, {T(4)}, printf({S(4)}, Description, {cur('revenue')})
         FROM prod ORDER BY revenue DESC, Description LIMIT 1)
  UNION ALL
- SELECT * FROM (SELECT 5, 'Product', 'Best-Selling Product by Volume',
-        '''' || Description || ''' is the top seller by units, with ' || {num('units')} || ' units sold.'
+ SELECT * FROM (SELECT 5, {T(5)}, printf({S(5)}, Description, {num('units')})
         FROM prod ORDER BY units DESC, Description LIMIT 1)
  UNION ALL
- SELECT * FROM (SELECT 6, 'Trend', 'Fastest Growing Product',
-        '''' || Description || ''' grew ' || {fixed('growth * 100', 0)}
-        || '% in the most recent 30-day period versus the prior 30 days.'
+ SELECT * FROM (SELECT 6, {T(6)}, printf({S(6)}, Description, {fixed('growth * 100', 0)})
         FROM growth ORDER BY growth DESC, Description LIMIT 1)
  UNION ALL
- SELECT * FROM (SELECT 7, 'Trend', 'Declining Demand',
-        '''' || Description || ''' demand fell ' || {fixed('abs(growth) * 100', 0)}
-        || '% over the same comparison window and may need markdown or review.'
+ SELECT * FROM (SELECT 7, {T(7)}, printf({S(7)}, Description, {fixed('abs(growth) * 100', 0)})
         FROM growth ORDER BY growth, Description LIMIT 1)
  UNION ALL
- SELECT 9, 'Inventory', 'Stock Action Needed',
-        CAST(count(*) FILTER (WHERE RecommendedAction = 'Increase Stock') AS VARCHAR)
-        || ' top products show rising demand and should have stock increased; '
-        || CAST(count(*) FILTER (WHERE RecommendedAction = 'Reduce Stock') AS VARCHAR)
-        || ' show declining demand and are candidates for stock reduction.'
+ SELECT 9, {T(9)}, printf({S(9)}, CAST(count(*) FILTER (WHERE RecommendedAction = 'Increase Stock') AS VARCHAR),
+                          CAST(count(*) FILTER (WHERE RecommendedAction = 'Reduce Stock') AS VARCHAR))
  FROM inv HAVING count(*) > 0)"""
 
 
