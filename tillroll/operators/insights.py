@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tillroll.config import DEFAULT, INSIGHTS, STOCK_ACTIONS, Config
 from tillroll.functions.formatting import fmt_currency, fmt_fixed, fmt_number, fmt_percent
 from tillroll.functions.numeric import money_sum, safe_divide
-from tillroll.operators.quantiles import with_scalars
+from tillroll.operators.quantiles import distinct_counts, with_scalars
 from tillroll.operators.sales import revenue_by
 
 
@@ -108,8 +108,8 @@ def by_category(insights: DataFrame, category: str) -> DataFrame:
 def format_kpis(df: DataFrame, churn: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
     """The overview KPI texts (revenue, orders, customers, AOV, top market,
     countries served, churn rate)."""
-    k = df.agg(money_sum("TotalPrice").alias("_rev"), F.count_distinct("Invoice").alias("_orders"),
-               F.count_distinct("CustomerID").alias("_cust"), F.count_distinct("Country").alias("_countries"))
+    k = with_scalars(df.agg(money_sum("TotalPrice").alias("_rev")),
+                     distinct_counts(df, ["Invoice", "CustomerID", "Country"], ["_orders", "_cust", "_countries"]))
     top = revenue_by(df, "Country").orderBy(F.desc("revenue"), F.asc("Country")).limit(1) \
         .select(F.col("Country").alias("_top"))
     k = with_scalars(k, top)

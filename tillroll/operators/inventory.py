@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.config import DEFAULT, STOCK_ACTIONS, Config
@@ -43,15 +43,30 @@ def top_skus(df: DataFrame, n: int) -> DataFrame:
               .orderBy(F.desc("TotalQty"), F.asc("StockCode")).limit(n))
 
 
-def sku_trend(df: DataFrame, skus: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Per SKU recent / prior daily means, pct change, 60-day std, span, total."""
+def top_sku_codes(df: DataFrame, n: int) -> list[str]:
+    """The top-N codes as a list (N values at most), so later scans filter with a
+    pushed-down ``IN`` list instead of re-running the ranking aggregate."""
+    return [r.StockCode for r in top_skus(df, n).select("StockCode").collect()]
+
+
+def _only(df: DataFrame, skus) -> DataFrame:
+    if isinstance(skus, DataFrame):
+        skus = [r.StockCode for r in skus.select("StockCode").collect()]
+    return df.where(F.col("StockCode").isin(list(skus)))
+
+
+def sku_trend(df: DataFrame, skus, cfg: Config = DEFAULT) -> DataFrame:
+    """Per SKU recent / prior daily means, pct change, 60-day std, span, total.
+
+    ``skus``: a list of codes or a (top-N) frame of them.
+    """
     w, sw = cfg.trend_window_days, cfg.std_window_days
-    # the SKU list is a top-N result: at most cfg.top_n_skus rows
-    sub = df.join(F.broadcast(skus.select("StockCode")), "StockCode", "left_semi")
-    daily = sub.groupBy("StockCode", F.to_date("InvoiceDate").alias("day")).agg(F.sum("Quantity").alias("q"))
-    # first/last sale day per SKU: one row per SKU (at most top-N rows)
-    per = daily.groupBy("StockCode").agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
-    d = daily.join(F.broadcast(per), "StockCode").withColumn("d", F.datediff("_last", "day"))
+    daily = _only(df, skus).groupBy("StockCode", F.to_date("InvoiceDate").alias("day")) \
+        .agg(F.sum("Quantity").alias("q"))
+    # first/last sale day over each SKU's days (a partition holds one SKU's calendar days)
+    per_sku = Window.partitionBy("StockCode")
+    d = (daily.withColumns({"_first": F.min("day").over(per_sku), "_last": F.max("day").over(per_sku)})
+              .withColumn("d", F.datediff("_last", "day")))
     span = F.datediff("_last", "_first") + 1
     n_std = F.least(F.lit(sw), span)
     g = d.groupBy("StockCode", "_first", "_last").agg(
@@ -83,14 +98,15 @@ def action(pct, cfg: Config = DEFAULT):
 def recommend(df: DataFrame, cfg: Config = DEFAULT, top_n: int | None = None) -> DataFrame:
     """Recommendations for the top-N SKUs by units, ordered by units."""
     top_n = top_n or cfg.top_n_skus
-    skus = top_skus(df, top_n)
-    t = sku_trend(df, skus, cfg)
-    desc = sku_description(df.join(F.broadcast(skus.select("StockCode")), "StockCode", "left_semi"))
+    codes = top_sku_codes(df, top_n)
+    t = sku_trend(df, codes, cfg)
+    desc = sku_description(_only(df, codes))
     pct = F.col("pct")
     conf = F.least(F.lit(0.95), F.lit(0.5) + F.least(F.abs(pct), F.lit(1.0)) * 0.4
                    + F.when(F.col("span") >= cfg.std_window_days, F.lit(0.05)).otherwise(F.lit(0.0)))
     safety = F.lit(cfg.service_level_z) * F.col("std") * F.sqrt(F.lit(float(cfg.lead_time_days)))
     reorder = F.greatest(F.col("recent"), F.lit(0.0)) * cfg.lead_time_days + safety
+    # both sides hold one row per listed SKU (at most top-N rows)
     return (t.join(F.broadcast(desc), "StockCode", "left")
              .select("StockCode", "Description",
                      np_round("recent", 2).alias("RecentAvgDailyQty"),

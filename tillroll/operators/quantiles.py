@@ -71,3 +71,18 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     packed = one_row.select(F.struct(*cols).alias("_scalars")).scalar()
     return df.withColumn("_scalars", packed).withColumns(
         {c: F.col("_scalars")[c] for c in cols}).drop("_scalars")
+
+
+def distinct_counts(df: DataFrame, columns: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """One row of exact distinct counts, one narrow aggregate per column.
+
+    Several ``count(DISTINCT ...)`` in one aggregate make Spark expand every
+    row once per distinct column before the shuffle; separate aggregates each
+    read one column and de-duplicate it map-side instead.
+    """
+    rows = [df.select(F.col(c).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+              .agg(F.count(F.lit(1)).alias(n)) for c, n in zip(columns, names)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = with_scalars(out, r)
+    return out

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.numeric import money_sum
 from tillroll.config import WEEKDAYS
 from tillroll.functions.numeric import safe_divide
-from tillroll.operators.quantiles import with_scalars
+from tillroll.operators.quantiles import distinct_counts, with_scalars
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
@@ -46,10 +46,9 @@ def filter_sales(df: DataFrame, countries: Sequence[str] = (),
 
 def kpi_home(df: DataFrame) -> DataFrame:
     """A1: revenue, orders, customers, average order value, countries served."""
-    agg = df.agg(money_sum("TotalPrice").alias("total_revenue"),
-                 F.count_distinct("Invoice").alias("total_orders"),
-                 F.count_distinct("CustomerID").alias("total_customers"),
-                 F.count_distinct("Country").alias("countries"))
+    agg = with_scalars(df.agg(money_sum("TotalPrice").alias("total_revenue")),
+                       distinct_counts(df, ["Invoice", "CustomerID", "Country"],
+                                       ["total_orders", "total_customers", "countries"]))
     return agg.withColumn("avg_order_value", safe_divide("total_revenue", "total_orders"))
 
 

@@ -9,14 +9,13 @@ from tillroll.operators import features as FE
 from tillroll.operators.quantiles import with_scalars
 from tillroll.plans.oracle import with_chain
 from tillroll.plans.registry import query
-from tillroll.plans.stages import clean_frame, featured_frame
-from tillroll.sources.fixture import raw_transactions
+from tillroll.plans.stages import clean_frame, featured_frame, raw_frame
 
 STEP_COLS = "Invoice, StockCode, Description, Quantity, InvoiceDate, UnitPrice, CustomerID, Country, SourceSheet"
 
 
 def _raw(spark, sf):
-    return raw_transactions(spark, sf, spaced_names=True)
+    return raw_frame(spark, sf, spaced_names=True)
 
 
 @query("standardize", with_chain("raw", f"SELECT {STEP_COLS} FROM std", extra=""" std AS (

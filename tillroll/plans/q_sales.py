@@ -11,8 +11,7 @@ from tillroll.operators import stats as ST
 from tillroll.plans.oracle import with_chain
 from tillroll.functions.numeric import money_sum
 from tillroll.plans.registry import query, rounded
-from tillroll.plans.stages import featured_frame
-from tillroll.sources.fixture import raw_transactions
+from tillroll.plans.stages import featured_frame, raw_frame
 
 PAGE_CORR = ("Quantity", "UnitPrice", "TotalPrice", "InvoiceTotalValue",
              "CustomerLifetimeValue", "PurchaseFrequency", "AverageOrderValue")
@@ -255,7 +254,7 @@ DESC_CAT = ("Invoice", "StockCode", "Description", "Country", "SourceSheet")
        round(min({c}), 2) AS min, round(quantile_cont({c}, 0.25), 2) AS p25, round(quantile_cont({c}, 0.5), 2) AS p50,
        round(quantile_cont({c}, 0.75), 2) AS p75, round(max({c}), 2) AS max FROM raw""" for c in DESC_NUM)))
 def q_describe_numeric(spark, sf):
-    raw = raw_transactions(spark, sf)
+    raw = raw_frame(spark, sf)
     return rounded(ST.describe_numeric(raw, DESC_NUM),
                    money=("mean", "std", "min", "p25", "p50", "p75", "max"))
 
@@ -265,4 +264,4 @@ def q_describe_numeric(spark, sf):
        (SELECT count(DISTINCT {c}) FROM raw) AS unique, {c} AS top, count(*) AS freq
        FROM raw WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)""" for c in DESC_CAT)))
 def q_describe_categorical(spark, sf):
-    return ST.describe_categorical(raw_transactions(spark, sf), DESC_CAT)
+    return ST.describe_categorical(raw_frame(spark, sf), DESC_CAT)

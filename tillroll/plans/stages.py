@@ -46,8 +46,15 @@ def _key(spark: SparkSession, sf_dir: str, cfg: Config, name: str) -> str:
     return f"{name}-{h}"
 
 
-def raw_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_transactions(spark, sf_dir)
+def raw_frame(spark: SparkSession, sf_dir: str, spaced_names: bool = False) -> DataFrame:
+    """The raw export lines derived from ``sf_dir``, written once as Parquet (the
+    export file a user would upload); ``spaced_names`` gives the export's
+    ``Customer ID`` spelling."""
+    key = _key(spark, sf_dir, DEFAULT, "raw")
+    if key not in _MEMO:
+        _MEMO[key] = stage(spark, scratch_path(spark, "stages", key), lambda: raw_transactions(spark, sf_dir))
+    raw = _MEMO[key]
+    return raw.withColumnsRenamed({"CustomerID": "Customer ID"}) if spaced_names else raw
 
 
 def staged_clean(spark: SparkSession, raw: DataFrame, path: str, cfg: Config = DEFAULT) -> DataFrame:
@@ -61,7 +68,7 @@ def staged_clean(spark: SparkSession, raw: DataFrame, path: str, cfg: Config = D
 def clean_frame(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
     key = _key(spark, sf_dir, cfg, "clean")
     if key not in _MEMO:
-        _MEMO[key] = staged_clean(spark, raw_transactions(spark, sf_dir), scratch_path(spark, "stages", key), cfg)
+        _MEMO[key] = staged_clean(spark, raw_frame(spark, sf_dir), scratch_path(spark, "stages", key), cfg)
     return _MEMO[key]
 
 
