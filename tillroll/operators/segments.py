@@ -45,8 +45,13 @@ def fit_kmeans(scaled: DataFrame, k: int, cfg: Config = DEFAULT, parallel: int |
     try:
         data.count()
 
+        # scikit-learn stops when the summed squared centre shift is below 1e-4 x the mean
+        # feature variance (1 after standardising); a per-centre shift below sqrt(1e-4 / k)
+        # guarantees that, so it is Spark's equivalent stopping rule
+        tol = (1e-4 / k) ** 0.5
+
         def fit(i: int) -> KMeansModel:
-            return KMeans(k=k, seed=cfg.seed + i, maxIter=300, tol=1e-4, featuresCol="features").fit(data)
+            return KMeans(k=k, seed=cfg.seed + i, maxIter=300, tol=tol, featuresCol="features").fit(data)
 
         with ThreadPoolExecutor(max_workers=max(1, min(parallel or cfg.kmeans_restarts, cfg.kmeans_restarts))) as pool:
             models = list(pool.map(fit, range(cfg.kmeans_restarts)))

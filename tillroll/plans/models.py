@@ -13,7 +13,7 @@ from tillroll.config import DEFAULT, Config
 from tillroll.operators import churn as CH
 from tillroll.operators import segments as SG
 from tillroll.operators.customers import rfm
-from tillroll.plans.stages import _key, featured_frame
+from tillroll.plans.stages import _key, customer_frame
 
 _MODELS: dict = {}
 
@@ -22,11 +22,11 @@ def segmentation(spark: SparkSession, sf_dir: str, k: int | None = None, cfg: Co
     """(segments, silhouette, kmeans model) for the featured table of ``sf_dir``."""
     key = _key(spark, sf_dir, cfg, f"kmeans{k or cfg.clusters}")
     if key not in _MODELS:
-        _, sil, model = SG.segment_customers(featured_frame(spark, sf_dir, cfg), k, cfg)
-        _MODELS[key] = (model, sil)
+        scaled = SG.rfm_scaled(customer_frame(spark, sf_dir, "rfm", rfm, cfg))
+        model = SG.fit_kmeans(scaled, k or cfg.clusters, cfg)
+        _MODELS[key] = (model, SG.silhouette(SG.assign(model, scaled), k or cfg.clusters))
     model, sil = _MODELS[key]
-    f = featured_frame(spark, sf_dir, cfg)
-    scaled = SG.rfm_scaled(rfm(f))
+    scaled = SG.rfm_scaled(customer_frame(spark, sf_dir, "rfm", rfm, cfg))
     clustered = SG.assign(model, scaled)
     labels = SG.segment_labels(clustered)
     segs = clustered.join(F.broadcast(labels.select("Cluster", "Segment")), "Cluster") \
@@ -37,8 +37,8 @@ def segmentation(spark: SparkSession, sf_dir: str, k: int | None = None, cfg: Co
 def churn_model(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT):
     """(model or None, split frame). None when the training guards leave no rows."""
     key = _key(spark, sf_dir, cfg, "churn_rf")
-    f = featured_frame(spark, sf_dir, cfg)
-    split = CH.stratified_split(CH.training_set(f, cfg), cfg)
+    training = customer_frame(spark, sf_dir, "training", lambda f: CH.training_set(f, cfg), cfg)
+    split = customer_frame(spark, sf_dir, "split", lambda f: CH.stratified_split(training, cfg), cfg)
     if key not in _MODELS:
         train = split.where(~F.col("is_test"))
         model = CH.train_model(train, cfg) if train.limit(1).count() > 0 else None

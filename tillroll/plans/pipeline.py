@@ -52,10 +52,12 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: Config = DEFAULT, sta
     segs, sil, _ = SG.segment_customers(featured, cfg.clusters, cfg)
     fc = FC.forecast_demand(featured, cfg.forecast_horizon_days, cfg=cfg)
 
-    labels = CH.churn_labels(featured, cfg)
+    # per-customer tables read by several results: written once each
+    labels = stage(spark, f"{stage_dir}/churn_labels", lambda: CH.churn_labels(featured, cfg))
     model, metrics = None, None
     if train_churn:
-        split = CH.stratified_split(CH.training_set(featured, cfg), cfg)
+        training = stage(spark, f"{stage_dir}/training", lambda: CH.training_set(featured, cfg))
+        split = stage(spark, f"{stage_dir}/split", lambda: CH.stratified_split(training, cfg))
         train = split.where(~F.col("is_test"))
         if train.limit(1).count() > 0:
             model = CH.train_model(train, cfg)

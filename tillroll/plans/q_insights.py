@@ -12,7 +12,7 @@ from tillroll.plans.oracle import with_chain
 from tillroll.plans.q_inventory import INV_SQL
 from tillroll.plans.q_models import CF_SQL
 from tillroll.plans.registry import query, rounded
-from tillroll.plans.stages import featured_frame
+from tillroll.plans.stages import customer_frame, featured_frame
 
 MS = money_sum_sql("TotalPrice")
 SYM = DEFAULT.currency
@@ -140,4 +140,4 @@ CROSS JOIN (SELECT coalesce(count(*) FILTER (WHERE ChurnRiskLabel = 'Churned') /
             FROM labels) c""", extra=CF_SQL))
 def q_format_kpis(spark, sf):
     f = _f(spark, sf)
-    return IN.format_kpis(f, CH.churn_labels(f))
+    return IN.format_kpis(f, customer_frame(spark, sf, "labels", CH.churn_labels))

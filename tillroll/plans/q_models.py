@@ -14,7 +14,7 @@ from tillroll.operators.features import snapshot_row
 from tillroll.plans.models import churn_model, segmentation
 from tillroll.plans.oracle import with_chain
 from tillroll.plans.registry import cmp_round, query, rounded
-from tillroll.plans.stages import featured_frame
+from tillroll.plans.stages import customer_frame, featured_frame
 
 MS = money_sum_sql("TotalPrice")
 D = "CAST({} AS DOUBLE)".format
@@ -25,6 +25,22 @@ def _f(spark, sf):
     return featured_frame(spark, sf)
 
 
+def _rfm(spark, sf):
+    return customer_frame(spark, sf, "rfm", CU.rfm)
+
+
+def _labels(spark, sf):
+    return customer_frame(spark, sf, "labels", CH.churn_labels)
+
+
+def _training(spark, sf):
+    return customer_frame(spark, sf, "training", CH.training_set)
+
+
+def _split(spark, sf):
+    return customer_frame(spark, sf, "split", lambda f: CH.stratified_split(_training(spark, sf)))
+
+
 # --- RFM and segments -----------------------------------------------------------
 
 RFM_SQL = f"""rfm AS (
@@ -35,7 +51,7 @@ RFM_SQL = f"""rfm AS (
 
 @query("rfm", with_chain("featured", "SELECT * FROM rfm", extra=RFM_SQL))
 def q_rfm(spark, sf):
-    return CU.rfm(_f(spark, sf))
+    return _rfm(spark, sf)
 
 
 @query("rfm_scaled", with_chain("featured", """
@@ -45,7 +61,7 @@ SELECT CustomerID, round((r - avg(r) OVER ()) / stddev_pop(r) OVER (), 6) AS R_z
 FROM (SELECT CustomerID, CAST(Recency AS DOUBLE) AS r, ln(1 + Frequency) AS f, ln(1 + Monetary) AS m FROM rfm)""",
                                 extra=RFM_SQL))
 def q_rfm_scaled(spark, sf):
-    s = SG.rfm_scaled(CU.rfm(_f(spark, sf)))
+    s = SG.rfm_scaled(_rfm(spark, sf))
     return rounded(s.select("CustomerID", "R_z", "F_z", "M_z"), ratio=("R_z", "F_z", "M_z"))
 
 
@@ -89,7 +105,7 @@ SELECT Segment, count(*) AS Customers, sum(Recency) / count(*) AS AvgRecencyDays
        {D('100.0')} * {SEG_MS} / (SELECT {SEG_MS} FROM qseg) AS PctOfRevenue
 FROM qseg GROUP BY Segment""", extra=QSEG_SQL))
 def q_segment_summary_quartiles(spark, sf):
-    return SG.segment_summary(SG.quartile_segments(CU.rfm(_f(spark, sf))))
+    return SG.segment_summary(SG.quartile_segments(_rfm(spark, sf)))
 
 
 # --- churn ------------------------------------------------------------------------
@@ -115,7 +131,7 @@ def q_customer_features_at(spark, sf):
 
 @query("churn_labels", with_chain("featured", "SELECT * FROM labels", extra=CF_SQL))
 def q_churn_labels(spark, sf):
-    return CH.churn_labels(_f(spark, sf))
+    return _labels(spark, sf)
 
 
 @query("churn_status", with_chain("featured", f"""
@@ -124,13 +140,13 @@ SELECT ChurnRiskLabel, count(*) AS Customers, count(*) / (SELECT {D('count(*)')}
          / (SELECT count(*) FROM labels) AS churn_rate
 FROM labels GROUP BY ChurnRiskLabel""", extra=CF_SQL))
 def q_churn_status(spark, sf):
-    return CH.churn_status(CH.churn_labels(_f(spark, sf)))
+    return CH.churn_status(_labels(spark, sf))
 
 
 @query("churn_fallback_scores", with_chain("featured", """
 SELECT *, CASE WHEN IsChurned THEN 0.9 ELSE 0.1 END::DOUBLE AS ChurnProbability FROM labels""", extra=CF_SQL))
 def q_churn_fallback(spark, sf):
-    return CH.score(None, CH.churn_labels(_f(spark, sf)))
+    return CH.score(None, _labels(spark, sf))
 
 
 @query("hist_recency", with_chain("featured", """
@@ -141,7 +157,7 @@ FROM (SELECT ChurnRiskLabel, CASE WHEN hi = lo THEN 0 ELSE CAST(least(floor((x -
       CROSS JOIN (SELECT CAST(min(Recency) AS DOUBLE) AS lo, CAST(max(Recency) AS DOUBLE) AS hi FROM labels) mm)
 GROUP BY ChurnRiskLabel, bin, lo, hi""", extra=CF_SQL))
 def q_hist_recency(spark, sf):
-    return rounded(ST.histogram(CH.churn_labels(_f(spark, sf)), "Recency", 40, by="ChurnRiskLabel"),
+    return rounded(ST.histogram(_labels(spark, sf), "Recency", 40, by="ChurnRiskLabel"),
                    ratio=("bin_lo", "bin_hi"))
 
 
@@ -171,13 +187,13 @@ split AS (
 
 @query("churn_training_labels", with_chain("featured", "SELECT * FROM training", extra=TRAIN_SQL))
 def q_churn_training(spark, sf):
-    return CH.training_set(_f(spark, sf))
+    return _training(spark, sf)
 
 
 @query("stratified_split", with_chain("featured", "SELECT CustomerID, Churned, bucket, is_test FROM split",
                                       extra=TRAIN_SQL))
 def q_stratified_split(spark, sf):
-    return CH.stratified_split(CH.training_set(_f(spark, sf))).select("CustomerID", "Churned", "bucket", "is_test")
+    return _split(spark, sf).select("CustomerID", "Churned", "bucket", "is_test")
 
 
 BASELINE_SCORE = "round(least(Recency / 180.0, 1.0), 3)"
@@ -200,7 +216,7 @@ CROSS JOIN (SELECT sum(pos * (below + neg * 0.5)) / (sum(pos) * sum(neg)) AS roc
 sc AS (SELECT Churned AS label, {BASELINE_SCORE} AS score FROM split WHERE is_test)"""))
 def q_binary_metrics(spark, sf):
     """Metric code on a deterministic recency score over the test split (oracle twin of churn_metrics)."""
-    sp = CH.stratified_split(CH.training_set(_f(spark, sf))).where(F.col("is_test"))
+    sp = _split(spark, sf).where(F.col("is_test"))
     scored = sp.select(F.col("Churned").alias("label"),
                        cmp_round(F.least(F.col("Recency") / 180.0, F.lit(1.0)), 3).alias("score"))
     return CH.binary_metrics(scored)
@@ -209,7 +225,7 @@ def q_binary_metrics(spark, sf):
 @query("churn_scores")
 def q_churn_scores(spark, sf):
     model, _ = churn_model(spark, sf)
-    return CH.score(model, CH.churn_labels(_f(spark, sf)))
+    return CH.score(model, _labels(spark, sf))
 
 
 @query("churn_metrics")
@@ -231,4 +247,4 @@ def q_churn_importance(spark, sf):
 @query("churn_watchlist")
 def q_churn_watchlist(spark, sf):
     model, _ = churn_model(spark, sf)
-    return CH.watchlist(CH.score(model, CH.churn_labels(_f(spark, sf))))
+    return CH.watchlist(CH.score(model, _labels(spark, sf)))

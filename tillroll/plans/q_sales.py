@@ -11,7 +11,7 @@ from tillroll.operators import stats as ST
 from tillroll.plans.oracle import with_chain
 from tillroll.functions.numeric import money_sum
 from tillroll.plans.registry import query, rounded
-from tillroll.plans.stages import featured_frame, raw_frame
+from tillroll.plans.stages import customer_frame, featured_frame, raw_frame
 
 PAGE_CORR = ("Quantity", "UnitPrice", "TotalPrice", "InvoiceTotalValue",
              "CustomerLifetimeValue", "PurchaseFrequency", "AverageOrderValue")
@@ -125,7 +125,7 @@ CUST_SQL = """cust AS (
 
 
 def _cust(spark, sf):
-    return CU.customer_summary(_f(spark, sf))
+    return customer_frame(spark, sf, "summary", CU.customer_summary)
 
 
 @query("customer_summary", with_chain("featured", """

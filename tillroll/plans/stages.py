@@ -78,3 +78,17 @@ def featured_frame(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> D
         _MEMO[key] = stage(spark, scratch_path(spark, "stages", key),
                            lambda: engineer(clean_frame(spark, sf_dir, cfg), cfg))
     return _MEMO[key]
+
+
+def customer_frame(spark: SparkSession, sf_dir: str, name: str, build, cfg: Config = DEFAULT) -> DataFrame:
+    """A per-customer table derived from the featured lines, written once per session.
+
+    Several results read the same per-customer table (guards, splits, status
+    counts, histograms); staging it means the line table is scanned and
+    shuffled by customer once, not once per consumer.
+    """
+    key = _key(spark, sf_dir, cfg, f"cust-{name}")
+    if key not in _MEMO:
+        _MEMO[key] = stage(spark, scratch_path(spark, "stages", key),
+                           lambda: build(featured_frame(spark, sf_dir, cfg)))
+    return _MEMO[key]
