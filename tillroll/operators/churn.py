@@ -119,7 +119,8 @@ def binary_metrics(scored: DataFrame, label: str = "label", score: str = "score"
 
     AUC is the Mann-Whitney statistic over scores rounded to ``grid_digits``
     (ties count one half), computed from per-score counts, so the only
-    ordered window runs over at most 10**grid_digits + 1 rows.
+    ordered window runs over at most 10**grid_digits + 1 rows. AUC is NULL
+    when only one class is present.
     """
     y = F.col(label).cast("int")
     pred = (F.col(score) >= threshold).cast("int")
@@ -138,8 +139,8 @@ def binary_metrics(scored: DataFrame, label: str = "label", score: str = "score"
     below = F.coalesce(F.sum("_neg").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)),
                        F.lit(0))
     auc = (g.withColumn("_below", below)
-            .agg((F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") * 0.5))
-                  / (F.sum("_pos") * F.sum("_neg"))).alias("roc_auc")))
+            .agg(F.try_divide(F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") * 0.5)),
+                              F.nullif(F.sum("_pos") * F.sum("_neg"), F.lit(0))).alias("roc_auc")))
     return with_scalars(c, auc)
 
 

@@ -13,7 +13,7 @@ from tillroll.config import DEFAULT, Config
 from tillroll.operators import churn as CH
 from tillroll.operators import segments as SG
 from tillroll.operators.customers import rfm
-from tillroll.plans.stages import _key, customer_frame
+from tillroll.plans.stages import LOCK, _key, customer_frame
 
 _MODELS: dict = {}
 
@@ -21,10 +21,11 @@ _MODELS: dict = {}
 def segmentation(spark: SparkSession, sf_dir: str, k: int | None = None, cfg: Config = DEFAULT):
     """(segments, silhouette, kmeans model) for the featured table of ``sf_dir``."""
     key = _key(spark, sf_dir, cfg, f"kmeans{k or cfg.clusters}")
-    if key not in _MODELS:
-        scaled = SG.rfm_scaled(customer_frame(spark, sf_dir, "rfm", rfm, cfg))
-        model = SG.fit_kmeans(scaled, k or cfg.clusters, cfg)
-        _MODELS[key] = (model, SG.silhouette(SG.assign(model, scaled), k or cfg.clusters))
+    with LOCK:
+        if key not in _MODELS:
+            scaled = SG.rfm_scaled(customer_frame(spark, sf_dir, "rfm", rfm, cfg))
+            model = SG.fit_kmeans(scaled, k or cfg.clusters, cfg)
+            _MODELS[key] = (model, SG.silhouette(SG.assign(model, scaled), k or cfg.clusters))
     model, sil = _MODELS[key]
     scaled = SG.rfm_scaled(customer_frame(spark, sf_dir, "rfm", rfm, cfg))
     clustered = SG.assign(model, scaled)
@@ -39,8 +40,8 @@ def churn_model(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT):
     key = _key(spark, sf_dir, cfg, "churn_rf")
     training = customer_frame(spark, sf_dir, "training", lambda f: CH.training_set(f, cfg), cfg)
     split = customer_frame(spark, sf_dir, "split", lambda f: CH.stratified_split(training, cfg), cfg)
-    if key not in _MODELS:
-        train = split.where(~F.col("is_test"))
-        model = CH.train_model(train, cfg) if train.limit(1).count() > 0 else None
-        _MODELS[key] = model
+    with LOCK:
+        if key not in _MODELS:
+            train = split.where(~F.col("is_test"))
+            _MODELS[key] = CH.train_model(train, cfg) if train.limit(1).count() > 0 else None
     return _MODELS[key], split

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +22,8 @@ from tillroll.session import scratch_path
 from tillroll.sources.fixture import raw_transactions
 
 _MEMO: dict = {}
+# stages are built once even when queries are submitted from several threads
+LOCK = threading.RLock()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -51,8 +54,9 @@ def raw_frame(spark: SparkSession, sf_dir: str, spaced_names: bool = False) -> D
     export file a user would upload); ``spaced_names`` gives the export's
     ``Customer ID`` spelling."""
     key = _key(spark, sf_dir, DEFAULT, "raw")
-    if key not in _MEMO:
-        _MEMO[key] = stage(spark, scratch_path(spark, "stages", key), lambda: raw_transactions(spark, sf_dir))
+    with LOCK:
+        if key not in _MEMO:
+            _MEMO[key] = stage(spark, scratch_path(spark, "stages", key), lambda: raw_transactions(spark, sf_dir))
     raw = _MEMO[key]
     return raw.withColumnsRenamed({"CustomerID": "Customer ID"}) if spaced_names else raw
 
@@ -67,16 +71,18 @@ def staged_clean(spark: SparkSession, raw: DataFrame, path: str, cfg: Config = D
 
 def clean_frame(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
     key = _key(spark, sf_dir, cfg, "clean")
-    if key not in _MEMO:
-        _MEMO[key] = staged_clean(spark, raw_frame(spark, sf_dir), scratch_path(spark, "stages", key), cfg)
+    with LOCK:
+        if key not in _MEMO:
+            _MEMO[key] = staged_clean(spark, raw_frame(spark, sf_dir), scratch_path(spark, "stages", key), cfg)
     return _MEMO[key]
 
 
 def featured_frame(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
     key = _key(spark, sf_dir, cfg, "featured")
-    if key not in _MEMO:
-        _MEMO[key] = stage(spark, scratch_path(spark, "stages", key),
-                           lambda: engineer(clean_frame(spark, sf_dir, cfg), cfg))
+    with LOCK:
+        if key not in _MEMO:
+            _MEMO[key] = stage(spark, scratch_path(spark, "stages", key),
+                               lambda: engineer(clean_frame(spark, sf_dir, cfg), cfg))
     return _MEMO[key]
 
 
@@ -88,7 +94,8 @@ def customer_frame(spark: SparkSession, sf_dir: str, name: str, build, cfg: Conf
     shuffled by customer once, not once per consumer.
     """
     key = _key(spark, sf_dir, cfg, f"cust-{name}")
-    if key not in _MEMO:
-        _MEMO[key] = stage(spark, scratch_path(spark, "stages", key),
-                           lambda: build(featured_frame(spark, sf_dir, cfg)))
+    with LOCK:
+        if key not in _MEMO:
+            _MEMO[key] = stage(spark, scratch_path(spark, "stages", key),
+                               lambda: build(featured_frame(spark, sf_dir, cfg)))
     return _MEMO[key]
