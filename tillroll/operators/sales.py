@@ -94,8 +94,8 @@ def orders_by_weekday(df: DataFrame, spark: SparkSession | None = None) -> DataF
     spark = spark or df.sparkSession
     days = spark.createDataFrame([(i, d) for i, d in enumerate(WEEKDAYS)], "DayOfWeekNum INT, DayOfWeek STRING")
     counts = df.groupBy("DayOfWeek").agg(F.count_distinct("Invoice").alias("Orders"))
-    # the weekday domain is a fixed seven-row table
-    return (F.broadcast(days).join(counts, "DayOfWeek", "left")
+    # the grouped counts have at most seven rows (one per weekday)
+    return (days.join(F.broadcast(counts), "DayOfWeek", "left")
             .select("DayOfWeekNum", "DayOfWeek", F.coalesce("Orders", F.lit(0)).alias("Orders")))
 
 
