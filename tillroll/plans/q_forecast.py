@@ -154,3 +154,12 @@ def q_forecast_tuned(spark, sf):
 def q_forecast_trend_season(spark, sf):
     """Trend + weekly/yearly seasonality regression per country (rows-only)."""
     return _fc_round(FC.trend_season(_f(spark, sf), keys=["Country"]))
+
+
+@query("forecast_summary_by_sku")
+def q_forecast_summary_by_sku(spark, sf):
+    """Holt-Winters per SKU, summarised per SKU (rows-only: the same fold is oracle-checked per
+    country; a SQL recursion over thousands of keys would re-scan the filled table every step)."""
+    s = FC.summary(FC.forecast_demand(_f(spark, sf), keys=["StockCode"]))
+    return rounded(s, money=("forecast_total", "trailing_avg_daily", "forecast_avg_daily"),
+                   ratio=("pct_change_vs_trailing",))
