@@ -73,7 +73,9 @@ def clean_frame(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> Data
     key = _key(spark, sf_dir, cfg, "clean")
     with LOCK:
         if key not in _MEMO:
-            _MEMO[key] = staged_clean(spark, raw_frame(spark, sf_dir), scratch_path(spark, "stages", key), cfg)
+            # read the raw source directly: the pre-cap stage already cuts the lineage
+            _MEMO[key] = staged_clean(spark, raw_transactions(spark, sf_dir), scratch_path(spark, "stages", key),
+                                      cfg)
     return _MEMO[key]
 
 
