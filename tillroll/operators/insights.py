@@ -62,9 +62,10 @@ def generate(df: DataFrame, segments: DataFrame | None = None, inventory: DataFr
     rows.append(_row(top_c, 3, F.col("Country"), fmt_currency("revenue", sym),
                      _pct1(F.lit(100.0) * F.col("revenue") / F.col("_total"))))
 
-    prod_rev = revenue_by(df, "Description").orderBy(F.desc("revenue"), F.asc("Description")).limit(1)
-    prod_qty = (revenue_by(df, "Description", "Quantity", "units")
-                .orderBy(F.desc("units"), F.asc("Description")).limit(1))
+    products = df.groupBy("Description").agg(money_sum("TotalPrice").alias("revenue"),
+                                              F.sum("Quantity").alias("units"))
+    prod_rev = products.orderBy(F.desc("revenue"), F.asc("Description")).limit(1)
+    prod_qty = products.orderBy(F.desc("units"), F.asc("Description")).limit(1)
     rows.append(_row(prod_rev, 4, F.col("Description"), fmt_currency("revenue", sym)))
     rows.append(_row(prod_qty, 5, F.col("Description"), fmt_number("units")))
 

@@ -44,6 +44,11 @@ def filter_sales(df: DataFrame, countries: Sequence[str] = (),
     return df
 
 
+def country_list(df: DataFrame) -> DataFrame:
+    """P13 domain: the distinct countries offered by the country filter (shown sorted)."""
+    return df.select("Country").distinct()
+
+
 def kpi_home(df: DataFrame) -> DataFrame:
     """A1: revenue, orders, customers, average order value, countries served."""
     agg = with_scalars(df.agg(money_sum("TotalPrice").alias("total_revenue")),

@@ -50,6 +50,11 @@ def q_sales_filtered(spark, sf):
     return out.agg(F.count(F.lit(1)).alias("lines"), money_sum("TotalPrice").alias("revenue"))
 
 
+@query("country_list", with_chain("featured", "SELECT DISTINCT Country FROM featured"))
+def q_country_list(spark, sf):
+    return S.country_list(_f(spark, sf))
+
+
 @query("kpi_sales", with_chain("featured", """
 SELECT (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) AS revenue, count(DISTINCT Invoice) AS orders, sum(Quantity) AS units,
        (coalesce((CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) / nullif(count(DISTINCT Invoice), 0), 0)) AS avg_order_value
