@@ -94,6 +94,10 @@ class Config:
     # to percentile_approx when a column's domain is unbounded
     approx_quantiles: bool = False
     approx_accuracy: int = 100_000
+    # exact quantiles: "counts" = one percentile over per-value counts (the final merge holds one
+    # entry per distinct value); "bracket" = approximate bracket + exact selection inside it (the
+    # one-task work is bounded by about 4 n / approx_accuracy values, whatever the domain)
+    quantile_method: str = "bracket"
 
 
 DEFAULT = Config()

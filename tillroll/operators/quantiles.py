@@ -11,17 +11,67 @@ error 1/accuracy).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.config import DEFAULT, Config
 
 
+def bracketed_quantiles(df: DataFrame, column: str, probs: Sequence[float],
+                        accuracy: int = DEFAULT.approx_accuracy) -> list[float | None]:
+    """Exact linear-interpolation quantiles without a single-task map of every value.
+
+    For each p, ``percentile_approx`` brackets the target ranks (rank error at
+    most n / accuracy, so the bracket holds about 4 n / accuracy values); one
+    aggregate counts the values below and inside the bracket, and if the
+    bracket really holds both ranks, a running count over the bracket's
+    distinct values picks the two order statistics. A bracket that misses is
+    widened until it holds them, so the result is always exact. The driver
+    sees only a few numbers per probability.
+    """
+    v = F.col(column).cast("double")
+    d = df.select(v.alias("_v")).where(F.col("_v").isNotNull())
+    n = d.count()
+    out: list[float | None] = []
+    for p in probs:
+        if n == 0:
+            out.append(None)
+            continue
+        pos = float(p) * (n - 1)
+        lo, hi = math.floor(pos), math.ceil(pos)
+        delta = 2.0 / accuracy
+        while True:
+            qa, qb = max(float(p) - delta, 0.0), min(float(p) + delta, 1.0)
+            a, b = d.agg(F.percentile_approx("_v", [qa, qb], accuracy)).first()[0]
+            below, upto = d.agg(F.count_if(F.col("_v") < a), F.count_if(F.col("_v") <= b)).first()
+            if below <= lo and upto > hi:
+                break
+            if qa == 0.0 and qb == 1.0:
+                a, b = d.agg(F.min("_v"), F.max("_v")).first()
+                below = 0
+                break
+            delta *= 4
+        # distinct values inside the bracket with their running counts (bounded by the bracket)
+        inside = (d.where((F.col("_v") >= a) & (F.col("_v") <= b)).groupBy("_v")
+                   .agg(F.count(F.lit(1)).alias("_c"))
+                   .withColumn("_cum", F.sum("_c").over(Window.orderBy("_v")
+                                                        .rowsBetween(Window.unboundedPreceding, 0))))
+        x_lo, x_hi = inside.agg(F.min(F.when(F.col("_cum") + below > lo, F.col("_v"))),
+                                F.min(F.when(F.col("_cum") + below > hi, F.col("_v")))).first()
+        out.append(x_lo if lo == hi else (hi - pos) * x_lo + (pos - lo) * x_hi)
+    return out
+
+
 def quantile_row(df: DataFrame, column: str, probs: Sequence[float],
                  names: Sequence[str], cfg: Config = DEFAULT) -> DataFrame:
     """One row, one DOUBLE column per requested probability."""
+    if cfg.quantile_method == "bracket" and not cfg.approx_quantiles:
+        vals = bracketed_quantiles(df, column, probs, cfg.approx_accuracy)
+        spark = df.sparkSession
+        return spark.createDataFrame([tuple(vals)], ", ".join(f"`{n}` DOUBLE" for n in names))
     if cfg.approx_quantiles:
         arr = F.percentile_approx(F.col(column).cast("double"), list(probs), cfg.approx_accuracy)
         agg = df.agg(arr.alias("_q"))
@@ -42,6 +92,12 @@ def quantiles_row(df: DataFrame, spec: Sequence[tuple[str, float, str]], cfg: Co
     every column.
     """
     cols = list(dict.fromkeys(c for c, _, _ in spec))
+    if cfg.quantile_method == "bracket" and not cfg.approx_quantiles:
+        row = None
+        for c in cols:
+            part = quantile_row(df, c, [p for cc, p, _ in spec if cc == c], [n for cc, _, n in spec if cc == c], cfg)
+            row = part if row is None else with_scalars(row, part)
+        return row
     if len(cols) == 1:
         return quantile_row(df, cols[0], [p for _, p, _ in spec], [n for _, _, n in spec], cfg)
     probs = sorted({float(p) for _, p, _ in spec})
