@@ -34,31 +34,39 @@ def bracketed_quantiles(df: DataFrame, column: str, probs: Sequence[float],
     """
     v = F.col(column).cast("double")
     d = df.select(v.alias("_v")).where(F.col("_v").isNotNull())
-    n = d.count()
+    probs = [float(p) for p in probs]
+    delta = {p: 2.0 / accuracy for p in probs}
+    brackets: dict[float, tuple] = {}
+    n = None
+    while len(brackets) < len(probs):
+        todo = [p for p in probs if p not in brackets]
+        qs = [q for p in todo for q in (max(p - delta[p], 0.0), min(p + delta[p], 1.0))]
+        row = d.agg(F.count(F.lit(1)), F.percentile_approx("_v", qs, accuracy)).first()
+        n, ab = row[0], row[1]
+        if n == 0:
+            return [None for _ in probs]
+        # one pass checks every bracket: values strictly below a, values up to b
+        exprs = []
+        for i in range(len(todo)):
+            exprs += [F.count_if(F.col("_v") < ab[2 * i]), F.count_if(F.col("_v") <= ab[2 * i + 1])]
+        checks = d.agg(*exprs).first()
+        for i, p in enumerate(todo):
+            pos = p * (n - 1)
+            a, b, below, upto = ab[2 * i], ab[2 * i + 1], checks[2 * i], checks[2 * i + 1]
+            if below <= math.floor(pos) and upto > math.ceil(pos):
+                brackets[p] = (a, b, below)
+            else:                       # a wider bracket; at [0, 1] it is min..max and always holds
+                delta[p] *= 4
     out: list[float | None] = []
     for p in probs:
-        if n == 0:
-            out.append(None)
-            continue
-        pos = float(p) * (n - 1)
+        a, b, below = brackets[p]
+        pos = p * (n - 1)
         lo, hi = math.floor(pos), math.ceil(pos)
-        delta = 2.0 / accuracy
-        while True:
-            qa, qb = max(float(p) - delta, 0.0), min(float(p) + delta, 1.0)
-            a, b = d.agg(F.percentile_approx("_v", [qa, qb], accuracy)).first()[0]
-            below, upto = d.agg(F.count_if(F.col("_v") < a), F.count_if(F.col("_v") <= b)).first()
-            if below <= lo and upto > hi:
-                break
-            if qa == 0.0 and qb == 1.0:
-                a, b = d.agg(F.min("_v"), F.max("_v")).first()
-                below = 0
-                break
-            delta *= 4
+        sel = d.where((F.col("_v") >= a) & (F.col("_v") <= b))
         # distinct values inside the bracket with their running counts (bounded by the bracket)
-        inside = (d.where((F.col("_v") >= a) & (F.col("_v") <= b)).groupBy("_v")
-                   .agg(F.count(F.lit(1)).alias("_c"))
-                   .withColumn("_cum", F.sum("_c").over(Window.orderBy("_v")
-                                                        .rowsBetween(Window.unboundedPreceding, 0))))
+        inside = (sel.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+                     .withColumn("_cum", F.sum("_c").over(Window.orderBy("_v")
+                                                          .rowsBetween(Window.unboundedPreceding, 0))))
         x_lo, x_hi = inside.agg(F.min(F.when(F.col("_cum") + below > lo, F.col("_v"))),
                                 F.min(F.when(F.col("_cum") + below > hi, F.col("_v")))).first()
         out.append(x_lo if lo == hi else (hi - pos) * x_lo + (pos - lo) * x_hi)
