@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -33,6 +34,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -59,3 +61,29 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared checkpoint folder (never a node-local temp dir)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, "tillroll", *parts])
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Ship this package to the Python workers (``SparkContext.addPyFile``), once per
+    application, so per-group Python functions (``applyInPandas``) can import it on
+    every executor whatever the working directory or installation there."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = ensure_checkpoint_dir(spark)
+    local = base[len("file:"):] if base.startswith("file:") else base
+    folder = os.path.join(local, "tillroll", "pyfiles") if local.startswith("/") else tempfile.mkdtemp()
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"tillroll-{sc.applicationId}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
