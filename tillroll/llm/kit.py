@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from tillroll.session import scratch_path
 
-#: rows of a batch that Spark hands to a Python task; a batch of whole texts stays a few MB
-BATCH_ROWS = 512
+#: bytes of a batch that Spark hands to a Python task
+BATCH_BYTES = 4 << 20
 T1, T2 = "__text_1", "__text_2"
 
 
@@ -25,11 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session: whole texts are long, and the default of
-    10,000 rows would put hundreds of MB into one batch."""
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the Arrow batches of this session by bytes: whole texts are long, and 10,000 rows of them
+    would put hundreds of MB into one batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def write(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
