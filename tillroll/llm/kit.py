@@ -35,7 +35,17 @@ def write(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, "llm", f"{name}-{uuid.uuid4().hex}")
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables of :func:`write` whose readers are all written themselves."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_of(col: str = "text") -> Column:

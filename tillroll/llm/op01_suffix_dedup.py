@@ -8,9 +8,12 @@ plain doubling dear, so the sort is sparse, without losing a position that matte
 
 1. 64 bytes: of each ``length``-byte string only its anchor enters, the smallest 64-byte rank in it. Equal strings
    have the same anchor at the same place, so a string whose anchor pair is unique is unique.
-2. 337 bytes: strings that share an anchor are taken in cells of 64 starts; the bytes common to all
-   strings of a cell must repeat, else the cell is dropped. One string of each cell is compared in full.
-3. 400 bytes: cells that full matches don't already cover are compared start by start.
+2. 273, then 385 bytes: the strings that share an anchor are taken in cells of 128, then 16 neighbouring starts. The bytes
+   common to all strings of a cell must repeat, else the cell is dropped; if the bytes that hold all of them repeat, all its strings do.
+3. 400 bytes: what is left is compared start by start.
+
+A cell goes on to the next length only if it may add a byte to what is known, or if such a cell needs it as a partner; of cells
+that are equal as a whole one goes on for all.
 
 Ranks are 64-bit names computed from the text inside the task that holds it, used in pairs (128 bits); only names and
 places are shuffled. Whole texts are collapsed to distinct ones first (a copy counts as an occurrence), texts cross the
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,8 @@ from tillroll.llm import kit, scan
 
 LENGTH = 400
 GRAM = 64
-STEP = 64
+#: starts in a cell, by round
+STEPS = (128, 16, 1)
 KEYS = [kit.T1, kit.T2]
 
 
@@ -104,7 +109,7 @@ def _anchors(length: int):
                 k1, k2 = scan.spans_of(data, off[r] + at, GRAM)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in (scan.signed(k1), scan.signed(k2), ids[0][r], ids[1][r], at, d0, d1, ids[2][r])],
-                    names=["k1", "k2", *KEYS, "a", "near", "far", "m"])
+                    names=["k1", "k2", *KEYS, "a", "lo", "hi", "m"])
     return run
 
 
@@ -123,80 +128,55 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k, lo[k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _cells(length: int):
-    """Rows (kind 0: bytes common to all strings of a cell; kind 1: one whole string) of live anchors."""
-    core = length - STEP + 1
-
+def _cells(length: int, step: int):
+    """For each cell of the given starts: names of the bytes common to its strings (k) and of the bytes that hold all of them (u)."""
     def run(batches):
         for b in batches:
             data, off = scan.text_buffer(b.column("text"))
-            t1, t2, m = (b.column(x).to_numpy(zero_copy_only=False) for x in (*KEYS, "copies"))
-            r, f = _flat(b.column("live"))
-            if not len(r):
-                continue
-            k, cell = _spread(f["near"] // STEP, f["far"] // STEP)
-            r, a = r[k], f["a"][k]
-            lo, hi = np.maximum(f["near"][k], cell * STEP), np.minimum(f["far"][k], cell * STEP + STEP - 1)
-            c1, c2 = scan.spans_of(data, off[r] + a - cell * STEP, core)
-            p = np.flatnonzero(lo == cell * STEP)
-            p1, p2 = scan.spans_of(data, off[r[p]] + a[p] - cell[p] * STEP, length)
-            x = np.concatenate((np.arange(len(r)), p))
-            kind = np.repeat(np.array([0, 1], np.int8), [len(r), len(p)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v) for v in (kind, scan.signed(np.concatenate((c1, p1))), scan.signed(np.concatenate((c2, p2))),
-                                       t1[r[x]], t2[r[x]], a[x], lo[x], hi[x], m[r[x]])],
-                names=["kind", "k1", "k2", *KEYS, "a", "lo", "hi", "m"])
+            t1, t2 = (b.column(x).to_numpy(zero_copy_only=False) for x in KEYS)
+            row, f = _flat(b.column("starts"))
+            k, cell = _spread(f["lo"] // step, f["hi"] // step)
+            for at in range(0, len(k), scan.SLAB):
+                x, c = k[at:at + scan.SLAB], cell[at:at + scan.SLAB]
+                r, a = row[x], f["a"][x]
+                lo, hi = np.maximum(f["lo"][x], c * step), np.minimum(f["hi"][x], c * step + step - 1)
+                k1, k2 = scan.spans_of(data, off[r] + a - c * step, length - step + 1)
+                u1, u2 = scan.spans_of(data, off[r] + a - hi, length + hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v) for v in (scan.signed(k1), scan.signed(k2), scan.signed(u1), scan.signed(u2), t1[r], t2[r], a, lo, hi, f["m"][x])],
+                    names=["k1", "k2", "u1", "u2", *KEYS, "a", "lo", "hi", "m"])
     return run
 
 
-def _covered(start: np.ndarray, length: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Whether [lo, hi) lies within the union of [s, s + length) for the sorted starts."""
-    if not len(start):
-        return np.zeros(len(lo), bool)
-    new = np.concatenate(([True], start[1:] > start[:-1] + length))
-    g = np.flatnonzero(new)
-    left, right = start[g], np.concatenate((start[g[1:] - 1], start[-1:])) + length
-    k = np.searchsorted(left, lo, side="right") - 1
-    return (k >= 0) & (right[np.maximum(k, 0)] >= hi)
+def _union(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of [left, right), touching ones joined, in order."""
+    if not len(left):
+        return left, right
+    order = np.argsort(left, kind="stable")
+    left, right = left[order], np.maximum.accumulate(right[order])
+    g = np.flatnonzero(np.concatenate(([True], left[1:] > right[:-1])))
+    return left[g], right[np.concatenate((g[1:], [len(left)])) - 1]
 
 
 def _open_cells(length: int):
-    """Names of the repeated cells that whole repeated strings don't already cover."""
+    """Names of the repeated cells that cells repeated as a whole don't already cover."""
     def run(batches):
         for b in batches:
-            col = b.column("found")
-            off = col.offsets.to_numpy()
-            _, f = _flat(col)
+            off = b.column("found").offsets.to_numpy()
+            _, f = _flat(b.column("found"))
             off = off - off[0]
-            out1, out2 = [], []
-            for i in np.flatnonzero(b.column("m").to_numpy(zero_copy_only=False) < 2):
+            out = []
+            for i in range(b.num_rows):
                 s = slice(off[i], off[i + 1])
-                kind, a, lo, hi = f["kind"][s], f["a"][s], f["lo"][s], f["hi"][s]
-                start = np.sort(a[kind == 1] - lo[kind == 1])
-                c = kind == 0
-                left = ~_covered(start, length, (a - hi)[c], (a - lo)[c] + length)
-                out1.append(f["k1"][s][c][left]), out2.append(f["k2"][s][c][left])
-            if out1:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out1)), pa.array(np.concatenate(out2))],
-                                                 names=["k1", "k2"])
-    return run
-
-
-def _strings(length: int):
-    """Every string of the open cells."""
-    def run(batches):
-        for b in batches:
-            data, off = scan.text_buffer(b.column("text"))
-            t1, t2, m = (b.column(x).to_numpy(zero_copy_only=False) for x in (*KEYS, "copies"))
-            r, f = _flat(b.column("cells"))
-            k, d = _spread(f["lo"], f["hi"])
-            r, s = r[k], f["a"][k] - d
-            for lo in range(0, len(r), scan.SLAB):
-                x = slice(lo, lo + scan.SLAB)
-                k1, k2 = scan.spans_of(data, off[r[x]] + s[x], length)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v) for v in (scan.signed(k1), scan.signed(k2), t1[r[x]], t2[r[x]], s[x], m[r[x]])],
-                    names=["k1", "k2", *KEYS, "s", "m"])
+                whole, lo, hi = f["whole"][s].astype(bool), (f["a"] - f["hi"])[s], (f["a"] - f["lo"])[s] + length
+                left, right = _union(lo[whole], hi[whole])
+                x = np.flatnonzero(~whole)
+                if len(left):
+                    k = np.searchsorted(left, lo[x], side="right") - 1
+                    x = x[(k < 0) | (right[np.maximum(k, 0)] < hi[x])]
+                out.append(x + off[i])
+            x = np.concatenate(out) if out else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(f["k1"][x]), pa.array(f["k2"][x])], names=["k1", "k2"])
     return run
 
 
@@ -205,18 +185,17 @@ def _cut(length: int, with_text: bool):
         for b in batches:
             data, off = scan.text_buffer(b.column("text"))
             m = b.column("copies").to_numpy(zero_copy_only=False)
-            starts = b.column("starts")
+            spans = b.column("cover")
             out = []
             for i in range(b.num_rows):
                 lo, hi = int(off[i]), int(off[i + 1])
                 n = hi - lo
+                left = right = np.zeros(0, np.int64)
                 if m[i] > 1 and n >= length:
                     left, right = np.array([0]), np.array([n])
-                else:
-                    s = np.unique(np.asarray(starts[i].values.to_numpy(zero_copy_only=False))) if starts[i].is_valid else np.zeros(0, np.int64)
-                    g = np.flatnonzero(np.concatenate(([True], s[1:] > s[:-1] + length))) if len(s) else s
-                    left = s[g]
-                    right = np.concatenate((s[g[1:] - 1], s[-1:])) + length if len(s) else s
+                elif spans[i].is_valid:
+                    v = spans[i].values
+                    left, right = _union(*(v.field(x).to_numpy(zero_copy_only=False) for x in (0, 1)))
                 sha, kept, at = hashlib.sha256(), [], 0
                 raw = memoryview(data)[lo:hi]
                 for x, y in zip([*left.tolist(), n], [*right.tolist(), n], strict=True):
@@ -245,27 +224,36 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     name = f"{kit.T1} long, {kit.T2} long"
     texts = kit.keep_on_disk(spark, kit.distinct_texts(docs))
 
-    def repeated(df: DataFrame, *keys: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.sum("m").alias("n")).where("n > 1").drop("n")
-
-    anchors = kit.write(spark, texts.mapInArrow(_anchors(length), f"k1 long, k2 long, {name}, a long, near long, far long, m long"), "anchors")
-    live = (anchors.join(repeated(anchors, "k1", "k2"), ["k1", "k2"])
-            .groupBy(*KEYS).agg(F.collect_list(F.struct("a", "near", "far")).alias("live")))
-    cells = kit.write(spark, texts.join(live.hint("shuffle_hash"), KEYS).mapInArrow(
-        _cells(length), f"kind byte, k1 long, k2 long, {name}, a long, lo long, hi long, m long"), "cells")
-    found = kit.write(spark, cells.join(repeated(cells, "kind", "k1", "k2"), ["kind", "k1", "k2"])
-                      .groupBy(*KEYS).agg(F.max("m").alias("m"), F.collect_list(F.struct("kind", "k1", "k2", "a", "lo", "hi")).alias("found")), "found")
-    todo = found.mapInArrow(_open_cells(length), "k1 long, k2 long").distinct()
-    by_text = (cells.where("kind = 0").join(todo, ["k1", "k2"])
-               .groupBy(*KEYS).agg(F.collect_list(F.struct("a", "lo", "hi")).alias("cells")))
-    strings = kit.write(spark, texts.join(by_text.hint("shuffle_hash"), KEYS).mapInArrow(
-        _strings(length), f"k1 long, k2 long, {name}, s long, m long"), "strings")
-    exact = strings.join(repeated(strings, "k1", "k2"), ["k1", "k2"]).groupBy(*KEYS).agg(F.collect_list("s").alias("x"))
-    probed = found.select(*KEYS, F.expr("transform(filter(found, f -> f.kind = 1), f -> f.a - f.lo)").alias("y"))
-    starts = (probed.join(exact, KEYS, "full")
-              .select(*KEYS, F.concat(F.coalesce("x", F.array().cast("array<long>")), F.coalesce("y", F.array().cast("array<long>"))).alias("starts")))
+    anchors = kit.write(spark, texts.mapInArrow(_anchors(length), f"k1 long, k2 long, {name}, a long, lo long, hi long, m long"), "anchors")
+    twice = anchors.groupBy("k1", "k2").agg(F.sum("m").alias("n")).where("n > 1").select("k1", "k2")
+    todo = kit.write(spark, anchors.join(twice, ["k1", "k2"])
+                     .groupBy(*KEYS).agg(F.collect_list(F.struct("a", "lo", "hi", "m")).alias("starts")), "todo")
+    kit.discard(anchors)
+    covers = []
+    for step in STEPS:
+        cells = kit.write(spark, texts.join(todo.hint("shuffle_hash"), KEYS).mapInArrow(
+            _cells(length, step), f"k1 long, k2 long, u1 long, u2 long, {name}, a long, lo long, hi long, m long"), "cells")
+        kit.discard(todo)
+        if step > 1:
+            kinds = kit.write(spark, cells.groupBy("k1", "k2", "u1", "u2").agg(
+                F.sum("m").alias("n"), F.min(F.struct(*KEYS, "a", "lo", "hi")).alias("one")), "kinds")
+            twice = kinds.groupBy("k1", "k2").agg(F.sum("n").alias("all")).where("all > 1").select("k1", "k2")
+            live = kinds.join(twice, ["k1", "k2"]).select("k1", "k2", "u1", "u2", (F.col("n") > 1).alias("whole"))
+        else:
+            live = (cells.groupBy("k1", "k2", "u1", "u2").agg(F.sum("m").alias("n")).where("n > 1")
+                    .select("k1", "k2", "u1", "u2", F.lit(True).alias("whole")))
+        cell = F.struct("whole", "a", "lo", "hi", *((["k1", "k2"]) if step > 1 else []))
+        found = kit.write(spark, cells.join(live, ["k1", "k2", "u1", "u2"]).groupBy(*KEYS).agg(F.collect_list(cell).alias("found")), "found")
+        kit.discard(cells)
+        covers.append(found.select(*KEYS, F.expr(f"transform(filter(found, f -> f.whole), f -> struct(f.a - f.hi as start, f.a - f.lo + {length}L as end))").alias("cover")))
+        if step > 1:
+            left = found.mapInArrow(_open_cells(length), "k1 long, k2 long").distinct()
+            todo = kit.write(spark, kinds.join(left, ["k1", "k2"]).select("one.*", F.least("n", F.lit(2)).alias("m"))
+                             .groupBy(*KEYS).agg(F.collect_list(F.struct("a", "lo", "hi", "m")).alias("starts")), "todo")
+            kit.discard(kinds)
+    cover = reduce(DataFrame.union, covers).groupBy(*KEYS).agg(F.flatten(F.collect_list("cover")).alias("cover"))
     out = f"{name}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-    done = kit.write(spark, texts.join(starts.hint("shuffle_hash"), KEYS, "left").mapInArrow(
+    done = kit.write(spark, texts.join(cover.hint("shuffle_hash"), KEYS, "left").mapInArrow(
         _cut(length, with_text), out + ", kept_text string" * with_text), "spans")
     texts.unpersist()
     return done

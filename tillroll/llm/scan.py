@@ -67,21 +67,21 @@ def span(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((c[end] - c[start]) * ipw[start])
 
 
-def spans_of(buf: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def spans_of(buf: np.ndarray, start: np.ndarray, length: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pair of names (first half, second half) of buf[s:s+length] for each s, in steps of bounded memory."""
-    half = length // 2
-    a, b = np.empty(len(start), U), np.empty(len(start), U)
-    if len(buf) <= 2 * SLAB:
+    length = np.broadcast_to(np.asarray(length, np.int64), start.shape)
+    mid, end = start + length // 2, start + length
+    if len(buf) <= 8 * SLAB or not len(start):
         c = running(buf)
-        return span(c, start, start + half), span(c, start + half, start + length)
+        return span(c, start, mid), span(c, mid, end)
+    a, b = np.empty(len(start), U), np.empty(len(start), U)
     order = np.argsort(start, kind="stable")
-    at = start[order]
+    at, halo = start[order], int(length.max())
     for lo in range(0, len(buf), SLAB):
         i, j = np.searchsorted(at, [lo, lo + SLAB])
         if i < j:
-            c = running(buf[lo:lo + SLAB + length])
-            s = at[i:j] - lo
-            a[order[i:j]], b[order[i:j]] = span(c, s, s + half), span(c, s + half, s + length)
+            c, x = running(buf[lo:lo + SLAB + halo]), order[i:j]
+            a[x], b[x] = span(c, start[x] - lo, mid[x] - lo), span(c, mid[x] - lo, end[x] - lo)
     return a, b
 
 
