@@ -62,4 +62,4 @@ def test_features():
     x = op.features(pa.array(["you blorgface", "BLORGFACE a b c d e f g h you", "b10rgface now", None, "1234", "x" * 3_000_000]), lexicon)
     f = {k: x[:, i] for i, k in enumerate(op.FEATURES)}
     assert f["learned"].tolist() == [0.5, 0.1, 0, 0, 0, 0] and f["near_you"].tolist() == [1, 0, 0, 0, 0, 0]
-    assert f["odd_lexicon"][2] > 0 and f["capitals"][1] == 9 / 28 and (x[3] == 0).all() and f["digits"][4] == 1
+    assert f["odd_lexicon"][2] > 0 and f["capitals"][1] == 9 / len("BLORGFACE a b c d e f g h you") and (x[3] == 0).all() and f["digits"][4] == 1
