@@ -225,10 +225,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     texts = kit.keep_on_disk(spark, kit.distinct_texts(docs))
 
     anchors = kit.write(spark, texts.mapInArrow(_anchors(length), f"k1 long, k2 long, {name}, a long, lo long, hi long, m long"), "anchors")
-    twice = anchors.groupBy("k1", "k2").agg(F.sum("m").alias("n")).where("n > 1").select("k1", "k2")
+    # written before the join: both sides of it are then shuffled for it alone, and Spark can split a hot key
+    twice = kit.write(spark, anchors.groupBy("k1", "k2").agg(F.sum("m").alias("n")).where("n > 1").select("k1", "k2"), "twice")
     todo = kit.write(spark, anchors.join(twice, ["k1", "k2"])
                      .groupBy(*KEYS).agg(F.collect_list(F.struct("a", "lo", "hi", "m")).alias("starts")), "todo")
-    kit.discard(anchors)
+    kit.discard(anchors, twice)
     covers = []
     for step in STEPS:
         cells = kit.write(spark, texts.join(todo.hint("shuffle_hash"), KEYS).mapInArrow(
@@ -237,7 +238,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         if step > 1:
             kinds = kit.write(spark, cells.groupBy("k1", "k2", "u1", "u2").agg(
                 F.sum("m").alias("n"), F.min(F.struct(*KEYS, "a", "lo", "hi")).alias("one")), "kinds")
-            twice = kinds.groupBy("k1", "k2").agg(F.sum("n").alias("all")).where("all > 1").select("k1", "k2")
+            twice = kit.write(spark, kinds.groupBy("k1", "k2").agg(F.sum("n").alias("all")).where("all > 1").select("k1", "k2"), "twice")
             live = kinds.join(twice, ["k1", "k2"]).select("k1", "k2", "u1", "u2", (F.col("n") > 1).alias("whole"))
         else:
             live = (cells.groupBy("k1", "k2", "u1", "u2").agg(F.sum("m").alias("n")).where("n > 1")
@@ -247,10 +248,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
         kit.discard(cells)
         covers.append(found.select(*KEYS, F.expr(f"transform(filter(found, f -> f.whole), f -> struct(f.a - f.hi as start, f.a - f.lo + {length}L as end))").alias("cover")))
         if step > 1:
-            left = found.mapInArrow(_open_cells(length), "k1 long, k2 long").distinct()
+            left = kit.write(spark, found.mapInArrow(_open_cells(length), "k1 long, k2 long").distinct(), "left")
             todo = kit.write(spark, kinds.join(left, ["k1", "k2"]).select("one.*", F.least("n", F.lit(2)).alias("m"))
                              .groupBy(*KEYS).agg(F.collect_list(F.struct("a", "lo", "hi", "m")).alias("starts")), "todo")
-            kit.discard(kinds)
+            kit.discard(kinds, twice, left)
     cover = reduce(DataFrame.union, covers).groupBy(*KEYS).agg(F.flatten(F.collect_list("cover")).alias("cover"))
     out = f"{name}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
     done = kit.write(spark, texts.join(cover.hint("shuffle_hash"), KEYS, "left").mapInArrow(
