@@ -23,9 +23,7 @@ SEASONS = {12: "Winter", 1: "Winter", 2: "Winter",
            3: "Spring", 4: "Spring", 5: "Spring",
            6: "Summer", 7: "Summer", 8: "Summer",
            9: "Autumn", 10: "Autumn", 11: "Autumn"}
-# Raw column names of the transaction export, and the clean-table order.
-RAW_COLUMNS = ("Invoice", "StockCode", "Description", "Quantity",
-               "InvoiceDate", "Price", "Customer ID", "Country")
+# Columns of the clean table, in order.
 CLEAN_COLUMNS = ("Invoice", "StockCode", "Description", "Quantity",
                  "InvoiceDate", "UnitPrice", "CustomerID", "Country",
                  "TotalPrice", "IsCancelled")
@@ -61,6 +59,8 @@ class Config:
     quantity_cap_pct: float = 0.995
     price_cap_pct: float = 0.995
     min_valid_price: float = 0.01
+    # reading of text dates (ymd, mdy, dmy); None: the one that parses most values of the column
+    date_reading: str | None = None
     demand_low_q: float = 0.33
     demand_high_q: float = 0.67
     increase_threshold: float = 0.10
@@ -90,14 +90,6 @@ class Config:
     hw_trend_grid: tuple = field(default=(0.01, 0.05, 0.2))
     season_length: int = 7
     min_forecast_days: int = 14
-    # exact percentiles materialise one counter per distinct value; switch
-    # to percentile_approx when a column's domain is unbounded
-    approx_quantiles: bool = False
-    approx_accuracy: int = 100_000
-    # exact quantiles: "counts" = one percentile over per-value counts (the final merge holds one
-    # entry per distinct value); "bracket" = approximate bracket + exact selection inside it (the
-    # one-task work is bounded by about 4 n / approx_accuracy values, whatever the domain)
-    quantile_method: str = "bracket"
 
 
 DEFAULT = Config()

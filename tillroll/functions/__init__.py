@@ -4,10 +4,10 @@ from tillroll.functions.calendar import (day_name, day_number, elapsed_days, mon
                                          season, year_month)
 from tillroll.functions.formatting import (fmt_currency, fmt_fixed, fmt_number, fmt_percent,
                                            fmt_plain_float)
-from tillroll.functions.numeric import round_half_even, safe_divide, strip_ws
+from tillroll.functions.numeric import safe_divide, strip_ws
 
 __all__ = [
     "day_name", "day_number", "elapsed_days", "month_name", "season", "year_month",
     "fmt_currency", "fmt_fixed", "fmt_number", "fmt_percent", "fmt_plain_float",
-    "round_half_even", "safe_divide", "strip_ws",
+    "safe_divide", "strip_ws",
 ]

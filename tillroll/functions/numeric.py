@@ -15,10 +15,6 @@ def safe_divide(num, den, default: float = 0.0) -> Column:
     return F.coalesce(F.try_divide(_c(num), F.nullif(_c(den), F.lit(0))), F.lit(default))
 
 
-def round_half_even(c, digits: int = 0) -> Column:
-    return F.bround(_c(c), digits)
-
-
 def np_round(c, digits: int = 0) -> Column:
     """numpy / pandas ``round``: half-to-even on the scaled double, ``rint(x * 10**d) / 10**d``."""
     m = F.lit(float(10 ** digits))
@@ -59,13 +55,11 @@ def strip_ws(c) -> Column:
 
 
 def money_sum(c) -> Column:
-    """Exact money total: each amount is rounded to whole cents and the cents
-    are added as DECIMAL, so the result does not depend on summation order
-    (partitioning, AQE coalescing, retries) and never overflows a long."""
-    cents = F.rint(_c(c) * F.lit(100.0)).cast("decimal(18,0)")
-    return F.sum(cents).cast("double") / F.lit(100.0)
+    """Total of unrounded amounts: each is taken to six decimals and added as DECIMAL, so the result does not depend on
+    summation order (partitioning, AQE coalescing, retries). Nothing is rounded to cents before the sum."""
+    return F.sum(_c(c).cast("decimal(18,6)")).cast("double")
 
 
 def money_sum_sql(x: str) -> str:
-    """DuckDB text of :func:`money_sum`."""
-    return f"(CAST(sum(CAST(round_even(({x}) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0)"
+    """DuckDB text of the same total."""
+    return f"CAST(sum(CAST({x} AS DECIMAL(18,6))) AS DOUBLE)"

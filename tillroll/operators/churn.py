@@ -11,7 +11,6 @@ number is taken inside the single cutoff bucket per class.
 from __future__ import annotations
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -106,22 +105,15 @@ def stratified_split(ts: DataFrame, cfg: Config = DEFAULT, label: str = "Churned
                     .withColumn("_t", F.ceil(F.col("_class_n") * F.lit(cfg.test_fraction))))
     # bucket counts: at most (classes x buckets) rows, broadcast is bounded
     j = b.join(F.broadcast(counts.select(label, "bucket", "_before", "_bn", "_t")), [label, "bucket"])
+    whole = F.col("_before") + F.col("_bn") <= F.col("_t")
+    none = F.col("_before") >= F.col("_t")
     rn = F.row_number().over(Window.partitionBy(label, "bucket").orderBy("CustomerID"))
-    is_test = (F.when(F.col("_before") + F.col("_bn") <= F.col("_t"), F.lit(True))
-                .when(F.col("_before") >= F.col("_t"), F.lit(False))
-                .otherwise(rn <= F.col("_t") - F.col("_before")))
-    return j.withColumn("is_test", is_test).drop("_before", "_bn", "_t")
+    cut = j.where(~whole & ~none).withColumn("is_test", rn <= F.col("_t") - F.col("_before"))
+    return j.where(whole | none).withColumn("is_test", whole & ~none).unionByName(cut).drop("_before", "_bn", "_t")
 
 
-def binary_metrics(scored: DataFrame, label: str = "label", score: str = "score",
-                   threshold: float = 0.5, grid_digits: int = 3) -> DataFrame:
-    """Confusion counts, accuracy, precision, recall, F1 (0 on 0/0) and ROC-AUC.
-
-    AUC is the Mann-Whitney statistic over scores rounded to ``grid_digits``
-    (ties count one half), computed from per-score counts, so the only
-    ordered window runs over at most 10**grid_digits + 1 rows. AUC is NULL
-    when only one class is present.
-    """
+def binary_metrics(scored: DataFrame, label: str = "label", score: str = "score", threshold: float = 0.5) -> DataFrame:
+    """Confusion counts, accuracy, precision, recall, F1 (0 on 0/0) and exact ROC-AUC (NULL with one class)."""
     y = F.col(label).cast("int")
     pred = (F.col(score) >= threshold).cast("int")
     c = scored.agg(
@@ -134,14 +126,28 @@ def binary_metrics(scored: DataFrame, label: str = "label", score: str = "score"
                  safe_divide(F.col("tp") + F.col("tn"), F.col("n")).alias("accuracy"),
                  prec.alias("precision"), rec.alias("recall"),
                  safe_divide(2 * prec * rec, prec + rec).alias("f1_score"))
-    g = scored.groupBy(F.round(F.col(score), grid_digits).alias("_s")).agg(
-        F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg"))
-    below = F.coalesce(F.sum("_neg").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)),
-                       F.lit(0))
-    auc = (g.withColumn("_below", below)
-            .agg(F.try_divide(F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") * 0.5)),
+    return with_scalars(c, roc_auc(scored, label, score))
+
+
+def roc_auc(scored: DataFrame, label: str = "label", score: str = "score", buckets: int = 4096) -> DataFrame:
+    """One row: the Mann-Whitney statistic over the scores as they are (ties count one half).
+
+    Scores are dealt into ``buckets`` equal parts of their range; running counts over those bounded parts and over the scores inside one
+    part give the negatives below each score, so no window holds more than one part, and a part holds more than a
+    share of the rows only where scores tie (a tie is one row).
+    """
+    y, s = F.col(label).cast("int"), F.col(score).cast("double")
+    g = scored.groupBy(s.alias("_s")).agg(F.count_if(y == 1).alias("_pos"), F.count_if(y == 0).alias("_neg"))
+    ends = scored.agg(F.min(s).alias("_lo"), F.max(s).alias("_hi"))
+    part = F.coalesce(F.floor(F.try_divide(F.col("_s") - F.col("_lo"), F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))) * F.lit(float(buckets))), F.lit(0))
+    g = with_scalars(g, ends).withColumn("_b", part)
+    parts = g.groupBy("_b").agg(F.sum("_neg").alias("_n"))
+    before = parts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("_neg").over(Window.partitionBy("_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # at most buckets + 1 rows: broadcast is bounded
+    return (g.withColumn("_inside", inside).join(F.broadcast(before), "_b")
+            .agg(F.try_divide(F.sum(F.col("_pos") * (F.col("_before") + F.col("_inside") + F.col("_neg") * 0.5)),
                               F.nullif(F.sum("_pos") * F.sum("_neg"), F.lit(0))).alias("roc_auc")))
-    return with_scalars(c, auc)
 
 
 def balanced_weights(ts: DataFrame, label: str = "Churned") -> DataFrame:
@@ -187,11 +193,8 @@ def model_metrics(model: RandomForestClassificationModel, split: DataFrame) -> D
     test = split.where(F.col("is_test"))
     pred = score(model, test).withColumnRenamed("Churned", "label")
     m = binary_metrics(pred.select("label", F.col("ChurnProbability").alias("score")))
-    raw = model.transform(assembler().transform(test))
-    auc = BinaryClassificationEvaluator(labelCol="Churned", rawPredictionCol="probability",
-                                        metricName="areaUnderROC").evaluate(raw)
     sizes = split.agg(F.count_if(~F.col("is_test")).alias("n_train"), F.count_if(F.col("is_test")).alias("n_test"))
-    return with_scalars(m.drop("roc_auc"), sizes).withColumn("roc_auc", F.lit(auc))
+    return with_scalars(m, sizes).select(*[c for c in m.columns if c != "roc_auc"], "n_train", "n_test", "roc_auc")
 
 
 def importances(model: RandomForestClassificationModel, spark) -> DataFrame:

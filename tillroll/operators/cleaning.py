@@ -18,8 +18,11 @@ from tillroll.operators.quantiles import quantiles_row, with_scalars
 RENAMES = {"Customer ID": "CustomerID", "Price": "UnitPrice"}
 REQUIRED = ("Invoice", "StockCode", "Description", "Quantity",
             "InvoiceDate", "UnitPrice", "CustomerID", "Country")
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
-                "M/d/yyyy H:mm", "d/M/yyyy H:mm", "M/d/yy H:mm")
+#: how a text date may be read: year first, month first, day first; one reading holds for a whole column
+DATE_READINGS = ("ymd", "mdy", "dmy")
+_YMD = r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})"
+_ANY = r"^\s*(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})"
+_TIME = r"(?:(?:[T ]\s*)(\d{1,2}):(\d{2})(?::(\d{2})(\.\d+)?)?\s*([AaPp][Mm])?\s*(?:Z|UTC|[+-]\d{2}:?\d{2})?)?\s*$"
 
 
 def _num(c: str) -> Column:
@@ -33,7 +36,7 @@ def standardize(raw: DataFrame) -> DataFrame:
     df = raw.withColumnsRenamed(present) if present else raw
     missing = [c for c in REQUIRED if c not in df.columns]
     if missing:
-        raise ValueError(f"Dataset is missing expected columns: {missing}")
+        raise ValueError(f"columns not found in the export: {missing}")
     cust = F.col("CustomerID")
     if isinstance(df.schema["CustomerID"].dataType, T.StringType):
         cust = F.trim(cust).try_cast("double")           # T14: bad text -> missing
@@ -65,18 +68,45 @@ def customer_id_text(df: DataFrame) -> DataFrame:
     return df.withColumn("CustomerID", F.col("CustomerID").cast("bigint").cast("string"))
 
 
-def parse_dates(df: DataFrame, formats=DATE_FORMATS) -> DataFrame:
-    """Timestamps pass through; text is parsed, failures become NULL and drop."""
-    dt = df.schema["InvoiceDate"].dataType
+def date_text(c: Column, reading: str) -> Column:
+    """Text to TIMESTAMP_NTZ by one reading; NULL if it does not fit or is no date. Seconds, fractions, AM/PM and a zone (kept as
+    local time) are optional. No session time zone takes part."""
+    pattern = (_YMD if reading == "ymd" else _ANY) + _TIME
+    g = [F.regexp_extract(c, pattern, i) for i in range(1, 9)]
+    year, month, day = {"ymd": (g[0], g[1], g[2]), "mdy": (g[2], g[0], g[1]), "dmy": (g[2], g[1], g[0])}[reading]
+    year = F.when(F.length(year) == 2, F.concat(F.when(year >= "69", F.lit("19")).otherwise(F.lit("20")), year)).otherwise(year)
+    hour = F.when(g[3] == "", F.lit("0")).otherwise(g[3]).try_cast("int")
+    late, early = F.lower(g[7]) == "pm", F.lower(g[7]) == "am"
+    hour = F.when(late & (hour < 12), hour + 12).when(early & (hour == 12), F.lit(0)).otherwise(hour)
+    two = lambda x: F.lpad(F.when(x == "", F.lit("0")).otherwise(x), 2, "0")
+    text = F.concat(year, F.lit("-"), two(month), F.lit("-"), two(day), F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":"),
+                    two(g[4]), F.lit(":"), two(g[5]), F.substring(g[6], 1, 7))
+    return F.when(F.rlike(c, F.lit(pattern)), text).try_cast("timestamp_ntz")
+
+
+def date_reading(df: DataFrame) -> str:
+    """The reading that parses most values of the whole text column; of equals the first of DATE_READINGS."""
+    c = F.col("InvoiceDate")
+    row = df.agg(*(F.count(date_text(c, r)).alias(r) for r in DATE_READINGS)).first()
+    return max(DATE_READINGS, key=lambda r: (row[r], -DATE_READINGS.index(r)))
+
+
+def invoice_date(df: DataFrame, reading: str | None = None) -> Column:
+    """InvoiceDate as TIMESTAMP_NTZ, whatever its type; ``reading`` of text dates is found in the data unless given."""
+    c, dt = F.col("InvoiceDate"), df.schema["InvoiceDate"].dataType
     if isinstance(dt, T.StringType):
-        parsed = F.coalesce(*[F.try_to_timestamp(F.col("InvoiceDate"), F.lit(f)) for f in formats])
-        df = df.withColumn("InvoiceDate", F.to_timestamp_ntz(parsed.cast("string")))
-    elif isinstance(dt, T.DateType):
-        df = df.withColumn("InvoiceDate", F.to_timestamp_ntz(F.col("InvoiceDate").cast("string")))
-    elif isinstance(dt, T.TimestampType):
-        df = df.withColumn("InvoiceDate", F.to_timestamp_ntz(
-            F.date_format("InvoiceDate", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
-    return df.where(F.col("InvoiceDate").isNotNull())
+        return date_text(c, reading or date_reading(df))
+    if isinstance(dt, T.DateType):
+        return c.cast("timestamp_ntz")
+    if isinstance(dt, T.TimestampType):
+        return F.to_timestamp_ntz(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return c
+
+
+def parse_dates(df: DataFrame, reading: str | None = None) -> DataFrame:
+    """Timestamps pass through; text is parsed by one reading for the column, failures become NULL and drop
+    (``clean_report`` counts them)."""
+    return df.withColumn("InvoiceDate", invoice_date(df, reading)).where(F.col("InvoiceDate").isNotNull())
 
 
 def flag_cancellations(df: DataFrame) -> DataFrame:
@@ -98,7 +128,7 @@ def drop_non_products(df: DataFrame) -> DataFrame:
 def cap_values(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row: q_cap, p_cap (the winsorizing caps)."""
     return quantiles_row(df, [("Quantity", cfg.quantity_cap_pct, "q_cap"),
-                              ("UnitPrice", cfg.price_cap_pct, "p_cap")], cfg)
+                              ("UnitPrice", cfg.price_cap_pct, "p_cap")])
 
 
 def winsorize(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -129,7 +159,7 @@ def pre_cap(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     df = drop_missing_customer(df)
     df = clean_description(df)
     df = customer_id_text(df)
-    df = parse_dates(df)
+    df = parse_dates(df, cfg.date_reading)
     df = flag_cancellations(df)
     df = valid_sales(df, cfg)
     return drop_non_products(df)
@@ -148,10 +178,7 @@ def clean_report(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     desc = strip_ws(F.coalesce(F.col("Description"), F.lit("UNKNOWN ITEM")))
     no_cust = F.col("CustomerID").isNull()
     no_desc = ~no_cust & (desc == "")
-    if isinstance(d.schema["InvoiceDate"].dataType, T.StringType):
-        parsed = F.coalesce(*[F.try_to_timestamp(F.col("InvoiceDate"), F.lit(f)) for f in DATE_FORMATS])
-    else:
-        parsed = F.col("InvoiceDate")
+    parsed = invoice_date(d, cfg.date_reading)
     no_date = ~no_cust & ~no_desc & parsed.isNull()
     alive = ~no_cust & ~no_desc & ~no_date
     invalid = alive & ~(~F.coalesce(F.col("Invoice").startswith("C"), F.lit(False))

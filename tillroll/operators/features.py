@@ -43,7 +43,7 @@ def calendar_features(df: DataFrame) -> DataFrame:
 
 def demand_level(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """F8: Low (<= q.33), Medium (<= q.67), High, on the capped Quantity."""
-    qs = quantile_row(df, "Quantity", [cfg.demand_low_q, cfg.demand_high_q], ["_lo", "_hi"], cfg)
+    qs = quantile_row(df, "Quantity", [cfg.demand_low_q, cfg.demand_high_q], ["_lo", "_hi"])
     lvl = (F.when(F.col("Quantity") <= F.col("_lo"), F.lit("Low"))
             .when(F.col("Quantity") <= F.col("_hi"), F.lit("Medium"))
             .otherwise(F.lit("High")))

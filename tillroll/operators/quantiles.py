@@ -1,12 +1,12 @@
-"""Exact (linear-interpolation) quantiles as one-row DataFrames.
-
-``percentile`` keeps one counter per distinct value. Counting values with a
-distributed ``groupBy`` first means each distinct value reaches the final
-single-row merge once, instead of once per input partition, so the last
-task's work is bounded by the column's value domain, not by the data size
-or partition count. For columns with an unbounded domain set
-``cfg.approx_quantiles`` to use ``percentile_approx`` (bounded memory, rank
-error 1/accuracy).
+"""Exact (linear-interpolation) quantiles of any number of columns and probabilities.
+
+Two or three shared passes, whatever the number of columns, probabilities and values: each pass counts rows per
+(target, bucket) over a fixed number of buckets, with map-side combining, and the driver sees those counts alone.
+
+1. every column: buckets of ``asinh`` (about 0.2 % wide anywhere on the number line), with smallest and largest value;
+2. every wanted rank: the rows inside its bucket's range, cut into ``BUCKETS`` equal parts (a monotone function of the value, so counts
+   below a part are exact ranks), and the rows below that range; repeated on the part that holds the rank until that
+   part holds a single value. Ties never widen a part, so they never add a pass.
 """
 
 from __future__ import annotations
@@ -14,114 +14,94 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.config import DEFAULT, Config
-
+BUCKETS = 4096
+#: asinh buckets per unit
+FIRST = 512
+
+
+def _order_statistics(d: DataFrame, wanted: dict[str, set[int]], ranges: dict[tuple[str, int], tuple[float, float]]) -> dict[tuple[str, int], float]:
+    """The value of each (column, rank), ``ranges`` holding it or being near it."""
+    found: dict[tuple[str, int], float] = {}
+    open_ = {(c, r): ranges[c, r] for c in wanted for r in wanted[c]}
+    while open_:
+        spans = sorted({(c, lo, hi) for (c, _), (lo, hi) in open_.items()})
+        cells = []
+        for i, (c, lo, hi) in enumerate(spans):
+            v = F.col(c)
+            part = F.lit(0) if hi <= lo else F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(BUCKETS))), F.lit(BUCKETS - 1))
+            cells.append(F.struct(F.lit(i).alias("t"), F.when(v < lo, F.lit(-1)).when(v > hi, F.lit(BUCKETS)).otherwise(part).cast("int").alias("b"), v.alias("v")))
+        rows = (d.select(F.explode(F.array(*cells)).alias("s")).select("s.*").where("v is not null")
+                .groupBy("t", "b").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+        by: dict[int, list] = {}
+        for r in rows:  # at most BUCKETS + 2 a span
+            by.setdefault(r.t, []).append(r)
+        for (c, rank), (lo, hi) in list(open_.items()):
+            below = 0
+            for r in sorted(by[spans.index((c, lo, hi))], key=lambda r: r.b):
+                if rank < below + r.n:
+                    if r.lo == r.hi:
+                        found[c, rank] = r.lo
+                        del open_[c, rank]
+                    else:  # also when the rank lies outside of the range: its part is then all that is below or above
+                        open_[c, rank] = r.lo, r.hi
+                    break
+                below += r.n
+    return found
+
+
+def exact_quantiles(df: DataFrame, spec: dict[str, Sequence[float]]) -> dict[tuple[str, float], float | None]:
+    """{(column, p): value} for the probabilities of each column; nulls and NaN are left out, None if nothing is left."""
+    cols = list(spec)
+    names = {c: f"_v{i}" for i, c in enumerate(cols)}
+    d = df.select(*(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(names[c]) for c in cols))
+    pairs = d.select(F.explode(F.array(*(F.struct(F.lit(c).alias("c"), F.col(names[c]).alias("v")) for c in cols))).alias("s")).select("s.*").where("v is not null")
+    rows = (pairs.groupBy("c", F.floor(F.asinh("v") * FIRST).alias("b"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())  # a fixed number of buckets a column
+    wanted: dict[str, set[int]] = {}
+    ranges: dict[tuple[str, int], tuple[float, float]] = {}
+    size = {c: sum(r.n for r in rows if r.c == c) for c in cols}
+    for c in cols:
+        if not size[c]:
+            continue
+        hist = sorted((r.b, r.n, r.lo, r.hi) for r in rows if r.c == c)
+        ranks = {k for p in spec[c] for k in (math.floor(p * (size[c] - 1)), math.ceil(p * (size[c] - 1)))}
+        wanted[names[c]] = ranks
+        for rank in ranks:
+            below = 0
+            for _, n, lo, hi in hist:
+                if rank < below + n:
+                    ranges[names[c], rank] = lo, hi
+                    break
+                below += n
+    value = _order_statistics(d, wanted, ranges) if wanted else {}
+    out: dict[tuple[str, float], float | None] = {}
+    for c in cols:
+        for p in spec[c]:
+            if not size[c]:
+                out[c, p] = None
+                continue
+            pos = p * (size[c] - 1)
+            lo, hi = math.floor(pos), math.ceil(pos)
+            a, b = value[names[c], lo], value[names[c], hi]
+            out[c, p] = a if lo == hi else (hi - pos) * a + (pos - lo) * b
+    return out
 
-def bracketed_quantiles(df: DataFrame, column: str, probs: Sequence[float],
-                        accuracy: int = DEFAULT.approx_accuracy) -> list[float | None]:
-    """Exact linear-interpolation quantiles without a single-task map of every value.
 
-    For each p, ``percentile_approx`` brackets the target ranks (rank error at
-    most n / accuracy, so the bracket holds about 4 n / accuracy values); one
-    aggregate counts the values below and inside the bracket, and if the
-    bracket really holds both ranks, a running count over the bracket's
-    distinct values picks the two order statistics. A bracket that misses is
-    widened until it holds them, so the result is always exact. The driver
-    sees only a few numbers per probability.
-    """
-    v = F.col(column).cast("double")
-    d = df.select(v.alias("_v")).where(F.col("_v").isNotNull())
-    probs = [float(p) for p in probs]
-    delta = {p: 2.0 / accuracy for p in probs}
-    brackets: dict[float, tuple] = {}
-    n = None
-    while len(brackets) < len(probs):
-        todo = [p for p in probs if p not in brackets]
-        qs = [q for p in todo for q in (max(p - delta[p], 0.0), min(p + delta[p], 1.0))]
-        row = d.agg(F.count(F.lit(1)), F.percentile_approx("_v", qs, accuracy)).first()
-        n, ab = row[0], row[1]
-        if n == 0:
-            return [None for _ in probs]
-        # one pass checks every bracket: values strictly below a, values up to b
-        exprs = []
-        for i in range(len(todo)):
-            exprs += [F.count_if(F.col("_v") < ab[2 * i]), F.count_if(F.col("_v") <= ab[2 * i + 1])]
-        checks = d.agg(*exprs).first()
-        for i, p in enumerate(todo):
-            pos = p * (n - 1)
-            a, b, below, upto = ab[2 * i], ab[2 * i + 1], checks[2 * i], checks[2 * i + 1]
-            if below <= math.floor(pos) and upto > math.ceil(pos):
-                brackets[p] = (a, b, below)
-            else:                       # a wider bracket; at [0, 1] it is min..max and always holds
-                delta[p] *= 4
-    out: list[float | None] = []
-    for p in probs:
-        a, b, below = brackets[p]
-        pos = p * (n - 1)
-        lo, hi = math.floor(pos), math.ceil(pos)
-        sel = d.where((F.col("_v") >= a) & (F.col("_v") <= b))
-        # distinct values inside the bracket with their running counts (bounded by the bracket)
-        inside = (sel.groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
-                     .withColumn("_cum", F.sum("_c").over(Window.orderBy("_v")
-                                                          .rowsBetween(Window.unboundedPreceding, 0))))
-        x_lo, x_hi = inside.agg(F.min(F.when(F.col("_cum") + below > lo, F.col("_v"))),
-                                F.min(F.when(F.col("_cum") + below > hi, F.col("_v")))).first()
-        out.append(x_lo if lo == hi else (hi - pos) * x_lo + (pos - lo) * x_hi)
-    return out
+def quantiles_row(df: DataFrame, spec: Sequence[tuple[str, float, str]]) -> DataFrame:
+    """One row, one DOUBLE column per (column, probability, name) in ``spec``, from shared passes."""
+    by: dict[str, list[float]] = {}
+    for c, p, _ in spec:
+        by.setdefault(c, []).append(float(p))
+    got = exact_quantiles(df, by)
+    return df.sparkSession.createDataFrame([tuple(got[c, float(p)] for c, p, _ in spec)], ", ".join(f"`{n}` DOUBLE" for _, _, n in spec))
 
 
-def quantile_row(df: DataFrame, column: str, probs: Sequence[float],
-                 names: Sequence[str], cfg: Config = DEFAULT) -> DataFrame:
-    """One row, one DOUBLE column per requested probability."""
-    if cfg.quantile_method == "bracket" and not cfg.approx_quantiles:
-        vals = bracketed_quantiles(df, column, probs, cfg.approx_accuracy)
-        spark = df.sparkSession
-        return spark.createDataFrame([tuple(vals)], ", ".join(f"`{n}` DOUBLE" for n in names))
-    if cfg.approx_quantiles:
-        arr = F.percentile_approx(F.col(column).cast("double"), list(probs), cfg.approx_accuracy)
-        agg = df.agg(arr.alias("_q"))
-    else:
-        counts = (df.where(F.col(column).isNotNull())
-                    .groupBy(F.col(column).cast("double").alias("_v"))
-                    .agg(F.count(F.lit(1)).alias("_n")))
-        agg = counts.agg(F.percentile(F.col("_v"), list(probs), F.col("_n")).alias("_q"))
-    return agg.select(*[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)])
-
-
-def quantiles_row(df: DataFrame, spec: Sequence[tuple[str, float, str]], cfg: Config = DEFAULT) -> DataFrame:
-    """Several columns' quantiles in one pass: one row, one DOUBLE column per
-    (column, probability, name) in ``spec``.
-
-    Values of all listed columns are exploded into (column id, value) pairs
-    and counted per distinct pair, so one shuffle of distinct values serves
-    every column.
-    """
-    cols = list(dict.fromkeys(c for c, _, _ in spec))
-    if cfg.quantile_method == "bracket" and not cfg.approx_quantiles:
-        row = None
-        for c in cols:
-            part = quantile_row(df, c, [p for cc, p, _ in spec if cc == c], [n for cc, _, n in spec if cc == c], cfg)
-            row = part if row is None else with_scalars(row, part)
-        return row
-    if len(cols) == 1:
-        return quantile_row(df, cols[0], [p for _, p, _ in spec], [n for _, _, n in spec], cfg)
-    probs = sorted({float(p) for _, p, _ in spec})
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("_k"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(cols)]))
-        .alias("_p")).select("_p._k", "_p._v").where(F.col("_v").isNotNull())
-    if cfg.approx_quantiles:
-        per = pairs.groupBy("_k").agg(F.percentile_approx("_v", probs, cfg.approx_accuracy).alias("_q"))
-    else:
-        counts = pairs.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
-        per = counts.groupBy("_k").agg(F.percentile(F.col("_v"), probs, F.col("_n")).alias("_q"))
-    # one row per listed column: at most len(cols) rows
-    out = per.agg(*[
-        F.max(F.when(F.col("_k") == cols.index(c), F.col("_q")[probs.index(float(p))])).cast("double").alias(n)
-        for c, p, n in spec])
-    return out
+def quantile_row(df: DataFrame, column: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """One row, one DOUBLE column per requested probability of one column."""
+    return quantiles_row(df, [(column, p, n) for p, n in zip(probs, names, strict=True)])
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:

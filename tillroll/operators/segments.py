@@ -139,7 +139,7 @@ QUARTILE_SEGMENTS = ("Lost", "At Risk", "Potential Loyalists", "Champions")
 def quartile_segments(rfm: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Deterministic rule segments by Monetary quartile (the oracle twin of the
     KMeans segments, so the summary logic can be checked against SQL)."""
-    q = quantile_row(rfm, "Monetary", [0.25, 0.5, 0.75], ["_q1", "_q2", "_q3"], cfg)
+    q = quantile_row(rfm, "Monetary", [0.25, 0.5, 0.75], ["_q1", "_q2", "_q3"])
     m = F.col("Monetary")
     seg = (F.when(m <= F.col("_q1"), F.lit(QUARTILE_SEGMENTS[0]))
             .when(m <= F.col("_q2"), F.lit(QUARTILE_SEGMENTS[1]))

@@ -13,28 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.config import DEFAULT, Config
-from tillroll.operators.quantiles import quantile_row, quantiles_row, with_scalars
+from tillroll.operators.quantiles import exact_quantiles, quantile_row, quantiles_row, with_scalars
 
 
-def quantile_table(df: DataFrame, spec: Sequence[tuple[str, float]], cfg: Config = DEFAULT) -> DataFrame:
+def quantile_table(df: DataFrame, spec: Sequence[tuple[str, float]]) -> DataFrame:
     """Rows (column, q, value) for each requested (column, probability)."""
-    parts = []
-    for col in dict.fromkeys(c for c, _ in spec):
-        probs = [p for c, p in spec if c == col]
-        names = [f"_q{i}" for i in range(len(probs))]
-        row = quantile_row(df, col, probs, names, cfg)
-        parts.append(row.select(F.explode(F.array(*[
-            F.struct(F.lit(col).alias("column"), F.lit(float(p)).alias("q"), F.col(n).alias("value"))
-            for p, n in zip(probs, names)])).alias("s")).select("s.*"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    by: dict[str, list[float]] = {}
+    for c, p in spec:
+        by.setdefault(c, []).append(float(p))
+    got = exact_quantiles(df, by)
+    return df.sparkSession.createDataFrame([(c, p, got[c, p]) for c in by for p in by[c]], "column STRING, q DOUBLE, value DOUBLE")
 
 
 def histogram(df: DataFrame, column: str, bins: int, trim_q: float | None = None,
-              inclusive: bool = False, by: str | None = None, cfg: Config = DEFAULT) -> DataFrame:
+              inclusive: bool = False, by: str | None = None) -> DataFrame:
     """Equal-width histogram over [min, max] of the (trimmed) values.
 
     Trim keeps ``x < q`` (or ``x <= q`` when ``inclusive``). Output: [by,] bin,
@@ -43,7 +35,7 @@ def histogram(df: DataFrame, column: str, bins: int, trim_q: float | None = None
     x = F.col(column).cast("double")
     d = df.where(x.isNotNull())
     if trim_q is not None:
-        d = with_scalars(d, quantile_row(d, column, [trim_q], ["_cap"], cfg))
+        d = with_scalars(d, quantile_row(d, column, [trim_q], ["_cap"]))
         d = d.where(x <= F.col("_cap")) if inclusive else d.where(x < F.col("_cap"))
     mm = d.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     raw_bin = F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.lit(float(bins)))
@@ -59,14 +51,19 @@ def histogram(df: DataFrame, column: str, bins: int, trim_q: float | None = None
 
 
 def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation matrix as rows (row, col, corr), one aggregate pass."""
-    exprs, pairs = [], []
-    for i, a in enumerate(columns):
-        for b in columns[i:]:
-            name = f"_c{len(pairs)}"
-            exprs.append(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(name))
-            pairs.append((a, b, name))
-    agg = df.agg(*exprs)
+    """Pearson correlation matrix as rows (row, col, corr).
+
+    Plain sums of products of values centred on their means: n + n (n + 1) / 2 sums, few enough buffer fields
+    for the aggregate to stay inside generated code. Rows with a null in any of the columns are left out.
+    """
+    n = len(columns)
+    x = df.select(*[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)]).dropna()
+    centred = with_scalars(x, x.agg(*[F.avg(f"_x{i}").alias(f"_m{i}") for i in range(n)])).select(
+        *[(F.col(f"_x{i}") - F.col(f"_m{i}")).alias(f"_x{i}") for i in range(n)])
+    sums = centred.agg(*[F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"_s{i}_{j}") for i in range(n) for j in range(i, n)])
+    pairs = [(columns[i], columns[j], f"_c{i}_{j}") for i in range(n) for j in range(i, n)]
+    agg = sums.select(*[F.try_divide(F.col(f"_s{i}_{j}"), F.nullif(F.sqrt(F.col(f"_s{i}_{i}")) * F.sqrt(F.col(f"_s{j}_{j}")), F.lit(0.0))).alias(f"_c{i}_{j}")
+                        for i in range(n) for j in range(i, n)])
     cells = []
     for a, b, name in pairs:
         cells.append(F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), F.col(name).alias("corr")))
@@ -85,7 +82,7 @@ def split_columns(df: DataFrame) -> tuple[list[str], list[str]]:
     return num, other
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, cfg: Config = DEFAULT) -> DataFrame:
+def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, sample std, min, 25/50/75 % (linear), max per numeric column."""
     columns = list(columns or split_columns(df)[0])
     names = {c: f"_c{i}" for i, c in enumerate(columns)}
@@ -96,7 +93,7 @@ def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None, cfg: C
                     F.stddev_samp(x).alias(f"{n}_std"), F.min(x).alias(f"{n}_min"), F.max(x).alias(f"{n}_max")]
     # one pass for all moments, one pass for all quartiles
     qs = quantiles_row(df, [(c, p, f"{names[c]}_{tag}") for c in columns
-                            for p, tag in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))], cfg)
+                            for p, tag in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
     row = with_scalars(df.agg(*moments), qs)
     stats = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
     cells = [F.struct(F.lit(c).alias("column"), *[F.col(f"{names[c]}_{s}").alias(s) for s in stats])

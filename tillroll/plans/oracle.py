@@ -43,11 +43,11 @@ def featured_ctes(cfg=DEFAULT) -> str:
     return f"""dq AS (SELECT quantile_cont(Quantity, {cfg.demand_low_q}) AS _lo,
                quantile_cont(Quantity, {cfg.demand_high_q}) AS _hi FROM clean),
 snap AS (SELECT max(InvoiceDate) + INTERVAL 1 DAY AS snapshot FROM clean),
-inv_tot AS (SELECT Invoice, (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) AS InvoiceTotalValue, sum(Quantity) AS InvoiceTotalQuantity
+inv_tot AS (SELECT Invoice, CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) AS InvoiceTotalValue, sum(Quantity) AS InvoiceTotalQuantity
             FROM clean GROUP BY Invoice),
 cust_agg AS (
  SELECT CustomerID, min(InvoiceDate) AS FirstPurchaseDate, max(InvoiceDate) AS LastPurchaseDate,
-        count(DISTINCT Invoice) AS TotalOrders, (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) AS TotalSpend,
+        count(DISTINCT Invoice) AS TotalOrders, CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) AS TotalSpend,
         sum(Quantity) AS TotalItemsPurchased
  FROM clean GROUP BY CustomerID),
 cust_days AS (

@@ -21,7 +21,7 @@ from tillroll.operators import inventory as INV
 from tillroll.operators import segments as SG
 from tillroll.operators.cleaning import clean, clean_report
 from tillroll.operators.features import engineer
-from tillroll.plans.stages import stage, staged_clean
+from tillroll.plans.stages import identity, stage, staged_clean
 from tillroll.session import scratch_path
 
 
@@ -45,7 +45,7 @@ class PipelineResults:
 def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: Config = DEFAULT, stage_dir: str | None = None,
                  train_churn: bool = True) -> PipelineResults:
     """Clean -> features -> segments, forecast, churn, inventory -> insights."""
-    stage_dir = stage_dir or scratch_path(spark, "pipeline", uuid.uuid4().hex[:12])
+    stage_dir = f'{stage_dir or scratch_path(spark, "pipeline", uuid.uuid4().hex[:12])}/{identity(spark, raw, cfg)}'
     clean_df = staged_clean(spark, raw, f"{stage_dir}/clean", cfg)
     featured = stage(spark, f"{stage_dir}/featured", lambda: engineer(clean_df, cfg))
 

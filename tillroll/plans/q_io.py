@@ -12,12 +12,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from tillroll.functions.numeric import money_sum, money_sum_sql
-from tillroll.operators.cleaning import clean
 from tillroll.operators.customers import customer_summary
 from tillroll.plans.oracle import with_chain
 from tillroll.plans.q_sales import CUST_SQL
 from tillroll.plans.registry import query
-from tillroll.plans.stages import featured_frame
+from tillroll.plans.stages import featured_frame, staged_clean
 from tillroll.session import scratch_path
 from tillroll.sources import io
 from tillroll.sources.fixture import raw_transactions
@@ -32,12 +31,22 @@ def _scratch(spark, name: str) -> str:
     return scratch_path(spark, "io", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-@query("scan_csv", with_chain("clean", "SELECT * FROM clean"))
+# descriptions with quotes, commas, a line feed and a backslash, as legal CSV fields may hold them
+HOSTILE_SQL = "Description || CASE WHEN Quantity > 5 THEN ' \"LARGE\", RED \\ ' || chr(10) || 'box' ELSE '' END"
+
+
+def _hostile(raw):
+    extra = F.when(F.col("Quantity") > 5, F.lit(' "LARGE", RED \\ \nbox')).otherwise(F.lit(""))
+    return raw.withColumn("Description", F.concat("Description", extra))
+
+
+@query("scan_csv", with_chain("clean", "SELECT * FROM clean").replace(
+    "std AS (\n SELECT Invoice, StockCode, Description,", f"std AS (\n SELECT Invoice, StockCode, {HOSTILE_SQL} AS Description,"))
 def q_scan_csv(spark, sf):
-    """Raw export -> CSV (ISO-8859-1 read path) -> full cleaning."""
+    """Raw export with quoted fields -> CSV -> full cleaning. The lines before the caps are staged, so the file is parsed once."""
     path = _scratch(spark, "raw-csv")
-    io.write_csv(raw_transactions(spark, sf, spaced_names=True), path)
-    return clean(io.read_transactions(spark, path, fmt="csv"))
+    io.write_csv(_hostile(raw_transactions(spark, sf, spaced_names=True)), path)
+    return staged_clean(spark, io.read_csv(spark, path, encoding="UTF-8"), _scratch(spark, "csv-clean"))
 
 
 @query("scan_tagged_parts", with_chain("raw", "SELECT * FROM raw"))
@@ -45,9 +54,10 @@ def q_scan_tagged_parts(spark, sf):
     """One part folder per sheet; the reader restores SourceSheet from the part name."""
     root = _scratch(spark, "parts")
     raw = raw_transactions(spark, sf)
-    for sheet in ("A", "B"):
-        io.write_parquet(raw.where(F.col("SourceSheet") == sheet).drop("SourceSheet"), f"{root}/{sheet}")
-    return io.read_tagged_parts(spark, root).select(*RAW_COLS)
+    for sheet in ("A", "B"):  # a blank in the part's name, as the export's sheets have, and columns in another order
+        part = raw.where(F.col("SourceSheet") == sheet).drop("SourceSheet")
+        io.write_parquet(part.select(*sorted(part.columns, reverse=sheet == "B")), f"{root}/Year 2009-{sheet}")
+    return io.read_tagged_parts(spark, root).withColumn("SourceSheet", F.substring("SourceSheet", 11, 9)).select(*RAW_COLS)
 
 
 @query("scan_parquet", with_chain("raw", "SELECT * FROM raw"))

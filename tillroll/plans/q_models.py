@@ -196,7 +196,8 @@ def q_stratified_split(spark, sf):
     return _split(spark, sf).select("CustomerID", "Churned", "bucket", "is_test")
 
 
-BASELINE_SCORE = "round(least(Recency / 180.0, 1.0), 3)"
+# unrounded, with near ties: recency decides, tenure orders customers of equal recency by tiny steps
+BASELINE_SCORE = "least(Recency / CAST(180.0 AS DOUBLE), 1.0::DOUBLE) * 0.9::DOUBLE + 0.0001::DOUBLE / (1 + TenureDays)"
 
 
 @query("binary_metrics", with_chain("featured", """
@@ -210,7 +211,7 @@ FROM (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0)::DOUBLE AS p, coalesce(tp /
                    count(*) FILTER (WHERE label = 1 AND score < 0.5) AS fn FROM sc)) c
 CROSS JOIN (SELECT sum(pos * (below + neg * 0.5)) / (sum(pos) * sum(neg)) AS roc_auc
             FROM (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
-                  FROM (SELECT round(score, 3) AS s, count(*) FILTER (WHERE label = 1) AS pos,
+                  FROM (SELECT score AS s, count(*) FILTER (WHERE label = 1) AS pos,
                                count(*) FILTER (WHERE label = 0) AS neg FROM sc GROUP BY 1))) a""",
                                     extra=TRAIN_SQL + f""",
 sc AS (SELECT Churned AS label, {BASELINE_SCORE} AS score FROM split WHERE is_test)"""))
@@ -218,7 +219,7 @@ def q_binary_metrics(spark, sf):
     """Metric code on a deterministic recency score over the test split (oracle twin of churn_metrics)."""
     sp = _split(spark, sf).where(F.col("is_test"))
     scored = sp.select(F.col("Churned").alias("label"),
-                       cmp_round(F.least(F.col("Recency") / 180.0, F.lit(1.0)), 3).alias("score"))
+                       (F.least(F.col("Recency") / F.lit(180.0), F.lit(1.0)) * F.lit(0.9) + F.lit(0.0001) / (F.col("TenureDays") + 1)).alias("score"))
     return CH.binary_metrics(scored)
 
 

@@ -4,13 +4,14 @@ Every downstream result reads the featured table. Writing it as Parquet in
 the shared checkpoint folder cuts the lineage (an executor loss replays
 from the written files, not from the raw join) and lets each later query
 prune to the columns it needs. ``stage`` is the read-through snapshot of
-the reference's pipeline: read if complete, else build and write.
+the reference's pipeline: read if complete, else build and write. A stage's
+path names what it was built from (input files with length and time, plan,
+configuration), so new input never meets an old stage.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,28 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
+def _listing(spark: SparkSession, folder: str) -> list[str]:
+    """Path, length and time of the files below a folder (or of one file)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out, todo = [], [path] if fs.exists(path) else []
+    while todo:
+        for s in fs.listStatus(todo.pop()):
+            if s.isDirectory():
+                todo.append(s.getPath())
+            else:
+                out.append(f"{s.getPath()}|{s.getLen()}|{s.getModificationTime()}")
+    return sorted(out)
+
+
+def identity(spark: SparkSession, df: DataFrame, cfg: Config = DEFAULT) -> str:
+    """Names what a table is read from: its files (path, length, time), its plan and the configuration."""
+    files = df.inputFiles()
+    plan = df._jdf.queryExecution().analyzed()
+    seen = [x for d in sorted({f.rpartition("/")[0] for f in files}) for x in _listing(spark, d)] if files else [str(df.semanticHash())]
+    return hashlib.sha1("\n".join([*seen, plan.canonicalized().toString(), repr(cfg)]).encode()).hexdigest()[:16]
+
+
 def stage(spark: SparkSession, path: str, build, partition_by: str | None = None) -> DataFrame:
     """Read ``path`` if a complete write exists there, else build, write and read it."""
     if not _exists(spark, path):
@@ -45,7 +68,8 @@ def stage(spark: SparkSession, path: str, build, partition_by: str | None = None
 
 def _key(spark: SparkSession, sf_dir: str, cfg: Config, name: str) -> str:
     app = spark.sparkContext.applicationId
-    h = hashlib.sha1(f"{app}|{os.path.abspath(sf_dir)}|{cfg!r}|{name}".encode()).hexdigest()[:16]
+    files = "\n".join(_listing(spark, sf_dir))
+    h = hashlib.sha1(f"{app}|{sf_dir}|{files}|{cfg!r}|{name}".encode()).hexdigest()[:16]
     return f"{name}-{h}"
 
 

@@ -6,6 +6,7 @@ Library operators never build a session; they take DataFrames. Only tests,
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import zipfile
@@ -41,9 +42,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is. Only when it is unset (local tests) a fresh folder is made
-    and registered, so lineage cuts and staged tables still have a home.
+    On a cluster ``spark.checkpoint.dir`` must point at shared storage and is
+    used as is. Only on a local master (one machine, tests) a fresh folder is
+    made if it is unset, so lineage cuts and staged tables still have a home.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -51,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return sc.getCheckpointDir() or current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="tillroll-ckpt-")
     sc.setCheckpointDir(folder)
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -74,16 +77,19 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
-    base = ensure_checkpoint_dir(spark)
-    local = base[len("file:"):] if base.startswith("file:") else base
-    folder = os.path.join(local, "tillroll", "pyfiles") if local.startswith("/") else tempfile.mkdtemp()
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, f"tillroll-{sc.applicationId}.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for root, _, files in os.walk(pkg):
             for f in files:
                 if f.endswith(".py"):
                     full = os.path.join(root, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(path)
+    target = scratch_path(spark, "pyfiles", f"tillroll-{sc.applicationId}.zip")
+    path = sc._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(packed.getvalue())
+    finally:
+        out.close()
+    sc.addPyFile(target)
     _SHIPPED.add(sc.applicationId)

@@ -1,53 +1,31 @@
-"""File-stream ingest of new export files (the upload path, run continuously).
-
-The reference has no streaming; new data arrives as a new export file. On
-Spark the same row-level cleaning (P1, P3-P9, P11) runs over a file stream
-and appends clean lines to a Parquet table, with exactly-once progress in
-the checkpoint folder. Whole-row dedup uses the invoice timestamp as event
-time: ``dropDuplicatesWithinWatermark`` keeps state only for the watermark
-delay. The percentile caps are global, so they are applied when the batch
-stage reads the appended table, not per micro-batch.
+"""File-stream landing of new export files (the upload path, run continuously).
+
+New data arrives as new export files, often with back-dated lines. The stream only lands their rows, as text and unchanged, in a
+Parquet table (exactly once, by the checkpoint); nothing is filtered, deduplicated or dropped by time. Cleaning, with whole-row dedup and
+the global caps, is the batch stage's: :func:`landed` gives it the table with numeric columns converted.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tillroll.config import DEFAULT, Config
-from tillroll.operators import cleaning as C
+from tillroll.sources.io import typed
 
 RAW_CSV_SCHEMA = ("Invoice STRING, StockCode STRING, Description STRING, Quantity STRING, InvoiceDate STRING, "
                   "Price STRING, `Customer ID` STRING, Country STRING")
 
 
-def clean_lines(raw: DataFrame, cfg: Config = DEFAULT, watermark: str = "2 days") -> DataFrame:
-    """Row-level cleaning of a (streaming or batch) raw frame, without the global caps."""
-    df = C.standardize(raw)
-    df = C.parse_dates(df)
-    if df.isStreaming:
-        # watermarks need a zoned timestamp; the event time is the invoice time
-        df = (df.withColumn("_event", F.col("InvoiceDate").cast("timestamp"))
-                .withWatermark("_event", watermark).dropDuplicatesWithinWatermark().drop("_event"))
-    else:
-        df = C.dedup(df)
-    df = C.drop_missing_customer(df)
-    df = C.clean_description(df)
-    df = C.customer_id_text(df)
-    df = C.flag_cancellations(df)
-    df = C.valid_sales(df, cfg)
-    return C.finalize(C.drop_non_products(df))
-
-
-def start_ingest(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                 cfg: Config = DEFAULT, available_now: bool = True) -> StreamingQuery:
-    """Stream CSV export files from ``source_dir`` into a clean Parquet table."""
-    raw = (spark.readStream.schema(RAW_CSV_SCHEMA).option("header", True)
-           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-           .csv(source_dir))
-    lines = clean_lines(raw, cfg)
-    w = (lines.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint_dir))
+def start_landing(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str, available_now: bool = True,
+                  encoding: str = "UTF-8") -> StreamingQuery:
+    """Stream CSV export files from ``source_dir`` into a Parquet table of their rows."""
+    raw = (spark.readStream.schema(RAW_CSV_SCHEMA).option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"')
+           .option("multiLine", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(source_dir))
+    w = raw.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start(sink_dir)
+
+
+def landed(spark: SparkSession, sink_dir: str) -> DataFrame:
+    """The landed rows, for ``cleaning.clean``."""
+    return typed(spark.read.parquet(sink_dir))
