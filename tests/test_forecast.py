@@ -27,22 +27,57 @@ def test_holt_winters_shape_and_bands(spark, featured_small):
     assert fc.where(~F.col("IsForecast")).count() == days + 1
 
 
-def test_fold_matches_plain_recurrence():
-    ys = [float((i * 37) % 11 + i * 0.5) for i in range(40)]
-    fits, lv, bv, ring, sse = FC._fold(ys, 0.3, 0.05, 0.2)
+def plain(ys, a, c, g):
     l0 = sum(ys[:7]) / 7
-    b0 = (sum(ys[7:14]) / 7 - l0) / 7
-    s = [ys[i] - l0 for i in range(7)]
-    level, trend, acc = l0, b0, 0.0
+    level, trend, s = l0, (sum(ys[7:14]) / 7 - l0) / 7, [y - l0 for y in ys[:7]]
+    fits, sse = [], 0.0
     for t, y in enumerate(ys):
-        f = level + trend + s[t % 7]
-        assert math.isclose(f, fits[t], rel_tol=1e-12, abs_tol=1e-9)
-        nl = 0.3 * (y - s[t % 7]) + 0.7 * (level + trend)
-        s[t % 7] = 0.2 * (y - level - trend) + 0.8 * s[t % 7]
-        trend = 0.05 * (nl - level) + 0.95 * trend
-        level = nl
-        acc += (y - f) ** 2
-    assert math.isclose(acc, sse, rel_tol=1e-9)
+        fits.append(level + trend + s[t % 7])
+        sse += (y - fits[-1]) ** 2
+        nl = a * (y - s[t % 7]) + (1 - a) * (level + trend)
+        s[t % 7] = g * (y - level - trend) + (1 - g) * s[t % 7]
+        trend, level = c * (nl - level) + (1 - c) * trend, nl
+    n = len(ys)
+    return fits, sse, [max(level + h * trend + s[(n + h - 1) % 7], 0.0) for h in range(1, 11)]
+
+
+@pytest.mark.parametrize("tuned", [False, True])
+def test_fold_matches_plain_recurrence(spark, tuned):
+    series = {"a": [float((i * 37) % 11 + i * 0.5) for i in range(40)], "b": [float((i * i * 13) % 29) + 3 * (i % 7) for i in range(61)], "short": [1.0] * 13}
+    rows = [(k, D0 + dt.timedelta(days=i), y, True) for k, ys in series.items() for i, y in enumerate(ys)]
+    filled = spark.createDataFrame(rows, "series_key STRING, ds DATE, y DOUBLE, observed BOOLEAN")
+    out = FC.holt_winters(filled, 10, tuned=tuned).orderBy("series_key", "ds").collect()
+    cfg = FC.DEFAULT
+    for k in ("a", "b"):
+        ys = series[k]
+        grid = [(a, c, g) for a in cfg.hw_grid for c in cfg.hw_trend_grid for g in cfg.hw_grid] if tuned else [(cfg.hw_alpha, cfg.hw_beta, cfg.hw_gamma)]
+        fits, _, ahead = plain(ys, *min(grid, key=lambda p: plain(ys, *p)[1]))
+        got = [r for r in out if r.series_key == k]
+        assert [r.yhat for r in got] == pytest.approx(fits + ahead, rel=1e-9, abs=1e-9)
+        r = [y - f for y, f in zip(ys, fits, strict=True)]
+        m = sum(r) / len(r)
+        band = cfg.interval_z * math.sqrt(sum((x - m) ** 2 for x in r) / (len(r) - 1))
+        assert [x.yhat_upper - x.yhat for x in got] == pytest.approx([band] * len(got))
+    assert {r.series_key for r in out} == {"a", "b"}
+    status = {r.series_key: r for r in FC.series_status(filled).collect()}
+    assert status["a"].forecast and not status["short"].forecast and status["short"].observed_days == 13 and "14" in status["short"].reason
+
+
+def test_methods_fallback_and_guard(spark, featured_small, monkeypatch):
+    assert FC.forecast(featured_small, 7)[1] == "trend_season"
+    assert FC.forecast(featured_small, 7, method="holt_winters")[1] == "holt_winters"
+
+    def broken(*args, **kw):
+        return featured_small.select(F.raise_error(F.lit("does not fit")).alias("x"))
+    monkeypatch.setattr(FC, "trend_season", broken)
+    out, method = FC.forecast(featured_small, 7)
+    assert method == "holt_winters" and out.where("IsForecast").count() == 7
+    with pytest.raises(Exception, match="does not fit"):
+        FC.forecast(featured_small, 7, method="trend_season")
+    with pytest.raises(ValueError, match="too few"):
+        FC.forecast(featured_small.where("day(InvoiceDate) = 1 and month(InvoiceDate) = 1"), 7)
+    with pytest.raises(ValueError, match="method"):
+        FC.forecast(featured_small, 7, method="other")
 
 
 def test_short_history_rejected(spark):

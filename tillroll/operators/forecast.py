@@ -1,12 +1,11 @@
 """Demand forecasting (A18, F7, W7, M6-M10, P19), re-aimed at many series.
 
 A series is one key (the whole business, a country, a SKU ...). Daily sums
-come from one grouped aggregate; the gap-filled daily series of each key is
-one ``applyInPandas`` group, whose size is bounded by the number of calendar
-days in the data (not by the number of lines), and the additive Holt-Winters
-recurrence (weekly season, additive trend) runs over it; a parameter grid is
-evaluated as one vectorised pass. Keys are independent, so fits spread
-across executors by key.
+come from one grouped aggregate; the gap-filled daily series of each key is one
+array, bounded by the number of calendar days in the data (not by the number of
+lines), and the additive Holt-Winters recurrence (weekly season, additive trend) is a
+fold over it in Spark's own expressions, as is every point of a parameter grid. Keys
+are independent, so fits spread across executors by key.
 
 Holt-Winters recurrence (season length m = 7, ring s[0..6], s[0] = season of
 the current day):
@@ -25,7 +24,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.config import DEFAULT, Config
@@ -68,86 +67,80 @@ FORECAST_SCHEMA = ("series_key STRING, ds DATE, y DOUBLE, yhat DOUBLE, yhat_lowe
                    "yhat_upper DOUBLE, IsForecast BOOLEAN")
 
 
-def _fold(ys, a, c, g):
-    """Run the recurrence over ``ys`` (a list of floats). Parameters may be floats
-    or equal-length numpy arrays (a parameter grid evaluated in one pass).
-    Returns (fits, l, b, ring, sse). Sums are written out left to right so
-    the arithmetic is the same, operation for operation, as the SQL twin."""
-    a1, c1, g1 = 1.0 - a, 1.0 - c, 1.0 - g
-    first = ys[0]
-    for i in range(1, M):
-        first = first + ys[i]
-    second = ys[M]
-    for i in range(M + 1, 2 * M):
-        second = second + ys[i]
-    lv = first / float(M)
-    bv = (second / float(M) - lv) / float(M)
-    ring = [ys[i] - lv for i in range(M)]
-    fits, sse = [], 0.0
-    for x in ys:
-        s0 = ring[0]
-        fit = lv + bv + s0
-        l_new = a * (x - s0) + a1 * (lv + bv)
-        b_new = c * (l_new - lv) + c1 * bv
-        s_new = g * (x - lv - bv) + g1 * s0
-        err = x - fit
-        sse = sse + err * err
-        fits.append(fit)
-        ring = ring[1:] + [s_new]
-        lv, bv = l_new, b_new
-    return fits, lv, bv, ring, sse
-
-
-def _grid(cfg: Config):
-    pts = [(a, b, g) for a in cfg.hw_grid for b in cfg.hw_trend_grid for g in cfg.hw_grid]
-    return tuple(np.array(v, dtype="float64") for v in zip(*pts))
-
-
-def _fit_group(pdf: pd.DataFrame, horizon: int, cfg: Config, tuned: bool) -> pd.DataFrame:
-    """Holt-Winters for one series (one group = one key's days)."""
-    pdf = pdf.sort_values("ds")
-    if int(pdf["observed"].sum()) < cfg.min_forecast_days:
-        return pd.DataFrame(columns=["series_key", "ds", "y", "yhat", "yhat_lower", "yhat_upper", "IsForecast"])
-    ys = [float(v) for v in pdf["y"].tolist()]
-    a, c, g = cfg.hw_alpha, cfg.hw_beta, cfg.hw_gamma
-    if tuned:
-        ga, gb, gg = _grid(cfg)
-        sse = _fold(ys, ga, gb, gg)[4]
-        k = int(np.argmin(sse))
-        a, c, g = float(ga[k]), float(gb[k]), float(gg[k])
-    fits, lv, bv, ring, _ = _fold(ys, a, c, g)
-    resid = np.array(ys) - np.array(fits)
-    sigma = float(np.std(resid, ddof=1)) if len(ys) > 1 else float("nan")
-    last = pdf["ds"].iloc[-1]
-    hs = range(1, horizon + 1)
-    fut = [max(lv + h * bv + ring[(h - 1) % M], 0.0) for h in hs]
-    yhat = np.array(fits + fut)
-    band = cfg.interval_z * sigma
-    key = pdf["series_key"].iloc[0]
-    return pd.DataFrame({
-        "series_key": key,
-        "ds": list(pdf["ds"]) + [last + dt.timedelta(days=h) for h in hs],
-        "y": ys + [None] * horizon,
-        "yhat": yhat,
-        "yhat_lower": np.maximum(yhat - band, 0.0),
-        "yhat_upper": yhat + band,
-        "IsForecast": [False] * len(ys) + [True] * horizon,
-    })
+def _start(ys: Column) -> dict[str, Column]:
+    """Level, trend and season ring from the first two weeks; sums run left to right."""
+    def total(lo: int, hi: int) -> Column:
+        out = ys[lo]
+        for i in range(lo + 1, hi):
+            out = out + ys[i]
+        return out
+    lv = total(0, M) / F.lit(float(M))
+    return {"l": lv, "b": (total(M, 2 * M) / F.lit(float(M)) - lv) / F.lit(float(M)), **{f"s{i}": ys[i] - lv for i in range(M)}, "sse": F.lit(0.0)}
+
+
+def _step(acc: Column, x: Column, a: Column, c: Column, g: Column) -> dict[str, Column]:
+    """One day of the recurrence; the sums are written in the order of the SQL twin."""
+    one = F.lit(1.0)
+    lv, bv, s0 = acc["l"], acc["b"], acc["s0"]
+    fit = lv + bv + s0
+    new = a * (x - s0) + (one - a) * (lv + bv)
+    err = x - fit
+    return {"l": new, "b": c * (new - lv) + (one - c) * bv, **{f"s{i}": acc[f"s{i + 1}"] for i in range(M - 1)},
+            f"s{M - 1}": g * (x - lv - bv) + (one - g) * s0, "sse": acc["sse"] + err * err}
+
+
+def _struct(fields: dict[str, Column]) -> Column:
+    return F.struct(*(v.alias(k) for k, v in fields.items()))
+
+
+def _tuned(ys: Column, cfg: Config) -> Column:
+    """(a, c, g) of the grid with the smallest squared error, of equals the first; every point is one fold."""
+    points = [(a, c, g) for a in cfg.hw_grid for c in cfg.hw_trend_grid for g in cfg.hw_grid]
+    grid = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(a)).alias("a"), F.lit(float(c)).alias("c"), F.lit(float(g)).alias("g")) for i, (a, c, g) in enumerate(points)))
+    tried = F.transform(grid, lambda p: F.struct(
+        F.aggregate(ys, _struct(_start(ys)), lambda acc, x: _struct(_step(acc, x, p["a"], p["c"], p["g"])))["sse"].alias("sse"),
+        p["i"].alias("i"), p["a"].alias("a"), p["c"].alias("c"), p["g"].alias("g")))
+    return F.array_min(tried)
+
+
+def series_status(filled: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """M7: a row per key: observed days, whether it is forecast, and if not why."""
+    g = filled.groupBy("series_key").agg(F.count_if("observed").alias("observed_days"))
+    short = F.col("observed_days") < cfg.min_forecast_days
+    return g.withColumns({"forecast": ~short, "reason": F.when(short, F.lit(f"fewer than {cfg.min_forecast_days} days with sales"))})
 
 
 def holt_winters(filled: DataFrame, horizon: int = DEFAULT.forecast_horizon_days, cfg: Config = DEFAULT,
                  tuned: bool = False) -> DataFrame:
     """M6/M7: fitted history plus ``horizon`` future days per key.
 
-    Keys with fewer than ``min_forecast_days`` observed days are left out.
-    Each key's days form one group (bounded by the calendar span), so the
-    sequential recurrence runs per key in parallel, Arrow-batched.
-    ``tuned`` picks (alpha, beta, gamma) per key from cfg's grid by SSE.
+    Keys with fewer than ``min_forecast_days`` observed days have no forecast (:func:`series_status` names them).
+    A key's days are one array (bounded by the calendar span) and the recurrence is a fold over it, evaluated
+    by Spark in the row that holds the array. ``tuned`` picks (alpha, beta, gamma) per key from cfg's grid by squared error.
     """
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _fit_group(pdf, horizon, cfg, tuned)
-    return (filled.select("series_key", "ds", "y", "observed")
-                  .groupBy("series_key").applyInPandas(fit, FORECAST_SCHEMA))
+    days = (filled.groupBy("series_key").agg(F.sort_array(F.collect_list(F.struct("ds", "y", "observed"))).alias("d"))
+            .where(F.size(F.filter("d", lambda x: x["observed"])) >= cfg.min_forecast_days)
+            .withColumn("ys", F.transform("d", lambda x: x["y"])))
+    ys = F.col("ys")
+    p = _tuned(ys, cfg) if tuned else F.struct(F.lit(cfg.hw_alpha).alias("a"), F.lit(cfg.hw_beta).alias("c"), F.lit(cfg.hw_gamma).alias("g"))
+    days = days.withColumn("p", p)
+    a, c, g = (F.col("p")[k] for k in "acg")
+    start = _struct(_start(ys) | {"fits": F.array().cast("array<double>")})
+    fold = F.aggregate(ys, start, lambda acc, x: _struct(_step(acc, x, a, c, g) | {"fits": F.array_append(acc["fits"], acc["l"] + acc["b"] + acc["s0"])}))
+    days = days.withColumn("f", fold)
+    resid = F.zip_with("ys", "f.fits", lambda y, f: y - f)
+    days = days.withColumn("r", resid).withColumn("m", F.aggregate("r", F.lit(0.0), lambda s, x: s + x) / F.size("r"))
+    spread = F.aggregate("r", F.lit(0.0), lambda s, x: s + (x - F.col("m")) * (x - F.col("m")))
+    days = days.withColumn("band", F.lit(cfg.interval_z) * F.sqrt(spread / (F.size("r") - 1)))
+    last = F.element_at("d", -1)["ds"]
+    ring = F.array(*(F.col("f")[f"s{i}"] for i in range(M)))
+    past = F.zip_with("d", "f.fits", lambda d, f: F.struct(d["ds"].alias("ds"), d["y"].alias("y"), f.alias("yhat"), F.lit(False).alias("IsForecast")))
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.struct(
+        F.date_add(last, h).alias("ds"), F.lit(None).cast("double").alias("y"),
+        F.greatest(F.col("f.l") + h * F.col("f.b") + F.element_at(ring, ((h - 1) % M + 1).cast("int")), F.lit(0.0)).alias("yhat"), F.lit(True).alias("IsForecast")))
+    rows = days.select("series_key", "band", F.explode(F.concat(past, ahead)).alias("x")).select("series_key", "band", "x.*")
+    return rows.select("series_key", "ds", "y", "yhat", F.greatest(F.col("yhat") - F.col("band"), F.lit(0.0)).alias("yhat_lower"),
+                       (F.col("yhat") + F.col("band")).alias("yhat_upper"), "IsForecast")
 
 
 def forecast_demand(df: DataFrame, horizon: int = DEFAULT.forecast_horizon_days, value_col: str = "TotalPrice",
@@ -156,11 +149,37 @@ def forecast_demand(df: DataFrame, horizon: int = DEFAULT.forecast_horizon_days,
     return holt_winters(fill_daily(daily_series(df, value_col, keys)), horizon, cfg, tuned)
 
 
+METHODS = ("auto", "trend_season", "holt_winters")
+
+
+def forecast(df: DataFrame, horizon: int = DEFAULT.forecast_horizon_days, value_col: str = "TotalPrice", keys: Sequence[str] = (),
+             method: str = "auto", cfg: Config = DEFAULT) -> tuple[DataFrame, str]:
+    """M6-M8: the forecast and the name of the method that made it.
+
+    Without keys, fewer than ``min_forecast_days`` sale days are an error. ``auto`` takes the trend and season regression, and if that fails to
+    run, Holt-Winters with parameters tuned per key; either can be asked for by name.
+    """
+    if method not in METHODS:
+        raise ValueError(f"method is one of {METHODS}, not {method!r}")
+    if not keys:
+        require_history(df, cfg.min_forecast_days)
+    if method != "holt_winters":
+        out = trend_season(df, horizon, value_col, keys, cfg).persist()
+        try:
+            out.count()  # tasks run here, so a failure is met here
+            return out, "trend_season"
+        except Exception:
+            out.unpersist()
+            if method == "trend_season":
+                raise
+    return forecast_demand(df, horizon, value_col, keys, True, cfg), "holt_winters"
+
+
 def require_history(df: DataFrame, min_days: int = DEFAULT.min_forecast_days) -> None:
     """M7 for a single total series: raise when fewer than ``min_days`` sale days exist."""
     n = df.select(F.to_date("InvoiceDate").alias("d")).distinct().limit(min_days).count()
     if n < min_days:
-        raise ValueError(f"Not enough daily history to forecast (need >= {min_days} days).")
+        raise ValueError(f"{n} days with sales are too few for a forecast; {min_days} are needed")
 
 
 def summary(fc: DataFrame, window: int = 30) -> DataFrame:

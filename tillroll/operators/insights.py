@@ -1,8 +1,7 @@
 """Business insights (M19, F23, K10, J3, P16) and formatted KPIs.
 
-Each insight is a one-row frame built from a small grouped aggregate and a
-top-1 pick (``orderBy(...).limit(1)``, a per-partition top-k); the rows are
-unioned with an ordinal. Ties pick the smallest key.
+Each subject (months, countries, products, growth) is one grouped aggregate and a ``min_by`` over a struct
+that gives all of its picks; the rows are unioned with an ordinal. Ties pick the smallest key.
 """
 
 from __future__ import annotations
@@ -32,49 +31,50 @@ def product_growth(df: DataFrame, days: int = 30, min_prior: float = 30) -> Data
     """Units per product in the last ``days`` vs the ``days`` before, where both
     windows have sales and prior >= ``min_prior``; growth = (recent - prior) / prior.
 
-    One conditional aggregate replaces the outer concat + dropna of the two sums.
+    One conditional aggregate replaces the outer concat + dropna of the two sums. The bounds are plain scalar
+    subqueries, so the scan is filtered by date.
     """
-    cut = df.agg((F.max("InvoiceDate") - F.make_interval(days=F.lit(days))).alias("_rc"))
-    d = with_scalars(df, cut).withColumn("_pc", F.col("_rc") - F.make_interval(days=F.lit(days)))
-    recent = F.col("InvoiceDate") > F.col("_rc")
-    prior = (F.col("InvoiceDate") <= F.col("_rc")) & (F.col("InvoiceDate") > F.col("_pc"))
-    g = d.where(F.col("InvoiceDate") > F.col("_pc")).groupBy("Description").agg(
+    last = df.agg(F.max("InvoiceDate").alias("_last"))
+    edge = [last.select(F.col("_last") - F.make_interval(days=F.lit(k * days))).scalar() for k in (1, 2)]
+    recent = F.col("InvoiceDate") > edge[0]
+    g = df.where(F.col("InvoiceDate") > edge[1]).groupBy("Description").agg(
         F.sum(F.when(recent, F.col("Quantity"))).alias("recent"),
-        F.sum(F.when(prior, F.col("Quantity"))).alias("prior"))
+        F.sum(F.when(~recent, F.col("Quantity"))).alias("prior"))
     return (g.where(F.col("recent").isNotNull() & F.col("prior").isNotNull() & (F.col("prior") >= min_prior))
              .withColumn("growth", (F.col("recent") - F.col("prior")) / F.col("prior")))
 
 
+def _best(value: str, key: str, low: bool = False) -> Column:
+    """(key, value) of the largest (smallest) value, of equals the smallest key: one aggregate, no sort."""
+    order = F.struct((F.col(value) if low else -F.col(value)).alias("v"), F.col(key).alias("k"))
+    return F.min_by(F.struct(F.col(key).alias("k"), F.col(value).alias("v")), order)
+
+
 def generate(df: DataFrame, segments: DataFrame | None = None, inventory: DataFrame | None = None,
              cfg: Config = DEFAULT) -> DataFrame:
     """Ordinal, category, title, detail."""
     sym = cfg.currency
     rows = []
-    monthly = revenue_by(df, "YearMonth")
-    best = monthly.orderBy(F.desc("revenue"), F.asc("YearMonth")).limit(1)
-    worst = monthly.orderBy(F.asc("revenue"), F.asc("YearMonth")).limit(1)
-    rows.append(_row(best, 1, F.col("YearMonth"), fmt_currency("revenue", sym)))
-    rows.append(_row(worst, 2, F.col("YearMonth"), fmt_currency("revenue", sym)))
-
-    country = revenue_by(df, "Country")
-    total = df.agg(money_sum("TotalPrice").alias("_total"))
-    top_c = with_scalars(country.orderBy(F.desc("revenue"), F.asc("Country")).limit(1), total)
-    rows.append(_row(top_c, 3, F.col("Country"), fmt_currency("revenue", sym),
-                     _pct1(F.lit(100.0) * F.col("revenue") / F.col("_total"))))
-
-    products = df.groupBy("Description").agg(money_sum("TotalPrice").alias("revenue"),
-                                              F.sum("Quantity").alias("units"))
-    prod_rev = products.orderBy(F.desc("revenue"), F.asc("Description")).limit(1)
-    prod_qty = products.orderBy(F.desc("units"), F.asc("Description")).limit(1)
-    rows.append(_row(prod_rev, 4, F.col("Description"), fmt_currency("revenue", sym)))
-    rows.append(_row(prod_qty, 5, F.col("Description"), fmt_number("units")))
-
-    growth = product_growth(df)
-    fastest = growth.orderBy(F.desc("growth"), F.asc("Description")).limit(1)
-    declining = growth.orderBy(F.asc("growth"), F.asc("Description")).limit(1)
-    rows.append(_row(fastest, 6, F.col("Description"), fmt_fixed(F.col("growth") * 100, 0, thousands=False)))
-    rows.append(_row(declining, 7, F.col("Description"),
-                     fmt_fixed(F.abs(F.col("growth")) * 100, 0, thousands=False)))
+    # one aggregate a subject gives both of its picks
+    monthly = revenue_by(df, "YearMonth").agg(_best("revenue", "YearMonth").alias("best"), _best("revenue", "YearMonth", low=True).alias("worst"))
+    rows.append(_row(monthly.where("best.k is not null"), 1, F.col("best.k"), fmt_currency("best.v", sym)))
+    rows.append(_row(monthly.where("best.k is not null"), 2, F.col("worst.k"), fmt_currency("worst.v", sym)))
+
+    # the total is the sum of the countries' exact totals
+    country = (df.groupBy("Country").agg(F.sum(F.col("TotalPrice").cast("decimal(18,6)")).alias("_exact"))
+               .withColumn("revenue", F.col("_exact").cast("double"))
+               .agg(_best("revenue", "Country").alias("top"), F.sum("_exact").cast("double").alias("_total")))
+    rows.append(_row(country.where("top.k is not null"), 3, F.col("top.k"), fmt_currency("top.v", sym),
+                     _pct1(F.lit(100.0) * F.col("top.v") / F.col("_total"))))
+
+    products = (df.groupBy("Description").agg(money_sum("TotalPrice").alias("revenue"), F.sum("Quantity").alias("units"))
+                .agg(_best("revenue", "Description").alias("rev"), _best("units", "Description").alias("qty")))
+    rows.append(_row(products.where("rev.k is not null"), 4, F.col("rev.k"), fmt_currency("rev.v", sym)))
+    rows.append(_row(products.where("rev.k is not null"), 5, F.col("qty.k"), fmt_number("qty.v")))
+
+    growth = product_growth(df).agg(_best("growth", "Description").alias("up"), _best("growth", "Description", low=True).alias("down"))
+    rows.append(_row(growth.where("up.k is not null"), 6, F.col("up.k"), fmt_fixed(F.col("up.v") * 100, 0, thousands=False)))
+    rows.append(_row(growth.where("up.k is not null"), 7, F.col("down.k"), fmt_fixed(F.abs(F.col("down.v")) * 100, 0, thousands=False)))
 
     if segments is not None:
         seg = segments.groupBy("Segment").agg(money_sum("Monetary").alias("_m"), F.count(F.lit(1)).alias("_n"))

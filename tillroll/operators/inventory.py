@@ -43,25 +43,20 @@ def top_skus(df: DataFrame, n: int) -> DataFrame:
               .orderBy(F.desc("TotalQty"), F.asc("StockCode")).limit(n))
 
 
-def top_sku_codes(df: DataFrame, n: int) -> list[str]:
-    """The top-N codes as a list (N values at most), so later scans filter with a
-    pushed-down ``IN`` list instead of re-running the ranking aggregate."""
-    return [r.StockCode for r in top_skus(df, n).select("StockCode").collect()]
+#: SKUs that a top-N list may hold; the list is broadcast
+MAX_TOP_N = 100_000
 
 
-def _only(df: DataFrame, skus) -> DataFrame:
-    if isinstance(skus, DataFrame):
-        skus = [r.StockCode for r in skus.select("StockCode").collect()]
-    return df.where(F.col("StockCode").isin(list(skus)))
+def _only(df: DataFrame, top: DataFrame) -> DataFrame:
+    """Lines of the SKUs of a bounded top-N frame (semi-join; the list is broadcast)."""
+    return df.join(F.broadcast(top.select("StockCode")), "StockCode", "left_semi")
 
 
-def sku_trend(df: DataFrame, skus, cfg: Config = DEFAULT) -> DataFrame:
-    """Per SKU recent / prior daily means, pct change, 60-day std, span, total.
-
-    ``skus``: a list of codes or a (top-N) frame of them.
-    """
+def sku_trend(df: DataFrame, skus: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
+    """Per SKU recent / prior daily means, pct change, 60-day std, span, total; of every SKU,
+    or of those of a bounded top-N frame."""
     w, sw = cfg.trend_window_days, cfg.std_window_days
-    daily = _only(df, skus).groupBy("StockCode", F.to_date("InvoiceDate").alias("day")) \
+    daily = (df if skus is None else _only(df, skus)).groupBy("StockCode", F.to_date("InvoiceDate").alias("day")) \
         .agg(F.sum("Quantity").alias("q"))
     # first/last sale day over each SKU's days (a partition holds one SKU's calendar days)
     per_sku = Window.partitionBy("StockCode")
@@ -98,15 +93,17 @@ def action(pct, cfg: Config = DEFAULT):
 def recommend(df: DataFrame, cfg: Config = DEFAULT, top_n: int | None = None) -> DataFrame:
     """Recommendations for the top-N SKUs by units, ordered by units."""
     top_n = top_n or cfg.top_n_skus
-    codes = top_sku_codes(df, top_n)
-    t = sku_trend(df, codes, cfg)
-    desc = sku_description(_only(df, codes))
+    if top_n > MAX_TOP_N:
+        raise ValueError(f"top_n is {top_n}; a top-N list holds {MAX_TOP_N} SKUs at most (sku_trend has all)")
+    top = top_skus(df, top_n)
+    t = sku_trend(df, top, cfg)
+    desc = sku_description(_only(df, top))
     pct = F.col("pct")
     conf = F.least(F.lit(0.95), F.lit(0.5) + F.least(F.abs(pct), F.lit(1.0)) * 0.4
                    + F.when(F.col("span") >= cfg.std_window_days, F.lit(0.05)).otherwise(F.lit(0.0)))
     safety = F.lit(cfg.service_level_z) * F.col("std") * F.sqrt(F.lit(float(cfg.lead_time_days)))
     reorder = F.greatest(F.col("recent"), F.lit(0.0)) * cfg.lead_time_days + safety
-    # both sides hold one row per listed SKU (at most top-N rows)
+    # one row a listed SKU, MAX_TOP_N at most
     return (t.join(F.broadcast(desc), "StockCode", "left")
              .select("StockCode", "Description",
                      np_round("recent", 2).alias("RecentAvgDailyQty"),

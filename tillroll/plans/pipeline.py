@@ -23,6 +23,7 @@ from tillroll.operators.cleaning import clean, clean_report
 from tillroll.operators.features import engineer
 from tillroll.plans.stages import identity, stage, staged_clean
 from tillroll.session import scratch_path
+from tillroll.sources.io import save_model
 
 
 @dataclass
@@ -50,7 +51,7 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: Config = DEFAULT, sta
     featured = stage(spark, f"{stage_dir}/featured", lambda: engineer(clean_df, cfg))
 
     segs, sil, _ = SG.segment_customers(featured, cfg.clusters, cfg)
-    fc = FC.forecast_demand(featured, cfg.forecast_horizon_days, cfg=cfg)
+    fc, _ = FC.forecast(featured, cfg.forecast_horizon_days, method="holt_winters", cfg=cfg)
 
     # per-customer tables read by several results: written once each
     labels = stage(spark, f"{stage_dir}/churn_labels", lambda: CH.churn_labels(featured, cfg))
@@ -72,17 +73,33 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: Config = DEFAULT, sta
         inventory=inv, inventory_summary=INV.summary(inv), insights=IN.generate(featured, segs, inv, cfg))
 
 
+def _segments(df: DataFrame, dst: str, cfg: Config) -> DataFrame:
+    segments, _, model = SG.segment_customers(df, cfg.clusters, cfg)
+    save_model(model, f"{dst}-model")
+    return segments
+
+
+def _churn(df: DataFrame, dst: str, cfg: Config) -> DataFrame:
+    """Labels with probabilities; the rule-based ones if the history is too short to train on."""
+    train = CH.stratified_split(CH.training_set(df, cfg), cfg).where(~F.col("is_test"))
+    model = CH.train_model(train, cfg) if train.limit(1).count() else None
+    if model is not None:
+        save_model(model, f"{dst}-model")
+    return CH.score(model, CH.churn_labels(df, cfg))
+
+
 def run_stage(spark: SparkSession, name: str, src: str, dst: str, cfg: Config = DEFAULT) -> DataFrame:
-    """C4: one stage as Parquet in, Parquet out (clean, features, inventory, forecast,
-    churn labels, insights)."""
+    """C4: one stage as Parquet in, Parquet out (clean, features, inventory, forecast, segments,
+    scored churn, insights). Models of segments and churn are saved beside their table, at ``<dst>-model``."""
     df = spark.read.parquet(src)
     build = {
         "clean": lambda: clean(df, cfg),
         "features": lambda: engineer(df, cfg),
         "inventory": lambda: INV.recommend(df, cfg),
-        "forecast": lambda: FC.forecast_demand(df, cfg.forecast_horizon_days, cfg=cfg),
-        "churn": lambda: CH.churn_labels(df, cfg),
-        "insights": lambda: IN.generate(df, None, INV.recommend(df, cfg), cfg),
+        "forecast": lambda: FC.forecast(df, cfg.forecast_horizon_days, method="holt_winters", cfg=cfg)[0],
+        "segments": lambda: _segments(df, dst, cfg),
+        "churn": lambda: _churn(df, dst, cfg),
+        "insights": lambda: IN.generate(df, SG.segment_customers(df, cfg.clusters, cfg)[0], INV.recommend(df, cfg), cfg),
     }
     if name not in build:
         raise ValueError(f"unknown stage {name!r}; one of {sorted(build)}")

@@ -160,6 +160,7 @@ def q_forecast_trend_season(spark, sf):
 def q_forecast_summary_by_sku(spark, sf):
     """Holt-Winters per SKU, summarised per SKU (rows-only: the same fold is oracle-checked per
     country; a SQL recursion over thousands of keys would re-scan the filled table every step)."""
-    s = FC.summary(FC.forecast_demand(_f(spark, sf), keys=["StockCode"]))
-    return rounded(s, money=("forecast_total", "trailing_avg_daily", "forecast_avg_daily"),
-                   ratio=("pct_change_vs_trailing",))
+    filled = FC.fill_daily(FC.daily_series(_f(spark, sf), keys=["StockCode"]))
+    s = rounded(FC.summary(FC.holt_winters(filled)), money=("forecast_total", "trailing_avg_daily", "forecast_avg_daily"),
+                ratio=("pct_change_vs_trailing",))
+    return FC.series_status(filled).join(s, "series_key", "left")

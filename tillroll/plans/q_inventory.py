@@ -7,7 +7,9 @@ checks the gap-free sums formulation used on Spark.
 
 from __future__ import annotations
 
-from tillroll.config import DEFAULT
+from pyspark.sql import functions as F
+
+from tillroll.config import DEFAULT, STOCK_ACTIONS
 from tillroll.operators import inventory as INV
 from tillroll.plans.oracle import with_chain
 from tillroll.plans.registry import query
@@ -68,10 +70,10 @@ def q_sku_description(spark, sf):
 
 @query("sku_trend", with_chain("featured", """
 SELECT StockCode, round_even(recent, 6) AS recent, round_even(prior, 6) AS prior, round_even(pct, 6) AS pct,
-       span, total AS total_qty FROM st3""", extra=INV_SQL))
+       span, total AS total_qty FROM st3""", extra=INV_SQL.replace(f"LIMIT {N})", ")", 1)))
 def q_sku_trend(spark, sf):
-    from pyspark.sql import functions as F
-    t = INV.sku_trend(featured_frame(spark, sf), INV.top_skus(featured_frame(spark, sf), N))
+    """Trend of every SKU (recommendations read that of the top N)."""
+    t = INV.sku_trend(featured_frame(spark, sf))
     return t.select("StockCode", F.bround("recent", 6).alias("recent"), F.bround("prior", 6).alias("prior"),
                     F.bround("pct", 6).alias("pct"), "span", "total_qty")
 
@@ -91,9 +93,10 @@ def q_inventory_summary(spark, sf):
 
 
 @query("inventory_by_action", with_chain("featured", """
-SELECT * FROM inv WHERE RecommendedAction IN ('Increase Stock', 'Maintain Stock', 'Reduce Stock')""", extra=INV_SQL))
+SELECT * FROM inv WHERE RecommendedAction IN ('Reduce Stock', 'Maintain Stock')""", extra=INV_SQL))
 def q_inventory_by_action(spark, sf):
-    return INV.by_action(_inv(spark, sf))
+    """The action filter with two of the three actions chosen."""
+    return INV.by_action(_inv(spark, sf), [STOCK_ACTIONS[2], STOCK_ACTIONS[1]])
 
 
 @query("inventory_movers", with_chain("featured", """

@@ -23,31 +23,41 @@ def _f(spark, sf):
 
 
 @query("kpi_home", with_chain("featured", """
-SELECT (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) AS total_revenue, count(DISTINCT Invoice) AS total_orders,
+SELECT CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) AS total_revenue, count(DISTINCT Invoice) AS total_orders,
        count(DISTINCT CustomerID) AS total_customers, count(DISTINCT Country) AS countries,
-       (coalesce((CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) / nullif(count(DISTINCT Invoice), 0), 0)) AS avg_order_value
+       (coalesce(CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) / nullif(count(DISTINCT Invoice), 0), 0)) AS avg_order_value
 FROM featured"""))
 def q_kpi_home(spark, sf):
     return S.kpi_home(_f(spark, sf))
 
 
 @query("top_market", with_chain("featured", """
-SELECT Country, (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) AS revenue FROM featured GROUP BY Country
-ORDER BY (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) DESC, Country LIMIT 1"""))
+SELECT Country, CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) AS revenue FROM featured GROUP BY Country
+ORDER BY CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) DESC, Country LIMIT 1"""))
 def q_top_market(spark, sf):
     return S.top_market(_f(spark, sf))
 
 
-@query("sales_filtered", with_chain("featured", """
-SELECT count(*) AS lines, (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) AS revenue FROM featured
-WHERE CAST(InvoiceDate AS DATE) BETWEEN (SELECT min(CAST(InvoiceDate AS DATE)) FROM featured)
-                                   AND (SELECT max(CAST(InvoiceDate AS DATE)) FROM featured)"""))
+# a real choice on the sales page: three countries, one month
+FILTER = {"countries": ("NATION_1", "NATION_10", "NATION_7"), "start": "1996-03-01", "end": "1996-03-31"}
+FILTER_SQL = """WHERE Country IN ('NATION_1', 'NATION_10', 'NATION_7')
+  AND InvoiceDate >= TIMESTAMP '1996-03-01' AND InvoiceDate < TIMESTAMP '1996-04-01'"""
+
+
+@query("sales_filtered", with_chain("featured", f"""
+SELECT Country, count(*) AS lines, CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) AS revenue FROM featured {FILTER_SQL} GROUP BY Country"""))
 def q_sales_filtered(spark, sf):
-    """Default page filter: every country, data min..max dates (inclusive)."""
-    f = _f(spark, sf)
-    lo, hi = f.agg(F.min(F.to_date("InvoiceDate")), F.max(F.to_date("InvoiceDate"))).first()
-    out = S.filter_sales(f, (), lo, hi)
-    return out.agg(F.count(F.lit(1)).alias("lines"), money_sum("TotalPrice").alias("revenue"))
+    """The page filter with countries and a date range (both ends inclusive)."""
+    out = S.filter_sales(_f(spark, sf), **FILTER)
+    return out.groupBy("Country").agg(F.count(F.lit(1)).alias("lines"), money_sum("TotalPrice").alias("revenue"))
+
+
+@query("kpi_sales_filtered", with_chain("featured", f"""
+SELECT CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) AS revenue, count(DISTINCT Invoice) AS orders, sum(Quantity) AS units,
+       coalesce(CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) / nullif(count(DISTINCT Invoice), 0), 0) AS avg_order_value
+FROM featured {FILTER_SQL}"""))
+def q_kpi_sales_filtered(spark, sf):
+    return S.kpi_sales(S.filter_sales(_f(spark, sf), **FILTER))
 
 
 @query("country_list", with_chain("featured", "SELECT DISTINCT Country FROM featured"))
@@ -56,29 +66,29 @@ def q_country_list(spark, sf):
 
 
 @query("kpi_sales", with_chain("featured", """
-SELECT (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) AS revenue, count(DISTINCT Invoice) AS orders, sum(Quantity) AS units,
-       (coalesce((CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) / nullif(count(DISTINCT Invoice), 0), 0)) AS avg_order_value
+SELECT CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) AS revenue, count(DISTINCT Invoice) AS orders, sum(Quantity) AS units,
+       (coalesce(CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) / nullif(count(DISTINCT Invoice), 0), 0)) AS avg_order_value
 FROM featured"""))
 def q_kpi_sales(spark, sf):
     return S.kpi_sales(_f(spark, sf))
 
 
 @query("monthly_revenue", with_chain("featured", """
-SELECT YearMonth, (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) AS revenue FROM featured GROUP BY YearMonth"""))
+SELECT YearMonth, CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) AS revenue FROM featured GROUP BY YearMonth"""))
 def q_monthly_revenue(spark, sf):
     return S.monthly_revenue(_f(spark, sf))
 
 
 @query("country_revenue", with_chain("featured", """
-SELECT Country, (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) AS revenue,
-       round(100.0 * (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) / (SELECT (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) FROM featured), 6) AS share_pct
+SELECT Country, CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) AS revenue,
+       round(100.0 * CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) / (SELECT CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) FROM featured), 6) AS share_pct
 FROM featured GROUP BY Country"""))
 def q_country_revenue(spark, sf):
     return rounded(S.country_revenue(_f(spark, sf)), ratio=("share_pct",))
 
 
 @query("season_revenue", with_chain("featured", """
-SELECT Season, (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) AS revenue FROM featured GROUP BY Season"""))
+SELECT Season, CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) AS revenue FROM featured GROUP BY Season"""))
 def q_season_revenue(spark, sf):
     return S.season_revenue(_f(spark, sf))
 
@@ -94,21 +104,21 @@ def q_orders_by_weekday(spark, sf):
 
 
 @query("product_totals", with_chain("featured", """
-SELECT Description, (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) AS revenue, sum(Quantity) AS units FROM featured GROUP BY Description"""))
+SELECT Description, CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) AS revenue, sum(Quantity) AS units FROM featured GROUP BY Description"""))
 def q_product_totals(spark, sf):
     return S.product_totals(_f(spark, sf))
 
 
 @query("top_countries", with_chain("featured", """
-SELECT Country, (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) AS revenue FROM featured GROUP BY Country
-ORDER BY (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) DESC, Country LIMIT 10"""))
+SELECT Country, CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) AS revenue FROM featured GROUP BY Country
+ORDER BY CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) DESC, Country LIMIT 10"""))
 def q_top_countries(spark, sf):
     return S.top_countries(_f(spark, sf))
 
 
 @query("top_products_revenue", with_chain("featured", """
-SELECT Description, (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) AS revenue FROM featured GROUP BY Description
-ORDER BY (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) DESC, Description LIMIT 10"""))
+SELECT Description, CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) AS revenue FROM featured GROUP BY Description
+ORDER BY CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) DESC, Description LIMIT 10"""))
 def q_top_products_revenue(spark, sf):
     return S.top_products_revenue(_f(spark, sf))
 
@@ -123,7 +133,7 @@ def q_top_products_units(spark, sf):
 # --- customers ----------------------------------------------------------------
 
 CUST_SQL = """cust AS (
- SELECT CustomerID, (CAST(sum(CAST(round_even((TotalPrice) * 100.0, 0) AS DECIMAL(18,0))) AS DOUBLE) / 100.0) AS TotalSpend, count(DISTINCT Invoice) AS TotalOrders,
+ SELECT CustomerID, CAST(sum(CAST(TotalPrice AS DECIMAL(18,6))) AS DOUBLE) AS TotalSpend, count(DISTINCT Invoice) AS TotalOrders,
         min(InvoiceDate) AS FirstPurchase, max(InvoiceDate) AS LastPurchase,
         arg_min(Country, (InvoiceDate, Invoice, Country)) AS Country
  FROM featured GROUP BY CustomerID)"""
