@@ -129,9 +129,11 @@ def holt_winters(filled: DataFrame, horizon: int = DEFAULT.forecast_horizon_days
     fold = F.aggregate(ys, start, lambda acc, x: _struct(_step(acc, x, a, c, g) | {"fits": F.array_append(acc["fits"], acc["l"] + acc["b"] + acc["s0"])}))
     days = days.withColumn("f", fold)
     resid = F.zip_with("ys", "f.fits", lambda y, f: y - f)
-    days = days.withColumn("r", resid).withColumn("m", F.aggregate("r", F.lit(0.0), lambda s, x: s + x) / F.size("r"))
-    spread = F.aggregate("r", F.lit(0.0), lambda s, x: s + (x - F.col("m")) * (x - F.col("m")))
-    days = days.withColumn("band", F.lit(cfg.interval_z) * F.sqrt(spread / (F.size("r") - 1)))
+    # sample standard deviation of the residuals by running mean and squares
+    spread = F.aggregate(resid, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q")),
+                         lambda s, x: F.struct((s["n"] + 1).alias("n"), (s["m"] + (x - s["m"]) / (s["n"] + 1)).alias("m"),
+                                               (s["q"] + (x - (s["m"] + (x - s["m"]) / (s["n"] + 1))) * (x - s["m"])).alias("q")))
+    days = days.withColumn("r", spread).withColumn("band", F.lit(cfg.interval_z) * F.sqrt(F.col("r.q") / (F.col("r.n") - 1)))
     last = F.element_at("d", -1)["ds"]
     ring = F.array(*(F.col("f")[f"s{i}"] for i in range(M)))
     past = F.zip_with("d", "f.fits", lambda d, f: F.struct(d["ds"].alias("ds"), d["y"].alias("y"), f.alias("yhat"), F.lit(False).alias("IsForecast")))
