@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillroll.llm import oracles
 from tillroll.llm.op01_suffix_dedup import op1_suffix_dedup
 from tillroll.llm.op02_html_extraction import op2_html_extraction
 from tillroll.llm.op03_url_filter import op3_url_filter
@@ -29,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": oracles.OP1, "op5_jaccard_join": oracles.OP5}
