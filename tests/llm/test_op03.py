@@ -1,5 +1,6 @@
 """URL filter: parts and rules against plain Python, model against a brute-force Markov model, held-out accuracy."""
 
+import hashlib
 import math
 import random
 import re
@@ -55,7 +56,7 @@ def test_model_equals_brute_force(spark):
     urls = list({u[0]: u for u in urls}.values())
     df = spark.createDataFrame(urls, "spelled string, verdict string, n long")
     got = {r.spelled: r.score for r in op.scores(df).collect()}
-    held = {r.spelled for r in df.selectExpr("spelled", "pmod(xxhash64(3, spelled), 4) = 0 as h").collect() if r.h}
+    held = {u for u, _, _ in urls if hashlib.md5(u.encode()).hexdigest()[0] in "0123"}
     seen = {c: Counter() for c in op.CLASSES}
     for u, v, n in urls:
         if v and u not in held:

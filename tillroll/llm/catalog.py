@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {"op1_suffix_dedup": oracles.OP1, "op5_jaccard_join": oracles.OP5}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": oracles.OP1, "op3_url_filter": oracles.OP3, "op5_jaccard_join": oracles.OP5}

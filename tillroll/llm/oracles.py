@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import string
 
+from tillroll.llm.op03_url_filter import ALPHABET, ORDER, RULES
+
 _LOW = f"'{string.ascii_uppercase}', '{string.ascii_lowercase}'"
 
 #: every 400-byte string of every text, compared by its digest
@@ -36,3 +38,43 @@ reach AS (SELECT rid AS u, rid AS v FROM s UNION SELECT r.u, l.v FROM reach r JO
 SELECT s.doc_id, len(s.sh) AS n_shingles, CASE WHEN len(s.sh) = 0 THEN s.doc_id ELSE c.low END AS component_id
 FROM s JOIN (SELECT u, min(t.doc_id) AS low FROM reach JOIN s t ON t.rid = reach.v GROUP BY u) c ON c.u = s.rid
 """
+
+
+def _op3(rules, order: int = 3, alphabet: int = 40) -> str:
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in sorted(rules, key=lambda r: -len(r[0] + r[1]))]
+    rule = " ".join(f"WHEN {f} THEN '{n}'" for f, n, _ in fits)
+    verdict = " ".join(f"WHEN {f} THEN '{v}'" for f, _, v in fits)
+    spare = "substr(md5(spelled), 1, 1) IN ('0', '1', '2', '3')"
+    levels, joins, chance = [], [], {c: f"(1.0::DOUBLE / {alphabet})" for c in ("allow", "block")}
+    for k in range(order + 1):
+        levels.append(f"""q{k} AS (SELECT substr(gram, {order - k + 1}, {k + 1}) AS seq, substr(gram, {order - k + 1}, {k}) AS ctx, sum(allow) AS allow_n, sum(block) AS block_n FROM g GROUP BY 1, 2),
+c{k} AS (SELECT ctx, sum(allow_n) AS allow_all, sum(block_n) AS block_all, count(*) FILTER (WHERE allow_n > 0) AS allow_kinds, count(*) FILTER (WHERE block_n > 0) AS block_kinds FROM q{k} GROUP BY 1)""")
+        joins.append(f"JOIN q{k} ON q{k}.seq = substr(g.gram, {order - k + 1}, {k + 1}) JOIN c{k} ON c{k}.ctx = q{k}.ctx")
+        for c in chance:
+            chance[c] = f"(CASE WHEN c{k}.{c}_all > 0 THEN (q{k}.{c}_n + c{k}.{c}_kinds * {chance[c]}) / (c{k}.{c}_all + c{k}.{c}_kinds) ELSE {chance[c]} END)"
+    return f"""
+WITH p AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hp AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_LOW}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+              regexp_replace(regexp_replace(translate(coalesce(url, ''), {_LOW}), '[0-9]', '0', 'g'), '[^a-z0./:?=&_#%\\-]', '~', 'g') AS spelled FROM p),
+v AS MATERIALIZED (SELECT *, CASE {rule} END AS rule, CASE {verdict} END AS ruled FROM hp),
+u AS (SELECT spelled, ruled, count(*) AS n FROM v GROUP BY 1, 2),
+each AS (SELECT spelled, ruled, n, unnest(list_transform(range(1, length(spelled) + 2), lambda i: substr('{'^' * order}' || spelled || '$', i, {order + 1}))) AS gram FROM u WHERE spelled <> ''),
+g AS MATERIALIZED (SELECT gram, sum(CASE WHEN ruled = 'allow' AND NOT {spare} THEN n ELSE 0 END) AS allow, sum(CASE WHEN ruled = 'block' AND NOT {spare} THEN n ELSE 0 END) AS block FROM each GROUP BY 1),
+{", ".join(levels)},
+w AS (SELECT g.gram, ln({chance["allow"]}) - ln({chance["block"]}) AS weight FROM g {" ".join(joins)}),
+taught AS (SELECT coalesce(sum(allow), 0) > 0 AND coalesce(sum(block), 0) > 0 AS known FROM g),
+s AS MATERIALIZED (SELECT x.spelled, CASE WHEN (SELECT known FROM taught) THEN coalesce(t.score, 0.0) ELSE 0.0 END AS score
+      FROM (SELECT DISTINCT spelled FROM u) x LEFT JOIN (
+        SELECT spelled, sum(weight) / count(*) AS score FROM (SELECT DISTINCT spelled, unnest(list_transform(range(1, length(spelled) + 2), lambda i: {{'i': i, 'gram': substr('{'^' * order}' || spelled || '$', i, {order + 1})}})) AS y FROM u WHERE spelled <> '') z
+        JOIN w ON w.gram = z.y.gram GROUP BY 1) t USING (spelled)),
+hist AS (SELECT least(greatest(round(score * 100), -2000), 2000) AS step, sum(CASE WHEN ruled = 'allow' THEN n ELSE 0 END) AS a, sum(CASE WHEN ruled = 'block' THEN n ELSE 0 END) AS b
+         FROM u JOIN s USING (spelled) WHERE ruled IS NOT NULL AND {spare} GROUP BY 1),
+rates AS (SELECT step, lag(step) OVER o AS last, sum(a) OVER () AS all_a, sum(b) OVER () AS all_b, coalesce(sum(a) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below_a,
+                 coalesce(sum(b) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below_b FROM hist WINDOW o AS (ORDER BY step)),
+best AS (SELECT coalesce(step - 0.5 + CASE WHEN last IS NULL THEN 0 ELSE (last - step) / 2 + 0.5 END, 0) / 100 AS edge FROM rates WHERE all_a > 0 AND all_b > 0
+         ORDER BY round((all_a - below_a) / all_a + below_b / all_b, 12) DESC, step LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= coalesce((SELECT edge FROM best), 0) THEN 'allow' ELSE 'block' END) AS verdict FROM v JOIN s USING (spelled)
+"""
+
+
+OP3 = _op3(RULES, ORDER, ALPHABET)
