@@ -19,6 +19,7 @@ from pyspark.storagelevel import StorageLevel
 
 from tillroll.config import CHURN_FEATURES, DEFAULT, Config
 from tillroll.functions.calendar import elapsed_days
+from tillroll.functions.formatting import fmt_plain_float
 from tillroll.functions.numeric import money_sum, safe_divide
 from tillroll.operators.customers import customer_features_at
 from tillroll.operators.features import snapshot_row
@@ -209,3 +210,8 @@ def watchlist(scored: DataFrame, k: int = 20) -> DataFrame:
                   .orderBy(F.desc("ChurnProbability"), F.asc("CustomerID")).limit(k)
                   .select("CustomerID", "Recency", "Frequency", "Monetary", "ChurnProbability",
                           "ChurnRiskLabel"))
+
+
+def watchlist_table(listed: DataFrame) -> DataFrame:
+    """Display form of the watchlist: the probability as percent text."""
+    return listed.withColumn("ChurnProbability", F.concat(fmt_plain_float(F.col("ChurnProbability") * 100, 1), F.lit("%")))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillroll.functions.formatting import fmt_currency, fmt_fixed, fmt_number
 from tillroll.functions.numeric import money_sum
 from tillroll.functions.calendar import elapsed_days
 from tillroll.functions.numeric import safe_divide
@@ -98,3 +99,10 @@ def clv_scatter(df: DataFrame, q: float = 0.97) -> DataFrame:
         F.first("CustomerTotalSpend").alias("CustomerTotalSpend"))
     cap = quantile_row(per, "CustomerLifetimeValue", [q], ["_cap"])
     return with_scalars(per, cap).where(F.col("CustomerLifetimeValue") <= F.col("_cap")).drop("_cap")
+
+
+def kpi_texts(summary: DataFrame, symbol: str = "£") -> DataFrame:
+    """Display form of the customer KPIs."""
+    return kpi_customers(summary).select(
+        fmt_number("total_customers").alias("total_customers"), fmt_currency("avg_spend", symbol).alias("avg_spend"),
+        fmt_fixed("avg_orders", 1, thousands=False).alias("avg_orders"), fmt_number("repeat_customers").alias("repeat_customers"))

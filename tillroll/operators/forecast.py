@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.config import DEFAULT, Config
-from tillroll.functions.formatting import fmt_fixed
+from tillroll.functions.formatting import fmt_currency, fmt_fixed
 from tillroll.functions.numeric import money_sum
 
 M = 7
@@ -284,3 +284,12 @@ def trend_season(df: DataFrame, horizon: int = DEFAULT.forecast_horizon_days, va
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         return _trend_season_group(pdf, horizon, cfg, changepoints, ridge)
     return daily_series(df, value_col, keys).groupBy("series_key").applyInPandas(fit, FORECAST_SCHEMA)
+
+
+def forecast_card(summed: DataFrame, symbol: str = DEFAULT.currency) -> DataFrame:
+    """The overview's forecast card: the future total, and its signed change against the trailing average."""
+    pct = F.col("pct_change_vs_trailing") * 100
+    sign = F.when(pct >= 0, F.lit("+")).otherwise(F.lit(""))
+    return summed.select("series_key", fmt_currency("forecast_total", symbol).alias("value"),
+                         F.concat(sign, fmt_fixed(pct, 1, thousands=False), F.lit("% vs trailing avg")).alias("delta"),
+                         (F.col("pct_change_vs_trailing") >= 0).alias("positive"))

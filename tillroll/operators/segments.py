@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tillroll.config import DEFAULT, SEGMENT_LABELS, Config
-from tillroll.functions.numeric import money_sum
+from tillroll.functions.formatting import fmt_currency, fmt_plain_float
+from tillroll.functions.numeric import money_sum, np_round
 from tillroll.operators.customers import rfm as rfm_table
 from tillroll.operators.quantiles import quantile_row, with_scalars
 
@@ -146,3 +147,17 @@ def quartile_segments(rfm: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
             .when(m <= F.col("_q3"), F.lit(QUARTILE_SEGMENTS[2]))
             .otherwise(F.lit(QUARTILE_SEGMENTS[3])))
     return with_scalars(rfm, q).withColumn("Segment", seg).drop("_q1", "_q2", "_q3")
+
+
+def frequency_clusters(rfm: DataFrame, k: int) -> DataFrame:
+    """Deterministic clusters (the oracle twin of KMeans for labels): order count modulo k."""
+    return rfm.withColumn("Cluster", (F.col("Frequency") % k).cast("int"))
+
+
+def segment_table(summary: DataFrame, symbol: str = DEFAULT.currency) -> DataFrame:
+    """Display form of the segment summary: rounded means, currency and percent texts."""
+    def pct(c: str):
+        return F.concat(fmt_plain_float(c, 1), F.lit("%")).alias(c)
+    return summary.select("Segment", "Customers", np_round("AvgRecencyDays", 1).alias("AvgRecencyDays"), np_round("AvgFrequency", 1).alias("AvgFrequency"),
+                          fmt_currency("AvgMonetary", symbol).alias("AvgMonetary"), fmt_currency("TotalMonetary", symbol).alias("TotalMonetary"),
+                          pct("PctOfCustomers"), pct("PctOfRevenue"))

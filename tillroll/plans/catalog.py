@@ -7,3 +7,4 @@ from tillroll.plans import q_inventory  # noqa: F401
 from tillroll.plans import q_forecast  # noqa: F401
 from tillroll.plans import q_insights  # noqa: F401
 from tillroll.plans import q_io  # noqa: F401
+from tillroll.plans import q_twins  # noqa: F401
