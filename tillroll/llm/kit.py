@@ -95,11 +95,14 @@ def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataF
         small = (down.join(low, "u").select(F.explode(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*"))
-        now = write(spark, small.where("u <> v").distinct(), "edges")
+        last_edges, now = now, write(spark, small.where("u <> v").distinct(), "edges")
+        discard(last_edges)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == last:
             break
         last = state
     else:
         raise RuntimeError(f"components: no fixed point in {rounds} rounds")
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+    out = write(spark, now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), "roots")
+    discard(now)
+    return out

@@ -6,7 +6,9 @@ shingle of their prefix. In a tile, hashed parity bitmaps bound the overlap from
 
 No link is lost and no group is expanded into its pairs:
 
-* prefix: sets with J >= t share a shingle among the first n - ceil(t n) + 1 of each in any common order. The order puts
+* prefix: sets with J >= t share k shingles among the first n - ceil(t n) + k of each in any common order. With
+  k = 1 + n // ``SPARE``, a set that shares fewer than max(1, n // SPARE) of them with any others (one less than k, as sizes of a pair may lie
+  on both sides of a multiple) links with nothing and goes; twice, as others then lose their shared shingles. The order puts
   shingles last that are common in some part of the input (a bitmap of 2**20 bits, whatever the size of the
   corpus), so passages that many documents hold don't make tiles; it changes the work, never the result;
 * keys with the same members make one tile; a tile's smallest and largest member are compared with all others first
@@ -34,6 +36,8 @@ WORDS = 5
 PERCENT = 80
 #: buckets of the bitmap of common shingles, and the part of a hash that names one
 COMMON_BITS = 20
+#: a set of n shingles looks at n // SPARE more of them than it must, to be sure of sharing more than one
+SPARE = 40
 #: members of a tile that one task compares with each other
 BLOCK = 2048
 #: best candidates of a member in a round; the last round has no limit
@@ -59,7 +63,7 @@ def _common(words: int):
 def _prefix(x: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The prefix of a sorted set in the common order, and which of it is common."""
     n = len(x)
-    p = n - -(-percent * n // 100) + 1
+    p = min(n, n - -(-percent * n // 100) + 1 + n // SPARE)
     hot = common[(x >> np.uint64(64 - COMMON_BITS)).astype(np.int64)]
     cold = x[~hot]
     if len(cold) >= p:
@@ -264,39 +268,53 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """(t, n, root): each different text with shingles, its set size, and the smallest text name of its class."""
     spark = docs.sparkSession
     kit.small_batches(spark)
+    scratch: list[DataFrame] = []
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(kit.write(spark, df, name))
+        return scratch[-1]
+
     rows = docs.select(kit.text_ids()[0], kit.text_of().alias("text"))
     hot = [r.bucket for r in rows.select("text").mapInArrow(_common(words), "bucket long").distinct().collect()]  # 2**20 at most
     common = np.zeros(1 << COMMON_BITS, np.uint8)
     common[hot] = 1
-    shared = kit.write(spark, rows.mapInArrow(_keys(np.packbits(common).tobytes(), words, percent), "key long, salt int, t long")
+    shared = put(rows.mapInArrow(_keys(np.packbits(common).tobytes(), words, percent), "key long, salt int, t long")
                        .repartition("key", "salt").sortWithinPartitions("key", "salt", "t")
                        .mapInArrow(_shared, "key long, salt int, t long"), "keys")
-    sizes = kit.write(spark, shared.where("salt < 0").select("t", (-1 - F.col("salt")).cast("long").alias("n")).distinct(), "sizes")
+    sizes = put(shared.where("salt < 0").select("t", (-1 - F.col("salt")).cast("long").alias("n")).distinct(), "sizes")
     keys = shared.where("salt >= 0").select("key", "t")
+    need = F.greatest(F.lit(1), F.floor(F.col("n") / SPARE))
+    for turn in range(2):
+        if turn:
+            twice = put(keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key"), "twice")
+            keys = keys.join(twice, "key")
+        enough = put(keys.groupBy("t").agg(F.count(F.lit(1)).alias("k")).join(sizes, "t").where(F.col("k") >= need).select("t"), "enough")
+        keys = put(keys.join(enough, "t"), "keys")
     sets = (keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("t")).alias("x"),
                                     F.bit_xor(F.xxhash64(F.lit(1), "t")).alias("y")).where("c > 1")
             .groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key"))
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(126 / percent)).cast("int")  # neighbours hold all that may link
-    tiles = kit.write(spark, keys.join(sets, "key").join(sizes, "t").withColumn("own", band)
+    tiles = put(keys.join(sets, "key").join(sizes, "t").withColumn("own", band)
                       .select("key", "t", "n", "own", F.explode(F.array("own", F.col("own") + 1)).alias("g")), "tiles")
     member = tiles.select("t").distinct()
     texts = kit.keep_on_disk(spark, rows.groupBy(kit.T1).agg(F.first("text").alias("text"))
                              .join(member.withColumnRenamed("t", kit.T1).hint("shuffle_hash"), kit.T1, "left_semi"))
-    bits = kit.write(spark, texts.mapInArrow(_bitmaps(words), "t long, bits binary").join(sizes, "t"), "bits")
+    bits = put(texts.mapInArrow(_bitmaps(words), "t long, bits binary").join(sizes, "t"), "bits")
 
     def links(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("x").alias(kit.T1)).union(pairs.select(F.col("y").alias(kit.T1))).distinct()
-        arrays = kit.write(spark, texts.join(ends.hint("shuffle_hash"), kit.T1, "left_semi").mapInArrow(_arrays(words), "t long, shingles binary"), "arrays")
+        arrays = put(texts.join(ends.hint("shuffle_hash"), kit.T1, "left_semi").mapInArrow(_arrays(words), "t long, shingles binary"), "arrays")
         both = (pairs.join(arrays.toDF("x", "sx"), "x").join(arrays.toDF("y", "sy"), "y").select("x", "y", "sx", "sy"))
-        return kit.write(spark, both.mapInArrow(_links(percent), "u long, v long"), "links")
+        return put(both.mapInArrow(_links(percent), "u long, v long"), "links")
 
     ends = tiles.groupBy("key", "g").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi")
     star = (tiles.join(ends, ["key", "g"]).select(F.col("t").alias("x"), F.explode(F.array("lo", "hi")).alias("y")).where("x <> y").distinct())
     left, right = bits.toDF("x", "bx", "nx"), bits.toDF("y", "by", "ny")
     star = star.join(left, "x").join(right, "y").where(f"100 * nx >= {percent} * ny and 100 * ny >= {percent} * nx")
-    found = [links(kit.write(spark, star.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(_may_link(percent), "x long, y long"), "pairs"))]
+    found = [links(put(star.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(_may_link(percent), "x long, y long"), "pairs"))]
     for limit in ROUNDS:
         known = kit.components(spark, reduce(DataFrame.union, found))
+        scratch.append(known)
         now = tiles.join(known.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
         mixed = (now.groupBy("key", "g").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("c"), F.max("own").alias("top"))
                  .where("a < b and top = g").select("key", "g", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int").alias("blocks")))
@@ -304,7 +322,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
                  .withColumn("blk", F.pmod(F.xxhash64("t"), F.col("blocks").cast("long")).cast("int"))
                  .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                  .select("key", "g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "t", "root", "n", "blk", "own", "bits"))
-        cand = kit.write(spark, parts.repartition("key", "g", "i", "j").sortWithinPartitions("key", "g", "i", "j")
+        cand = put(parts.repartition("key", "g", "i", "j").sortWithinPartitions("key", "g", "i", "j")
                          .mapInArrow(_tiles(percent, limit), "x long, y long, more boolean")
                          .groupBy("x", "y").agg(F.max("more").alias("more")), "pairs")
         state = cand.agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more")).first()
@@ -313,8 +331,10 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         if not state.more:
             break
     known = kit.components(spark, reduce(DataFrame.union, found))
+    scratch.append(known)
     out = kit.write(spark, sizes.join(known.withColumnRenamed("node", "t"), "t", "left").select("t", "n", F.coalesce("root", "t").alias("root")), "classes")
     texts.unpersist()
+    kit.discard(*scratch)
     return out
 
 
