@@ -37,7 +37,7 @@ PERCENT = 80
 #: buckets of the bitmap of common shingles, and the part of a hash that names one
 COMMON_BITS = 20
 #: a set of n shingles looks at n // SPARE more of them than it must, to be sure of sharing more than one
-SPARE = 40
+SPARE = 20
 #: members of a tile that one task compares with each other
 BLOCK = 2048
 #: best candidates of a member in a round; the last round has no limit
@@ -312,10 +312,11 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     left, right = bits.toDF("x", "bx", "nx"), bits.toDF("y", "by", "ny")
     star = star.join(left, "x").join(right, "y").where(f"100 * nx >= {percent} * ny and 100 * ny >= {percent} * nx")
     found = [links(put(star.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(_may_link(percent), "x long, y long"), "pairs"))]
+    left_over = tiles  # tiles with a member whose candidates were cut; in all others every candidate is compared
     for limit in ROUNDS:
         known = kit.components(spark, reduce(DataFrame.union, found))
         scratch.append(known)
-        now = tiles.join(known.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
+        now = left_over.join(known.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
         mixed = (now.groupBy("key", "g").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("c"), F.max("own").alias("top"))
                  .where("a < b and top = g").select("key", "g", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int").alias("blocks")))
         parts = (now.join(mixed, ["key", "g"]).join(bits.select("t", "bits"), "t")
@@ -330,6 +331,8 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
             found.append(links(cand))
         if not state.more:
             break
+        cut = cand.where("more").select(F.col("x").alias("t")).distinct()
+        left_over = put(tiles.join(put(tiles.join(cut, "t").select("key", "g").distinct(), "again"), ["key", "g"]), "tiles")
     known = kit.components(spark, reduce(DataFrame.union, found))
     scratch.append(known)
     out = kit.write(spark, sizes.join(known.withColumnRenamed("node", "t"), "t", "left").select("t", "n", F.coalesce("root", "t").alias("root")), "classes")
