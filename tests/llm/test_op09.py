@@ -42,6 +42,24 @@ def test_slots_must_agree(spark):
     assert [r.doc_id for r in op.decontamination(df, spark.createDataFrame([(1, votes, 0)], ITEM)).collect()] == [2]
 
 
+def test_each_occurrence_is_judged_by_itself(spark):
+    """A worksheet asks a question several times, each with its own values; accidental frames elsewhere don't excuse a copy."""
+    rng = random.Random(5)
+    once = AGAIN
+    more = AGAIN.replace("Bob", "Carl").replace("75", "80").replace("4 days", "6 days")
+    half = len(QUESTION.split()) // 2
+    gap = [" ".join(x.split()[:half]) + ". " + noise(rng, 60) + " " + " ".join(x.split()[half:]) for x in (once, more)]
+    docs = [(1, f"{once}. {noise(rng, 5)}. {more}", ""), (2, ". ".join(once.replace("Bob", x).replace("75", str(i)) for i, x in enumerate(["Ada", "Ben", "Cy", "Di"] * 10)), ""),
+            (3, f"{noise(rng, 30)}. {once}. {MIXED}. {MIXED.replace('Bob', 'Dan')}", ""), (4, f"{MIXED}. {MIXED.replace('Bob', 'Dan')}", ""),
+            (5, f"{once}. {noise(rng, 5)}. {once}", ""), (6, MIXED, ""), (7, f"{gap[0]}. {gap[1]}", "")]
+    items = spark.createDataFrame([(1, QUESTION, 0)], ITEM)
+    got = {r.doc_id: r for r in op.decontamination(spark.createDataFrame(docs, DOC), items).collect()}
+    assert set(got) == {1, 2, 3, 5, 7}
+    assert got[1].covered == got[5].covered and got[1].longest_run == got[5].longest_run and got[1].changed
+    kept = op.without_leaks(spark.createDataFrame(docs, DOC), items)
+    assert sorted(r.doc_id for r in kept.collect()) == [4, 6]
+
+
 def test_empty(spark):
     d, b = spark.createDataFrame([(1, QUESTION, "")], DOC), spark.createDataFrame([(1, QUESTION, 0)], ITEM)
     none_d, none_b = spark.createDataFrame([], DOC), spark.createDataFrame([], ITEM)

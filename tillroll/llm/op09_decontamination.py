@@ -4,7 +4,8 @@ Words are canonicalised: numbers, units after a number, and names (capitalised i
 placeholders, other words lose case and punctuation. Windows of ``WINDOW`` canonical words of the benchmark items are hash-joined with those of
 all documents; a second set of windows keeps every word literally (lower-cased), for texts in capitals or title case. A match keeps
 what its placeholders stood for: slots are consistent if, over all matched windows of an item in a document, one value of
-the item always becomes one value of the document of the same type. So a question asked again with other numbers and names is caught,
+the item always becomes one value of the document of the same type. Where they are not, each occurrence of the item is judged by itself
+(windows of nearly equal distance from the item's, or in the item's order), since a document may ask one question several times. So a question asked again with other numbers and names is caught,
 an accidental sentence frame is not.
 
 A document leaks an item if consistent windows cover at least half of the item's words, or ``RUN`` words in a row.
@@ -32,6 +33,8 @@ LITERAL = 4
 COVER = 0.5
 RUN = 13
 CONSISTENT = 0.9
+#: words that an occurrence may be shifted by from one window to the next
+DRIFT = 4
 BITS = 22
 UNITS = ("km m cm mm mile miles ft feet inch inches kg g mg lb lbs pound pounds ton tons l ml liter liters litre litres gallon gallons s sec second seconds "
          "min minute minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent "
@@ -137,31 +140,74 @@ def _matches(sizes: list[int], packed: bytes | None):
     return run
 
 
+def _steady(hits: list[dict], consistent: float) -> bool:
+    """Whether one value of the item always becomes one value of the document in these windows."""
+    votes: dict[tuple[int, int], dict[int, int]] = {}
+    for h in hits:
+        if h["kind"]:
+            for q in range(0, len(h["slots"]), 2):
+                seen = votes.setdefault((h["item_slots"][q], h["item_slots"][q + 1]), {})
+                seen[h["slots"][q + 1]] = seen.get(h["slots"][q + 1], 0) + 1
+    total = sum(sum(v.values()) for v in votes.values())
+    return total == 0 or sum(max(v.values()) for v in votes.values()) >= consistent * total
+
+
+def _occurrences(hits: list[dict]) -> list[list[dict]]:
+    """The template windows of each place where a document may hold the item: those of nearly equal at - item_at, and those that
+    follow one another in the document as they do in the item, whatever stands between them."""
+    forms = [h for h in hits if h["kind"]]
+    out: list[list[dict]] = []
+    last = None
+    for h in sorted(forms, key=lambda h: (h["at"] - h["item_at"], h["at"])):
+        shift = h["at"] - h["item_at"]
+        if last is None or shift - last > DRIFT:
+            out.append([])
+        out[-1].append(h)
+        last = shift
+    chains: list[list[dict]] = []
+    places: dict[int, list[dict]] = {}
+    for h in forms:
+        places.setdefault(h["at"], []).append(h)
+    for at in sorted(places):
+        same = sorted(places[at], key=lambda h: h["item_at"])
+        after = chains[-1][-1]["item_at"] if chains else 0
+        h = next((h for h in same if chains and h["item_at"] > after), None)
+        if h is None:
+            chains.append([same[0]])
+        else:
+            chains[-1].append(h)
+    return out + chains
+
+
 def _judge(cover: float, run_words: int, consistent: float):
     """Leaks among (text, item) pairs with all their matched windows."""
+    def measure(hits: list[dict], n: int) -> tuple[int, int]:
+        good = set()
+        for h in hits:
+            good.update(range(h["item_at"], h["item_at"] + h["size"]))
+        longest = now = 0
+        for w in range(n):
+            now = now + 1 if w in good else 0
+            longest = max(longest, now)
+        return len(good), longest
+
     def run(batches):
         for b in batches:
             out = []
             for key, item, n, hits in zip(b.column("key").to_pylist(), b.column("item").to_pylist(), b.column("n_words").to_pylist(), b.column("hits").to_pylist(), strict=True):
-                good = set()
-                votes: dict[tuple[int, int], dict[int, int]] = {}
-                for h in hits:
-                    if h["kind"]:
-                        for q in range(0, len(h["slots"]), 2):
-                            seen = votes.setdefault((h["item_slots"][q], h["item_slots"][q + 1]), {})
-                            seen[h["slots"][q + 1]] = seen.get(h["slots"][q + 1], 0) + 1
-                total = sum(sum(v.values()) for v in votes.values())
-                steady = total == 0 or sum(max(v.values()) for v in votes.values()) >= consistent * total
-                for h in hits:
-                    if not h["kind"] or steady:
-                        good.update(range(h["item_at"], h["item_at"] + h["size"]))
-                longest = now = 0
-                for w in range(n):
-                    now = now + 1 if w in good else 0
-                    longest = max(longest, now)
-                if len(good) >= cover * n or longest >= run_words:
-                    exact = any(not h["kind"] for h in hits)
-                    out.append((key, item, len(good) / n, longest, not exact, min(h["at"] for h in hits)))
+                literal = [h for h in hits if not h["kind"]]
+                if _steady(hits, consistent):
+                    tried = [hits]
+                else:  # the values differ from one occurrence to the next: each is judged by itself
+                    tried = [literal, *(literal + x for x in _occurrences(hits) if _steady(x, consistent))]
+                best = None
+                for some in tried:
+                    good, longest = measure(some, n)
+                    if good >= cover * n or longest >= run_words:
+                        found = (good, longest, -min(h["at"] for h in some))
+                        best = found if best is None else max(best, found)
+                if best is not None:
+                    out.append((key, item, best[0] / n, best[1], not literal, -best[2]))
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.bool_(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)],
                                              names=["key", "item", "covered", "longest_run", "changed", "first_word"])
