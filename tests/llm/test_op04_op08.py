@@ -39,6 +39,24 @@ def test_ids_equal_the_library(library):
     assert got == [library(x) for x in texts]
 
 
+def test_spelled_out_added_tokens(spark, tmp_path):
+    """Against the library as it stands: <|endoftext|> in a text is one id, also beside other text, white space and row borders."""
+    t = Tokenizer.from_file(tokens.default_path())
+    plain = lambda x: t.encode(x or "", add_special_tokens=False).ids
+    rng = random.Random(8)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "<", "|>", "'", "s", "re", " ", "  ", "\n", "a", "é", "1", "!", "😀"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(4000)] + ["x<|endof", "text|>y", None, "", "a<|endoftext|>b"]
+    got = [list(map(int, ids)) for _, ids in tokens.rows_of_ids(pa.array(texts), tokens.default_path(), added=True)]
+    assert got == [plain(x) for x in texts] and got[-1] == [64, 50256, 65]
+    data = [(i, x, "x") for i, x in enumerate(texts[-300:])]
+    rows = op4.best_fit_packing(spark.createDataFrame(data, SCHEMA)).collect()
+    want = [(i, len(plain(x)) + 1, zlib.crc32(np.array(plain(x) + [0], "<u4").tobytes())) for i, x, _ in data]
+    assert sorted((r[0], r[3], r[4]) for r in rows) == want
+    op8.write_packed(op8.packed_matrices(spark.createDataFrame(data, SCHEMA)), str(tmp_path / "packed"))
+    back = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in op8.unpack(spark.read.parquet(str(tmp_path / "packed"))).collect()}
+    assert back == {i: plain(x) + [op8.END_ID] for i, x, _ in data}
+
+
 def brute_best_fit(lengths, capacity):
     bins = []
     for n in sorted(lengths, reverse=True):

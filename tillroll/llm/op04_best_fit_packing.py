@@ -45,7 +45,7 @@ def _pieces(path: str, capacity: int, end_id: int):
         turn = 0
         for b in batches:
             doc, piece, start, length, crc = [], [], [], [], []
-            for r, ids in tokens.rows_of_ids(b.column("text"), path):
+            for r, ids in tokens.rows_of_ids(b.column("text"), path, added=True):
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
                 at = 0
                 for k, n in enumerate(piece_lengths(len(ids), capacity)):

@@ -105,7 +105,7 @@ def _matrices(path: str, capacity: int, end_id: int, pad_id: int):
         held, size, done = [], 0, 0
         for b in batches:
             doc_ids = b.column("doc_id").to_pylist()
-            for r, ids in tokens.rows_of_ids(b.column("text"), path):
+            for r, ids in tokens.rows_of_ids(b.column("text"), path, added=True):
                 ids = np.append(ids, np.uint32(end_id))
                 at = 0
                 for k, n in enumerate(piece_lengths(len(ids), capacity)):

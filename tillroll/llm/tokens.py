@@ -1,6 +1,8 @@
 """Byte-level BPE ids of whole Arrow batches.
 
-The file is a public tokenizer in the ``tokenizers`` JSON format; ids equal that library's. Texts repeat
+The file is a public tokenizer in the ``tokenizers`` JSON format; ids equal that library's: with ``added``, those of ``encode(text,
+add_special_tokens=False)`` as it stands, where an added token that a text spells out (``<|endoftext|>``) gets its own id; without,
+those of ``encode_special_tokens = True``, where it is text like any other. The queries use the former. Texts repeat
 their words, so a batch is cut into word pieces with vectorised character classes, and pieces are looked up in a
 table of fixed size by a 64-bit name; only pieces that aren't there are encoded. What the table holds changes the speed, never the ids.
 """
@@ -8,6 +10,7 @@ table of fixed size by a 64-bit name; only pieces that aren't there are encoded.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -80,13 +83,17 @@ def cut_pieces(cp: np.ndarray, row: np.ndarray) -> np.ndarray:
 class Encoder:
     """Ids of rows of text; one a worker, see :func:`encoder`."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         vocab = model["model"]["vocab"]
         special = {t["content"] for t in model.get("added_tokens", ())}
+        self.added = {t["content"]: t["id"] for t in model.get("added_tokens", ()) if t["content"]} if added else {}
+        if added and any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in model.get("added_tokens", ())):
+            raise ValueError("added tokens that take in their surroundings are not supported")
+        self.find = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         back = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in printable)}
         ranks = {bytes(back[c] for c in t): i for t, i in vocab.items() if t not in special}
@@ -108,6 +115,19 @@ class Encoder:
         self.used += len(flat)
         return at, count
 
+    def _spelled(self, text: str, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the added tokens within each row."""
+        found = []
+        if self.find is not None and self.find.search(text):
+            for lo, hi in zip(row[:-1].tolist(), row[1:].tolist(), strict=True):
+                found += [m.span() for m in self.find.finditer(text, lo, hi)]
+        spans = np.array(found, np.int64).reshape(-1, 2)
+        return spans[:, 0], spans[:, 1]
+
+    def _encode(self, piece: str) -> list[int]:
+        whole = self.added.get(piece)
+        return [whole] if whole is not None else self.core.encode_single_piece(piece.encode())
+
     def slab(self, raw: bytes, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): ids of all rows raw[off[i]:off[i+1]] and the place in ids where each row starts, one more at the end."""
         if self.used > POOL:
@@ -116,7 +136,11 @@ class Encoder:
         cp = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
         lead = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
         row = np.concatenate(([0], np.cumsum(lead)))[off]
-        start = cut_pieces(cp, row[:-1])
+        lo, hi = self._spelled(text, row)
+        start = cut_pieces(cp, np.union1d(row[:-1], np.concatenate((lo, hi))) if len(lo) else row[:-1])
+        if len(lo):  # an added token is one piece, what stands before and after it are texts of their own
+            k = np.searchsorted(lo, start, side="right") - 1
+            start = start[(k < 0) | (start == lo[k]) | (start >= hi[k])]
         end = np.concatenate((start[1:], [len(cp)])) if len(start) else start
         pw, _ = scan.powers(len(cp) + 1)
         c = np.zeros(len(cp) + 1, U)
@@ -128,8 +152,7 @@ class Encoder:
         if len(miss):
             new, first, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
             i = miss[first]
-            single = self.core.encode_single_piece
-            a, k = self._add([single(text[x:y].encode()) for x, y in zip(start[i].tolist(), end[i].tolist(), strict=True)])
+            a, k = self._add([self._encode(text[x:y]) for x, y in zip(start[i].tolist(), end[i].tolist(), strict=True)])
             at[miss], count[miss] = a[inverse], k[inverse]
             s = slot[i]
             self.key[s], self.at[s], self.count[s] = new, a, k
@@ -139,14 +162,14 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, added: bool = False) -> Encoder:
+    return Encoder(path, added)
 
 
-def rows_of_ids(col: pa.Array, path: str):
-    """(row, ids) of a text column, whole texts; null counts as empty."""
+def rows_of_ids(col: pa.Array, path: str, added: bool = False):
+    """(row, ids) of a text column, whole texts; null counts as empty. ``added``: added tokens that a text spells out get their ids."""
     data, off = scan.text_buffer(col)
-    enc = encoder(path)
+    enc = encoder(path, added)
     for i, j in scan.slabs(off):
         lo = int(off[i])
         ids, place = enc.slab(data[lo:int(off[j])].tobytes(), off[i:j + 1] - lo)
