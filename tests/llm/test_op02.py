@@ -69,3 +69,22 @@ def test_markup():
     assert text("<p>" + "word " * 300_000).count(" ") == 299_999
     assert text("<div>" * 50_000 + "deep") == "deep"
     assert text("<a title=\"never closed " + "<b x='" * 2000) is not None
+
+
+def test_wrappers_of_the_page_are_not_cut():
+    body, aside = "word " * 40, "<div class='sidebar'><p>see this too</p></div>"
+    for name in ("with-sidebar", "no-sidebar", "has-sidebar side-by-side", "search-results", "feedback-enabled"):
+        for i in ("", " id='wrapper'"):
+            assert text(f"<div class='{name}'{i}><article><p>{body}</p></article>{aside}</div>") == body.strip()
+            assert text(f"<div class='{name}'{i}><main><p>{body}</p></main>{aside}</div>") == body.strip()
+            assert text(f"<div class='{name}'{i}><div itemprop='articleBody'><p>{body}</p></div>{aside}</div>") == body.strip()
+            assert text(f"<div class='{name}'{i}><p>{body}</p>{aside}</div>") == body.strip()
+    assert text(f"<body><form action='/'><nav>a b c</nav><article><p>{body}</p></article></form></body>") == body.strip()
+    assert text(f"<body><form action='/'><nav>a b c</nav><p>{body}</p><form>send</form></form></body>") == body.strip()
+    assert text(f"<div class='no-sidebar'><div class='with-menu'><form><article><p>{body}</p></article></form></div></div>") == body.strip()
+    # what is no wrapper stays cut
+    assert text(f"<article><p>{body}</p><aside class='related'><article>a card</article></aside></article>") == body.strip()
+    assert text(f"<article><p>{body}</p></article><div id='comments'><article class='comment'><p>{body * 5}</p></article></div>") == body.strip()
+    assert text(f"<p>{body}</p><div id='comments'><p>{'reply ' * 90}</p></div>") == body.strip()
+    assert text(f"<p>{body}</p><div hidden><article>{body}</article></div>") == body.strip()
+    assert text("<div class='with-sidebar'>" * 50_000 + "deep") == "deep"

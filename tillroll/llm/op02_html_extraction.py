@@ -5,7 +5,9 @@ its own; one linear scan keeps the best sum that ends at each place and so finds
 pages that say where their content is (an ``article``, ``main`` or ``itemprop=articleBody`` element): log-odds of an element's words and of
 a tag inside against outside, from a bounded sample (``SAMPLE`` pages of the smallest hash), kept positive for words and
 negative for tags. Inside the region, elements that never are content (menus, headers and footers of the page, sidebars, notices,
-adverts, forms, reader comments, by element, role, or class and id) are cut out with all they hold; scripts, styles and comments of the
+adverts, forms, reader comments, by element, role, or class and id) are cut out with all they hold, unless one proves to wrap the page
+when it closes: it holds a ``main`` or articleBody, or most of the page's marked words (inside marked content: with a marked element, or all but a tenth); or, on a page that marks nothing, it is a form or was named
+by class or id and holds most of the page's words (a comment list: all but a tenth). Elements inside such a wrapper are judged in turn; scripts, styles and comments of the
 markup are no text at all. Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed.
 
 Counting weights and extracting are Spark jobs over whole pages; only the table of weights (some hundred elements at most)
@@ -50,22 +52,57 @@ PART = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 SPACES = re.compile(r"\s+")
 
 
-def _marks(name: str, rest: str, within: int) -> tuple[bool, bool]:
-    """Whether an element is cut out, and whether it says that it holds the content."""
-    cut, home = name in CUT or (name == "header" and not within), name in HOME
+def _marks(name: str, rest: str, within: int) -> tuple[str, bool, bool]:
+    """Why an element is cut out ("" if it is not), whether it says that it holds the content, and whether class or id call it something else."""
+    cut, home = "element" if name in CUT or (name == "header" and not within) else "", name in HOME
+    if name in ("form", "fieldset"):
+        cut = "name"
+    sure = other = False
     if rest and "=" in rest or "hidden" in rest:
         for m in ATTRIBUTE.finditer(rest):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key == "role":
-                cut |= value.lower() in CUT_ROLES
+                if value.lower() in CUT_ROLES:
+                    cut = cut or ("name" if value.lower() == "form" else "element")
             elif key == "itemprop":
-                home |= value.lower() == "articlebody"
+                sure |= value.lower() == "articlebody"
             elif key == "hidden" and m[0].strip().lower() == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                cut = True
+                cut = "hidden"
             elif key in ("class", "id"):
                 parts = {p for w in value.split() for p in PART.split(w) if p} | {p for w in value.lower().split() for p in re.split(r"[^a-z]+", w)}
-                cut |= bool(parts & COMMENT_WORDS) or (bool(parts & CUT_WORDS) and not parts & KEEP_WORDS)
-    return cut and name not in ("html", "body", "article", "main"), home
+                if parts & COMMENT_WORDS:
+                    other = True
+                    cut = cut if cut in ("hidden", "element") else "comments"
+                elif parts & CUT_WORDS and not parts & KEEP_WORDS:
+                    other = True
+                    cut = cut or "name"
+    return "" if name in ("html", "body", "article", "main") else cut, home or sure, other and name != "main" and not sure
+
+
+def _settle(items: list[tuple], spans: list[list], proper: list[bool]) -> list[tuple]:
+    """Items with the cuts of ``spans`` (first item, end, why, holds a main or articleBody, holds any marked element, opens in one), as they open, that do not prove to wrap the page.
+    ``proper``: whether an item stands in marked content that is not called comments, advert or the like."""
+    words, marked = [0], [0]
+    for x, p in zip(items, proper, strict=True):
+        n = len(x[0].split()) if x[0] is not None else 0
+        words.append(words[-1] + n)
+        marked.append(marked[-1] + n * p)
+    reach = 0
+    flags = [False] * len(items)
+    for i, j, why, sure, nested, inside in spans:
+        if i < reach:  # inside an element that is cut
+            continue
+        held, home = words[j] - words[i], marked[j] - marked[i]
+        if why == "hidden":
+            wraps = False
+        elif marked[-1]:
+            wraps = home > 0 and (sure or (nested or not inside) and 2 * home > marked[-1] or why in ("name", "comments") and 10 * home > 9 * marked[-1])
+        else:
+            wraps = why == "name" and 2 * held > words[-1] or why == "comments" and 10 * held > 9 * words[-1]
+        if not wraps:
+            flags[i:j] = [True] * (j - i)
+            reach = max(reach, j)
+    return [(x[0], x[1], f, *x[3:]) for x, f in zip(items, flags, strict=True)]
 
 
 def read_page(page: str) -> list[tuple]:
@@ -74,14 +111,43 @@ def read_page(page: str) -> list[tuple]:
     words: list[str] = []
     inline: list[str] = []
     element, elements = "body", ["body"]
-    cut_name, cut_depth = "", 0
-    homes: list[str] = []
+    depth: dict[str, int] = {}  # open elements by name
+    spans: list[list] = []  # cuts as they open, see _settle
+    cuts: list[tuple[str, int, int]] = []  # open cuts: name, its depth before, place in spans
+    levels: dict[str, list[int]] = {}  # depths of the open cuts of a name
+    homes: list[tuple[str, bool]] = []
+    proper: list[bool] = []
     at, n = 0, len(page)
 
+    def open_cut(name: str, why: str) -> None:
+        cuts.append((name, depth.get(name, 0), len(spans)))
+        levels.setdefault(name, []).append(depth.get(name, 0))
+        spans.append([len(items), -1, why, False, False, any_proper()])
+
+    def end_cut() -> tuple[str, int]:
+        name, level, k = cuts.pop()
+        levels[name].pop()
+        spans[k][1] = len(items)
+        if cuts:
+            for f in (3, 4):
+                spans[cuts[-1][2]][f] |= spans[k][f]
+        return name, level
+
+    def close_cuts(name: str) -> None:
+        """Ends the cut that a closing tag closes, and those opened in it."""
+        depth[name] = max(depth.get(name, 0) - 1, 0)
+        if levels.get(name) and levels[name][-1] >= depth[name]:
+            while end_cut() != (name, depth[name]):
+                pass
+
+    def any_proper() -> bool:
+        return len(homes) > 0 and homes[-1][1]
+
     def close_block() -> None:
         text = SPACES.sub(" ", html.unescape("".join(words))).strip()
         if text:
-            items.append((text, element, cut_depth > 0, len(homes) > 0, tuple(inline)))
+            items.append((text, element, False, len(homes) > 0, tuple(inline)))
+            proper.append(any_proper())
         words.clear()
         inline.clear()
 
@@ -124,49 +190,56 @@ def read_page(page: str) -> list[tuple]:
             if name == "br":
                 words.append(" ")
             inline.append(name)
-            if not closing and name not in VOID and not cut_depth:
-                cut, _ = _marks(name, rest, len(homes))
+            if name in VOID:
+                continue
+            if closing:
+                if levels.get(name) and levels[name][-1] >= depth[name] - 1:
+                    close_block()
+                close_cuts(name)
+            else:
+                cut, _, _ = _marks(name, rest, len(homes))
                 if cut and rest:
                     close_block()
-                    cut_name, cut_depth = name, 1
-            elif cut_depth and name == cut_name:
-                if closing:
-                    if cut_depth == 1:
-                        close_block()
-                    cut_depth -= 1
-                elif name not in VOID:
-                    cut_depth += 1
+                    open_cut(name, cut)
+                depth[name] = depth.get(name, 0) + 1
             continue
         close_block()
-        if cut_depth and cut_name in ("p", "li", "dt", "dd") and not (closing and name == cut_name):
-            cut_depth = 0  # such an element ends where the next block begins
-        cut, home = _marks(name, rest, len(homes)) if not closing else (False, False)
-        if closing and homes and name == homes[-1]:
+        while cuts and cuts[-1][0] in ("p", "li", "dt", "dd") and not (closing and name == cuts[-1][0]):
+            end_cut()  # such an element ends where the next block begins
+        cut, home, other = _marks(name, rest, len(homes)) if not closing else ("", False, False)
+        if closing and homes and name == homes[-1][0]:
             homes.pop()
-        items.append((None, name, cut_depth > 0 or cut, len(homes) > 0 or home, ()))
+        opens = not closing and name not in VOID and not rest.endswith("/")
+        if cut:
+            open_cut(name, cut)
+        items.append((None, name, False, len(homes) > 0 or home, ()))
+        proper.append(any_proper())
+        if cut and not opens:
+            end_cut()
         if closing:
-            if cut_depth and name == cut_name:
-                cut_depth -= 1
+            close_cuts(name)
             while len(elements) > 1 and elements[-1] != name and name in elements:
                 elements.pop()
             if len(elements) > 1 and elements[-1] == name:
                 elements.pop()
-        elif name not in VOID and not rest.endswith("/"):
+        elif opens:
             if home:
-                homes.append(name)
-            elif homes and name == homes[-1]:
-                homes.append(name)
-            if cut_depth:
-                cut_depth += name == cut_name
-            elif cut:
-                cut_name, cut_depth = name, 1
+                if cuts and not other:
+                    spans[cuts[-1][2]][3] |= name != "article"
+                    spans[cuts[-1][2]][4] = True
+                homes.append((name, not other and (not homes or homes[-1][1])))
+            elif homes and name == homes[-1][0]:
+                homes.append((name, homes[-1][1]))
+            depth[name] = depth.get(name, 0) + 1
             if name in ("p", "li", "dt", "dd", "td", "th", "tr") and elements[-1] == name:
                 elements.pop()
             if len(elements) < 512:
                 elements.append(name)
         element = elements[-1]
     close_block()
-    return items
+    while cuts:
+        end_cut()
+    return _settle(items, spans, proper) if spans else items
 
 
 def count_items(items: list[tuple]) -> Counter:
