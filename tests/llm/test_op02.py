@@ -88,3 +88,15 @@ def test_wrappers_of_the_page_are_not_cut():
     assert text(f"<p>{body}</p><div id='comments'><p>{'reply ' * 90}</p></div>") == body.strip()
     assert text(f"<p>{body}</p><div hidden><article>{body}</article></div>") == body.strip()
     assert text("<div class='with-sidebar'>" * 50_000 + "deep") == "deep"
+
+
+def test_long_attribute_values():
+    long = '{"html":' + "<b class=ad>x</b> <p>no text</p> 1 > 0 hidden " * 2500 + "}"
+    assert len(long) > 100_000
+    for tag in ("p", "a", "div"):
+        assert text(f"<p>a</p><{tag} class='x' data-state='{long}'>kept</{tag}><p>b</p>") == "a\nkept\nb"
+        assert text(f"<p>a</p><{tag} data-state='{long}' class='ad'>gone</{tag}><p>b</p>") == "a\nb"
+    assert text("<p>a</p><p title=it's>b</p><p>that's c</p>") == "a\nb\nthat's c"
+    assert text("<p>a</p><p data-x='class=\"ad\" hidden'>b</p>") == "a\nb"
+    assert text("<p>a</p><p title='never closed>b</p><p>c</p>") == "a\nb\nc"
+    assert "end" in text("<a x='>' " * 50_000 + "y=\"> end")

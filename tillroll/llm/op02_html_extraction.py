@@ -46,36 +46,72 @@ CUT_WORDS = frozenset(("ad ads adv advert adverts advertisement advertising spon
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion feedback".split())
 KEEP_WORDS = frozenset("article content main body post entry story text page container wrapper".split())
 HOME = frozenset(("article", "main"))
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]|"[^"]{0,20000}+"|'[^']{0,20000}+')*+)>""")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+TAG = re.compile(r"<(/?)([^\W\d_][^\s/>]*+)")
+MARKING = ("role", "itemprop", "hidden", "aria-hidden", "class", "id")
+BETWEEN = re.compile(r"[\s/]*+")
+ATTRIBUTE = re.compile(r"[^\s/>][^\s/>=]*+")
+EQUALS = re.compile(r"\s*+=\s*+")
+BARE = re.compile(r"[^\s>]*+")
 PART = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 SPACES = re.compile(r"\s+")
 
 
-def _marks(name: str, rest: str, within: int) -> tuple[str, bool, bool]:
+def _attributes(page: str, at: int, unclosed: set[str]) -> tuple[int, dict[str, str | None]]:
+    """The place of the > that ends a tag whose name ends at ``at`` (-1 if none does), and its attributes, values of any length.
+    A quote that is never closed is skipped; ``unclosed`` remembers it, so that a page is read once however many there are."""
+    found: dict[str, str | None] = {}
+    n = len(page)
+    while True:
+        at = BETWEEN.match(page, at).end()
+        if at >= n:
+            return -1, found
+        if page[at] == ">":
+            return at, found
+        m = ATTRIBUTE.match(page, at)
+        key, at = m[0].lower(), m.end()
+        value = None
+        m = EQUALS.match(page, at)
+        if m:
+            at = m.end()
+            quote = page[at:at + 1]
+            if quote in ('"', "'"):
+                end = -1 if quote in unclosed else page.find(quote, at + 1)
+                if end < 0:
+                    unclosed.add(quote)
+                    at += 1
+                else:
+                    value, at = page[at + 1:end], end + 1
+            else:
+                m = BARE.match(page, at)
+                value, at = m[0], m.end()
+        found.setdefault(key, value)
+
+
+def _marks(name: str, rest: dict[str, str | None], within: int) -> tuple[str, bool, bool]:
     """Why an element is cut out ("" if it is not), whether it says that it holds the content, and whether class or id call it something else."""
     cut, home = "element" if name in CUT or (name == "header" and not within) else "", name in HOME
     if name in ("form", "fieldset"):
         cut = "name"
     sure = other = False
-    if rest and "=" in rest or "hidden" in rest:
-        for m in ATTRIBUTE.finditer(rest):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key == "role":
-                if value.lower() in CUT_ROLES:
-                    cut = cut or ("name" if value.lower() == "form" else "element")
-            elif key == "itemprop":
-                sure |= value.lower() == "articlebody"
-            elif key == "hidden" and m[0].strip().lower() == "hidden" or key == "aria-hidden" and value.lower() == "true":
-                cut = "hidden"
-            elif key in ("class", "id"):
-                parts = {p for w in value.split() for p in PART.split(w) if p} | {p for w in value.lower().split() for p in re.split(r"[^a-z]+", w)}
-                if parts & COMMENT_WORDS:
-                    other = True
-                    cut = cut if cut in ("hidden", "element") else "comments"
-                elif parts & CUT_WORDS and not parts & KEEP_WORDS:
-                    other = True
-                    cut = cut or "name"
+    for key in MARKING if rest else ():
+        if key not in rest:
+            continue
+        value = rest[key] or ""
+        if key == "role":
+            if value.lower() in CUT_ROLES:
+                cut = cut or ("name" if value.lower() == "form" else "element")
+        elif key == "itemprop":
+            sure |= value.lower() == "articlebody"
+        elif key == "hidden" and rest[key] is None or key == "aria-hidden" and value.lower() == "true":
+            cut = "hidden"
+        elif key in ("class", "id"):
+            parts = {p for w in value.split() for p in PART.split(w) if p} | {p for w in value.lower().split() for p in re.split(r"[^a-z]+", w)}
+            if parts & COMMENT_WORDS:
+                other = True
+                cut = cut if cut in ("hidden", "element") else "comments"
+            elif parts & CUT_WORDS and not parts & KEEP_WORDS:
+                other = True
+                cut = cut or "name"
     return "" if name in ("html", "body", "article", "main") else cut, home or sure, other and name != "main" and not sure
 
 
@@ -117,6 +153,7 @@ def read_page(page: str) -> list[tuple]:
     levels: dict[str, list[int]] = {}  # depths of the open cuts of a name
     homes: list[tuple[str, bool]] = []
     proper: list[bool] = []
+    unclosed: set[str] = set()
     at, n = 0, len(page)
 
     def open_cut(name: str, why: str) -> None:
@@ -172,16 +209,13 @@ def read_page(page: str) -> list[tuple]:
             at = lt + 1
             continue
         m = TAG.match(page, lt)
-        if m:
-            closing, name, rest, at = bool(m[1]), m[2].lower(), m[3], m.end()
-        else:
-            end = page.find(">", lt)
-            if end < 0:
-                break
-            body = page[lt + 1:end].lstrip("/").split(None, 1)
-            closing, name, rest, at = follow == "/", body[0].lower().rstrip("/") if body else "", body[1] if len(body) > 1 else "", end + 1
+        closing, name = bool(m[1]), m[2].lower()
+        end, rest = _attributes(page, m.end(), unclosed)
+        if end < 0:
+            break
+        whole, at = page[end - 1] == "/", end + 1
         if name in SILENT:
-            if not closing and name != "head" and not rest.endswith("/"):  # all it holds is skipped
+            if not closing and name != "head" and not whole:  # all it holds is skipped
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
                 stop = page.find(">", end.start()) if end else -1
                 at = n if stop < 0 else stop + 1
@@ -209,7 +243,7 @@ def read_page(page: str) -> list[tuple]:
         cut, home, other = _marks(name, rest, len(homes)) if not closing else ("", False, False)
         if closing and homes and name == homes[-1][0]:
             homes.pop()
-        opens = not closing and name not in VOID and not rest.endswith("/")
+        opens = not closing and name not in VOID and not whole
         if cut:
             open_cut(name, cut)
         items.append((None, name, False, len(homes) > 0 or home, ()))
