@@ -50,3 +50,14 @@ def test_measures():
     m = {k: x[:, i] for i, k in enumerate(op.MEASURES)}
     assert m["words"][0] == np.log1p(6) and m["different"][0] == 4 / 6 and m["most_repeated"][0] == 0.5 and m["capitals"][0] == 2 / 18
     assert m["repeated_lines"][3] == 1 - 1 / 3 and m["stops"][0] == 1 / 18 and (x[1] == 0).all() and (x[2] == 0).all()
+
+
+def test_all_unlabelled_rows_are_searched(spark):
+    """The bound on labelled rows is none on the others, and sources beyond those with a column of their own can be told apart."""
+    docs, labels = table(900)
+    docs = [(*x[:3], f"{x[3]}{i % 60}", x[4]) for i, x in enumerate(docs)]
+    known = [x for x in labels if x[0] < 160 and zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    model = op.CoTraining.fit(spark.createDataFrame(docs, DOC), spark.createDataFrame(known, LABEL).select("doc_id", "quality"), rows=100)
+    assert max(map(sum, model.handed.values())) > 400
+    one = spark.createDataFrame([(f"new {i}", "en", [0.0] * len(op.MEASURES)) for i in range(20)], "source string, lang string, a array<double>")
+    assert len({r.vb for r in model.features(one).collect()}) > 5

@@ -1,12 +1,12 @@
 """Quality classifier by co-training: a view of the text and a view of the page's metadata teach each other.
 
 The text view sees measures of the words (lengths, repetition, capitals, signs, digits, function words, lines), the metadata
-view sees language, source and length. Both start from the same labelled rows. In each round either forest scores unlabelled rows
-and hands its most confident ones, as pseudo-labels in the proportion of the classes, to the other. At the end both are calibrated
+view sees language, source and length. Both start from the same labelled rows. In each round either forest scores all unlabelled rows
+and hands all that it is sure of, as pseudo-labels weighted to the proportion of the classes, to the other. At the end both are calibrated
 (isotonic) on labelled rows that neither was trained on, and a logistic model of the two calibrated log-odds scores all documents.
 
-Models are fitted on a bounded sample: ``SAMPLE`` labelled and as many unlabelled rows, those of the smallest hash of their
-id. Whole texts are measured once, where they are. Rows whose crc32(doc_id as text) mod 4 is 2 are never learned from.
+Labels come from a bounded sample: ``SAMPLE`` labelled rows, those of the smallest hash of their id; unlabelled rows are not
+bounded. All that a view hands over in a round weighs at most ``HANDED`` of the labelled rows. Whole texts are measured where they are. Rows whose crc32(doc_id as text) mod 4 is 2 are never learned from.
 
 Defined results: a null or empty text has all measures 0; a null language or source is a value of its own; repeated labels of an id count once (the lowest);
 repeated rows and null ids stay; without labels of both classes every score is their mean, or 0.5;
@@ -28,12 +28,13 @@ from tillroll.llm.op10_toxicity import is_held_out
 
 SAMPLE = 20_000
 ROUNDS = 2
-#: pseudo-labels that a view hands over in a round, and how sure it must be of them
-HANDED = 2_000
+#: weight of all pseudo-labels that a view hands over in a round, as part of the labelled rows, and how sure it must be of them
+HANDED = 0.25
 SURE = 0.9
 KEEP = 0.5
-#: values of language and source that get a column each: the most frequent ones of the sample
+#: values of language and source that get a column each: the most frequent ones; if there are more, they share columns, by HASHES hashes
 VALUES = 40
+BUCKETS, HASHES = 16, 2
 MEASURES = ["words", "chars_per_word", "long_words", "different", "most_repeated", "lines", "repeated_lines", "short_lines", "capitals", "signs", "digits", "stops", "bars",
             "non_ascii", "sentence_words", "spaces", "doubled", "odd_controls"]
 
@@ -89,11 +90,18 @@ class CoTraining:
 
     def __init__(self, mean: float, langs=(), sources=(), views=None, scales=None, top=None):
         self.mean, self.langs, self.sources, self.views, self.scales, self.top = mean, list(langs), list(sources), views, scales, top
+        self.handed: dict[str, tuple[int, int]] = {}  # pseudo-labels that each view was handed, by class
 
     def features(self, rows: DataFrame) -> DataFrame:
         """Vectors of both views (va, vb) from the measures and lang, source."""
         def one_hot(c: str, values: list) -> list[Column]:
-            return [F.col(c).eqNullSafe(F.lit(v)).cast("double") for v in values]
+            out = [F.col(c).eqNullSafe(F.lit(v)).cast("double") for v in values[:VALUES]]
+            if len(values) > VALUES:
+                own = F.coalesce(F.col(c).isin([v for v in values[:VALUES] if v is not None]), F.lit(None in values[:VALUES]))
+                for k in range(HASHES):
+                    bucket = F.pmod(F.xxhash64(F.lit(k), F.col(c)), F.lit(BUCKETS))
+                    out += [(~own & (bucket == b)).cast("double") for b in range(BUCKETS)]
+            return out
         meta = [*one_hot("lang", self.langs), *one_hot("source", self.sources), F.element_at("a", 1), F.pow(F.element_at("a", 1), 2)]
         return rows.withColumns({"va": array_to_vector("a"), "vb": array_to_vector(F.array(*meta))})
 
@@ -105,39 +113,49 @@ class CoTraining:
         order = F.xxhash64(F.lit(seed), "key")
         known = (labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("key")).agg(F.min("quality").cast("double").alias("label")))
         known = kit.write(spark, known.orderBy(order, "key").limit(rows), "labels")
-        other = (docs.select(F.col("doc_id").alias("key")).where(F.col("key").isNotNull() & ~is_held_out("key")).join(known, "key", "left_anti")
-                 .distinct().orderBy(order, "key").limit(rows).withColumn("label", F.lit(None).cast("double")))
-        chosen = kit.write(spark, known.unionByName(other), "chosen")
         columns = [F.col("doc_id").alias("key"), "lang", "source", kit.text_of().alias("text")]
-        data = measured(docs.select(*columns).join(F.broadcast(chosen), "key")).dropDuplicates(["key"])
-        data = kit.write(spark, data, "sample")
+        some = docs.select(*columns).where("key is not null").join(F.broadcast(known), "key", "left").where(F.col("label").isNotNull() | ~is_held_out("key"))
+        data = kit.write(spark, measured(some).dropDuplicates(["key"]), "sample")
         stats = data.agg(F.avg("label"), F.countDistinct("label")).first()
         if stats[1] < 2:
             return cls(0.5 if stats[0] is None else float(stats[0]))
-        top = {c: [r[0] for r in data.groupBy(c).count().orderBy(F.desc("count"), c).limit(VALUES).collect()] for c in ("lang", "source")}
+        top = {c: [r[0] for r in data.groupBy(c).count().orderBy(F.desc("count"), c).limit(VALUES + 1).collect()] for c in ("lang", "source")}
         model = cls(float(stats[0]), top["lang"], top["source"])
-        data = model.features(data).withColumn("spare", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(4)) == 0)
-        data = data.select("key", "label", "spare", "va", "vb").repartition(6).cache()
-        train, pool, spare = data.where("label is not null and not spare"), data.where("label is null"), data.where("label is not null and spare")
-        given = {"va": None, "vb": None}  # pseudo-labels (key, label) that each view was handed
+        data = data.withColumn("spare", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(4)) == 0)
+        labelled = model.features(data.where("label is not null")).select("label", "spare", "va", "vb").cache()
+        train, spare = labelled.where("not spare"), labelled.where("spare")
+        none = F.lit(None).cast("double")
+        pool = data.where("label is null").select("a", "lang", "source", none.alias("given_va"), none.alias("given_vb"))  # all unlabelled rows
+        written = None
+        weights: dict[str, Column] = {}
         try:
+            n_train = train.count()
             for turn in range(rounds + 1):
                 views = {}
                 for v in ("va", "vb"):
-                    rows_v = train.select(v, "label")
-                    if given[v] is not None:
-                        rows_v = rows_v.union(pool.drop("label").join(F.broadcast(given[v]), "key").select(v, "label"))
-                    forest = RandomForestClassifier(featuresCol=v, labelCol="label", numTrees=24, maxDepth=6, seed=seed + turn, subsamplingRate=0.8)
+                    rows_v = train.select(v, "label", F.lit(1.0).alias("weight"))
+                    if v in weights:
+                        given = model.features(pool.where(f"given_{v} is not null"))
+                        rows_v = rows_v.union(given.select(v, F.col(f"given_{v}"), weights[v]))
+                    forest = RandomForestClassifier(featuresCol=v, labelCol="label", weightCol="weight", numTrees=24, maxDepth=6, seed=seed + turn, subsamplingRate=0.8)
                     views[v] = forest.fit(rows_v).setRawPredictionCol(f"raw_{v}").setProbabilityCol(f"p_{v}").setPredictionCol(f"c_{v}")
                 if turn < rounds:
+                    sure = model.features(pool)
+                    for v in ("va", "vb"):
+                        sure = views[v].transform(sure).withColumn(f"s_{v}", vector_to_array(f"p_{v}")[1])
                     for v, w in (("va", "vb"), ("vb", "va")):
-                        sure = views[v].transform(pool).select("key", vector_to_array(f"p_{v}")[1].alias("p"))
-                        share = max(1, int(HANDED * model.mean)), max(1, int(HANDED * (1 - model.mean)))
-                        best = sure.where(F.col("p") >= SURE).orderBy(F.desc("p"), "key").limit(share[0]).select("key", F.lit(1.0).alias("label"))
-                        worst = sure.where(F.col("p") <= 1 - SURE).orderBy("p", "key").limit(share[1]).select("key", F.lit(0.0).alias("label"))
-                        new = best.union(worst)
-                        both = new if given[w] is None else given[w].union(new).dropDuplicates(["key"])
-                        given[w] = kit.write(spark, both, "handed")
+                        new = F.when(F.col(f"s_{v}") >= SURE, 1.0).when(F.col(f"s_{v}") <= 1 - SURE, 0.0)
+                        sure = sure.withColumn(f"given_{w}", F.coalesce(f"given_{w}", new))
+                    last, written = written, kit.write(spark, sure.select(*pool.columns), "handed")
+                    pool = written
+                    if last is not None:
+                        kit.discard(last)
+                    n = pool.agg(*(F.count(F.when(F.col(f"given_{v}") == y, 1)) for v in ("va", "vb") for y in (1, 0))).first()
+                    mass = HANDED * n_train * (turn + 1)
+                    for v, good, bad in (("va", n[0], n[1]), ("vb", n[2], n[3])):
+                        model.handed[v] = good, bad
+                        share = min(1.0, mass * model.mean / max(good, 1)), min(1.0, mass * (1 - model.mean) / max(bad, 1))
+                        weights[v] = F.when(F.col(f"given_{v}") == 1, share[0]).otherwise(share[1]).alias("weight")
             model.views = views
             held = model.raw(spare).select("label", "ma", "mb")
             held = kit.write(spark, held, "held")
@@ -148,7 +166,7 @@ class CoTraining:
                 both = model.calibrated(held)
                 model.top = LogisticRegression(featuresCol="both", labelCol="label", maxIter=30, regParam=0.01).fit(both)
         finally:
-            data.unpersist()
+            labelled.unpersist()
         return model
 
     def raw(self, rows: DataFrame) -> DataFrame:
