@@ -17,6 +17,7 @@ from tillroll.llm.op07_quality_cotraining import op7_quality_cotraining
 from tillroll.llm.op08_packed_matrices import op8_packed_matrices
 from tillroll.llm.op09_decontamination import op9_decontamination
 from tillroll.llm.op10_toxicity import op10_toxicity
+from tillroll.llm.op11_whitening import op11_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -29,5 +30,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packed_matrices": op8_packed_matrices,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
 }
 ORACLES: dict[str, str] = {"op1_suffix_dedup": oracles.OP1, "op3_url_filter": oracles.OP3, "op5_jaccard_join": oracles.OP5}
