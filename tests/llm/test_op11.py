@@ -30,7 +30,7 @@ def check(got, vectors, k, fine=1e-8):
     assert len(got) == n * k
     w = np.zeros((n, k))
     for r in got:
-        assert r.n == n and r.deviation == (dev[r.vec_id] if dev[r.vec_id] < 1 << 63 else None) and abs(r.explained / (e[r.component - 1] / np.trace(cov)) - 1) < 1e-9 and r.identity_error < fine
+        assert r.n == n and r.deviation == (dev[r.vec_id] if dev[r.vec_id] < 1 << 63 else None) and abs(r.explained / (e[r.component - 1] / np.trace(cov)) - 1) < fine and r.identity_error < fine
         w[r.vec_id, r.component - 1] = r.whitened
     want = centred @ u / np.sqrt(e)
     sign = np.sign((w * want).sum(axis=0))

@@ -39,6 +39,27 @@ SELECT s.doc_id, len(s.sh) AS n_shingles, CASE WHEN len(s.sh) = 0 THEN s.doc_id
 FROM s JOIN (SELECT u, min(t.doc_id) AS low FROM reach JOIN s t ON t.rid = reach.v GROUP BY u) c ON c.u = s.rid
 """
 
+#: every phrase of every piece, counted as a list of words
+OP13 = f"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), {_LOW}) AS t FROM documents),
+p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM d)),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY 1),
+g AS ({" UNION ALL ".join(f"SELECT lang, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: w[i:i + {k - 1}])) AS words FROM p WHERE len(w) >= {k}" for k in (1, 2, 3, 4))}),
+f AS MATERIALIZED (SELECT lang, words, count(*) AS f FROM g GROUP BY 1, 2 HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, words, f AS a FROM f WHERE len(words) >= 2),
+cut AS (SELECT lang, words, a, k, words[:k] AS head, words[k + 1:] AS tail FROM (SELECT *, unnest(range(1, len(words))) AS k FROM c)),
+scored AS (SELECT cut.*, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * a // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+           FROM cut JOIN f x ON x.lang = cut.lang AND x.words = head JOIN f y ON y.lang = cut.lang AND y.words = tail),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1),
+part AS (SELECT lang, a, unnest(list_transform(range(1, len(words) - size + 2), lambda i: words[i:i + size - 1])) AS words
+         FROM (SELECT *, unnest(range(2, len(words))) AS size FROM c)),
+around AS (SELECT lang, words, max(a) AS most FROM part GROUP BY 1, 2),
+kept AS (SELECT b.*, array_to_string(b.words, ' ') AS phrase FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.words = b.words
+         WHERE o.most IS NULL OR 100::HUGEINT * o.most < 80::HUGEINT * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000
+"""
+
 
 def _op3(rules, order: int = 3, alphabet: int = 40) -> str:
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in sorted(rules, key=lambda r: -len(r[0] + r[1]))]
