@@ -18,6 +18,7 @@ from tillroll.llm.op08_packed_matrices import op8_packed_matrices
 from tillroll.llm.op09_decontamination import op9_decontamination
 from tillroll.llm.op10_toxicity import op10_toxicity
 from tillroll.llm.op11_whitening import op11_whitening
+from tillroll.llm.op12_simhash import op12_simhash
 from tillroll.llm.op13_collocations import op13_collocations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,7 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
     "op11_whitening": op11_whitening,
+    "op12_simhash": op12_simhash,
     "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {"op1_suffix_dedup": oracles.OP1, "op3_url_filter": oracles.OP3, "op5_jaccard_join": oracles.OP5,
-                           "op13_collocations": oracles.OP13}
+                           "op12_simhash": op12_simhash,
+    "op13_collocations": oracles.OP13}
