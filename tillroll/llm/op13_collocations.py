@@ -5,8 +5,8 @@ words behind the piece's end. A phrase of k words occurs wherever it fills the f
 windows with that prefix: one ROLLUP (lang, w1, .. w4) gives the counts of all lengths, and its (lang) level all word occurrences.
 
 Most long windows of a corpus occur once. They would be all of the shuffle, so windows are cut (padded) before a word with which they cannot
-reach ``least`` occurrences any more. What can is told by upper bounds: phrases are counted by a 40-bit hash of their words, of pairs,
-then of triples of such pairs. Sorted hashes leave a task as blocks of differences (about four bytes an entry) dealt by hash range, and ranges are summed one
+reach ``least`` occurrences any more. What can is told by upper bounds, length by length: phrases of k words whose parts may reach ``least``
+are counted by a 40-bit hash of their words. Sorted hashes leave a task as blocks of differences (about four bytes an entry) dealt by hash range, and ranges are summed one
 by one. Hashes that reach ``least`` are a Bloom filter, whose size follows their number up to 2^28 bits. A collision or a full
 filter can only leave a window longer than needed. A phrase that does reach ``least`` is never cut, so its count, and all counts
 used of its parts, are exact counts of the words themselves.
@@ -32,6 +32,8 @@ U = np.uint64
 #: bits of a phrase's hash, hash ranges of the support counts, and entries that a task holds before it hands them on
 HASH_BITS, RANGES, HELD = 40, 1024, 1 << 21
 BLOOM_BITS = 28
+#: parts of a language's candidates that are ranked on their own first
+SHARES = 64
 #: fixed values: bytes that end a piece, bytes that end a word
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 WORD_ENDS = b" \t"
@@ -281,7 +283,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     kit.small_batches(spark)
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), kit.text_of().alias("text"))
     blooms: dict[int, np.ndarray] = {}
-    for k in range(2, longest):
+    for k in range(2, longest + 1):
         blooms[k] = _filter(spark, rows, k, blooms, least)
         if k == 2:
             blooms[1] = blooms[2]
@@ -318,9 +320,11 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     around = longer.groupBy("lang", "words").agg(F.max("f").alias("around"))
     free = F.col("around").isNull() | (F.lit(100) * F.col("around").cast("decimal(20,0)") < F.lit(inside) * F.col("a").cast("decimal(20,0)"))
     total = counts.where(F.size("words") == 0).select("lang", F.col("f").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    listed = (best.join(around, ["lang", "words"], "left").where(free).select("lang", F.array_join("words", " ").alias("phrase"), "a", "l", "r", "score")
-              .withColumn("rank", rank.cast("long")).where(F.col("rank") <= top))
+    order = F.desc("score"), F.desc("a"), "phrase"
+    kept = best.join(around, ["lang", "words"], "left").where(free).select("lang", F.array_join("words", " ").alias("phrase"), "a", "l", "r", "score")
+    share = F.row_number().over(Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).orderBy(*order))
+    first = kept.withColumn("at", share).where(F.col("at") <= top)  # at most SHARES * top rows of a language meet in a task
+    listed = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return listed.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
