@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillroll.llm import op05_jaccard_join as op
 
@@ -69,6 +70,46 @@ def test_equals_all_pairs(spark, monkeypatch, seed, block):
     assert sorted(got, key=repr) == brute(data)
 
 
+def test_texts_with_equal_hashes_are_told_apart(spark, monkeypatch):
+    """Names of five bits: all texts share their first hash with others."""
+    monkeypatch.setattr(op.kit, "text_hash", lambda col="text": F.pmod(F.xxhash64(op.kit.text_of(col)), F.lit(32)))
+    data = rows(3)
+    got = [tuple(r) for r in op.jaccard_join(spark.createDataFrame(data, SCHEMA)).collect()]
+    assert sorted(got, key=repr) == brute(data)
+
+
+def test_tile_of_twenty_thousand_members(spark):
+    """A hot group of near copies, and a few texts of other classes that share its passage: no task gets more than two blocks."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(70)]
+    data = [(i, " ".join([*base, f"x{i}"]), "hot") for i in range(20_000)]
+    data += [(30_000 + i, " ".join(base[:45] + [f"y{i}v{rng.randrange(9)}{j}" for j in range(25)]), "other") for i in range(40)]
+    data += [(40_000 + i, " ".join(base[:45] + [f"z{j}" for j in range(25)] + [f"u{i}"]), "third") for i in range(30)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op.jaccard_join(spark.createDataFrame(data, SCHEMA).repartition(8)).collect()}
+    assert len(got) == len(data)
+    assert all(got[i] == (67, 0) for i in range(20_000)) and all(got[i] == (66, i) for i in range(30_000, 30_040)) and all(got[i] == (67, 40_000) for i in range(40_000, 40_030))
+
+
+def test_components_grow(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)]
+    df = lambda e: spark.createDataFrame(e, "u long, v long")
+    root = {}
+    for u, v in edges:
+        seen, todo = {u, v}, [u, v]
+        while todo:
+            x = todo.pop()
+            for a, b in edges:
+                for y in ((b,) if a == x else (a,) if b == x else ()):
+                    if y not in seen:
+                        seen.add(y)
+                        todo.append(y)
+        root.update({x: min(seen) for x in seen if x != min(seen)})
+    known = op.kit.components(spark, df(edges[:90]))
+    got = op.kit.grow(spark, op.kit.grow(spark, known, df(edges[90:])), df(edges[50:100]))
+    assert {r.node: r.root for r in got.collect()} == root
+
+
 def test_empty(spark):
     assert op.jaccard_join(spark.createDataFrame([], SCHEMA)).collect() == []
     assert op.one_of_each(spark.createDataFrame([], SCHEMA)).collect() == []

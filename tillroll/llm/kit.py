@@ -52,9 +52,24 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def text_hash(col: str = "text") -> Column:
+    return F.xxhash64(text_of(col))
+
+
 def text_ids(col: str = "text") -> list[Column]:
     """Two independent 64-bit hashes that name a text (null counts as empty)."""
-    return [F.xxhash64(text_of(col)).alias(T1), F.xxhash64(F.lit(20_011), text_of(col)).alias(T2)]
+    return [text_hash(col).alias(T1), F.xxhash64(F.lit(20_011), text_of(col)).alias(T2)]
+
+
+def text_name(docs: DataFrame, col: str = "text") -> Column:
+    """One 64-bit name a different text. Hashes that two different texts share (about n^2 / 2^65 of n texts) are found by a second,
+    independent hash in one pass over the table, and their texts are named by both."""
+    a, b = text_ids(col)
+    pairs = docs.select(a, b).groupBy(T1).agg(F.min(T2).alias("low"), F.max(T2).alias("high")).where("low <> high").select(T1)
+    twins = [r[0] for r in pairs.collect()]
+    one = text_hash(col)
+    both = F.xxhash64(F.lit(20_011), text_of(col), one)
+    return (F.when(one.isin(twins), both).otherwise(one) if twins else one).alias(T1)
 
 
 def distinct_texts(docs: DataFrame, extra: Iterable[Column] = ()) -> DataFrame:
@@ -78,31 +93,70 @@ def keep_on_disk(spark: SparkSession, df: DataFrame) -> DataFrame:
         spark.conf.set(conf, old)
 
 
+#: a key that holds more than 1 / HOT of all rows is dealt over SALTS tasks by :func:`join_spread`
+HOT, SALTS = 1000, 64
+#: names (8 bytes each) that may be broadcast; more are joined by a shuffle
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (one long a row, written before) with a broadcast hint if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join ``rows``, many to a key, with ``table``, one row a key. Keys that hold more than 1 / HOT of the rows (so fewer than
+    HOT keys) are salted: their rows are dealt over SALTS tasks and their table row is copied to each."""
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("c"))
+    total = rows.count()
+    hot = [r[0] for r in sizes.where((F.col("c") * HOT > total) & F.col(key).isNotNull()).select(key).collect()]
+    if not hot:
+        return rows.join(table, key, how)
+    salted = F.col(key).isin(hot)
+    left = rows.withColumn("__salt", F.when(salted, F.floor(F.rand(1) * SALTS).cast("int")).otherwise(0))
+    right = table.withColumn("__salt", F.explode(F.when(salted, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
 def components(spark: SparkSession, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): connected components of ``edges`` (u, v), root = smallest node.
+    """(node, root): connected components of ``edges`` (u, v), root = smallest node; roots are no rows of their own.
 
     Alternating large-star and small-star steps: each is one aggregate with map-side minimum and one join,
-    so a hub with any number of neighbours is never gathered in one task. Ends when nothing changes.
+    so a hub with any number of neighbours is never gathered in one task. Ends when the edges are stars: each node has one
+    parent, and no parent has one.
     """
-    now = write(spark, edges.select("u", "v").where("u <> v").distinct(), "edges")
-    last = None
+    now = write(spark, edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(rounds):
+        roles = now.select(F.col("u").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("top")).union(now.select("v", F.lit(0), F.lit(1)))
+        if roles.groupBy("x").agg(F.sum("low").alias("low"), F.max("top").alias("top")).where("low > 1 or (low > 0 and top > 0)").limit(1).count() == 0:
+            break
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.where("u <> v").distinct().select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = (down.join(low, "u").select(F.explode(F.array(
+        stars = (down.join(low, "u").select(F.explode(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")),
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*"))
-        last_edges, now = now, write(spark, small.where("u <> v").distinct(), "edges")
-        discard(last_edges)
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == last:
-            break
-        last = state
+        last, now = now, write(spark, stars.where("u <> v").distinct(), "edges")
+        discard(last)
     else:
         raise RuntimeError(f"components: no fixed point in {rounds} rounds")
-    out = write(spark, now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), "roots")
-    discard(now)
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out.scratch = now.scratch
+    return out
+
+
+def grow(spark: SparkSession, known: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components ``known`` (node, root) with further ``edges`` (u, v): only edges between different components are followed."""
+    of = known.withColumnRenamed("node", "u").withColumnRenamed("root", "ru")
+    ends = edges.join(of, "u", "left").join(of.toDF("v", "rv"), "v", "left")
+    new = write(spark, ends.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")).where("u <> v").distinct(), "joins")
+    if new.isEmpty():
+        discard(new)
+        return known
+    more = components(spark, new)
+    moved = known.join(more.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    out = write(spark, moved.union(more.select("node", "root")), "roots")
+    discard(new, more, known)
     return out

@@ -14,20 +14,18 @@ No link is lost and no group is expanded into its pairs:
 * keys with the same members make one tile; a tile's smallest and largest member are compared with all others first
   (two pairs a member), which links almost all copies; classes are then known, and only pairs between different classes of a tile are
   looked at, a few best ones a member first, then all that are left, until no class can grow;
-* tiles over ``BLOCK`` members are dealt out as pairs of blocks over many tasks.
+* tiles over ``BLOCK`` members are dealt out as pairs of blocks over many tasks; blocks of the tile's largest class meet those of other classes only.
 
-Texts are named by a 64-bit hash; equal texts are one set. Defined results: null or wordless text: no shingles, linked with
+Texts are named by a 64-bit hash, those whose hash another text shares by two; equal texts are one set. Defined results: null or wordless text: no shingles, linked with
 nothing; fewer than five words: the whole sequence is one shingle; repeated rows and null ids: each row stays,
 component_id is the smallest id of its class (null if the class has none); an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import kit, scan
@@ -74,7 +72,7 @@ def _prefix(x: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray
 def _keys(packed: bytes, words: int, percent: int):
     """(key, salt, t): a row for each prefix shingle; common ones are salted; salt -1 - n tells a set's size."""
     def run(batches):
-        common = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        common = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
         seen: set[int] = set()
         for b in batches:
             data, off = scan.text_buffer(b.column("text"))
@@ -140,21 +138,14 @@ def _fold(rows: np.ndarray, width: int) -> np.ndarray:
     return rows
 
 
-def _bitmaps(words: int):
+def _sets(words: int):
+    """Bitmap and sorted array of each text's set."""
     def run(batches):
         for b in batches:
             data, off = scan.text_buffer(b.column("text"))
             sets = [x for i, j in scan.slabs(off) for x in scan.shingle_sets(data, off, i, j, words)]
-            yield pa.RecordBatch.from_arrays([b.column(kit.T1), pa.array([bitmap(x) for x in sets], pa.binary())], names=["t", "bits"])
-    return run
-
-
-def _arrays(words: int):
-    def run(batches):
-        for b in batches:
-            data, off = scan.text_buffer(b.column("text"))
-            sets = [x.tobytes() for i, j in scan.slabs(off) for x in scan.shingle_sets(data, off, i, j, words)]
-            yield pa.RecordBatch.from_arrays([b.column(kit.T1), pa.array(sets, pa.binary())], names=["t", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(kit.T1), pa.array([bitmap(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                                             names=["t", "bits", "shingles"])
     return run
 
 
@@ -264,8 +255,18 @@ def _pairs(found):
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["x", "y", "more"])
 
 
-def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(t, n, root): each different text with shingles, its set size, and the smallest text name of its class."""
+def _bit_rows(df: DataFrame, col: str, bits: int) -> np.ndarray:
+    """Bitmap of the numbers 0 .. 2**bits - 1 in a column, put together by Spark from pieces of 4 kB."""
+    at = F.col(col) + 1  # bucket numbers begin with 1
+    rows = df.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros((max(1, 1 << bits >> 15), 4096), np.uint8)
+    for r in rows:
+        out[r.b - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, Column]:
+    """(t, n, root): each different text with shingles, its set size, and the smallest text name of its class; and the name of a text as a column."""
     spark = docs.sparkSession
     kit.small_batches(spark)
     scratch: list[DataFrame] = []
@@ -274,11 +275,10 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         scratch.append(kit.write(spark, df, name))
         return scratch[-1]
 
-    rows = docs.select(kit.text_ids()[0], kit.text_of().alias("text"))
-    hot = [r.bucket for r in rows.select("text").mapInArrow(_common(words), "bucket long").distinct().collect()]  # 2**20 at most
-    common = np.zeros(1 << COMMON_BITS, np.uint8)
-    common[hot] = 1
-    shared = put(rows.mapInArrow(_keys(np.packbits(common).tobytes(), words, percent), "key long, salt int, t long")
+    named = kit.text_name(docs)
+    rows = docs.select(named, kit.text_of().alias("text"))
+    common = _bit_rows(rows.select("text").mapInArrow(_common(words), "bucket long"), "bucket", COMMON_BITS)
+    shared = put(rows.mapInArrow(_keys(common.tobytes(), words, percent), "key long, salt int, t long")
                        .repartition("key", "salt").sortWithinPartitions("key", "salt", "t")
                        .mapInArrow(_shared, "key long, salt int, t long"), "keys")
     sizes = put(shared.where("salt < 0").select("t", (-1 - F.col("salt")).cast("long").alias("n")).distinct(), "sizes")
@@ -296,65 +296,71 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     band = F.floor(F.log(F.col("n").cast("double")) / np.log(126 / percent)).cast("int")  # neighbours hold all that may link
     tiles = put(keys.join(sets, "key").join(sizes, "t").withColumn("own", band)
                       .select("key", "t", "n", "own", F.explode(F.array("own", F.col("own") + 1)).alias("g")), "tiles")
-    member = tiles.select("t").distinct()
-    texts = kit.keep_on_disk(spark, rows.groupBy(kit.T1).agg(F.first("text").alias("text"))
-                             .join(member.withColumnRenamed("t", kit.T1).hint("shuffle_hash"), kit.T1, "left_semi"))
-    bits = put(texts.mapInArrow(_bitmaps(words), "t long, bits binary").join(sizes, "t"), "bits")
+    # bitmaps and sorted arrays of the texts that stand in some tile: made once, then only these are moved
+    member = kit.small(put(tiles.select(F.col("t").alias(kit.T1)).distinct(), "members"))
+    texts = rows.join(member, kit.T1, "left_semi").groupBy(kit.T1).agg(F.first("text").alias("text"))
+    made = put(texts.mapInArrow(_sets(words), "t long, bits binary, shingles binary"), "sets")
+    bits = made.select("t", "bits").join(sizes, "t")
 
     def links(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("x").alias(kit.T1)).union(pairs.select(F.col("y").alias(kit.T1))).distinct()
-        arrays = put(texts.join(ends.hint("shuffle_hash"), kit.T1, "left_semi").mapInArrow(_arrays(words), "t long, shingles binary"), "arrays")
-        both = (pairs.join(arrays.toDF("x", "sx"), "x").join(arrays.toDF("y", "sy"), "y").select("x", "y", "sx", "sy"))
+        ends = kit.small(put(pairs.select(F.col("x").alias("t")).union(pairs.select("y")).distinct(), "ends"))
+        arrays = made.select("t", "shingles").join(ends, "t", "left_semi")
+        both = pairs.join(arrays.toDF("x", "sx"), "x").join(arrays.toDF("y", "sy"), "y").select("x", "y", "sx", "sy")
         return put(both.mapInArrow(_links(percent), "u long, v long"), "links")
 
     ends = tiles.groupBy("key", "g").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi")
     star = (tiles.join(ends, ["key", "g"]).select(F.col("t").alias("x"), F.explode(F.array("lo", "hi")).alias("y")).where("x <> y").distinct())
     left, right = bits.toDF("x", "bx", "nx"), bits.toDF("y", "by", "ny")
     star = star.join(left, "x").join(right, "y").where(f"100 * nx >= {percent} * ny and 100 * ny >= {percent} * nx")
-    found = [links(put(star.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(_may_link(percent), "x long, y long"), "pairs"))]
+    known = kit.components(spark, links(put(star.select("x", "y", "nx", "ny", "bx", "by").mapInArrow(_may_link(percent), "x long, y long"), "pairs")))
     left_over = tiles  # tiles with a member whose candidates were cut; in all others every candidate is compared
     for limit in ROUNDS:
-        known = kit.components(spark, reduce(DataFrame.union, found))
-        scratch.append(known)
         now = left_over.join(known.withColumnRenamed("node", "t"), "t", "left").withColumn("root", F.coalesce("root", "t"))
-        mixed = (now.groupBy("key", "g").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("c"), F.max("own").alias("top"))
-                 .where("a < b and top = g").select("key", "g", F.ceil(F.col("c") / F.lit(BLOCK)).cast("int").alias("blocks")))
+        sizes_of = now.groupBy("key", "g", "root").agg(F.count(F.lit(1)).alias("c"), F.max("own").alias("top"))
+        mixed = (sizes_of.groupBy("key", "g").agg(F.count(F.lit(1)).alias("classes"), F.sum("c").alias("all"), F.max(F.struct("c", "root")).alias("main"), F.max("top").alias("top"))
+                 .where("classes > 1 and top = g")
+                 .select("key", "g", F.when(F.col("all") > BLOCK, F.col("main.root")).alias("main"),
+                         F.when(F.col("all") > BLOCK, F.ceil(F.col("main.c") / BLOCK)).otherwise(0).cast("long").alias("d"),
+                         F.ceil((F.col("all") - F.when(F.col("all") > BLOCK, F.col("main.c")).otherwise(0)) / BLOCK).cast("long").alias("o")))
+        # a large tile: the d blocks of its largest class meet the o blocks of all others, but never each other
+        main = F.coalesce(F.col("root") == F.col("main"), F.lit(False))
         parts = (now.join(mixed, ["key", "g"]).join(bits.select("t", "bits"), "t")
-                 .withColumn("blk", F.pmod(F.xxhash64("t"), F.col("blocks").cast("long")).cast("int"))
-                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                 .withColumn("blk", F.when(main, F.pmod(F.xxhash64("t"), "d")).otherwise(F.col("d") + F.pmod(F.xxhash64("t"), "o")).cast("int"))
+                 .withColumn("other", F.explode(F.sequence(F.when(main, F.col("d")).otherwise(0).cast("int"), (F.col("d") + F.col("o") - 1).cast("int"))))
                  .select("key", "g", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "t", "root", "n", "blk", "own", "bits"))
         cand = put(parts.repartition("key", "g", "i", "j").sortWithinPartitions("key", "g", "i", "j")
                          .mapInArrow(_tiles(percent, limit), "x long, y long, more boolean")
                          .groupBy("x", "y").agg(F.max("more").alias("more")), "pairs")
         state = cand.agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more")).first()
         if state.n:
-            found.append(links(cand))
+            known = kit.grow(spark, known, links(cand))
         if not state.more:
             break
         cut = cand.where("more").select(F.col("x").alias("t")).distinct()
         left_over = put(tiles.join(put(tiles.join(cut, "t").select("key", "g").distinct(), "again"), ["key", "g"]), "tiles")
-    known = kit.components(spark, reduce(DataFrame.union, found))
-    scratch.append(known)
     out = kit.write(spark, sizes.join(known.withColumnRenamed("node", "t"), "t", "left").select("t", "n", F.coalesce("root", "t").alias("root")), "classes")
-    texts.unpersist()
-    kit.discard(*scratch)
-    return out
+    kit.discard(*scratch, known)
+    return out, named
 
 
 def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    classes = jaccard_classes(docs, words, percent).withColumnRenamed("t", kit.T1)
-    rows = kit.write(docs.sparkSession, docs.select("doc_id", kit.text_ids()[0]).join(classes, kit.T1, "left").select("doc_id", "n", "root"), "rows")
-    low = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("low"))
-    return (rows.join(low, "root", "left")
-            .select("doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id")))
+    spark = docs.sparkSession
+    classes, named = jaccard_classes(docs, words, percent)
+    rows = kit.write(spark, docs.select("doc_id", named), "rows")
+    texts = rows.groupBy(kit.T1).agg(F.min("doc_id").alias("low")).join(classes.withColumnRenamed("t", kit.T1), kit.T1).select(kit.T1, "n", "root", "low")
+    texts = kit.write(spark, texts, "texts")
+    low = texts.groupBy("root").agg(F.min("low").alias("least"))
+    found = texts.join(low, "root").select(kit.T1, "n", F.lit(True).alias("found"), "least")
+    return (kit.join_spread(rows, found, kit.T1, "left")
+            .select("doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.when(F.col("found"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id")))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one row of each class (smallest doc_id, nulls last); rows without shingles all stay."""
-    classes = jaccard_classes(docs, words, percent).withColumnRenamed("t", kit.T1).select(kit.T1, "root")
-    rows = (docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), kit.text_ids()[0])
-            .join(classes, kit.T1, "left").select("__row", F.col("root").alias("__root")))
+    classes, named = jaccard_classes(docs, words, percent)
+    rows = (docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), named)
+            .join(classes.select(F.col("t").alias(kit.T1), "root"), kit.T1, "left").select("__row", F.col("root").alias("__root")))
     first = F.struct(F.col("__row.doc_id").isNull(), F.col("__row.doc_id"), F.xxhash64("__row"))
     best = rows.where("__root is not null").groupBy("__root").agg(F.min_by("__row", first).alias("__row"))
     return rows.where("__root is null").select("__row").union(best.select("__row")).select("__row.*")

@@ -35,8 +35,6 @@ PIVOTS = 16
 TILE, ROWS = 4096, 256
 #: keys of oversized tiles that may be broadcast (24 bytes each); more are joined by a shuffle
 BROADCAST_ROWS = 500_000
-#: fingerprints that hold more than 1 / HOT of all rows are salted in the last join
-HOT, SALTS = 1000, 64
 U = np.uint64
 
 
@@ -226,23 +224,15 @@ def near_duplicates(docs: DataFrame, near: int = NEAR, words: int = WORDS) -> Da
     """Per row of ``docs`` (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     spark = docs.sparkSession
     rows = kit.write(spark, fingerprints(docs, words=words), "fingerprints")
-    nodes = kit.write(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("c")), "nodes")
+    nodes = kit.write(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
     edges = links(nodes.select("fp"), near)
-    found = kit.components(spark, edges).select(F.col("node").alias("fp"), "root")  # a root is no row of its own there
-    roots = found.union(found.select(F.col("root").alias("fp"), "root")).distinct()
+    stars = kit.components(spark, edges)
+    roots = stars.union(stars.select("root", "root")).distinct().toDF("fp", "root")
     linked = kit.write(spark, nodes.join(roots, "fp").select("fp", "root", "low"), "linked")
     best = linked.groupBy("root").agg(F.min("low").alias("least"))
     low = (nodes.join(linked.join(best, "root").select("fp", "least", F.lit(True).alias("found")), "fp", "left")
-           .select("fp", "c", F.when(F.col("found"), F.col("least")).otherwise(F.col("low")).alias("component_id")))
-    total = nodes.agg(F.sum("c")).first()[0] or 0
-    hot = [r.fp for r in nodes.where(F.col("c") * HOT > total).select("fp").collect()]  # fewer than HOT rows
-    if hot:  # rows of these are dealt over SALTS keys, and their class is copied to each
-        common = F.col("fp").isin(hot)
-        left = rows.withColumn("salt", F.when(common, F.pmod(F.xxhash64("doc_id", F.rand(1)), F.lit(SALTS)).cast("int")).otherwise(0))
-        right = low.withColumn("salt", F.explode(F.when(common, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-        both = left.join(right, ["fp", "salt"])
-    else:
-        both = rows.join(low, "fp")
+           .select("fp", F.when(F.col("found"), F.col("least")).otherwise(F.col("low")).alias("component_id")))
+    both = kit.join_spread(rows, low, "fp")
     return both.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
