@@ -58,7 +58,7 @@ def test_equals_counts_of_every_phrase(spark, monkeypatch, seed, least, slab, bi
     """Also with texts cut into small steps, and with a filter so full that it holds everything."""
     data = rows(seed)
     monkeypatch.setattr(op.scan, "SLAB", slab)
-    monkeypatch.setattr(op, "BLOOM_BITS", bits)
+    monkeypatch.setattr(op.support, "BLOOM_BITS", bits)
     got = op.collocations(spark.createDataFrame(data, SCHEMA).repartition(7), least)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert sorted(map(tuple, got.collect())) == brute(data, least)
@@ -80,6 +80,6 @@ def test_empty_and_long(spark):
 def test_support_blocks_round_trip():
     h = np.unique(np.random.default_rng(1).integers(0, 1 << 40, 5000, dtype=np.uint64))
     n = np.arange(len(h))
-    b = op._pack(h, n)
-    back = [op._unpack(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+    b = op.support.pack(h, n, 40)
+    back = [op.support.unpack(x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
     assert (np.concatenate([x for x, _ in back]) == h).all() and (np.concatenate([y for _, y in back]) == n).all()

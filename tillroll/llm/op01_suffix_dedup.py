@@ -7,7 +7,8 @@ next length until they are unique or past the threshold. Sorting every byte posi
 plain doubling dear, so the sort is sparse, without losing a position that matters:
 
 1. 64 bytes: of each ``length``-byte string only its anchor enters, the smallest 64-byte rank in it. Equal strings
-   have the same anchor at the same place, so a string whose anchor pair is unique is unique.
+   have the same anchor at the same place, so a string whose anchor pair is unique is unique. Anchors whose name is unique by
+   compact counts (``support``) never become rows.
 2. 273, then 385 bytes: the strings that share an anchor are taken in cells of 128, then 16 neighbouring starts. The bytes
    common to all strings of a cell must repeat, else the cell is dropped; if the bytes that hold all of them repeat, all its strings do.
 3. 400 bytes: what is left is compared start by start.
@@ -37,10 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import kit, scan
+from tillroll.llm import kit, scan, support
 
 LENGTH = 400
 GRAM = 64
+#: bits of an anchor's name in the counts that leave out unique ones
+NAME_BITS = 56
 #: starts in a cell, by round
 STEPS = (128, 16, 1)
 KEYS = [kit.T1, kit.T2]
@@ -100,13 +103,28 @@ def _runs_of_rows(data: np.ndarray, off: np.ndarray, length: int) -> Iterator[tu
         yield r + i, at - edge[r], d0, d1
 
 
-def _anchors(length: int):
+def _anchor_counts(length: int):
+    """How often each anchor's first name occurs, a copy of a text counting as an occurrence."""
+    def found(batches):
+        for b in batches:
+            data, off = scan.text_buffer(b.column("text"))
+            copies = b.column("copies").to_numpy(zero_copy_only=False)
+            for r, at, _, _ in _runs_of_rows(data, off, length):
+                k1, _ = scan.spans_of(data, off[r] + at, GRAM)
+                yield k1 >> np.uint64(64 - NAME_BITS), copies[r]
+    return lambda batches: support.blocks(found(batches), NAME_BITS)
+
+
+def _anchors(length: int, repeated: np.ndarray):
+    """The runs whose anchor may occur twice."""
     def run(batches):
         for b in batches:
             data, off = scan.text_buffer(b.column("text"))
             ids = [b.column(x).to_numpy(zero_copy_only=False) for x in (*KEYS, "copies")]
             for r, at, d0, d1 in _runs_of_rows(data, off, length):
                 k1, k2 = scan.spans_of(data, off[r] + at, GRAM)
+                ok = support.has(repeated, k1 >> np.uint64(64 - NAME_BITS))
+                k1, k2, r, at, d0, d1 = (x[ok] for x in (k1, k2, r, at, d0, d1))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in (scan.signed(k1), scan.signed(k2), ids[0][r], ids[1][r], at, d0, d1, ids[2][r])],
                     names=["k1", "k2", *KEYS, "a", "lo", "hi", "m"])
@@ -224,7 +242,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     name = f"{kit.T1} long, {kit.T2} long"
     texts = kit.keep_on_disk(spark, kit.distinct_texts(docs))
 
-    anchors = kit.write(spark, texts.mapInArrow(_anchors(length), f"k1 long, k2 long, {name}, a long, lo long, hi long, m long"), "anchors")
+    # most anchors occur once: what may occur twice is told by compact counts of their names, and only that is shuffled as rows
+    repeated = support.reaching(spark, texts.mapInArrow(_anchor_counts(length), support.SCHEMA), 2)
+    anchors = kit.write(spark, texts.mapInArrow(_anchors(length, repeated), f"k1 long, k2 long, {name}, a long, lo long, hi long, m long"), "anchors")
     # written before the join: both sides of it are then shuffled for it alone, and Spark can split a hot key
     twice = kit.write(spark, anchors.groupBy("k1", "k2").agg(F.sum("m").alias("n")).where("n > 1").select("k1", "k2"), "twice")
     todo = kit.write(spark, anchors.join(twice, ["k1", "k2"])

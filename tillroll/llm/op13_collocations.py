@@ -6,8 +6,7 @@ windows with that prefix: one ROLLUP (lang, w1, .. w4) gives the counts of all l
 
 Most long windows of a corpus occur once. They would be all of the shuffle, so windows are cut (padded) before a word with which they cannot
 reach ``least`` occurrences any more. What can is told by upper bounds, length by length: phrases of k words whose parts may reach ``least``
-are counted by a 40-bit hash of their words. Sorted hashes leave a task as blocks of differences (about four bytes an entry) dealt by hash range, and ranges are summed one
-by one. Hashes that reach ``least`` are a Bloom filter, whose size follows their number up to 2^28 bits. A collision or a full
+are counted by a 40-bit hash of their words. Those that reach ``least`` are a Bloom filter (``support``). A collision or a full
 filter can only leave a window longer than needed. A phrase that does reach ``least`` is never cut, so its count, and all counts
 used of its parts, are exact counts of the words themselves.
 
@@ -25,13 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillroll.llm import kit, scan
+from tillroll.llm import kit, scan, support
 
 LEAST, LONGEST, TOP, INSIDE = 30, 4, 2000, 80
 U = np.uint64
-#: bits of a phrase's hash, hash ranges of the support counts, and entries that a task holds before it hands them on
-HASH_BITS, RANGES, HELD = 40, 1024, 1 << 21
-BLOOM_BITS = 28
+#: bits of a phrase's hash
+HASH_BITS = 40
 #: parts of a language's candidates that are ranked on their own first
 SHARES = 64
 #: fixed values: bytes that end a piece, bytes that end a word
@@ -84,22 +82,11 @@ def _phrases(names: np.ndarray, k: int) -> np.ndarray:
     return scan.mix(scan.mix(h + U(k))) >> U(64 - HASH_BITS)
 
 
-def _has(bloom: np.ndarray | None, h: np.ndarray) -> np.ndarray:
-    """Whether the filter may hold each hash; no filter holds all."""
-    if bloom is None:
-        return np.ones(len(h), bool)
-    m, found = U(8 * len(bloom) - 1), np.ones(len(h), bool)
-    for shift in (0, 19):
-        x = (h * U(0x9E3779B97F4A7C15) >> U(shift)) & m
-        found &= (bloom[(x >> U(3)).astype(np.int64)] >> (x & U(7)).astype(np.uint8) & 1).astype(bool)
-    return found
-
-
 def _reach(names: np.ndarray, piece: np.ndarray, blooms: dict[int, np.ndarray], longest: int) -> np.ndarray:
     """Words of each position's window: 0 if its word cannot reach the least count, else up to where a phrase of the window cannot."""
     n = len(names)
     words = np.zeros(n, np.int8)
-    go = _has(blooms.get(1), _phrases(names, 1))
+    go = support.has(blooms.get(1), _phrases(names, 1))
     alive = go.copy()
     held: dict[int, np.ndarray] = {1: go}
     for k in range(2, longest + 1):  # phrases of k words that fit in a piece and may reach the count
@@ -109,7 +96,7 @@ def _reach(names: np.ndarray, piece: np.ndarray, blooms: dict[int, np.ndarray],
             fit[:n - k + 1] = same & held[k - 1][:n - k + 1] & held[k - 1][1:n - k + 2]
             if k in blooms:
                 at = np.flatnonzero(fit)
-                fit[at] = _has(blooms[k], _phrases(names, k)[at])
+                fit[at] = support.has(blooms[k], _phrases(names, k)[at])
         held[k] = fit
     for k in range(1, longest + 1):
         alive &= held[k]
@@ -137,108 +124,16 @@ def _named(batches):
                 yield langs, lang, scan.span(scan.running(buf, scan.BYTE_LOWER), start, end) + (end - start).astype(U) + salt[lang], piece, start, end, buf
 
 
-def _pack(h: np.ndarray, n: np.ndarray):
-    """Sorted hashes with counts as one row a hash range: differences and counts in byte planes, which compress."""
-    part = (h >> U(HASH_BITS - RANGES.bit_length() + 1)).astype(np.int64)
-    cut = [0, *(np.flatnonzero(np.diff(part)) + 1), len(h)]
-    planes = lambda x: x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-    rows = [(int(part[i]), planes(np.diff(h[i:j], prepend=U(0))), planes(np.minimum(n[i:j], 0xFFFF).astype(np.uint16))) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-    kinds = [pa.int32(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "hashes", "counts"])
-
-
-def _unpack(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    def whole(x, t):
-        return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(np.dtype(t).itemsize, -1).T).view(t).ravel()
-    return np.cumsum(whole(hashes, U), dtype=U), whole(counts, np.uint16).astype(np.int64)
-
-
-def _merge(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(h, kind="stable")
-    h, n = h[order], n[order]
-    at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    return h[at], np.add.reduceat(n, at)
-
-
-def _support(k: int, blooms: dict[int, np.ndarray], low: int):
-    """Hash counts of the phrases of k words whose parts all may reach the least count; words and pairs (k = 2) go together.
-    A single count over 65,535 is handed on as that, which no decision can tell from the truth as long as ``low`` is smaller."""
-    if low > 0xFFFF:
-        raise ValueError("least must be below 65536")
-
-    def run(batches):
-        held = []
-
-        def flush():
-            h, n = _merge(np.concatenate([x for x, _ in held]), np.concatenate([n for _, n in held]))
-            held[:] = [(h, n)]
-            return h, n
+def _support(k: int, blooms: dict[int, np.ndarray]):
+    """Hash counts of the phrases of k words whose parts all may reach the least count; words and pairs (k = 2) go together."""
+    def found(batches):
         for _, _, names, piece, *_ in _named(batches):
             reach = _reach(names, piece, blooms, k)
-            found = [_phrases(names, k)[np.flatnonzero(reach[:len(names) - k + 1] >= k)]] if len(names) >= k else []
+            parts = [_phrases(names, k)[np.flatnonzero(reach[:len(names) - k + 1] >= k)]] if len(names) >= k else []
             if k == 2:
-                found.append(_phrases(names, 1))
-            h = np.concatenate(found) if found else np.zeros(0, U)
-            if len(h):
-                held.append(np.unique(h, return_counts=True))
-            if sum(len(x) for x, _ in held) > HELD:
-                h, n = flush()
-                if len(h) > HELD // 2:
-                    yield _pack(h, n)
-                    held = []
-        if held:
-            yield _pack(*flush())
-    return run
-
-
-def _enough(low: int):
-    """Of blocks sorted by range: the hashes whose sum reaches ``low``, range by range."""
-    def run(batches):
-        part, held = None, []
-
-        def sums():
-            h, n = _merge(np.concatenate([x for x, _ in held]), np.concatenate([n for _, n in held]))
-            return pa.RecordBatch.from_arrays([pa.array(scan.signed(h[n >= low]))], names=["h"])
-        for b in batches:
-            for p, h, n in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if p != part and held:
-                    yield sums()
-                    held = []
-                part = p
-                held.append(_unpack(h, n))
-                if sum(len(x) for x, _ in held) > 4 * HELD:
-                    held = [_merge(np.concatenate([x for x, _ in held]), np.concatenate([n for _, n in held]))]
-        if held:
-            yield sums()
-    return run
-
-
-def _bits(size: int):
-    """The filter's set bits of a task's hashes, as one row a piece of 2^16 bytes."""
-    def run(batches):
-        bits = np.zeros(size, np.uint8)
-        for b in batches:
-            h = b.column("h").to_numpy(zero_copy_only=False).view(U)
-            for shift in (0, 19):
-                x = (h * U(0x9E3779B97F4A7C15) >> U(shift)) & U(8 * size - 1)
-                np.bitwise_or.at(bits, (x >> U(3)).astype(np.int64), np.left_shift(np.uint8(1), (x & U(7)).astype(np.uint8)))
-        for at in range(0, size, 1 << 16):
-            if bits[at:at + (1 << 16)].any():
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([bits[at:at + (1 << 16)].tobytes()], pa.binary())], names=["at", "bits"])
-    return run
-
-
-def _filter(spark: SparkSession, docs: DataFrame, k: int, blooms: dict[int, np.ndarray], least: int) -> np.ndarray:
-    """Bloom filter of the phrases of k words (for k = 2, also the words) that may reach ``least``."""
-    enough = kit.write(spark, docs.mapInArrow(_support(k, blooms, least), "part int, hashes binary, counts binary")
-                       .repartition("part").sortWithinPartitions("part").mapInArrow(_enough(least), "h long"), "support")
-    size = (1 << min(BLOOM_BITS, max(10, (16 * enough.count()).bit_length()))) // 8
-    bits = np.zeros(size, np.uint8)
-    few = enough.coalesce(16).mapInArrow(_bits(size), "at long, bits binary")  # at most 16 copies of a filter, 32 MB each
-    for r in few.toLocalIterator():
-        bits[r.at:r.at + len(r.bits)] |= np.frombuffer(r.bits, np.uint8)
-    kit.discard(enough)
-    return bits
+                parts.append(_phrases(names, 1))
+            yield np.unique(np.concatenate(parts) if parts else np.zeros(0, U), return_counts=True)
+    return lambda batches: support.blocks(found(batches), HASH_BITS)
 
 
 def _windows(blooms: dict[int, np.ndarray], longest: int):
@@ -284,7 +179,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), kit.text_of().alias("text"))
     blooms: dict[int, np.ndarray] = {}
     for k in range(2, longest + 1):
-        blooms[k] = _filter(spark, rows, k, blooms, least)
+        blooms[k] = support.reaching(spark, rows.mapInArrow(_support(k, blooms), support.SCHEMA), least)
         if k == 2:
             blooms[1] = blooms[2]
     ws = [f"w{k}" for k in range(1, longest + 1)]
