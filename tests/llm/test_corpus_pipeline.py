@@ -10,7 +10,7 @@ from tillroll.llm import op04_best_fit_packing as op4
 
 RUDE = ["blorgface", "snarfling"]
 NAMES = ["op1_suffix_dedup", "op2_html_extraction", "op3_url_filter", "op4_best_fit_packing", "op5_jaccard_join", "op6_fingerprints",
-         "op7_quality_cotraining", "op8_packed_matrices", "op9_decontamination", "op10_toxicity"]
+         "op7_quality_cotraining", "op8_packed_matrices", "op9_decontamination", "op10_toxicity", "op11_whitening", "op12_simhash", "op13_collocations"]
 
 
 def test_registered():
@@ -19,7 +19,7 @@ def test_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_copies", "repeated_passages", "decontamination", "packing"]
 
 
-def cut(texts, length=400):
+def cut(texts, length=corpus_pipeline.PASSAGE):
     """Texts without the bytes that a string covers which starts at two places."""
     seen = {}
     for r, t in enumerate(texts):
@@ -47,7 +47,7 @@ def test_run_equals_brute_force(spark, tmp_path):
         docs.append([i, " ".join(w), "en", "s", 0])
         labels.append((i, 1, int(toxic)))
     clean = [d for d, (_, _, t) in zip(docs, labels, strict=True) if not t]
-    passage, item = " ".join(words(90)), " ".join(words(30))
+    passage, item = " ".join(words(51)), " ".join(words(30))
     for d in clean[:6]:
         d[1] += " " + passage
     for d in clean[6:9]:
