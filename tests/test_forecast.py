@@ -1,10 +1,12 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tillroll.operators import forecast as FC
+from tillroll.operators import smoothing
 
 D0 = dt.date(2011, 1, 3)
 
@@ -41,16 +43,16 @@ def plain(ys, a, c, g):
     return fits, sse, [max(level + h * trend + s[(n + h - 1) % 7], 0.0) for h in range(1, 11)]
 
 
-@pytest.mark.parametrize("tuned", [False, True])
-def test_fold_matches_plain_recurrence(spark, tuned):
+@pytest.mark.parametrize("mode", ["fixed", "grid"])
+def test_recurrence_matches_plain_one(spark, mode):
     series = {"a": [float((i * 37) % 11 + i * 0.5) for i in range(40)], "b": [float((i * i * 13) % 29) + 3 * (i % 7) for i in range(61)], "short": [1.0] * 13}
     rows = [(k, D0 + dt.timedelta(days=i), y, True) for k, ys in series.items() for i, y in enumerate(ys)]
     filled = spark.createDataFrame(rows, "series_key STRING, ds DATE, y DOUBLE, observed BOOLEAN")
-    out = FC.holt_winters(filled, 10, tuned=tuned).orderBy("series_key", "ds").collect()
+    out = FC.holt_winters(filled, 10, mode=mode).orderBy("series_key", "ds").collect()
     cfg = FC.DEFAULT
     for k in ("a", "b"):
         ys = series[k]
-        grid = [(a, c, g) for a in cfg.hw_grid for c in cfg.hw_trend_grid for g in cfg.hw_grid] if tuned else [(cfg.hw_alpha, cfg.hw_beta, cfg.hw_gamma)]
+        grid = [(a, c, g) for a in cfg.hw_grid for c in cfg.hw_trend_grid for g in cfg.hw_grid] if mode == "grid" else [(cfg.hw_alpha, cfg.hw_beta, cfg.hw_gamma)]
         fits, _, ahead = plain(ys, *min(grid, key=lambda p: plain(ys, *p)[1]))
         got = [r for r in out if r.series_key == k]
         assert [r.yhat for r in got] == pytest.approx(fits + ahead, rel=1e-9, abs=1e-9)
@@ -80,6 +82,57 @@ def test_methods_fallback_and_guard(spark, featured_small, monkeypatch):
         FC.forecast(featured_small, 7, method="other")
 
 
+def replay(ys, r):
+    """Squared error and forecasts of the recurrence from returned states and parameters."""
+    level, trend, *s = r.start
+    sse = 0.0
+    for t, y in enumerate(ys):
+        fit = level + trend + s[t % 7]
+        sse += (y - fit) ** 2
+        nl = r.a * (y - s[t % 7]) + (1 - r.a) * (level + trend)
+        s[t % 7] = r.g * (y - level - trend) + (1 - r.g) * s[t % 7]
+        trend, level = r.c * (nl - level) + (1 - r.c) * trend, nl
+    return sse, [max(level + h * trend + s[(len(ys) + h - 1) % 7], 0.0) for h in range(1, 8)]
+
+
+def test_estimated_is_never_worse_than_the_grid(spark, featured_small):
+    filled = FC.fill_daily(FC.daily_series(featured_small, keys=["Country"])).persist()
+    grid = {r.series_key: r for r in FC.smoothed(filled, "grid").collect()}
+    best = {r.series_key: r for r in FC.smoothed(filled, "estimated").collect()}
+    assert best and set(best) == set(grid)
+    ahead = {}
+    for r in FC.holt_winters(filled, 7, mode="estimated").where("IsForecast").orderBy("series_key", "ds").collect():
+        ahead.setdefault(r.series_key, []).append(r.yhat)
+    for k, r in best.items():
+        ys = [x.y for x in r.d]
+        sse, fc = replay(ys, r)
+        assert r.sse <= grid[k].sse and r.sse == pytest.approx(sse, rel=1e-6)
+        assert all(0 <= x <= 1 for x in (r.a, r.c, r.g)) and ahead[k] == pytest.approx(fc, rel=1e-6, abs=1e-6)
+    assert sum(best[k].sse < 0.97 * grid[k].sse for k in best) > len(best) / 2
+    filled.unpersist()
+
+
+def test_estimate_finds_the_states_and_parameters_of_a_made_series():
+    rng = np.random.default_rng(1)
+    rows, n = 6, 300
+    start = np.column_stack([np.full(rows, 50.0), np.full(rows, 0.3), *(rng.normal(0, 8, (rows, 7)) @ (np.eye(7) - 1 / 7)).T])
+    p = np.column_stack([np.linspace(0.1, 0.8, rows), np.linspace(0.05, 0.3, rows), np.linspace(0.1, 0.5, rows)])
+    y = np.zeros((rows, n))
+    for r in range(rows):  # noise-free: each value is the recurrence's own fit, with one shock
+        level, trend, s = start[r, 0], start[r, 1], list(start[r, 2:])
+        for t in range(n):
+            y[r, t] = level + trend + s[t % 7] + (30.0 if t in (40, 41, 120) else 0.0)
+            x = y[r, t]
+            nl = p[r, 0] * (x - s[t % 7]) + (1 - p[r, 0]) * (level + trend)
+            s[t % 7] = p[r, 2] * (x - level - trend) + (1 - p[r, 2]) * s[t % 7]
+            trend, level = p[r, 1] * (nl - level) + (1 - p[r, 1]) * trend, nl
+    size = np.full(rows, n)
+    assert np.allclose(smoothing.best_start(y[:, :40], np.full(rows, 40), p)[:, :2], start[:, :2], atol=1e-5)
+    found, sse, _ = smoothing.estimate(y, size, np.array([(a, c, g) for a in (0.1, 0.5) for c in (0.05, 0.3) for g in (0.1, 0.5)]))
+    truth = smoothing.run(y, size, start, p)[0]
+    assert (sse <= truth * 1.01).all()
+
+
 def test_short_history_rejected(spark):
     df = spark.createDataFrame([(dt.datetime(2011, 1, d), 1.0) for d in range(1, 10)],
                                "InvoiceDate TIMESTAMP_NTZ, TotalPrice DOUBLE")
@@ -89,7 +142,7 @@ def test_short_history_rejected(spark):
 
 
 def test_tuned_and_trend_season_run(spark, featured_small):
-    tuned = FC.forecast_demand(featured_small, horizon=7, tuned=True)
+    tuned = FC.forecast_demand(featured_small, horizon=7, mode="grid")
     assert tuned.where("IsForecast").count() == 7
     ts = FC.trend_season(featured_small, horizon=7)
     assert ts.where("IsForecast").count() == 7

@@ -3,9 +3,9 @@
 A series is one key (the whole business, a country, a SKU ...). Daily sums
 come from one grouped aggregate; the gap-filled daily series of each key is one
 array, bounded by the number of calendar days in the data (not by the number of
-lines), and the additive Holt-Winters recurrence (weekly season, additive trend) is a
-fold over it in Spark's own expressions, as is every point of a parameter grid. Keys
-are independent, so fits spread across executors by key.
+lines), and the additive Holt-Winters recurrence (weekly season, additive trend) moves all
+keys of a task day by day as vectors (``smoothing``). Keys are independent, so fits spread
+across executors by key.
 
 Holt-Winters recurrence (season length m = 7, ring s[0..6], s[0] = season of
 the current day):
@@ -24,14 +24,16 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.config import DEFAULT, Config
 from tillroll.functions.formatting import fmt_currency, fmt_fixed
 from tillroll.functions.numeric import money_sum
+from tillroll.operators import smoothing
 
-M = 7
+M = smoothing.M
 
 
 def daily_series(df: DataFrame, value_col: str = "TotalPrice", keys: Sequence[str] = ()) -> DataFrame:
@@ -67,42 +69,6 @@ FORECAST_SCHEMA = ("series_key STRING, ds DATE, y DOUBLE, yhat DOUBLE, yhat_lowe
                    "yhat_upper DOUBLE, IsForecast BOOLEAN")
 
 
-def _start(ys: Column) -> dict[str, Column]:
-    """Level, trend and season ring from the first two weeks; sums run left to right."""
-    def total(lo: int, hi: int) -> Column:
-        out = ys[lo]
-        for i in range(lo + 1, hi):
-            out = out + ys[i]
-        return out
-    lv = total(0, M) / F.lit(float(M))
-    return {"l": lv, "b": (total(M, 2 * M) / F.lit(float(M)) - lv) / F.lit(float(M)), **{f"s{i}": ys[i] - lv for i in range(M)}, "sse": F.lit(0.0)}
-
-
-def _step(acc: Column, x: Column, a: Column, c: Column, g: Column) -> dict[str, Column]:
-    """One day of the recurrence; the sums are written in the order of the SQL twin."""
-    one = F.lit(1.0)
-    lv, bv, s0 = acc["l"], acc["b"], acc["s0"]
-    fit = lv + bv + s0
-    new = a * (x - s0) + (one - a) * (lv + bv)
-    err = x - fit
-    return {"l": new, "b": c * (new - lv) + (one - c) * bv, **{f"s{i}": acc[f"s{i + 1}"] for i in range(M - 1)},
-            f"s{M - 1}": g * (x - lv - bv) + (one - g) * s0, "sse": acc["sse"] + err * err}
-
-
-def _struct(fields: dict[str, Column]) -> Column:
-    return F.struct(*(v.alias(k) for k, v in fields.items()))
-
-
-def _tuned(ys: Column, cfg: Config) -> Column:
-    """(a, c, g) of the grid with the smallest squared error, of equals the first; every point is one fold."""
-    points = [(a, c, g) for a in cfg.hw_grid for c in cfg.hw_trend_grid for g in cfg.hw_grid]
-    grid = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(a)).alias("a"), F.lit(float(c)).alias("c"), F.lit(float(g)).alias("g")) for i, (a, c, g) in enumerate(points)))
-    tried = F.transform(grid, lambda p: F.struct(
-        F.aggregate(ys, _struct(_start(ys)), lambda acc, x: _struct(_step(acc, x, p["a"], p["c"], p["g"])))["sse"].alias("sse"),
-        p["i"].alias("i"), p["a"].alias("a"), p["c"].alias("c"), p["g"].alias("g")))
-    return F.array_min(tried)
-
-
 def series_status(filled: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """M7: a row per key: observed days, whether it is forecast, and if not why."""
     g = filled.groupBy("series_key").agg(F.count_if("observed").alias("observed_days"))
@@ -110,45 +76,55 @@ def series_status(filled: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return g.withColumns({"forecast": ~short, "reason": F.when(short, F.lit(f"fewer than {cfg.min_forecast_days} days with sales"))})
 
 
+MODES = ("fixed", "grid", "estimated")
+
+
+def smoothed(filled: DataFrame, mode: str = "fixed", cfg: Config = DEFAULT) -> DataFrame:
+    """A row per key with enough days: parameters, squared error, last state, start state and fits (``smoothing.RESULT``), and the array ``d`` of its days."""
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}, not {mode!r}")
+    days = (filled.groupBy("series_key").agg(F.sort_array(F.collect_list(F.struct("ds", "y", "observed"))).alias("d"))
+            .where((F.size(F.filter("d", lambda x: x["observed"])) >= cfg.min_forecast_days) & (F.size("d") >= 2 * M)))
+    grid = np.array([(a, c, g) for a in cfg.hw_grid for c in cfg.hw_trend_grid for g in cfg.hw_grid], float)
+    fit = smoothing.smoother(mode, (cfg.hw_alpha, cfg.hw_beta, cfg.hw_gamma), grid)
+
+    def run(batches):  # the days pass through, so nothing is joined back
+        for b in batches:
+            for out in fit([b]):
+                yield pa.RecordBatch.from_arrays([*out.columns, b.column("d")], names=[*out.schema.names, "d"])
+    rows = days.select("series_key", "d", F.transform("d", lambda x: x["y"]).alias("ys"))
+    return rows.mapInArrow(run, smoothing.RESULT + ", d array<struct<ds: date, y: double, observed: boolean>>")
+
+
 def holt_winters(filled: DataFrame, horizon: int = DEFAULT.forecast_horizon_days, cfg: Config = DEFAULT,
-                 tuned: bool = False) -> DataFrame:
+                 mode: str = "fixed") -> DataFrame:
     """M6/M7: fitted history plus ``horizon`` future days per key.
 
     Keys with fewer than ``min_forecast_days`` observed days have no forecast (:func:`series_status` names them).
-    A key's days are one array (bounded by the calendar span) and the recurrence is a fold over it, evaluated
-    by Spark in the row that holds the array. ``tuned`` picks (alpha, beta, gamma) per key from cfg's grid by squared error.
+    A key's days are one array (bounded by the calendar span); a task moves all its keys day by day as vectors (``smoothing``). ``mode``: fixed
+    parameters, per key the best of cfg's grid, or parameters and start states estimated per key.
     """
-    days = (filled.groupBy("series_key").agg(F.sort_array(F.collect_list(F.struct("ds", "y", "observed"))).alias("d"))
-            .where(F.size(F.filter("d", lambda x: x["observed"])) >= cfg.min_forecast_days)
-            .withColumn("ys", F.transform("d", lambda x: x["y"])))
-    ys = F.col("ys")
-    p = _tuned(ys, cfg) if tuned else F.struct(F.lit(cfg.hw_alpha).alias("a"), F.lit(cfg.hw_beta).alias("c"), F.lit(cfg.hw_gamma).alias("g"))
-    days = days.withColumn("p", p)
-    a, c, g = (F.col("p")[k] for k in "acg")
-    start = _struct(_start(ys) | {"fits": F.array().cast("array<double>")})
-    fold = F.aggregate(ys, start, lambda acc, x: _struct(_step(acc, x, a, c, g) | {"fits": F.array_append(acc["fits"], acc["l"] + acc["b"] + acc["s0"])}))
-    days = days.withColumn("f", fold)
-    resid = F.zip_with("ys", "f.fits", lambda y, f: y - f)
+    days = smoothed(filled, mode, cfg)
+    resid = F.zip_with(F.transform("d", lambda x: x["y"]), "fits", lambda y, f: y - f)
     # sample standard deviation of the residuals by running mean and squares
     spread = F.aggregate(resid, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q")),
                          lambda s, x: F.struct((s["n"] + 1).alias("n"), (s["m"] + (x - s["m"]) / (s["n"] + 1)).alias("m"),
                                                (s["q"] + (x - (s["m"] + (x - s["m"]) / (s["n"] + 1))) * (x - s["m"])).alias("q")))
     days = days.withColumn("r", spread).withColumn("band", F.lit(cfg.interval_z) * F.sqrt(F.col("r.q") / (F.col("r.n") - 1)))
     last = F.element_at("d", -1)["ds"]
-    ring = F.array(*(F.col("f")[f"s{i}"] for i in range(M)))
-    past = F.zip_with("d", "f.fits", lambda d, f: F.struct(d["ds"].alias("ds"), d["y"].alias("y"), f.alias("yhat"), F.lit(False).alias("IsForecast")))
+    past = F.zip_with("d", "fits", lambda d, f: F.struct(d["ds"].alias("ds"), d["y"].alias("y"), f.alias("yhat"), F.lit(False).alias("IsForecast")))
     ahead = F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.struct(
         F.date_add(last, h).alias("ds"), F.lit(None).cast("double").alias("y"),
-        F.greatest(F.col("f.l") + h * F.col("f.b") + F.element_at(ring, ((h - 1) % M + 1).cast("int")), F.lit(0.0)).alias("yhat"), F.lit(True).alias("IsForecast")))
+        F.greatest(F.col("level") + h * F.col("trend") + F.element_at("ring", ((h - 1) % M + 1).cast("int")), F.lit(0.0)).alias("yhat"), F.lit(True).alias("IsForecast")))
     rows = days.select("series_key", "band", F.explode(F.concat(past, ahead)).alias("x")).select("series_key", "band", "x.*")
     return rows.select("series_key", "ds", "y", "yhat", F.greatest(F.col("yhat") - F.col("band"), F.lit(0.0)).alias("yhat_lower"),
                        (F.col("yhat") + F.col("band")).alias("yhat_upper"), "IsForecast")
 
 
 def forecast_demand(df: DataFrame, horizon: int = DEFAULT.forecast_horizon_days, value_col: str = "TotalPrice",
-                    keys: Sequence[str] = (), tuned: bool = False, cfg: Config = DEFAULT) -> DataFrame:
-    """Daily series -> gap fill -> Holt-Winters per key (fixed or grid-tuned parameters)."""
-    return holt_winters(fill_daily(daily_series(df, value_col, keys)), horizon, cfg, tuned)
+                    keys: Sequence[str] = (), mode: str = "fixed", cfg: Config = DEFAULT) -> DataFrame:
+    """Daily series -> gap fill -> Holt-Winters per key (parameters fixed, of a grid, or estimated)."""
+    return holt_winters(fill_daily(daily_series(df, value_col, keys)), horizon, cfg, mode)
 
 
 METHODS = ("auto", "trend_season", "holt_winters")
@@ -159,7 +135,7 @@ def forecast(df: DataFrame, horizon: int = DEFAULT.forecast_horizon_days, value_
     """M6-M8: the forecast and the name of the method that made it.
 
     Without keys, fewer than ``min_forecast_days`` sale days are an error. ``auto`` takes the trend and season regression, and if that fails to
-    run, Holt-Winters with parameters tuned per key; either can be asked for by name.
+    run, Holt-Winters with parameters and start states estimated per key; either can be asked for by name.
     """
     if method not in METHODS:
         raise ValueError(f"method is one of {METHODS}, not {method!r}")
@@ -174,7 +150,7 @@ def forecast(df: DataFrame, horizon: int = DEFAULT.forecast_horizon_days, value_
             out.unpersist()
             if method == "trend_season":
                 raise
-    return forecast_demand(df, horizon, value_col, keys, True, cfg), "holt_winters"
+    return forecast_demand(df, horizon, value_col, keys, "estimated", cfg), "holt_winters"
 
 
 def require_history(df: DataFrame, min_days: int = DEFAULT.min_forecast_days) -> None:

@@ -39,10 +39,31 @@ filled AS (SELECT series_key, ds,
            FROM hw_w)"""
 
 
+def _step_sql(y: str) -> str:
+    """The next state of a recursion over h, whose columns are a, c, g, l, b and s0 to s6; sums are written in the order of the operator."""
+    new = f"h.a * ({y} - h.s0) + (1.0 - h.a) * (h.l + h.b)"
+    return f"""{new}, h.c * (({new}) - h.l) + (1.0 - h.c) * h.b,
+        h.s1, h.s2, h.s3, h.s4, h.s5, h.s6, h.g * ({y} - h.l - h.b) + (1.0 - h.g) * h.s0"""
+
+
+def _grid_sql() -> str:
+    """The grid point with the smallest squared error of each key: the recurrence once for every point."""
+    points = [(a, c, g) for a in DEFAULT.hw_grid for c in DEFAULT.hw_trend_grid for g in DEFAULT.hw_grid]
+    rows = ", ".join(f"({i}, {_lit(a)}, {_lit(c)}, {_lit(g)})" for i, (a, c, g) in enumerate(points))
+    return f"""hw_try(series_key, i, t, a, c, g, l, b, s0, s1, s2, s3, s4, s5, s6, sse) AS (
+ SELECT series_key, i, -1, a, c, g, l0, b0, s0, s1, s2, s3, s4, s5, s6, CAST(0 AS DOUBLE)
+ FROM hw_init CROSS JOIN (VALUES {rows}) AS points(i, a, c, g)
+ UNION ALL
+ SELECT h.series_key, h.i, h.t + 1, h.a, h.c, h.g, {_step_sql("f.y")},
+        h.sse + (f.y - (h.l + h.b + h.s0)) * (f.y - (h.l + h.b + h.s0))
+ FROM hw_try h JOIN filled f ON f.series_key = h.series_key AND f.t = h.t + 1),
+hw_pick AS (SELECT series_key, a, c, g FROM hw_try
+            QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY t DESC, sse, i) = 1)"""
+
+
 def hw_sql(key_expr: str, alpha=DEFAULT.hw_alpha, beta=DEFAULT.hw_beta, gamma=DEFAULT.hw_gamma,
-           horizon: int = H, z: float = DEFAULT.interval_z) -> str:
-    a, a1, c, c1, g, g1 = (_lit(alpha), _lit(1.0 - alpha), _lit(beta), _lit(1.0 - beta),
-                           _lit(gamma), _lit(1.0 - gamma))
+           horizon: int = H, z: float = DEFAULT.interval_z, grid: bool = False) -> str:
+    pick = _grid_sql() if grid else f"hw_pick AS (SELECT series_key, {_lit(alpha)} AS a, {_lit(beta)} AS c, {_lit(gamma)} AS g FROM hw_init)"
     ys = ", ".join(f"max(y) FILTER (WHERE t = {i}) AS y{i}" for i in range(14))
     first = " + ".join(f"y{i}" for i in range(7))
     second = " + ".join(f"y{i}" for i in range(7, 14))
@@ -53,15 +74,11 @@ hw_keys AS (SELECT series_key FROM filled GROUP BY 1 HAVING count(*) FILTER (WHE
 hw_y AS (SELECT series_key, {ys} FROM filled WHERE series_key IN (SELECT series_key FROM hw_keys) GROUP BY 1),
 hw_l AS (SELECT *, ({first}) / {_lit(7)} AS l0 FROM hw_y),
 hw_init AS (SELECT series_key, l0, (({second}) / {_lit(7)} - l0) / {_lit(7)} AS b0, {seas} FROM hw_l),
-hw(series_key, t, l, b, s0, s1, s2, s3, s4, s5, s6, fit) AS (
- SELECT series_key, -1, l0, b0, s0, s1, s2, s3, s4, s5, s6, CAST(NULL AS DOUBLE) FROM hw_init
+{pick},
+hw(series_key, t, a, c, g, l, b, s0, s1, s2, s3, s4, s5, s6, fit) AS (
+ SELECT i.series_key, -1, a, c, g, l0, b0, s0, s1, s2, s3, s4, s5, s6, CAST(NULL AS DOUBLE) FROM hw_init i JOIN hw_pick USING (series_key)
  UNION ALL
- SELECT h.series_key, h.t + 1,
-        {a} * (f.y - h.s0) + {a1} * (h.l + h.b),
-        {c} * (({a} * (f.y - h.s0) + {a1} * (h.l + h.b)) - h.l) + {c1} * h.b,
-        h.s1, h.s2, h.s3, h.s4, h.s5, h.s6,
-        {g} * (f.y - h.l - h.b) + {g1} * h.s0,
-        h.l + h.b + h.s0
+ SELECT h.series_key, h.t + 1, h.a, h.c, h.g, {_step_sql("f.y")}, h.l + h.b + h.s0
  FROM hw h JOIN filled f ON f.series_key = h.series_key AND f.t = h.t + 1),
 hw_hist AS (SELECT f.series_key, f.ds, f.y, h.fit AS yhat FROM filled f
             JOIN hw h ON h.series_key = f.series_key AND h.t = f.t),
@@ -110,7 +127,7 @@ def q_forecast_by_country(spark, sf):
     return _fc_round(FC.forecast_demand(_f(spark, sf), keys=["Country"]))
 
 
-@query("forecast_summary", with_chain("featured", """
+SUMMARY_SQL = """
 SELECT series_key, round(coalesce(sum(yhat) FILTER (WHERE IsForecast), 0.0), 2) AS forecast_total,
        round(coalesce(avg(y) FILTER (WHERE NOT IsForecast AND ds > last_ds - INTERVAL 30 DAY), 0.0), 2) AS trailing_avg_daily,
        round(coalesce(avg(yhat) FILTER (WHERE IsForecast), 0.0), 2) AS forecast_avg_daily,
@@ -118,7 +135,10 @@ SELECT series_key, round(coalesce(sum(yhat) FILTER (WHERE IsForecast), 0.0), 2)
                       / nullif(avg(y) FILTER (WHERE NOT IsForecast AND ds > last_ds - INTERVAL 30 DAY), 0), 0.0), 6)
          AS pct_change_vs_trailing
 FROM (SELECT *, max(ds) FILTER (WHERE NOT IsForecast) OVER (PARTITION BY series_key) AS last_ds FROM forecast)
-GROUP BY series_key""", extra=hw_sql("'ALL'"), recursive=True))
+GROUP BY series_key"""
+
+
+@query("forecast_summary", with_chain("featured", SUMMARY_SQL, extra=hw_sql("'ALL'"), recursive=True))
 def q_forecast_summary(spark, sf):
     s = FC.summary(FC.forecast_demand(_f(spark, sf)))
     return rounded(s, money=("forecast_total", "trailing_avg_daily", "forecast_avg_daily"),
@@ -144,10 +164,17 @@ def q_forecast_table(spark, sf):
     return FC.forecast_table(FC.forecast_demand(_f(spark, sf)))
 
 
-@query("forecast_tuned")
+@query("forecast_tuned", with_chain("featured", FC_OUT, extra=hw_sql("Country", grid=True), recursive=True))
 def q_forecast_tuned(spark, sf):
-    """Grid-tuned Holt-Winters per country (rows-only: the grid choice is a model search)."""
-    return _fc_round(FC.forecast_demand(_f(spark, sf), keys=["Country"], tuned=True))
+    """Grid-tuned Holt-Winters per country."""
+    return _fc_round(FC.forecast_demand(_f(spark, sf), keys=["Country"], mode="grid"))
+
+
+@query("forecast_estimated")
+def q_forecast_estimated(spark, sf):
+    """Holt-Winters per country with parameters and start states estimated (rows-only: the search has no SQL; tests replay the
+    recurrence from the estimates and hold its squared error against the grid's)."""
+    return _fc_round(FC.forecast_demand(_f(spark, sf), keys=["Country"], mode="estimated"))
 
 
 @query("forecast_trend_season")
@@ -156,10 +183,14 @@ def q_forecast_trend_season(spark, sf):
     return _fc_round(FC.trend_season(_f(spark, sf), keys=["Country"]))
 
 
-@query("forecast_summary_by_sku")
+@query("forecast_summary_by_sku", with_chain("featured", f"""
+SELECT k.series_key, k.observed_days, k.observed_days >= {DEFAULT.min_forecast_days} AS forecast,
+       CASE WHEN k.observed_days < {DEFAULT.min_forecast_days} THEN 'fewer than {DEFAULT.min_forecast_days} days with sales' END AS reason,
+       s.forecast_total, s.trailing_avg_daily, s.forecast_avg_daily, s.pct_change_vs_trailing
+FROM (SELECT series_key, count(*) FILTER (WHERE observed) AS observed_days FROM filled GROUP BY 1) k LEFT JOIN ({SUMMARY_SQL}) s USING (series_key)""",
+                                            extra=hw_sql("StockCode"), recursive=True))
 def q_forecast_summary_by_sku(spark, sf):
-    """Holt-Winters per SKU, summarised per SKU (rows-only: the same fold is oracle-checked per
-    country; a SQL recursion over thousands of keys would re-scan the filled table every step)."""
+    """Holt-Winters per SKU, summarised per SKU; keys that are too short for a forecast are named."""
     filled = FC.fill_daily(FC.daily_series(_f(spark, sf), keys=["StockCode"]))
     s = rounded(FC.summary(FC.holt_winters(filled)), money=("forecast_total", "trailing_avg_daily", "forecast_avg_daily"),
                 ratio=("pct_change_vs_trailing",))
