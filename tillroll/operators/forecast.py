@@ -87,13 +87,9 @@ def smoothed(filled: DataFrame, mode: str = "fixed", cfg: Config = DEFAULT) -> D
             .where((F.size(F.filter("d", lambda x: x["observed"])) >= cfg.min_forecast_days) & (F.size("d") >= 2 * M)))
     grid = np.array([(a, c, g) for a in cfg.hw_grid for c in cfg.hw_trend_grid for g in cfg.hw_grid], float)
     fit = smoothing.smoother(mode, (cfg.hw_alpha, cfg.hw_beta, cfg.hw_gamma), grid)
-
-    def run(batches):  # the days pass through, so nothing is joined back
-        for b in batches:
-            for out in fit([b]):
-                yield pa.RecordBatch.from_arrays([*out.columns, b.column("d")], names=[*out.schema.names, "d"])
+    # the days pass through, so nothing is joined back
     rows = days.select("series_key", "d", F.transform("d", lambda x: x["y"]).alias("ys"))
-    return rows.mapInArrow(run, smoothing.RESULT + ", d array<struct<ds: date, y: double, observed: boolean>>")
+    return rows.mapInArrow(fit, smoothing.RESULT + ", d array<struct<ds: date, y: double, observed: boolean>>")
 
 
 def holt_winters(filled: DataFrame, horizon: int = DEFAULT.forecast_horizon_days, cfg: Config = DEFAULT,

@@ -25,6 +25,8 @@ M = 7
 STATES = 2 + M
 #: series-points moved at once
 WIDTH = 4096
+#: series of one output batch
+ROWS = 1024
 #: first and last step of the pattern search
 FIRST_STEP, LAST_STEP = 0.1, 1e-4
 
@@ -47,10 +49,11 @@ def run(y: np.ndarray, n: np.ndarray, start: np.ndarray, p: np.ndarray, keep: bo
     a, c, g = p.T
     level, trend = start[:, 0].copy(), start[:, 1].copy()
     ring = [start[:, 2 + i].copy() for i in range(M)]
-    sse, fits = np.zeros(len(y)), np.zeros(y.shape) if keep else None
-    least = int(n.min(initial=y.shape[1]))
-    for t in range(y.shape[1]):
-        x, s0 = y[:, t], ring[t % M]
+    days = np.ascontiguousarray(y.T)
+    sse, fits = np.zeros(len(y)), np.zeros(days.shape) if keep else None
+    least = int(n.min(initial=len(days)))
+    for t, x in enumerate(days):
+        s0 = ring[t % M]
         base = level + trend
         fit = base + s0
         err = x - fit
@@ -65,9 +68,9 @@ def run(y: np.ndarray, n: np.ndarray, start: np.ndarray, p: np.ndarray, keep: bo
             sse = np.where(on, sse + err * err, sse)
             level, trend, ring[t % M] = np.where(on, new, level), np.where(on, slope, trend), np.where(on, season, s0)
         if keep:
-            fits[:, t] = fit
+            fits[t] = fit
     at = (n[:, None] + np.arange(M)) % M  # the season of the day behind the last comes first
-    return sse, level, trend, np.take_along_axis(np.column_stack(ring), at, axis=1), fits
+    return sse, level, trend, np.take_along_axis(np.column_stack(ring), at, axis=1), fits.T if keep else None
 
 
 def best_start(y: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -147,26 +150,32 @@ def estimate(y: np.ndarray, n: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray
     return p, sse * scale[:, 0] ** 2, start * scale
 
 
+def _lists(x: np.ndarray, n: np.ndarray | int) -> pa.Array:
+    """The first n entries of each row as a list."""
+    n = np.broadcast_to(n, len(x))
+    off = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(x[np.arange(x.shape[1]) < n[:, None]]))
+
+
 def smoother(mode: str, fixed: Sequence[float], grid: np.ndarray):
-    """Arrow batches of (series_key, ys) -> rows of RESULT."""
+    """Arrow batches of (series_key, ys, more) -> rows of RESULT, followed by the further columns."""
     def of(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ys = b.column("ys")
-            n = np.diff(ys.offsets.to_numpy())
-            y = np.zeros((len(n), int(n.max())))
-            y[np.arange(y.shape[1]) < n[:, None]] = ys.flatten().to_numpy(zero_copy_only=False)
-            if mode == "estimated":
-                p, _, start = estimate(y, n, grid)
-            elif mode == "grid":
-                p, _, start = grid_points(y, n, grid, lambda v, *_: start_states(v))
-            else:
-                p, start = np.broadcast_to(np.array(fixed, float), (len(y), 3)), start_states(y)
-            sse, level, trend, ring, fits = run(y, n, start, p, keep=True)
-            lists = lambda x, t=pa.list_(pa.float64()): pa.array([*x], t)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("series_key"), *(pa.array(np.ascontiguousarray(x)) for x in (*p.T, sse, level, trend)), lists(ring), lists(start),
-                 lists([f[:k] for f, k in zip(fits, n, strict=True)])],
-                names=["series_key", "a", "c", "g", "sse", "level", "trend", "ring", "start", "fits"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                ys = b.column("ys")
+                n = np.diff(ys.offsets.to_numpy())
+                y = np.zeros((len(n), int(n.max())))
+                y[np.arange(y.shape[1]) < n[:, None]] = ys.flatten().to_numpy(zero_copy_only=False)
+                if mode == "estimated":
+                    p, _, start = estimate(y, n, grid)
+                elif mode == "grid":
+                    p, _, start = grid_points(y, n, grid, lambda v, *_: start_states(v))
+                else:
+                    p, start = np.broadcast_to(np.array(fixed, float), (len(y), 3)), start_states(y)
+                sse, level, trend, ring, fits = run(y, n, start, p, keep=True)
+                numbers = [pa.array(np.ascontiguousarray(x)) for x in (*p.T, sse, level, trend)]
+                more = [(c, b.column(c)) for c in b.schema.names if c not in ("series_key", "ys")]
+                yield pa.RecordBatch.from_arrays([b.column("series_key"), *numbers, _lists(ring, M), _lists(start, STATES), _lists(fits, n), *(x for _, x in more)],
+                                                 names=["series_key", "a", "c", "g", "sse", "level", "trend", "ring", "start", "fits", *(c for c, _ in more)])
     return of
