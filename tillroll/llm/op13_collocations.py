@@ -185,11 +185,13 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -
     ws = [f"w{k}" for k in range(1, longest + 1)]
     windows = rows.mapInArrow(_windows(blooms, longest), "lang string, " + ", ".join(f"{w} string" for w in ws) + ", n long")
     level = F.col("level")
-    sums = windows.rollup("lang", *ws).agg(F.sum("n").alias("f"), F.grouping_id().alias("id"))
+    # equal windows become one row first, so that the ROLLUP multiplies different windows only
+    whole = windows.groupBy("lang", *ws).agg(F.sum("n").alias("n"))
+    sums = whole.rollup("lang", *ws).agg(F.sum("n").alias("f"), F.grouping_id().alias("id"))
     sums = sums.withColumn("level", F.lit(longest) - F.bit_count("id"))  # words of the prefix; -1 is the grand total
     words = F.slice(F.array(*ws), F.lit(1), F.greatest(level, F.lit(0)))
-    whole = F.when(level < 0, F.lit(False)).when(level == 0, F.lit(True)).otherwise((F.element_at(F.array(*ws), F.greatest(level, F.lit(1))) != "") & (F.col("f") >= least))
-    return sums.where(whole).select("lang", words.alias("words"), "f")
+    wanted = F.when(level < 0, F.lit(False)).when(level == 0, F.lit(True)).otherwise((F.element_at(F.array(*ws), F.greatest(level, F.lit(1))) != "") & (F.col("f") >= least))
+    return sums.where(wanted).select("lang", words.alias("words"), "f")
 
 
 def _ratio(a: Column, parts: Column) -> Column:
