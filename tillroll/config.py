@@ -66,7 +66,6 @@ class Config:
     increase_threshold: float = 0.10
     reduce_threshold: float = -0.10
     service_level_z: float = 1.65
-    safety_stock_factor: float = 0.15      # defined by the reference, never used
     lead_time_days: int = 7
     trend_window_days: int = 30
     std_window_days: int = 60
