@@ -69,13 +69,21 @@ def test_methods_fallback_and_guard(spark, featured_small, monkeypatch):
     assert FC.forecast(featured_small, 7)[1] == "trend_season"
     assert FC.forecast(featured_small, 7, method="holt_winters")[1] == "holt_winters"
 
+    def unsolved(batches):
+        raise np.linalg.LinAlgError("does not fit")
+        yield from batches
+
     def broken(*args, **kw):
-        return featured_small.select(F.raise_error(F.lit("does not fit")).alias("x"))
+        return featured_small.select("Invoice").mapInArrow(unsolved, "x string")
     monkeypatch.setattr(FC, "trend_season", broken)
     out, method = FC.forecast(featured_small, 7)
     assert method == "holt_winters" and out.where("IsForecast").count() == 7
     with pytest.raises(Exception, match="does not fit"):
         FC.forecast(featured_small, 7, method="trend_season")
+    # any other failure is an error, not a change of method
+    monkeypatch.setattr(FC, "trend_season", lambda *args, **kw: featured_small.select(F.raise_error(F.lit("lost")).alias("x")))
+    with pytest.raises(Exception, match="lost"):
+        FC.forecast(featured_small, 7)
     with pytest.raises(ValueError, match="too few"):
         FC.forecast(featured_small.where("day(InvoiceDate) = 1 and month(InvoiceDate) = 1"), 7)
     with pytest.raises(ValueError, match="method"):

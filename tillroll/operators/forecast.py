@@ -19,21 +19,21 @@ Start: l = mean(y[0:7]), b = (mean(y[7:14]) - mean(y[0:7])) / 7, s[i] = y[i] - l
 
 from __future__ import annotations
 
-import datetime as dt
+import logging
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-import pyarrow as pa
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.config import DEFAULT, Config
 from tillroll.functions.formatting import fmt_currency, fmt_fixed
 from tillroll.functions.numeric import money_sum
-from tillroll.operators import smoothing
+from tillroll.operators import decomposition, smoothing
 
 M = smoothing.M
+LOG = logging.getLogger(__name__)
 
 
 def daily_series(df: DataFrame, value_col: str = "TotalPrice", keys: Sequence[str] = ()) -> DataFrame:
@@ -65,10 +65,6 @@ def fill_daily(daily: DataFrame) -> DataFrame:
                      F.col("y").isNotNull().alias("observed")))
 
 
-FORECAST_SCHEMA = ("series_key STRING, ds DATE, y DOUBLE, yhat DOUBLE, yhat_lower DOUBLE, "
-                   "yhat_upper DOUBLE, IsForecast BOOLEAN")
-
-
 def series_status(filled: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """M7: a row per key: observed days, whether it is forecast, and if not why."""
     g = filled.groupBy("series_key").agg(F.count_if("observed").alias("observed_days"))
@@ -124,14 +120,15 @@ def forecast_demand(df: DataFrame, horizon: int = DEFAULT.forecast_horizon_days,
 
 
 METHODS = ("auto", "trend_season", "holt_winters")
+NUMERICAL = ("LinAlgError", "FloatingPointError")
 
 
 def forecast(df: DataFrame, horizon: int = DEFAULT.forecast_horizon_days, value_col: str = "TotalPrice", keys: Sequence[str] = (),
              method: str = "auto", cfg: Config = DEFAULT) -> tuple[DataFrame, str]:
     """M6-M8: the forecast and the name of the method that made it.
 
-    Without keys, fewer than ``min_forecast_days`` sale days are an error. ``auto`` takes the trend and season regression, and if that fails to
-    run, Holt-Winters with parameters and start states estimated per key; either can be asked for by name.
+    Without keys, fewer than ``min_forecast_days`` sale days are an error. ``auto`` takes the trend and season regression, and if its
+    systems cannot be solved, Holt-Winters with parameters and start states estimated per key; either can be asked for by name.
     """
     if method not in METHODS:
         raise ValueError(f"method is one of {METHODS}, not {method!r}")
@@ -142,10 +139,12 @@ def forecast(df: DataFrame, horizon: int = DEFAULT.forecast_horizon_days, value_
         try:
             out.count()  # tasks run here, so a failure is met here
             return out, "trend_season"
-        except Exception:
+        except PythonException as failed:
             out.unpersist()
-            if method == "trend_season":
+            # only a numerical failure changes the method; a lost task or a lack of memory is an error
+            if method == "trend_season" or not any(name in str(failed) for name in NUMERICAL):
                 raise
+            LOG.warning("the trend and season model could not be solved; Holt-Winters takes its place: %s", failed)
     return forecast_demand(df, horizon, value_col, keys, "estimated", cfg), "holt_winters"
 
 
@@ -192,70 +191,12 @@ def forecast_table(fc: DataFrame, symbol: str = DEFAULT.currency) -> DataFrame:
         money("yhat_lower").alias("Lower Bound"), money("yhat_upper").alias("Upper Bound"))
 
 
-# --- trend + seasonality regression (M8) ----------------------------------------
-
-def _design(t: np.ndarray, day: np.ndarray, changepoints: np.ndarray, yearly: bool) -> np.ndarray:
-    cols = [np.ones_like(t), t]
-    cols += [np.maximum(t - c, 0.0) for c in changepoints]
-    for k in range(1, 4):                       # weekly, order 3
-        w = 2.0 * np.pi * k * day / 7.0
-        cols += [np.sin(w), np.cos(w)]
-    if yearly:                                  # yearly, order 10
-        for k in range(1, 11):
-            w = 2.0 * np.pi * k * day / 365.25
-            cols += [np.sin(w), np.cos(w)]
-    return np.column_stack(cols)
-
-
-def _trend_season_group(pdf: pd.DataFrame, horizon: int, cfg: Config, changepoints: int,
-                        ridge: float) -> pd.DataFrame:
-    pdf = pdf.sort_values("ds")
-    if len(pdf) < cfg.min_forecast_days:
-        return pd.DataFrame(columns=["series_key", "ds", "y", "yhat", "yhat_lower", "yhat_upper", "IsForecast"])
-    ds = pd.to_datetime(pdf["ds"]).to_numpy()
-    day0 = ds[0]
-    day = ((ds - day0) / np.timedelta64(1, "D")).astype("float64")
-    span = max(day[-1], 1.0)
-    y = pdf["y"].to_numpy(dtype="float64")
-    scale = max(float(np.max(np.abs(y))), 1.0)
-    cps = np.linspace(0.0, 0.8, changepoints + 2)[1:-1]
-    yearly = len(pdf) >= 365
-    x = _design(day / span, day, cps, yearly)
-    penalty = np.full(x.shape[1], ridge)
-    penalty[:2] = 0.0                           # intercept and base slope are not shrunk
-    beta = np.linalg.solve(x.T @ x + np.diag(penalty), x.T @ (y / scale))
-    fit = x @ beta * scale
-    sigma = float(np.std(y - fit, ddof=1)) if len(y) > 1 else 0.0
-    fday = day[-1] + np.arange(1, horizon + 1, dtype="float64")
-    fut = _design(fday / span, fday, cps, yearly) @ beta * scale
-    yhat = np.maximum(np.concatenate([fit, fut]), 0.0)
-    band = cfg.interval_z * sigma
-    last = pdf["ds"].iloc[-1]
-    return pd.DataFrame({
-        "series_key": pdf["series_key"].iloc[0],
-        "ds": list(pdf["ds"]) + [last + dt.timedelta(days=h) for h in range(1, horizon + 1)],
-        "y": list(y) + [None] * horizon,
-        "yhat": yhat,
-        "yhat_lower": np.maximum(yhat - band, 0.0),
-        "yhat_upper": yhat + band,
-        "IsForecast": [False] * len(y) + [True] * horizon,
-    })
-
-
 def trend_season(df: DataFrame, horizon: int = DEFAULT.forecast_horizon_days, value_col: str = "TotalPrice",
-                 keys: Sequence[str] = (), cfg: Config = DEFAULT, changepoints: int = 25,
-                 ridge: float = 1.0) -> DataFrame:
-    """M8 re-aimed: per key, ridge regression on a piecewise-linear trend (hinges at
-    ``changepoints`` points in the first 80 % of history), weekly Fourier terms
-    (order 3) and yearly terms (order 10) when a year of days exists; 90 %
-    band from the residual spread; yhat and lower clipped at 0.
-
-    Fits on observed days only (no gap fill), like the decomposable model it
-    replaces; each key's days are one bounded ``applyInPandas`` group.
-    """
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _trend_season_group(pdf, horizon, cfg, changepoints, ridge)
-    return daily_series(df, value_col, keys).groupBy("series_key").applyInPandas(fit, FORECAST_SCHEMA)
+                 keys: Sequence[str] = (), cfg: Config = DEFAULT) -> DataFrame:
+    """M8: trend with slope changes and weekly and yearly terms per key, fitted on the days with sales (no gap fill) from grouped sums
+    (``decomposition``); 90 % band, yhat and lower clipped at 0. Keys with fewer than ``min_forecast_days`` days have no rows."""
+    daily = daily_series(df, value_col, keys)
+    return decomposition.predict(decomposition.fit(decomposition.gram(daily, cfg), horizon, cfg), daily, horizon, cfg)
 
 
 def forecast_card(summed: DataFrame, symbol: str = DEFAULT.currency) -> DataFrame:

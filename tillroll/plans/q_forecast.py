@@ -1,13 +1,17 @@
 """Registered queries: forecasting.
 
 Holt-Winters with fixed parameters is checked against a DuckDB recursive
-CTE that runs the same recurrence one day per iteration.
+CTE that runs the same recurrence one day per iteration; of the trend and season model, the sums that its fit reads
+and the evaluation of given coefficients with the join of actuals are (M8, J2).
 """
 
 from __future__ import annotations
 
+import math
+
 from tillroll.config import DEFAULT
 from tillroll.functions.numeric import money_sum_sql
+from tillroll.operators import decomposition as DC
 from tillroll.operators import forecast as FC
 from tillroll.plans.oracle import with_chain
 from tillroll.plans.registry import query, rounded
@@ -178,9 +182,57 @@ def q_forecast_estimated(spark, sf):
     return _fc_round(FC.forecast_demand(_f(spark, sf), keys=["Country"], mode="estimated"))
 
 
+def _design_sql(ds: str) -> str:
+    """The design row of day ``ds`` of a row that holds its key's range."""
+    day = f"CAST(date_diff('day', lo, {ds}) AS DOUBLE)"
+    hinges = [f"greatest({day} / span - {_lit(DC.RANGE * j / (DC.CHANGES + 1))}, 0.0)" for j in range(1, DC.CHANGES + 1)]
+    weekly = [f"{f}({day} * {_lit(2 * math.pi * k / DC.WEEK)})" for k in range(1, DC.WEEKLY + 1) for f in ("sin", "cos")]
+    yearly = [f"CASE WHEN n >= {DC.YEAR_DAYS} THEN {f}({day} * {_lit(2 * math.pi * k / DC.YEAR)}) ELSE 0.0 END"
+              for k in range(1, DC.YEARLY + 1) for f in ("sin", "cos")]
+    return ", ".join([_lit(1.0), f"{day} / span", *hinges, *weekly, *yearly])
+
+
+RANGE_SQL = series_sql("Country") + f""",
+ts_range AS (SELECT series_key, min(ds) AS lo, max(ds) AS hi, CAST(greatest(date_diff('day', min(ds), max(ds)), 1) AS DOUBLE) AS span,
+                    greatest(max(abs(y)), 1.0) AS scale, count(*) AS n
+             FROM hw_daily GROUP BY 1 HAVING count(*) >= {DEFAULT.min_forecast_days})"""
+
+
+@query("trend_season_gram", with_chain("featured", """
+SELECT a.series_key, a.i, b.i AS j, round(sum(a.v * b.v), 6) AS value
+FROM ts_cell a JOIN ts_cell b ON a.series_key = b.series_key AND a.ds = b.ds AND a.i <= b.i GROUP BY 1, 2, 3""", extra=RANGE_SQL + f""",
+ts_row AS (SELECT series_key, ds, [{_design_sql("ds")}, y / scale] AS x FROM hw_daily JOIN ts_range USING (series_key)),
+ts_cell AS (SELECT series_key, ds, unnest(x) AS v, unnest(range({DC.WIDTH + 1})) AS i FROM ts_row)"""))
+def q_trend_season_gram(spark, sf):
+    """The Gram matrix of each country's design rows and y, all that the trend and season fit reads."""
+    daily = FC.daily_series(_f(spark, sf), keys=["Country"])
+    return rounded(DC.gram_entries(DC.gram(daily)), value=6)
+
+
+# coefficients that let every term take part: level, slope, slope changes of either sign, all waves
+GIVEN = [0.2, 0.1, *[0.02 * (-1) ** j for j in range(DC.CHANGES)], *[0.03 / (1 + j) for j in range(2 * DC.WEEKLY + 2 * DC.YEARLY)]]
+GIVEN_SIGMA = 0.05
+_HALF = _lit(DEFAULT.interval_z * GIVEN_SIGMA)
+_DOT = f"list_sum(list_transform(range(1, {DC.WIDTH + 1}), lambda i: x[i] * [{', '.join(map(_lit, GIVEN))}][i]))"
+
+
+@query("trend_season_applied", with_chain("featured", f"""
+SELECT p.series_key, p.ds, round(d.y, 2) AS y, round(greatest(raw * scale, 0.0), 4) AS yhat, round(greatest((raw - {_HALF}) * scale, 0.0), 4) AS yhat_lower,
+       round((raw + {_HALF}) * scale, 4) AS yhat_upper, d.y IS NULL AS IsForecast
+FROM (SELECT *, {_DOT} AS raw FROM ts_x) p LEFT JOIN hw_daily d ON d.series_key = p.series_key AND d.ds = p.ds""", extra=RANGE_SQL + f""",
+ts_day AS (SELECT series_key, ds FROM hw_daily UNION ALL
+           SELECT series_key, CAST(hi + CAST(k AS INTEGER) AS DATE) FROM ts_range CROSS JOIN generate_series(1, {H}) AS gs(k)),
+ts_x AS (SELECT series_key, ds, scale, [{_design_sql("ds")}] AS x FROM ts_day JOIN ts_range USING (series_key))"""))
+def q_trend_season_applied(spark, sf):
+    """The trend and season model of each country with given coefficients: its days and 30 ahead, with the join of actuals."""
+    daily = FC.daily_series(_f(spark, sf), keys=["Country"])
+    return rounded(DC.predict(DC.with_coefficients(daily, GIVEN, GIVEN_SIGMA), daily), y=2, yhat=4, yhat_lower=4, yhat_upper=4)
+
+
 @query("forecast_trend_season")
 def q_forecast_trend_season(spark, sf):
-    """Trend + weekly/yearly seasonality regression per country (rows-only)."""
+    """The trend and season model fitted per country from grouped sums (rows-only: tests hold the fit against a plain one;
+    ``trend_season_gram`` and ``trend_season_applied`` check its input and its evaluation)."""
     return _fc_round(FC.trend_season(_f(spark, sf), keys=["Country"]))
 
 
