@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -119,6 +120,51 @@ def segment_customers(df: DataFrame, k: int | None = None, cfg: Config = DEFAULT
     return segs, sil, model
 
 
+def _exact(v: float) -> str:
+    return f"CAST('{float(v)!r}' AS DOUBLE)"
+
+
+RFM_TERMS = {"R_z": "CAST(Recency AS DOUBLE)", "F_z": "log1p(CAST(Frequency AS DOUBLE))", "M_z": "log1p(CAST(Monetary AS DOUBLE))"}
+
+
+def scaling_stage(rfm: DataFrame) -> SQLTransformer:
+    """M1 as a saved stage: the population mean and deviation of ``rfm`` as literals (a deviation of 0 gives 0), so later customers are scaled alike."""
+    got = rfm.agg(*[f(F.expr(e)).alias(f"{c}{i}") for c, e in RFM_TERMS.items() for i, f in enumerate((F.avg, F.stddev_pop))]).first()
+    if got["R_z0"] is None:
+        raise ValueError("no customers to scale by")
+    z = [f"(({e}) - {_exact(got[c + '0'])}) / {_exact(got[c + '1'])} AS {c}" if got[c + "1"] else f"({e}) * 0D AS {c}" for c, e in RFM_TERMS.items()]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(z)} FROM __THIS__")
+
+
+def nearest_stage(centers) -> SQLTransformer:
+    """Cluster = number of the nearest centre by squared distance, ties to the smallest; null where a feature is null."""
+    dist = [" + ".join(f"({c} - {_exact(v)}) * ({c} - {_exact(v)})" for c, v in zip(RFM_TERMS, center, strict=True)) for center in centers]
+    return SQLTransformer(statement=f"SELECT * EXCEPT (_d), CAST(array_position(_d, array_min(_d)) - 1 AS INT) AS Cluster "
+                                    f"FROM (SELECT *, array({', '.join(dist)}) AS _d FROM __THIS__)")
+
+
+def label_stage(labels: DataFrame) -> SQLTransformer:
+    """Cluster -> Segment by the label table (k rows, read here); null for clusters it lacks."""
+    rows = labels.select("Cluster", "Segment").orderBy("Cluster").collect()
+    cases = " ".join("WHEN {} THEN '{}'".format(r.Cluster, r.Segment.replace("'", "''")) for r in rows)
+    return SQLTransformer(statement=f"SELECT *, CASE Cluster {cases} END AS Segment FROM __THIS__")
+
+
+def segmenter(rfm: DataFrame, centers) -> PipelineModel:
+    """Scaler of ``rfm``, centres and the labels that they get on ``rfm`` as one pipeline of Spark's own stages.
+
+    ``io.save_model`` writes it, ``PipelineModel.load`` reads it in any session (no class of this library is needed), and ``transform`` scores
+    any customers with Recency, Frequency and Monetary: R_z, F_z, M_z, Cluster and Segment are added, nothing is fitted anew.
+    """
+    scored = PipelineModel([scaling_stage(rfm), nearest_stage(centers)])
+    return PipelineModel([*scored.stages, label_stage(segment_labels(scored.transform(rfm)))])
+
+
+def fit_segmenter(rfm: DataFrame, k: int | None = None, cfg: Config = DEFAULT) -> PipelineModel:
+    """The saved form of :func:`segment_customers`: k-means centres of ``rfm`` in a :func:`segmenter`."""
+    return segmenter(rfm, fit_kmeans(rfm_scaled(rfm), k or cfg.clusters, cfg).clusterCenters())
+
+
 def segment_summary(segs: DataFrame) -> DataFrame:
     """Customers, mean R/F/M, total M, % of customers and % of revenue per segment."""
     g = segs.groupBy("Segment").agg(

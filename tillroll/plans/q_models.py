@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from tillroll.config import DEFAULT
+from tillroll.config import DEFAULT, SEGMENT_LABELS
 from tillroll.functions.numeric import money_sum_sql
 from tillroll.operators import churn as CH
 from tillroll.operators import customers as CU
@@ -15,6 +18,8 @@ from tillroll.plans.models import churn_model, segmentation
 from tillroll.plans.oracle import with_chain
 from tillroll.plans.registry import cmp_round, query, rounded
 from tillroll.plans.stages import customer_frame, featured_frame
+from tillroll.session import scratch_path
+from tillroll.sources import io
 
 MS = money_sum_sql("TotalPrice")
 D = "CAST({} AS DOUBLE)".format
@@ -89,6 +94,38 @@ def q_segment_summary(spark, sf):
     return SG.segment_summary(segmentation(spark, sf)[0])
 
 
+# given centres in the space of R_z, F_z, M_z
+CENTERS = ((-0.6, 1.1, 1.0), (-0.3, 0.2, 0.1), (0.2, -0.9, -0.6), (1.6, -0.8, -1.1))
+_SLOTS = (0, 2, 4, 6)  # four clusters take every second label of the pool
+
+
+def _near_sql() -> str:
+    dist = ", ".join("(r - {0}) * (r - {0}) + (f - {1}) * (f - {1}) + (m - {2}) * (m - {2})".format(*(D(f"'{v}'") for v in c)) for c in CENTERS)
+    return f"list_position([{dist}], list_min([{dist}])) - 1"
+
+
+def _mean_rank_sql(col: str, order: str) -> str:
+    return f"rank() OVER (ORDER BY {col} {order}) + (count(*) OVER (PARTITION BY {col}) - 1) / 2.0"
+
+
+_LABEL = " ".join(f"WHEN {i} THEN '{SEGMENT_LABELS[slot]}'" for i, slot in enumerate(_SLOTS))
+
+
+@query("segments_applied", with_chain("featured", "SELECT * FROM near JOIN named USING (Cluster)", extra=RFM_SQL + f""",
+logs AS (SELECT CustomerID, CAST(Recency AS DOUBLE) AS r, ln(1 + Frequency) AS f, ln(1 + Monetary) AS m FROM rfm),
+near AS (SELECT CustomerID, {_near_sql()} AS Cluster
+ FROM (SELECT CustomerID, (r - avg(r) OVER ()) / stddev_pop(r) OVER () AS r, (f - avg(f) OVER ()) / stddev_pop(f) OVER () AS f,
+              (m - avg(m) OVER ()) / stddev_pop(m) OVER () AS m FROM logs)),
+means AS (SELECT Cluster, avg(Recency) AS r, avg(Frequency) AS f, avg(Monetary) AS m FROM near JOIN rfm USING (CustomerID) GROUP BY 1),
+score AS (SELECT Cluster, ({_mean_rank_sql("r", "ASC")} + {_mean_rank_sql("f", "DESC")} + {_mean_rank_sql("m", "DESC")}) / 3.0 AS s FROM means),
+named AS (SELECT Cluster, CASE row_number() OVER (ORDER BY s, Cluster) - 1 {_LABEL} END AS Segment FROM score)"""))
+def q_segments_applied(spark, sf):
+    """A segmentation with given centres: scaler and labels taken from the customers, saved, loaded again and applied."""
+    path = scratch_path(spark, "models", f"segmenter-{uuid.uuid4().hex[:12]}")
+    io.save_model(SG.segmenter(_rfm(spark, sf), CENTERS), path)
+    return io.load_model(PipelineModel, path).transform(_rfm(spark, sf)).select("CustomerID", "Cluster", "Segment")
+
+
 QSEG_SQL = RFM_SQL + """,
 qq AS (SELECT quantile_cont(Monetary, 0.25) AS q1, quantile_cont(Monetary, 0.5) AS q2,
               quantile_cont(Monetary, 0.75) AS q3 FROM rfm),
