@@ -37,8 +37,8 @@ def _csv_reader(spark: SparkSession, encoding: str, multi_line: bool):
 def read_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1", multi_line: bool = True) -> DataFrame:
     """Header CSV in the export's encoding; numeric columns converted by name.
 
-    ``multi_line`` reads quoted line feeds; a file is then one task. For exports that are known to have none, ``multi_line=False`` lets Spark
-    split large files.
+    ``multi_line`` reads quoted line feeds; a file is then one task. ``multi_line=False`` lets Spark split large files of exports
+    that are known to have none; ``csv_records.read_split`` splits files that have some.
     """
     return typed(_csv_reader(spark, encoding, multi_line).csv(path))
 
