@@ -7,7 +7,9 @@ aggregates broadcast back). Steps run in the reference's order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +20,8 @@ from tillroll.operators.quantiles import quantiles_row, with_scalars
 RENAMES = {"Customer ID": "CustomerID", "Price": "UnitPrice"}
 REQUIRED = ("Invoice", "StockCode", "Description", "Quantity",
             "InvoiceDate", "UnitPrice", "CustomerID", "Country")
+#: what the steps remove, in their order
+COUNTED = ("missing_customer_removed", "empty_description_removed", "bad_date_removed", "invalid_removed", "non_product_removed")
 #: how a text date may be read: year first, month first, day first; one reading holds for a whole column
 DATE_READINGS = ("ymd", "mdy", "dmy")
 _YMD = r"^\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})"
@@ -152,10 +156,8 @@ def finalize(df: DataFrame) -> DataFrame:
     ).select(*CLEAN_COLUMNS)
 
 
-def pre_cap(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Everything before the percentile caps."""
-    df = standardize(raw)
-    df = dedup(df)
+def _after_dedup(df: DataFrame, cfg: Config) -> DataFrame:
+    """P3-P9."""
     df = drop_missing_customer(df)
     df = clean_description(df)
     df = customer_id_text(df)
@@ -165,16 +167,18 @@ def pre_cap(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return drop_non_products(df)
 
 
+def pre_cap(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Everything before the percentile caps."""
+    return _after_dedup(dedup(standardize(raw)), cfg)
+
+
 def clean(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Full cleaning chain P1-P11."""
     return finalize(winsorize(pre_cap(raw, cfg), cfg))
 
 
-def clean_report(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """One row of row counts per cleaning step, in one pass over the deduplicated rows."""
-    std = standardize(raw)
-    start = std.agg(F.count(F.lit(1)).alias("start_rows"))
-    d = dedup(std)
+def _removals(d: DataFrame, cfg: Config) -> dict[str, Column]:
+    """What each step removes of the deduplicated rows ``d``, as conditions that exclude each other."""
     desc = strip_ws(F.coalesce(F.col("Description"), F.lit("UNKNOWN ITEM")))
     no_cust = F.col("CustomerID").isNull()
     no_desc = ~no_cust & (desc == "")
@@ -186,19 +190,15 @@ def clean_report(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
                         & F.coalesce(F.col("UnitPrice") >= cfg.min_valid_price, F.lit(False)))
     non_product = alive & ~invalid & F.upper(F.coalesce(F.col("StockCode"), F.lit(""))) \
         .isin(list(NON_PRODUCT_CODES))
-    steps = d.agg(
-        F.count(F.lit(1)).alias("after_dedup"),
-        F.count_if(no_cust).alias("missing_customer_removed"),
-        F.count_if(no_desc).alias("empty_description_removed"),
-        F.count_if(no_date).alias("bad_date_removed"),
-        F.count_if(invalid).alias("invalid_removed"),
-        F.count_if(non_product).alias("non_product_removed"),
-    )
-    r = with_scalars(start, steps)
+    return dict(zip(COUNTED, (no_cust, no_desc, no_date, invalid, non_product), strict=True))
+
+
+def _report(counts: DataFrame) -> DataFrame:
+    """The report of one row of counts: start_rows, after_dedup and what each step removed."""
     end = (F.col("after_dedup") - F.col("missing_customer_removed") - F.col("empty_description_removed")
            - F.col("bad_date_removed") - F.col("invalid_removed") - F.col("non_product_removed"))
     removed = F.col("start_rows") - F.col("end_rows")
-    return (r.withColumn("end_rows", end)
+    return (counts.withColumn("end_rows", end)
              .select(
                  "start_rows",
                  (F.col("start_rows") - F.col("after_dedup")).alias("duplicates_removed"),
@@ -208,3 +208,35 @@ def clean_report(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
                  F.when(F.col("start_rows") > 0,
                         py_round(F.lit(100.0) * removed / F.col("start_rows"), 2))
                   .otherwise(F.lit(0.0)).alias("pct_removed")))
+
+
+def clean_report(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """One row of row counts per cleaning step, in one pass over the deduplicated rows."""
+    std = standardize(raw)
+    start = std.agg(F.count(F.lit(1)).alias("start_rows"))
+    d = dedup(std)
+    steps = d.agg(F.count(F.lit(1)).alias("after_dedup"), *(F.count_if(c).alias(n) for n, c in _removals(d, cfg).items()))
+    return _report(with_scalars(start, steps))
+
+
+def pre_cap_observed(raw: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, Observation]:
+    """P1-P9 with P12 counted on the way: (lines before the caps, observation), for :func:`observed_report` after an action on the lines.
+
+    Copies are counted by the dedup itself, and everything is observed behind its shuffle: the tasks of a write count each row once, also when a lost
+    executor makes Spark run the tasks before the shuffle again.
+    """
+    std = standardize(raw)
+    d = std.groupBy(*std.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    if cfg.date_reading is None and isinstance(std.schema["InvoiceDate"].dataType, T.StringType):
+        cfg = replace(cfg, date_reading=date_reading(std))  # one reading for the counts and the lines
+    seen = Observation()
+    d = d.observe(seen, F.sum("_copies").alias("start_rows"), F.count(F.lit(1)).alias("after_dedup"),
+                  *(F.count_if(c).alias(n) for n, c in _removals(d, cfg).items()))
+    return _after_dedup(d.drop("_copies"), cfg), seen
+
+
+def observed_report(spark: SparkSession, seen: Observation) -> DataFrame:
+    """P12 from the counts of :func:`pre_cap_observed`; waits for the action on its lines. Equal to :func:`clean_report`."""
+    got = seen.get
+    names = ("start_rows", "after_dedup", *COUNTED)
+    return _report(spark.createDataFrame([tuple(int(got.get(n) or 0) for n in names)], ", ".join(f"{n} LONG" for n in names)))

@@ -19,9 +19,9 @@ from tillroll.operators import forecast as FC
 from tillroll.operators import insights as IN
 from tillroll.operators import inventory as INV
 from tillroll.operators import segments as SG
-from tillroll.operators.cleaning import clean, clean_report
+from tillroll.operators.cleaning import clean
 from tillroll.operators.features import engineer
-from tillroll.plans.stages import identity, stage, staged_clean
+from tillroll.plans.stages import identity, stage, staged_clean_report
 from tillroll.session import scratch_path
 from tillroll.sources.io import save_model
 
@@ -47,7 +47,7 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: Config = DEFAULT, sta
                  train_churn: bool = True) -> PipelineResults:
     """Clean -> features -> segments, forecast, churn, inventory -> insights."""
     stage_dir = f'{stage_dir or scratch_path(spark, "pipeline", uuid.uuid4().hex[:12])}/{identity(spark, raw, cfg)}'
-    clean_df = staged_clean(spark, raw, f"{stage_dir}/clean", cfg)
+    clean_df, report = staged_clean_report(spark, raw, f"{stage_dir}/clean", cfg)
     featured = stage(spark, f"{stage_dir}/featured", lambda: engineer(clean_df, cfg))
 
     segs, sil, _ = SG.segment_customers(featured, cfg.clusters, cfg)
@@ -67,7 +67,7 @@ def run_pipeline(spark: SparkSession, raw: DataFrame, cfg: Config = DEFAULT, sta
 
     inv = INV.recommend(featured, cfg)
     return PipelineResults(
-        report=clean_report(raw, cfg), clean=clean_df, featured=featured,
+        report=report, clean=clean_df, featured=featured,
         segments=segs, silhouette=sil, segment_summary=SG.segment_summary(segs),
         forecast=fc, forecast_summary=FC.summary(fc), churn=churn, churn_metrics=metrics,
         inventory=inv, inventory_summary=INV.summary(inv), insights=IN.generate(featured, segs, inv, cfg))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tillroll.operators import cleaning as C
@@ -9,7 +11,8 @@ from tillroll.operators import features as FE
 from tillroll.operators.quantiles import with_scalars
 from tillroll.plans.oracle import with_chain
 from tillroll.plans.registry import query
-from tillroll.plans.stages import clean_frame, featured_frame, raw_frame
+from tillroll.plans.stages import clean_frame, featured_frame, raw_frame, staged_clean_report
+from tillroll.session import scratch_path
 
 STEP_COLS = "Invoice, StockCode, Description, Quantity, InvoiceDate, UnitPrice, CustomerID, Country, SourceSheet"
 
@@ -86,7 +89,7 @@ def q_clean(spark, sf):
     return clean_frame(spark, sf)
 
 
-@query("clean_report", with_chain("clean", """
+REPORT_SQL = with_chain("clean", """
 SELECT (SELECT count(*) FROM raw) AS start_rows,
        (SELECT count(*) FROM raw) - (SELECT count(*) FROM dedup) AS duplicates_removed,
        (SELECT count(*) FROM dedup) - (SELECT count(*) FROM has_cust) AS missing_customer_removed,
@@ -97,11 +100,20 @@ SELECT (SELECT count(*) FROM raw) AS start_rows,
        (SELECT count(*) FROM clean) AS end_rows,
        (SELECT count(*) FROM raw) - (SELECT count(*) FROM clean) AS rows_removed,
        CAST(format('{:.2f}', CAST(100.0 AS DOUBLE) * ((SELECT count(*) FROM raw) - (SELECT count(*) FROM clean))
-                  / (SELECT count(*) FROM raw)) AS DOUBLE) AS pct_removed"""))
+                  / (SELECT count(*) FROM raw)) AS DOUBLE) AS pct_removed""")
+
+
+@query("clean_report", REPORT_SQL)
 def q_clean_report(spark, sf):
     return C.clean_report(_raw(spark, sf))
 
 
+@query("clean_report_observed", REPORT_SQL)
+def q_clean_report_observed(spark, sf):
+    """The report that a staged cleaning of the whole export leaves behind."""
+    return staged_clean_report(spark, _raw(spark, sf), scratch_path(spark, "stages", f"observed-{uuid.uuid4().hex[:12]}"))[1]
+
+
 # --- features ---------------------------------------------------------------
 
 @query("calendar_features", with_chain("featured", """

@@ -12,6 +12,7 @@ from tillroll.functions.numeric import money_sum_sql
 from tillroll.operators import churn as CH
 from tillroll.operators import customers as CU
 from tillroll.operators import segments as SG
+from tillroll.operators import silhouette as SI
 from tillroll.operators import stats as ST
 from tillroll.operators.features import snapshot_row
 from tillroll.plans.models import churn_model, segmentation
@@ -126,6 +127,24 @@ def q_segments_applied(spark, sf):
     return io.load_model(PipelineModel, path).transform(_rfm(spark, sf)).select("CustomerID", "Cluster", "Segment")
 
 
+@query("silhouette_euclidean", with_chain("featured", """
+SELECT Cluster, count(*) AS Customers, round(avg(s), 6) AS Silhouette, round(min(s), 6) AS Lowest
+FROM (SELECT id, Cluster, CASE WHEN size = 1 THEN 0 ELSE coalesce((b - i) / nullif(greatest(b, i), 0), 0) END AS s
+      FROM (SELECT id, Cluster, max(CASE WHEN o = Cluster THEN n END) AS size, max(CASE WHEN o = Cluster THEN d / nullif(n - 1, 0) END) AS i,
+                   min(CASE WHEN o <> Cluster THEN d / n END) AS b FROM far GROUP BY id, Cluster)) GROUP BY Cluster""", extra=RFM_SQL + f""",
+logs AS (SELECT CustomerID, CAST(Recency AS DOUBLE) AS r, ln(1 + Frequency) AS f, ln(1 + Monetary) AS m FROM rfm),
+z AS (SELECT CustomerID AS id, (r - avg(r) OVER ()) / stddev_pop(r) OVER () AS r, (f - avg(f) OVER ()) / stddev_pop(f) OVER () AS f,
+             (m - avg(m) OVER ()) / stddev_pop(m) OVER () AS m FROM logs),
+near AS (SELECT *, {_near_sql()} AS Cluster FROM z),
+far AS (SELECT x.id, x.Cluster, y.Cluster AS o, count(*) AS n, sum(sqrt((x.r - y.r) ** 2 + (x.f - y.f) ** 2 + (x.m - y.m) ** 2)) AS d
+        FROM near x CROSS JOIN near y GROUP BY ALL)"""))
+def q_silhouette_euclidean(spark, sf):
+    """Euclidean silhouette of every customer among all, by cluster, for clusters with given centres."""
+    rfm = _rfm(spark, sf)
+    scored = PipelineModel([SG.scaling_stage(rfm), SG.nearest_stage(CENTERS)]).transform(rfm)
+    return rounded(SI.silhouette_by_cluster(SI.silhouette_widths(scored)), ratio=("Silhouette", "Lowest"))
+
+
 QSEG_SQL = RFM_SQL + """,
 qq AS (SELECT quantile_cont(Monetary, 0.25) AS q1, quantile_cont(Monetary, 0.5) AS q2,
               quantile_cont(Monetary, 0.75) AS q3 FROM rfm),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillroll.operators import customers as CU
 from tillroll.operators import sales as S
+from tillroll.operators import sketches as SK
 from tillroll.operators import stats as ST
 from tillroll.plans.oracle import with_chain
 from tillroll.functions.numeric import money_sum
@@ -201,6 +202,30 @@ def q_quantiles(spark, sf):
     return rounded(ST.quantile_table(_f(spark, sf), QUANTILE_SPEC), ratio=("value",))
 
 
+SKETCHED = ("Quantity", "UnitPrice", "TotalPrice")
+SKETCH_PROBS = (0.0, 0.01, 0.1, 0.25, 0.33, 0.5, 0.67, 0.75, 0.9, 0.97, 0.99, 0.995, 1.0)
+
+
+def _cells(spark, sf):
+    return customer_frame(spark, sf, "sketches", lambda d: SK.sketch_cells(d, ("Country", "YearMonth"), SKETCHED))
+
+
+@query("quantiles_approx", with_chain("featured", " UNION ALL ".join(
+    f"""SELECT Country, '{c}' AS column, count({c}) AS n, round(CAST(min({c}) AS DOUBLE), 6) AS lowest, round(CAST(max({c}) AS DOUBLE), 6) AS highest,
+ true AS within FROM featured GROUP BY Country""" for c in SKETCHED)))
+def q_quantiles_approx(spark, sf):
+    """Quantiles of a country from the sketches of its months; ``within``: every wanted rank is met with at most twice the stated error."""
+    got = SK.approx_quantiles(_cells(spark, sf), SKETCHED, SKETCH_PROBS, by=("Country",))
+    out = None
+    for c in SKETCHED:
+        misses = SK.rank_misses(_f(spark, sf), got, "Country", c, SKETCH_PROBS)
+        ends = (got.where(F.col("column") == c).groupBy("Country", "column", "n")
+                .agg(F.min("value").alias("lowest"), F.max("value").alias("highest")))
+        one = ends.join(misses, "Country").select("Country", "column", "n", "lowest", "highest", (F.col("miss") <= 2 * SK.rank_error()).alias("within"))
+        out = one if out is None else out.union(one)
+    return rounded(out, ratio=("lowest", "highest"))
+
+
 def _hist_sql(src: str, col: str, bins: int, trim: float | None, inclusive: bool, by: str | None = None) -> str:
     op = "<=" if inclusive else "<"
     where = f"WHERE {col} {op} (SELECT quantile_cont({col}, {trim}) FROM {src})" if trim else ""
