@@ -100,3 +100,30 @@ def test_long_attribute_values():
     assert text("<p>a</p><p data-x='class=\"ad\" hidden'>b</p>") == "a\nb"
     assert text("<p>a</p><p title='never closed>b</p><p>c</p>") == "a\nb\nc"
     assert "end" in text("<a x='>' " * 50_000 + "y=\"> end")
+
+
+def test_deep_markup_keeps_its_elements():
+    """Text below any number of open elements belongs to the one it stands in, and closings find their element."""
+    names = [f"x-{i}" for i in range(700)]
+    page = "".join(f"<{x}>" for x in names) + "<section>deep words</section><p>after</p>" + "".join(f"</{x}>" for x in reversed(names)) + "<h2>end</h2>"
+    got = [(x[0], x[1]) for x in op.read_page(page) if x[0] is not None]
+    assert got == [("deep words", "section"), ("after", "p"), ("end", "h2")]
+    stray = "<x-1>" * 30_000 + "</x-2>" * 30_000 + "text"
+    assert [x[0] for x in op.read_page(stray) if x[0] is not None] == ["text"]
+
+
+def test_weights_come_from_a_sample_by_rank(spark):
+    """As many pages as asked for whatever the table's size; copies, null ids and rare elements count."""
+    page = "<article><p>some words here</p><x-rare>one</x-rare></article><div>outside</div>"
+    pages = spark.createDataFrame([(i, f"u{i}", page, "") for i in range(300)] + [(7, "u7", page, "")] * 50 + [(None, None, page, "")] * 50, PAGE)
+    seen = []
+    real = op.Weights
+    try:
+        op.Weights = lambda counts: seen.append(counts) or real(counts)
+        for rows, want in ((40, 40), (1000, 301)):
+            op.learn_weights(pages, rows)
+            assert seen[-1]["word", "p", True] == 3 * want and seen[-1]["word", "x-rare", True] == want
+        op.learn_weights(pages.limit(0))
+        assert seen[-1] == {}
+    finally:
+        op.Weights = real

@@ -3,15 +3,15 @@
 A page is read once into blocks (text between block-level tags) and tags. A word adds the weight of its block's element, a tag subtracts
 its own; one linear scan keeps the best sum that ends at each place and so finds the region with the largest sum. Weights come from
 pages that say where their content is (an ``article``, ``main`` or ``itemprop=articleBody`` element): log-odds of an element's words and of
-a tag inside against outside, from a bounded sample (``SAMPLE`` pages of the smallest hash), kept positive for words and
+a tag inside against outside, from a bounded sample (``SAMPLE`` pages of the smallest hash of id and url; one page of those alike in both), kept positive for words and
 negative for tags. Inside the region, elements that never are content (menus, headers and footers of the page, sidebars, notices,
 adverts, forms, reader comments, by element, role, or class and id) are cut out with all they hold, unless one proves to wrap the page
 when it closes: it holds a ``main`` or articleBody, or most of the page's marked words (inside marked content: with a marked element, or all but a tenth); or, on a page that marks nothing, it is a form or was named
 by class or id and holds most of the page's words (a comment list: all but a tenth). Elements inside such a wrapper are judged in turn; scripts, styles and comments of the
 markup are no text at all. Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed.
 
-Counting weights and extracting are Spark jobs over whole pages; only the table of weights (some hundred elements at most)
-passes the driver.
+Counting weights and extracting are Spark jobs over whole pages; only the table of weights (the names of elements in
+the sample) passes the driver.
 
 Defined results: null or empty html gives the empty text and 0; markup that is never closed ends with the page; a page without
 a word outside of cut elements gives the empty text; repeated rows and null ids stay; an empty table gives no rows; other columns are not looked at.
@@ -30,9 +30,8 @@ from pyspark.sql import functions as F
 
 from tillroll.llm import kit
 
-#: pages that weights are learned from, at most, and elements that get a weight
+#: pages that weights are learned from, at most
 SAMPLE = 20_000
-ELEMENTS = 400
 #: fixed sets of the markup language
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -146,7 +145,7 @@ def read_page(page: str) -> list[tuple]:
     items: list[tuple] = []
     words: list[str] = []
     inline: list[str] = []
-    element, elements = "body", ["body"]
+    element, elements, standing = "body", ["body"], Counter(body=1)
     depth: dict[str, int] = {}  # open elements by name
     spans: list[list] = []  # cuts as they open, see _settle
     cuts: list[tuple[str, int, int]] = []  # open cuts: name, its depth before, place in spans
@@ -252,10 +251,10 @@ def read_page(page: str) -> list[tuple]:
             end_cut()
         if closing:
             close_cuts(name)
-            while len(elements) > 1 and elements[-1] != name and name in elements:
-                elements.pop()
+            while len(elements) > 1 and elements[-1] != name and standing[name]:
+                standing[elements.pop()] -= 1
             if len(elements) > 1 and elements[-1] == name:
-                elements.pop()
+                standing[elements.pop()] -= 1
         elif opens:
             if home:
                 if cuts and not other:
@@ -266,9 +265,9 @@ def read_page(page: str) -> list[tuple]:
                 homes.append((name, homes[-1][1]))
             depth[name] = depth.get(name, 0) + 1
             if name in ("p", "li", "dt", "dd", "td", "th", "tr") and elements[-1] == name:
-                elements.pop()
-            if len(elements) < 512:
-                elements.append(name)
+                standing[elements.pop()] -= 1
+            elements.append(name)
+            standing[name] += 1
         element = elements[-1]
     close_block()
     while cuts:
@@ -354,11 +353,11 @@ def learn_weights(pages: DataFrame, rows: int = SAMPLE) -> Weights:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in total], pa.string()), pa.array([e for _, e, _ in total], pa.string()),
                                               pa.array([s for _, _, s in total], pa.bool_()), pa.array(list(total.values()), pa.int64())],
                                              names=["kind", "element", "inside", "n"])
-    order = F.xxhash64(F.lit(2), "page_id")
-    size = pages.agg(F.count(F.lit(1))).first()[0]
-    some = pages if size <= rows else pages.where(F.pmod(order, F.lit(1_000_000)) < F.lit(int(1_000_000 * rows / size)))
+    named = pages.select(F.xxhash64(F.lit(2), "page_id", "url").alias("h"), F.col("html").cast("string").alias("html"))
+    last = named.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]  # the hash of that rank
+    some = named.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min_by("html", F.xxhash64("html")).alias("html"))
     counts = (some.select("html").mapInArrow(run, "kind string, element string, inside boolean, n long")
-              .groupBy("kind", "element", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind", "element", "inside").limit(4 * ELEMENTS).collect())
+              .groupBy("kind", "element", "inside").agg(F.sum("n").alias("n")).collect())  # as many as the sample's element names
     return Weights({(r.kind, r.element, r.inside): r.n for r in counts})
 
 
