@@ -63,3 +63,21 @@ def test_features():
     f = {k: x[:, i] for i, k in enumerate(op.FEATURES)}
     assert f["learned"].tolist() == [0.5, 0.1, 0, 0, 0, 0] and f["near_you"].tolist() == [1, 0, 0, 0, 0, 0]
     assert f["odd_lexicon"][2] > 0 and f["capitals"][1] == 9 / len("BLORGFACE a b c d e f g h you") and (x[3] == 0).all() and f["digits"][4] == 1
+
+
+def test_one_text_of_a_repeated_id_is_learned_from(spark):
+    """Rows of one id with different texts: the fit is the same whatever their order and partitions."""
+    docs, labels = table(700)
+    other = [(i, f"other text {i} you moron", "en", "s", 1) for i, *_ in docs[:200]]
+    y = spark.createDataFrame(labels, LABEL)
+    probe = spark.createDataFrame(docs[:50], DOC).selectExpr("doc_id as key", "text")
+    got = [sorted(map(tuple, op.fit_on(spark.createDataFrame(rows, DOC).repartition(n), y).score(probe).collect()))
+           for rows, n in ((docs + other, 2), (other + docs, 5))]
+    assert got[0] == got[1]
+
+
+def test_long_words_can_mark(spark):
+    """A word of any length enters the lexicon."""
+    long = "sn" + "a" * 60 + "rf"
+    rows = [(i, f"some words {long if i % 4 == 0 else 'quiet'} {i}", int(i % 4 == 0)) for i in range(200)]
+    assert op._name(long) in op.learn_lexicon(spark.createDataFrame(rows, "key long, text string, label int")).tolist()

@@ -9,7 +9,8 @@ id); three quarters of it grow the trees, one quarter calibrates them. Labels, l
 no inputs of a score. Counting and fitting are Spark jobs; whole texts are scanned once, where they are.
 
 Defined results: a null or empty text has all features 0 and gets the model's score for that; repeated rows and null ids stay (a null id
-is not held out); repeated labels of an id count once, the highest; without labels of both classes every score is their mean, or 0;
+is not held out); repeated labels of an id count once, the highest; of several texts of an id the one of
+the smallest hash is learned from; without labels of both classes every score is their mean, or 0;
 an empty table gives no rows; other columns are not looked at.
 """
 
@@ -57,7 +58,7 @@ ODD = re.compile(r"[^\W\d_](?:[013457@$!|*.\-_]{1,3}[^\W\d_]+)+")
 def _terms(c: np.ndarray, start: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Names of the beginnings of k bytes (WHOLE: of whole words), and of which words."""
     n = end - start
-    at = np.flatnonzero((n >= PREFIXES[0]) & (n <= 40)) if k == WHOLE else np.flatnonzero(n >= k)
+    at = np.flatnonzero(n >= (PREFIXES[0] if k == WHOLE else k))
     return scan.mix(scan.span(c, start[at], end[at] if k == WHOLE else start[at] + k) + U(k)), at
 
 
@@ -245,14 +246,15 @@ class ToxicityModel:
         chosen = (labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
                   .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(rows))
         chosen = kit.write(spark, chosen.withColumnRenamed("doc_id", "key"), "labels")
-        sample = kit.write(spark, docs.select(F.col("doc_id").alias("key"), kit.text_of().alias("text")).join(F.broadcast(chosen), "key"), "sample")
+        texts = docs.select(F.col("doc_id").alias("key"), kit.text_of().alias("text")).join(F.broadcast(chosen), "key")
+        sample = kit.write(spark, texts.groupBy("key", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "sample")
         mean, least = sample.agg(F.avg("label"), F.min("label")).first()
         if mean is None or mean in (0.0, 1.0):
             return cls(np.zeros(0, U), None, None, float(mean or 0.0))
         grow = F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(4)) > 0
         lexicon = learn_lexicon(sample.where(grow))
         data = sample.mapInArrow(_featured(lexicon), _key_type(sample) + ", x array<double>").join(F.broadcast(chosen), "key")
-        data = kit.write(spark, data.dropDuplicates(["key"]).select("key", "x", F.col("label").cast("double").alias("label")), "features")
+        data = kit.write(spark, data.select("key", "x", F.col("label").cast("double").alias("label")), "features")
         data = data.withColumn("features", array_to_vector("x"))
         part = {r[0] for r in data.where(grow).select("label").distinct().collect()}
         if len(part) < 2:
