@@ -61,3 +61,17 @@ def test_all_unlabelled_rows_are_searched(spark):
     assert max(map(sum, model.handed.values())) > 400
     one = spark.createDataFrame([(f"new {i}", "en", [0.0] * len(op.MEASURES)) for i in range(20)], "source string, lang string, a array<double>")
     assert len({r.vb for r in model.features(one).collect()}) > 5
+
+
+def test_repeated_and_null_ids(spark):
+    """Unlabelled rows of one id or none are all searched; of a labelled id's rows one, whatever their order."""
+    docs, labels = table(900)
+    known = [x for x in labels if x[0] < 300 and zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    docs = [x if x[0] < 300 else (None if x[0] % 2 else 1, *x[1:]) for x in docs]
+    y = spark.createDataFrame(known, LABEL).select("doc_id", "quality")
+    blank = [x if x[0] != 1 else (10_001, *x[1:]) for x in docs]                  # id 10001 has no label
+    fits = [op.CoTraining.fit(spark.createDataFrame(rows, DOC).repartition(n), y) for rows, n in ((blank, 2), (blank[::-1], 5))]
+    assert zlib.crc32(b"10001") % 4 != 2 and fits[0].mean == fits[1].mean
+    assert all(max(map(sum, f.handed.values())) > 400 for f in fits)
+    model = op.CoTraining.fit(spark.createDataFrame(docs, DOC), y)                # id 1 is labelled: one of its rows
+    assert model.mean == np.mean([q for i, q, _ in known])

@@ -8,7 +8,8 @@ and hands all that it is sure of, as pseudo-labels weighted to the proportion of
 Labels come from a bounded sample: ``SAMPLE`` labelled rows, those of the smallest hash of their id; unlabelled rows are not
 bounded. All that a view hands over in a round weighs at most ``HANDED`` of the labelled rows. Whole texts are measured where they are. Rows whose crc32(doc_id as text) mod 4 is 2 are never learned from.
 
-Defined results: a null or empty text has all measures 0; a null language or source is a value of its own; repeated labels of an id count once (the lowest);
+Defined results: a null or empty text has all measures 0; a null language or source is a value of its own; repeated labels of an id count once (the lowest); of several labelled
+rows of an id the one of the smallest text hash is learned from, unlabelled rows are all searched, repeated and null ids too;
 repeated rows and null ids stay; without labels of both classes every score is their mean, or 0.5;
 an empty table gives no rows; other columns are not looked at.
 """
@@ -113,16 +114,18 @@ class CoTraining:
         order = F.xxhash64(F.lit(seed), "key")
         known = (labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("key")).agg(F.min("quality").cast("double").alias("label")))
         known = kit.write(spark, known.orderBy(order, "key").limit(rows), "labels")
-        columns = [F.col("doc_id").alias("key"), "lang", "source", kit.text_of().alias("text")]
-        some = docs.select(*columns).where("key is not null").join(F.broadcast(known), "key", "left").where(F.col("label").isNotNull() | ~is_held_out("key"))
-        data = kit.write(spark, measured(some).dropDuplicates(["key"]), "sample")
-        stats = data.agg(F.avg("label"), F.countDistinct("label")).first()
+        columns = [F.col("doc_id").alias("key"), "lang", "source", kit.text_hash().alias("t"), kit.text_of().alias("text")]
+        some = docs.select(*columns).join(F.broadcast(known), "key", "left").where(F.col("label").isNotNull() | ~is_held_out("key"))
+        data = kit.write(spark, measured(some), "sample")
+        one = data.where("label is not null").groupBy("key", "label").agg(F.min(F.struct("t", "lang", "source", "a")).alias("r"))
+        one = kit.write(spark, one.select("key", "label", "r.lang", "r.source", "r.a"), "labelled")
+        stats = one.agg(F.avg("label"), F.countDistinct("label")).first()
         if stats[1] < 2:
             return cls(0.5 if stats[0] is None else float(stats[0]))
         top = {c: [r[0] for r in data.groupBy(c).count().orderBy(F.desc("count"), c).limit(VALUES + 1).collect()] for c in ("lang", "source")}
         model = cls(float(stats[0]), top["lang"], top["source"])
-        data = data.withColumn("spare", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(4)) == 0)
-        labelled = model.features(data.where("label is not null")).select("label", "spare", "va", "vb").cache()
+        one = one.withColumn("spare", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.lit(4)) == 0)
+        labelled = model.features(one).select("label", "spare", "va", "vb").cache()
         train, spare = labelled.where("not spare"), labelled.where("spare")
         none = F.lit(None).cast("double")
         pool = data.where("label is null").select("a", "lang", "source", none.alias("given_va"), none.alias("given_vb"))  # all unlabelled rows
