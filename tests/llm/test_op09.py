@@ -91,3 +91,17 @@ def test_literal_windows_equal_brute_force(spark):
                 want.add((d, i))
     got = {(r.doc_id, r.item_id) for r in op.decontamination(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)).collect()}
     assert got == want and want
+
+
+def test_bitmap_grows_with_the_benchmark(spark, monkeypatch):
+    """It only keeps rows from the join: results are the same at any size."""
+    assert [op.bits_for(n) for n in (0, 1, 1 << 18, (1 << 18) + 1, 1 << 23, 1 << 24, 1 << 30)] == [22, 22, 22, 23, 27, 28, 28]
+    rng = random.Random(3)
+    items = spark.createDataFrame([(i, noise(rng, 30), 0) for i in range(10)], ITEM)
+    docs = items.selectExpr("100 + item_id as doc_id", "concat('before it ', text) as text", "'' as key").union(
+        spark.createDataFrame([(i, noise(rng, 200), "") for i in range(40)], DOC))
+    want = sorted(map(tuple, op.decontamination(docs, items).collect()))
+    assert len(want) == 10
+    for bits in ((15, 15), (16, 28)):
+        monkeypatch.setattr(op, "BITS", bits)
+        assert sorted(map(tuple, op.decontamination(docs, items).collect())) == want

@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,16 @@ def text_name(docs: DataFrame, col: str = "text") -> Column:
     return (F.when(one.isin(twins), both).otherwise(one) if twins else one).alias(T1)
 
 
+def bit_rows(df: DataFrame, col: str, bits: int) -> np.ndarray:
+    """Bitmap of the numbers 0 .. 2**bits - 1 in a column (little-endian bits), put together by Spark from pieces of 4 kB."""
+    at = F.col(col) + 1  # bucket numbers begin with 1
+    rows = df.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    out = np.zeros((max(1, 1 << bits >> 15), 4096), np.uint8)
+    for r in rows:
+        out[r.b - 1] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
 def distinct_texts(docs: DataFrame, extra: Iterable[Column] = ()) -> DataFrame:
     """(T1, T2, text, copies): one row per different text, hash-partitioned by its name.
     Copies collapse before the shuffle, so a text that a third of the rows share stays one row a task."""

@@ -255,16 +255,6 @@ def _pairs(found):
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["x", "y", "more"])
 
 
-def _bit_rows(df: DataFrame, col: str, bits: int) -> np.ndarray:
-    """Bitmap of the numbers 0 .. 2**bits - 1 in a column, put together by Spark from pieces of 4 kB."""
-    at = F.col(col) + 1  # bucket numbers begin with 1
-    rows = df.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
-    out = np.zeros((max(1, 1 << bits >> 15), 4096), np.uint8)
-    for r in rows:
-        out[r.b - 1] = np.frombuffer(r.bits, np.uint8)
-    return out.ravel()
-
-
 def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, Column]:
     """(t, n, root): each different text with shingles, its set size, and the smallest text name of its class; and the name of a text as a column."""
     spark = docs.sparkSession
@@ -277,7 +267,7 @@ def jaccard_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     named = kit.text_name(docs)
     rows = docs.select(named, kit.text_of().alias("text"))
-    common = _bit_rows(rows.select("text").mapInArrow(_common(words), "bucket long"), "bucket", COMMON_BITS)
+    common = kit.bit_rows(rows.select("text").mapInArrow(_common(words), "bucket long"), "bucket", COMMON_BITS)
     shared = put(rows.mapInArrow(_keys(common.tobytes(), words, percent), "key long, salt int, t long")
                        .repartition("key", "salt").sortWithinPartitions("key", "salt", "t")
                        .mapInArrow(_shared, "key long, salt int, t long"), "keys")

@@ -10,8 +10,9 @@ an accidental sentence frame is not.
 
 A document leaks an item if consistent windows cover at least half of the item's words, or ``RUN`` words in a row.
 
-Documents are scanned once; a bitmap of ``2**BITS`` bits (512 kB whatever the benchmark's size) of window names lets
-only possible matches leave the task, and Spark joins those with the windows by their 64-bit names.
+Documents are scanned once; a bitmap of window names, of 16 bits a window of the benchmark (``2**BITS[0]`` bits, 512 kB, at least and ``2**BITS[1]``,
+32 MB, at most; beyond that it only lets more windows through), lets only possible matches leave the task, and Spark joins those with the windows by their
+64-bit names. Texts are named by a 64-bit hash, those whose hash another text shares by two.
 
 Defined results: null or empty texts leak nothing; items of fewer than ``LEAST`` words are not looked for; those of fewer than ``WINDOW``
 words are looked for as a whole; a window needs ``LITERAL`` literal words as a template; repeated rows and null ids are judged like any
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import kit, scan
@@ -35,7 +36,7 @@ RUN = 13
 CONSISTENT = 0.9
 #: words that an occurrence may be shifted by from one window to the next
 DRIFT = 4
-BITS = 22
+BITS = (22, 28)
 UNITS = ("km m cm mm mile miles ft feet inch inches kg g mg lb lbs pound pounds ton tons l ml liter liters litre litres gallon gallons s sec second seconds "
          "min minute minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents percent "
          "kmh mph kwh w kw v hz gb mb kb tb degrees celsius").split()
@@ -106,12 +107,23 @@ def windows(word: np.ndarray, template: np.ndarray, slot: np.ndarray, size: int)
     return scan.grams(word, size) ^ PLAIN, scan.grams(template, size), (inside > 0) & (size - inside >= min(LITERAL, size))
 
 
+def bits_for(windows: int) -> int:
+    """The bitmap's size, as a power of two, for a benchmark of so many windows."""
+    return min(max((16 * windows - 1).bit_length(), BITS[0]), BITS[1])
+
+
+def _held(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Whether the bitmap may hold the names: their first bits are the place."""
+    at = names >> U(64 - (8 * len(bits)).bit_length() + 1)
+    return (bits[(at >> U(3)).astype(np.int64)] >> (at & U(7)).astype(np.uint8)) & 1 > 0
+
+
 def _matches(sizes: list[int], packed: bytes | None):
     """(text, kind, at, size, name, slots) of windows whose name may be one of the benchmark's; all windows if no bitmap is given."""
     slot_type = pa.list_(pa.int64())
 
     def run(batches):
-        bits = None if packed is None else np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        bits = None if packed is None else np.frombuffer(packed, np.uint8)
         for b in batches:
             data, off = scan.text_buffer(b.column("text"))
             for i, j in scan.slabs(off):
@@ -125,7 +137,7 @@ def _matches(sizes: list[int], packed: bytes | None):
                         continue
                     whole = row_of[:len(plain)] == row_of[size - 1:size - 1 + len(plain)]
                     for kind, names, ok in ((0, plain, whole), (1, form, whole & usable)):
-                        at = np.flatnonzero(ok if bits is None else ok & bits[(names >> U(64 - BITS)).astype(np.int64)])
+                        at = np.flatnonzero(ok if bits is None else ok & _held(bits, names))
                         if not len(at):
                             continue
                         r = row_of[at]
@@ -214,11 +226,12 @@ def _judge(cover: float, run_words: int, consistent: float):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(key, item_id, covered, longest_run, changed, first_word): pairs of a different text of ``docs`` (key: its 64-bit name) and a leaked item."""
+def leaks(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Column]:
+    """(key, item_id, covered, longest_run, changed, first_word): pairs of a different text of ``docs`` (key: its name) and a leaked item; and the
+    name of a text as a column."""
     spark = docs.sparkSession
     kit.small_batches(spark)
-    items = kit.write(spark, benchmark.select("item_id", F.xxhash64(kit.text_of()).alias("key"), kit.text_of().alias("text")), "items")
+    items = kit.write(spark, benchmark.select("item_id", kit.text_name(benchmark).alias("key"), kit.text_of().alias("text")), "items")
     texts = items.select("key", "text").distinct()
     cols = "key long, kind int, at long, size int, name long, slots array<long>"
     lengths = kit.write(spark, texts.mapInArrow(_lengths, "key long, n_words int"), "lengths").where(F.col("n_words") >= LEAST)
@@ -226,16 +239,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     theirs = kit.write(spark, texts.mapInArrow(_matches(sizes, None), cols).join(lengths, "key")
                        .where(F.col("size") == F.least("n_words", F.lit(WINDOW)))
                        .select(F.col("key").alias("item"), "n_words", "kind", "size", "name", F.col("at").alias("item_at"), F.col("slots").alias("item_slots")), "windows")
-    shift = 64 - BITS
-    used = theirs.select(F.shiftrightunsigned("name", shift).alias("b")).distinct().collect()  # 2**BITS numbers at most
-    bits = np.zeros(1 << BITS, np.uint8)
-    bits[[r.b for r in used]] = 1
-    rows = docs.select(kit.text_ids()[0].alias("key"), kit.text_of().alias("text"))
-    hits = rows.mapInArrow(_matches(sizes, np.packbits(bits).tobytes()), cols).distinct()
+    size = bits_for(theirs.count())
+    bits = kit.bit_rows(theirs.select(F.shiftrightunsigned("name", 64 - size).alias("b")), "b", size)
+    named = kit.text_name(docs).alias("key")
+    rows = docs.select(named, kit.text_of().alias("text"))
+    hits = rows.mapInArrow(_matches(sizes, bits.tobytes()), cols).distinct()
     pairs = (hits.join(theirs, ["kind", "size", "name"])
              .groupBy("key", "item", "n_words").agg(F.collect_list(F.struct("kind", "size", "at", "slots", "item_at", "item_slots")).alias("hits")))
     found = kit.write(spark, pairs.mapInArrow(_judge(COVER, RUN, CONSISTENT), "key long, item long, covered double, longest_run int, changed boolean, first_word long"), "leaks")
-    return found.join(items.select("item_id", F.col("key").alias("item")), "item").drop("item")
+    return found.join(items.select("item_id", F.col("key").alias("item")), "item").drop("item"), named
 
 
 def _lengths(batches):
@@ -251,15 +263,16 @@ def _lengths(batches):
 def decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text) and item that it leaks: doc_id, item_id, covered (part of the item's words), longest_run (words),
     changed (slots differ: no window is literal), first_word."""
-    found = leaks(docs, benchmark)
-    return (docs.select("doc_id", kit.text_ids()[0].alias("key")).join(found, "key")
+    found, named = leaks(docs, benchmark)
+    return (docs.select("doc_id", named).join(found, "key")
             .select("doc_id", "item_id", "covered", "longest_run", "changed", "first_word"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that leak an item."""
-    bad = leaks(docs, benchmark).select(F.col("key").alias(kit.T1)).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), kit.text_ids()[0])
+    found, named = leaks(docs, benchmark)
+    bad = found.select(F.col("key").alias(kit.T1)).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), named.alias(kit.T1))
     return rows.join(bad, kit.T1, "left_anti").select("__row.*")
 
 
