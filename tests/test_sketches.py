@@ -1,16 +1,10 @@
-"""KLL quantiles against exact ranks; the observed cleaning report against the counted one."""
+"""KLL quantiles against exact ranks."""
 
 import random
 
-import pytest
-from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
-from tillroll.operators import cleaning as C
 from tillroll.operators import sketches as SK
-from tillroll.plans.stages import staged_clean_report
-from tillroll.session import scratch_path
-from tillroll.sources.fixture import raw_transactions
 
 PROBS = (0.0, 0.05, 0.5, 0.9, 0.99, 1.0)
 
@@ -40,26 +34,3 @@ def test_few_values_are_exact_and_no_cells_give_none(spark):
     cells = SK.sketch_cells(df, ("g",), ("v",))
     assert [r.value for r in SK.approx_quantiles(cells, ("v",), (0.25, 0.5, 1.0)).orderBy("q").collect()] == [24.0, 49.0, 99.0]
     assert [(r.n, r.value) for r in SK.approx_quantiles(cells.where("g > 9"), ("v",), (0.5,)).collect()] == [(0, None)]
-
-
-@pytest.mark.parametrize("dates", ["timestamp", "text"])
-def test_observed_report_equals_the_counted_one(spark, dates):
-    raw = raw_transactions(spark, SF_SMALL, spaced_names=True)
-    if dates == "text":
-        raw = raw.withColumn("InvoiceDate", F.when(F.pmod(F.xxhash64("Invoice"), 50) == 0, F.lit("soon"))
-                             .otherwise(F.date_format("InvoiceDate", "MM/dd/yyyy HH:mm")))
-    path = scratch_path(spark, "stages", f"observed-{dates}")
-    lines, report = staged_clean_report(spark, raw, path)
-    want = C.clean_report(raw).first()
-    assert report.first() == want and want.end_rows == lines.count()
-    assert dates == "timestamp" or want.bad_date_removed > 0
-    again = staged_clean_report(spark, raw.limit(0), path)[1]                      # a staged report is read, not counted anew
-    assert again.first() == want
-
-
-def test_observed_report_of_no_rows_and_one_scan(spark):
-    raw = raw_transactions(spark, SF_SMALL, spaced_names=True)
-    lines, report = staged_clean_report(spark, raw.where("false"), scratch_path(spark, "stages", "observed-none"))
-    assert lines.count() == 0 and tuple(report.first()) == tuple(C.clean_report(raw.where("false")).first())
-    plan = C.pre_cap_observed(raw)[0]._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("CollectMetrics") == 1 and plan.count("/lineitem.parquet") == C.pre_cap(raw)._jdf.queryExecution().optimizedPlan().toString().count("/lineitem.parquet")

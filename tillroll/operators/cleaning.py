@@ -7,9 +7,7 @@ aggregates broadcast back). Steps run in the reference's order.
 
 from __future__ import annotations
 
-from dataclasses import replace
-
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -177,12 +175,11 @@ def clean(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return finalize(winsorize(pre_cap(raw, cfg), cfg))
 
 
-def _removals(d: DataFrame, cfg: Config) -> dict[str, Column]:
-    """What each step removes of the deduplicated rows ``d``, as conditions that exclude each other."""
+def _removals(d: DataFrame, parsed: Column, cfg: Config) -> dict[str, Column]:
+    """What each step removes of the deduplicated rows ``d``, as conditions that exclude each other; ``parsed``: the date."""
     desc = strip_ws(F.coalesce(F.col("Description"), F.lit("UNKNOWN ITEM")))
     no_cust = F.col("CustomerID").isNull()
     no_desc = ~no_cust & (desc == "")
-    parsed = invoice_date(d, cfg.date_reading)
     no_date = ~no_cust & ~no_desc & parsed.isNull()
     alive = ~no_cust & ~no_desc & ~no_date
     invalid = alive & ~(~F.coalesce(F.col("Invoice").startswith("C"), F.lit(False))
@@ -215,28 +212,30 @@ def clean_report(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     std = standardize(raw)
     start = std.agg(F.count(F.lit(1)).alias("start_rows"))
     d = dedup(std)
-    steps = d.agg(F.count(F.lit(1)).alias("after_dedup"), *(F.count_if(c).alias(n) for n, c in _removals(d, cfg).items()))
+    steps = d.agg(F.count(F.lit(1)).alias("after_dedup"), *(F.count_if(c).alias(n) for n, c in _removals(d, invoice_date(d, cfg.date_reading), cfg).items()))
     return _report(with_scalars(start, steps))
 
 
-def pre_cap_observed(raw: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, Observation]:
-    """P1-P9 with P12 counted on the way: (lines before the caps, observation), for :func:`observed_report` after an action on the lines.
+def judged(raw: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The deduplicated rows, each with its number of copies, its parsed date and the step that removes it (null: it stays). Written once, it gives
+    the lines (:func:`kept`), the report (:func:`judged_report`) and the removed rows themselves, for a look at them.
 
-    Copies are counted by the dedup itself, and everything is observed behind its shuffle: the tasks of a write count each row once, also when a lost
-    executor makes Spark run the tasks before the shuffle again.
+    Copies are counted by the dedup itself. Everything is a column, not a side count, so rows that Spark makes again after a lost executor count once.
     """
     std = standardize(raw)
     d = std.groupBy(*std.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    if cfg.date_reading is None and isinstance(std.schema["InvoiceDate"].dataType, T.StringType):
-        cfg = replace(cfg, date_reading=date_reading(std))  # one reading for the counts and the lines
-    seen = Observation()
-    d = d.observe(seen, F.sum("_copies").alias("start_rows"), F.count(F.lit(1)).alias("after_dedup"),
-                  *(F.count_if(c).alias(n) for n, c in _removals(d, cfg).items()))
-    return _after_dedup(d.drop("_copies"), cfg), seen
-
-
-def observed_report(spark: SparkSession, seen: Observation) -> DataFrame:
-    """P12 from the counts of :func:`pre_cap_observed`; waits for the action on its lines. Equal to :func:`clean_report`."""
-    got = seen.get
-    names = ("start_rows", "after_dedup", *COUNTED)
-    return _report(spark.createDataFrame([tuple(int(got.get(n) or 0) for n in names)], ", ".join(f"{n} LONG" for n in names)))
+    d = d.withColumn("_date", invoice_date(d, cfg.date_reading))
+    why = F.coalesce(*(F.when(c, F.lit(n)) for n, c in _removals(d, F.col("_date"), cfg).items()))
+    return d.withColumn("_removed_by", why)
+
+
+def kept(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """P3-P9 of :func:`judged` rows: the lines before the caps."""
+    lines = rows.where(F.col("_removed_by").isNull()).withColumn("InvoiceDate", F.col("_date"))
+    return _after_dedup(lines.drop("_copies", "_date", "_removed_by"), cfg)
+
+
+def judged_report(rows: DataFrame) -> DataFrame:
+    """P12 of :func:`judged` rows, from two of their columns. Equal to :func:`clean_report`."""
+    return _report(rows.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("start_rows"), F.count(F.lit(1)).alias("after_dedup"),
+                            *(F.count_if(F.col("_removed_by") == n).alias(n) for n in COUNTED)))

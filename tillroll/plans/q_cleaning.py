@@ -108,10 +108,10 @@ def q_clean_report(spark, sf):
     return C.clean_report(_raw(spark, sf))
 
 
-@query("clean_report_observed", REPORT_SQL)
-def q_clean_report_observed(spark, sf):
+@query("clean_report_staged", REPORT_SQL)
+def q_clean_report_staged(spark, sf):
     """The report that a staged cleaning of the whole export leaves behind."""
-    return staged_clean_report(spark, _raw(spark, sf), scratch_path(spark, "stages", f"observed-{uuid.uuid4().hex[:12]}"))[1]
+    return staged_clean_report(spark, _raw(spark, sf), scratch_path(spark, "stages", f"judged-{uuid.uuid4().hex[:12]}"))[1]
 
 
 # --- features ---------------------------------------------------------------

@@ -17,7 +17,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 
 from tillroll.config import DEFAULT, Config
-from tillroll.operators.cleaning import clean_report, finalize, observed_report, pre_cap, pre_cap_observed, winsorize
+from tillroll.operators.cleaning import finalize, judged, judged_report, kept, pre_cap, winsorize
 from tillroll.operators.features import engineer
 from tillroll.session import scratch_path
 from tillroll.sources.fixture import raw_transactions
@@ -94,14 +94,10 @@ def staged_clean(spark: SparkSession, raw: DataFrame, path: str, cfg: Config = D
 
 
 def staged_clean_report(spark: SparkSession, raw: DataFrame, path: str, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
-    """(clean lines, cleaning report): :func:`staged_clean` with the report observed on the write of the lines before the caps, so the
-    raw input is read and deduplicated once for both. The report is a stage of its own; lines that were staged without one are counted by ``clean_report``."""
-    if not _exists(spark, f"{path}-precap"):
-        lines, seen = pre_cap_observed(raw, cfg)
-        stage(spark, f"{path}-precap", lambda: lines)
-        observed_report(spark, seen).coalesce(1).write.mode("overwrite").parquet(f"{path}-report")
-    report = stage(spark, f"{path}-report", lambda: clean_report(raw, cfg))
-    return staged_clean(spark, raw, path, cfg), report
+    """(clean lines, cleaning report): the raw input is read and deduplicated once for both, into a stage of judged rows; the report
+    reads two columns of it."""
+    rows = stage(spark, f"{path}-judged", lambda: judged(raw, cfg))
+    return stage(spark, path, lambda: finalize(winsorize(kept(rows, cfg), cfg))), judged_report(rows)
 
 
 def clean_frame(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
