@@ -165,3 +165,24 @@ def test_summary_and_errors(spark, featured_small):
     assert e.n > 5 and e.mae >= 0
     t = FC.forecast_table(fc).collect()
     assert len(t) == 30 and all(r.Forecast.startswith("£") for r in t)
+
+
+def test_key_summaries_say_what_the_rows_say_and_make_no_calendar_table(spark):
+    rng = np.random.default_rng(5)
+    rows = [("one", D0, 3.0), ("short", D0, 1.0), ("short", D0 + dt.timedelta(days=900), 2.0), ("gone", None, 4.0)]
+    for k in range(12):  # spans and gaps of their own, some days without a value, some spans below the window of 30 days
+        at = np.sort(rng.choice(20 + 40 * k, 16, replace=False))
+        rows += [(f"k{k}", D0 + dt.timedelta(days=int(d)), None if k % 4 == 1 and 3 < i < 6 else float(rng.integers(1, 500)) / 4) for i, d in enumerate(at)]
+    daily = spark.createDataFrame(rows, "series_key STRING, ds DATE, y DOUBLE")
+    filled = FC.fill_daily(daily)
+    for mode in ("fixed", "grid"):
+        want = {r.series_key: r for r in FC.series_status(filled).join(FC.summary(FC.holt_winters(filled, mode=mode)), "series_key", "left").collect()}
+        got = {r.series_key: r for r in FC.with_status(FC.key_summaries(daily, mode=mode)).collect()}
+        assert set(got) == set(want) and "gone" not in got and sum(r.forecast_total is not None for r in got.values()) == 12
+        for k, w in want.items():
+            assert (got[k].observed_days, got[k].forecast, got[k].reason) == (w.observed_days, w.forecast, w.reason)
+            for c in ("forecast_total", "trailing_avg_daily", "forecast_avg_daily", "pct_change_vs_trailing"):
+                assert (got[k][c] is None) == (w[c] is None) and (w[c] is None or got[k][c] == pytest.approx(w[c], rel=1e-12, abs=1e-12))
+    # one exchange by key and day, one by key, no window and no generated days
+    plan = FC.key_summaries(daily)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
