@@ -42,3 +42,22 @@ def test_demand_level_boundaries(spark):
 def test_invoice_totals_repeat_on_lines(featured_small):
     per = featured_small.groupBy("Invoice").agg(F.countDistinct("InvoiceTotalValue").alias("n"))
     assert per.where(F.col("n") != 1).count() == 0
+
+
+def test_totals_of_both_kinds_come_in_one_join_of_the_lines(spark):
+    import datetime as dt
+
+    from tillroll.operators import features as FE
+    day = dt.datetime(2011, 1, 3)
+    rows = [("i1", "a", day, 2.0, 3.0), ("i1", "b", day, 1.0, 5.0), ("i2", "a", day + dt.timedelta(days=40), 4.0, 1.5), (None, "a", day, 1.0, 2.0),
+            ("i3", None, day, 7.0, 2.0), (None, None, day, 9.0, 1.0), ("i2", "a", day, 4.0, 1.5)]
+    df = spark.createDataFrame(rows, "Invoice STRING, CustomerID STRING, InvoiceDate TIMESTAMP_NTZ, Quantity DOUBLE, TotalPrice DOUBLE")
+    got, want = FE.order_and_customer_value(df), FE.customer_value_features(FE.order_value(df))
+    assert sorted(got.select(*want.columns).collect(), key=str) == sorted(want.collect(), key=str) and got.count() == len(rows)
+
+
+def test_clean_lines_are_not_written_beside_the_lines_before_the_caps(spark, tmp_path):
+    from tillroll.plans import stages
+    from tillroll.sources.fixture import raw_transactions
+    df = stages.staged_clean(spark, raw_transactions(spark, "/root/testdata/sf0.001"), str(tmp_path / "clean"))
+    assert df.count() > 0 and [p.name for p in tmp_path.iterdir()] == ["clean-precap"]
