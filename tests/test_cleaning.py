@@ -112,3 +112,19 @@ def test_cleaning_idempotent_apart_from_caps(spark):
     again = C.finalize(C.pre_cap(cl.withColumnRenamed("UnitPrice", "Price")
                                  .withColumn("SourceSheet", F.lit("A"))))
     assert again.count() == cl.dropDuplicates().count()
+
+
+def test_date_reading_tries_each_text_once_and_counts_its_rows(spark):
+    from tillroll.operators import cleaning as CL
+    # three texts read day first only, one month first only, but on more rows
+    rows = [("13/02/2011",), ("14/02/2011",), ("15/02/2011",)] + [("02/16/2011",)] * 4 + [("x",), (None,)]
+    df = spark.createDataFrame(rows, "InvoiceDate STRING")
+    assert CL.date_reading(df) == "mdy"
+    assert CL.date_reading(df.limit(0)) == "ymd"
+    seen = []
+    plain = CL.date_text
+    CL.date_text = lambda c, r: seen.append(r) or plain(c, r)
+    try:
+        assert CL.date_reading(df.where("InvoiceDate <> '02/16/2011'")) == "dmy" and sorted(seen) == ["dmy", "mdy", "ymd"]
+    finally:
+        CL.date_text = plain

@@ -119,3 +119,14 @@ def test_stage_identity_follows_the_input(spark, tmp_path):
     b = spark.read.parquet(path)
     assert a != identity(spark, b) and identity(spark, b) != identity(spark, b.where("id > 2"))
     assert identity(spark, spark.createDataFrame([(1,)], "x int")) != identity(spark, spark.createDataFrame([(2,)], "x int"))
+
+
+def test_scan_csv_parses_its_file_into_a_stage(spark):
+    import os
+
+    from tillroll.plans import q_io
+    from tillroll.session import scratch_path
+    folder = scratch_path(spark, "io").replace("file:", "")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert q_io.q_scan_csv(spark, "/root/testdata/sf0.001").count() > 0
+    assert sorted(n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before if not n.endswith("-precap")) == ["csv-rows", "raw-csv"]

@@ -16,7 +16,7 @@ from tillroll.operators.customers import customer_summary
 from tillroll.plans.oracle import with_chain
 from tillroll.plans.q_sales import CUST_SQL
 from tillroll.plans.registry import query
-from tillroll.plans.stages import featured_frame, staged_clean
+from tillroll.plans.stages import featured_frame, stage, staged_clean
 from tillroll.session import scratch_path
 from tillroll.sources import csv_records, io
 from tillroll.sources.fixture import raw_transactions
@@ -43,10 +43,12 @@ def _hostile(raw):
 @query("scan_csv", with_chain("clean", "SELECT * FROM clean").replace(
     "std AS (\n SELECT Invoice, StockCode, Description,", f"std AS (\n SELECT Invoice, StockCode, {HOSTILE_SQL} AS Description,"))
 def q_scan_csv(spark, sf):
-    """Raw export with quoted fields -> CSV -> full cleaning, read in splits. The lines before the caps are staged, so the file is parsed once."""
+    """Raw export with quoted fields -> CSV -> full cleaning, read in splits. The parsed rows are staged, since the reading of the dates is
+    found in them before they are cleaned: the file is parsed once."""
     path = _scratch(spark, "raw-csv")
     io.write_csv(_hostile(raw_transactions(spark, sf, spaced_names=True)), path)
-    return staged_clean(spark, csv_records.read_split(spark, path, encoding="UTF-8"), _scratch(spark, "csv-clean"))
+    rows = stage(spark, _scratch(spark, "csv-rows"), lambda: csv_records.read_split(spark, path, encoding="UTF-8"))
+    return staged_clean(spark, rows, _scratch(spark, "csv-clean"))
 
 
 @query("scan_tagged_parts", with_chain("raw", "SELECT * FROM raw"))
