@@ -74,3 +74,14 @@ def test_empty_and_extra_columns(spark):
     kept = {r.doc_id: r for r in op.without_repeats(df).collect()}
     assert kept[1].text == "" and kept[1].n_chars == 0 and kept[2].text == "intro " and kept[3].text == "short" and kept[3].n_chars == 7
     assert kept[1].n_bytes == "x"
+
+
+def test_cells_come_in_small_batches():
+    import pyarrow as pa
+
+    from tillroll.llm import op01_suffix_dedup as OP
+    text = pa.array(["ab" * 400_000])
+    starts = pa.array([[{"a": 600_000, "lo": 0, "hi": 599_000, "m": 2}]], pa.list_(pa.struct([(c, pa.int64()) for c in ("a", "lo", "hi", "m")])))
+    batch = pa.RecordBatch.from_arrays([text, pa.array([1]), pa.array([2]), starts], ["text", *OP.KEYS, "starts"])
+    sizes = [b.num_rows for b in OP._cells(400, 1)([batch])]
+    assert sum(sizes) == 599_001 and max(sizes) <= 1 << 18
