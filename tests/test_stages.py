@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tillroll import session
 from tillroll.plans import stages
+from tillroll.sources import io
 
 NAMES = ("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.files.maxPartitionBytes",
          "spark.sql.adaptive.advisoryPartitionSizeInBytes")
@@ -45,3 +46,13 @@ def test_settings_come_back_after_an_error_and_smaller_ones_stay(spark, tmp_path
             spark.conf.unset(NAMES[1])
         else:
             spark.conf.set(NAMES[1], old)
+
+
+def test_a_task_of_a_partitioned_write_is_bounded(spark, tmp_path, small_tasks):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    spark.range(0, 800_000, 1, 8).select(F.xxhash64("id").alias("v"), (F.col("id") % 3).alias("m")).write.parquet(src)
+    io.write_parquet(spark.read.parquet(src), out, partition_by="m")
+    back = spark.read.parquet(out)
+    assert back.groupBy("m").count().agg(F.max("count")).first()[0] == 266_667
+    # eight files of 0.8 MB: a task of four cores would read two of them, and sort 200,000 rows
+    assert back.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 33_334

@@ -13,6 +13,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.session import bounded_tasks
+
 NUMERIC_RAW = ("Quantity", "Price", "UnitPrice", "Customer ID", "CustomerID")
 SPREADSHEET = (".xlsx", ".xls")
 PART_SUFFIXES = (".csv", ".parquet", ".pq", ".txt")
@@ -93,11 +95,12 @@ def read_tagged_parts(spark: SparkSession, root: str, fmt: str = "parquet", tag:
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Overwrite a Parquet table (parents created), optionally partitioned."""
+    """Overwrite a Parquet table (parents created), optionally partitioned. A task's rows, which are sorted by partition, are bounded."""
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(partition_by)
-    w.parquet(path)
+    with bounded_tasks(df.sparkSession, df):
+        w.parquet(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
