@@ -123,3 +123,20 @@ def test_pivot_columns_never_discard_a_link():
         p = np.uint64(p % (1 << 64))
         assert np.abs(np.bitwise_count(x ^ p).astype(int) - np.bitwise_count(y ^ p)).max() <= 4
     assert len({((a ^ b) % (1 << 64)).bit_count() for a in op.pivots() for b in op.pivots() if a != b}) == 1
+
+
+def test_sql_of_the_query(spark):
+    """The SQL is text, and equals the operator on shingles of all lengths, null texts and null ids."""
+    import duckdb
+
+    from tillroll.llm import catalog
+    assert all(isinstance(sql, str) for sql in catalog.ORACLES.values())
+    rng = random.Random(3)
+    data = [(None if i % 17 == 3 else i // 2, t, "x", 1) for i, t in enumerate([
+        *texts(3)[:60], None, "", " \n", "a", "É" * 9, "One\ttwo  three four", "one two three FOUR", *("x" * n for n in range(1, 100)),
+        *(" ".join("yzé"[rng.randrange(3)] * rng.randint(1, 30) for _ in range(9)) for _ in range(40))])]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [d[:2] for d in data])
+    got = op.near_duplicates(spark.createDataFrame(data, SCHEMA)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(con.execute(catalog.ORACLES["op12_simhash"]).fetchall(), key=repr)

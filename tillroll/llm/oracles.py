@@ -98,4 +98,56 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= coalesce((S
 """
 
 
+def _op12(words: int = 4, seed: int = 42, near: int = 4) -> str:
+    """XXH64 of every shingle by its definition, in 128-bit integers, and every pair of different fingerprints."""
+    primes = [0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5]
+    p1, p2, p3, p4, p5 = (f"{p}::UHUGEINT" for p in primes)
+    whole, low = f"{1 << 64}::UHUGEINT", f"{0x0F0F0F0F0F0F0F0F}::UBIGINT"
+
+    def turn(x, bits):
+        return f"(({x}) * {1 << bits}::UHUGEINT // {whole} + ({x}) * {1 << bits}::UHUGEINT % {whole})"
+
+    def mixed(x):
+        return f"({turn(f'({x}) * {p2} % {whole}', 31)} * {p1} % {whole})"
+
+    def number(start, digits):  # little-endian: the hex digits backwards, then the two of each byte swapped
+        x = f"('0x' || reverse(substr(x, CAST({start} AS BIGINT), {digits})))::UBIGINT"
+        return f"(((({x}) & {low}) << 4) | ((({x}) >> 4) & {low}))::UHUGEINT"
+
+    def step(bits, times, plus):
+        return f"lambda v, k: ({turn('xor(v, k)', bits)} * {times} + {plus}) % {whole}"
+
+    first = [(seed + p) % (1 << 64) for p in (primes[0] + primes[1], primes[1], 0, -primes[0])]
+    four = ", ".join(f"list_reduce(list_transform(range({j}, 4 * (n // 32), 4), lambda i: lanes[i + 1]), "
+                     f"lambda v, k: {turn(f'(v + k * {p2} % {whole}) % {whole}', 31)} * {p1} % {whole}, {v}::UHUGEINT) AS v{j}" for j, v in enumerate(first))
+    met = (f"list_reduce([{', '.join(mixed(f'v{j}') for j in range(4))}], lambda v, k: (xor(v, k) * {p1} + {p4}) % {whole}, "
+           f"({' + '.join(turn(f'v{j}', bits) for j, bits in enumerate((1, 7, 12, 18)))}) % {whole})")
+    votes = ", ".join(f"CAST(sum(e.copies * ((s.h >> {b}) & 1)) AS BIGINT) AS b{b}" for b in range(64))
+    bits = " | ".join(f"(CASE WHEN 2 * b{b} > n THEN {1 << b}::UBIGINT ELSE 0::UBIGINT END)" for b in range(64))
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOW}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+e AS MATERIALIZED (SELECT rid, shingle, count(*) AS copies FROM (SELECT rid, unnest(CASE
+        WHEN len(w) >= {words} THEN list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i:i + {words - 1}], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d) GROUP BY 1, 2),
+x AS (SELECT shingle, hex(encode(shingle)) AS x, octet_length(encode(shingle)) AS n FROM (SELECT DISTINCT shingle FROM e)),
+x8 AS MATERIALIZED (SELECT *, list_transform(range(0, n // 8), lambda i: {number("16 * i + 1", 16)}) AS lanes FROM x),
+x32 AS MATERIALIZED (SELECT *, {four} FROM x8),
+h0 AS MATERIALIZED (SELECT *, (CASE WHEN n >= 32 THEN {met} ELSE {(seed + primes[4]) % (1 << 64)}::UHUGEINT END + n::UHUGEINT) % {whole} AS h0 FROM x32),
+h1 AS MATERIALIZED (SELECT *, list_reduce(list_transform(range(4 * (n // 32), n // 8), lambda i: {mixed("lanes[i + 1]")}), {step(27, p1, p4)}, h0) AS h1 FROM h0),
+h2 AS MATERIALIZED (SELECT *, list_reduce(list_transform(range(0, n % 8 // 4), lambda i: {number("16 * (n // 8) + 1", 8)} * {p1} % {whole}), {step(23, p2, p3)}, h1) AS h2 FROM h1),
+h3 AS MATERIALIZED (SELECT *, list_reduce(list_transform(range(n - n % 4, n), lambda i: {number("2 * i + 1", 2)} * {p5} % {whole}), {step(11, p1, "0::UHUGEINT")}, h2) AS h3 FROM h2),
+h4 AS MATERIALIZED (SELECT shingle, xor(h3, h3 // {1 << 33}::UHUGEINT) * {p2} % {whole} AS h4 FROM h3),
+h5 AS MATERIALIZED (SELECT shingle, xor(h4, h4 // {1 << 29}::UHUGEINT) * {p3} % {whole} AS h5 FROM h4),
+s AS MATERIALIZED (SELECT shingle, CAST(xor(h5, h5 // {1 << 32}::UHUGEINT) AS UBIGINT) AS h FROM h5),
+votes AS MATERIALIZED (SELECT e.rid, CAST(sum(e.copies) AS BIGINT) AS n, {votes} FROM e JOIN s USING (shingle) GROUP BY e.rid),
+f AS MATERIALIZED (SELECT d.doc_id, coalesce({bits}, 0::UBIGINT) AS fp FROM d LEFT JOIN votes USING (rid)),
+node AS MATERIALIZED (SELECT fp, min(doc_id) AS low FROM f GROUP BY 1),
+link AS MATERIALIZED (SELECT a.fp AS u, b.fp AS v FROM node a JOIN node b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= {near}),
+reach AS (SELECT fp AS u, fp AS v FROM node UNION SELECT r.u, l.v FROM reach r JOIN link l ON l.u = r.v)
+SELECT f.doc_id, lpad(lower(to_hex(f.fp)), 16, '0') AS fingerprint, c.low AS component_id
+FROM f JOIN (SELECT u, min(node.low) AS low FROM reach JOIN node ON node.fp = reach.v GROUP BY u) c ON c.u = f.fp
+"""
+
+
 OP3 = _op3(RULES, ORDER, ALPHABET)
+OP12 = _op12()
