@@ -2,7 +2,8 @@
 
 Spark reads the files as lines, many splits a file. Whether a split begins inside quotes is the parity of all quotes before it in
 its file: one aggregate counts the quotes of each split, a running sum over the splits (rows, not lines) gives the parity, and
-that small table goes back to the lines. A task then joins the lines of a record; what is left open at a split's end meets the heads of
+that small table goes back to the lines. Both readings take the settings that make the splits from a session of their own, so
+they meet the same splits whatever is set, and however many executors there are, when the records are asked for. A task then joins the lines of a record; what is left open at a split's end meets the heads of
 the splits after it in one grouped step over these pieces alone. Records are parsed by Spark's CSV parser (``from_csv``).
 
 The dialect is that of ``io.read_csv``: quotes stand around a field and are doubled inside it. A record with quotes elsewhere is an error,
@@ -12,13 +13,14 @@ since it would shift the parity; ``io.read_csv`` reads such files, a file a task
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tillroll.session import ensure_checkpoint_dir
+from tillroll.session import scratch_path
 from tillroll.sources.io import _csv_reader, typed
 
 FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
@@ -28,10 +30,22 @@ WHOLE, OPEN, HEAD, TITLE = 0, 1, 2, 3   # TITLE: the header, left open at the en
 PIECES = "file string, start long, kind int, text string"
 
 
+def _splitting(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` as they are now. A table that it reads keeps its splits: they follow the session that read it."""
+    fixed = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            fixed.conf.set(name, value)
+    least = "spark.sql.files.minPartitionNum"
+    fixed.conf.set(least, str(spark.conf.get(least, None) or spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+                              or spark.sparkContext.defaultParallelism))
+    return fixed
+
+
 def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     """Lines without their line feed, with the file and the start of the split that they begin in; a task has a split's lines in file order."""
     text = F.decode(F.col("value").cast("binary"), encoding)
-    return spark.read.text(path, lineSep="\n").select(
+    return _splitting(spark).read.text(path, lineSep="\n").select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), text.alias("line"))
 
 
@@ -103,13 +117,14 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def records(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
     """(file, start, text): the records of CSV files, line feeds inside quotes kept; ``start`` is the split in which a record begins."""
-    ensure_checkpoint_dir(spark)
     lines = _lines(spark, path, encoding)
-    parity = split_parity(lines).checkpoint()
+    found = scratch_path(spark, "csv-splits", uuid.uuid4().hex)
+    split_parity(lines).write.parquet(found)
+    parity = spark.read.parquet(found)  # of the caller's session, as is all that is joined to it
     splits = parity.count()
     if splits > SPLITS:
         raise ValueError(f"{splits} splits of {path}; set spark.sql.files.maxPartitionBytes so that there are at most {SPLITS}")
-    pieces = (lines.join(F.broadcast(parity), ["file", "start"], "left").select("file", "start", "line", "inside")
+    pieces = (F.broadcast(parity).join(lines, ["file", "start"], "right").select("file", "start", "line", "inside")
               .mapInArrow(_join_lines, PIECES))
     # pieces other than whole records: at most two a split; a record that is left open begins a new group of its file
     order = Window.partitionBy("file").orderBy("start", F.desc("kind"))
