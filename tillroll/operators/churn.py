@@ -67,8 +67,8 @@ def training_set(df: DataFrame, cfg: Config = DEFAULT, guarded: bool = True) ->
         F.min(F.when(inside, F.col("InvoiceDate"))).alias("_first"),
         F.count_distinct(F.when(inside, F.col("Invoice"))).alias("Frequency"),
         money_sum(F.when(inside, F.col("TotalPrice"))).alias("Monetary"),
-        F.max("InvoiceDate").alias("_latest"),
-        F.first("_snap").alias("_snap"), F.first("_min").alias("_min"))
+        F.max("InvoiceDate").alias("_latest"))
+    g = with_scalars(g, bounds)
     ts = g.where(F.col("_first").isNotNull()).select(
         "CustomerID",
         elapsed_days("_last", "_snap").alias("Recency"),
