@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: values that the top level of a sketch keeps
 K = 1024
+#: groups whose quantiles may go to the lines as a broadcast, some 200 bytes each a column
+GROUPS = 100_000
 _SKETCH = "sketch_{}".format
 
 
@@ -60,14 +62,29 @@ def approx_quantiles(cells: DataFrame, columns: Sequence[str], probs: Sequence[f
 
 
 def rank_misses(df: DataFrame, quantiles: DataFrame, by: str, column: str, probs: Sequence[float]) -> DataFrame:
-    """How far approximate quantiles are off: (``by``, miss), miss being the largest distance, as a part of the group's rows, between a wanted
-    rank and the ranks that its value holds in ``df``. One pass over the lines; ``quantiles`` has one row a group and column."""
-    table = (quantiles.where(F.col("column") == column).groupBy(by)
-             .agg(F.max("n").alias("n"), *(F.max(F.when(F.col("q") == float(p), F.col("value"))).alias(f"v{i}") for i, p in enumerate(probs))))
-    v = F.col(column).cast("double")
-    counts = [f(F.when(c, 1)).alias(f"{name}{i}") for i in range(len(probs)) for name, f, c in
-              (("below", F.count, v < F.col(f"v{i}")), ("upto", F.count, v <= F.col(f"v{i}")))]
-    ranked = df.select(by, column).join(table, by).groupBy(by, "n").agg(*counts)
-    off = [F.greatest(F.lit(0.0), F.col(f"below{i}") / F.col("n") - F.lit(float(p)), F.lit(float(p)) - F.col(f"upto{i}") / F.col("n"))
-           for i, p in enumerate(probs)]
-    return ranked.select(by, (F.greatest(*off) if len(off) > 1 else off[0]).alias("miss"))
+    """:func:`column_misses` of one column: (``by``, miss)."""
+    return column_misses(df, quantiles, by, (column,), probs).select(by, "miss")
+
+
+def column_misses(df: DataFrame, quantiles: DataFrame, by: str, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """How far approximate quantiles are off: (``by``, column, miss), miss being the largest distance, as a part of the group's rows, between a
+    wanted rank and the ranks that its value holds in ``df``. One pass over the lines for all columns; ``quantiles`` has one row a group, column
+    and rank and should be a written table, since its groups are counted first: up to ``GROUPS`` go to the lines, which are then not shuffled.
+    """
+    def picked(f, condition: Column, value: str, name: str) -> Column:
+        return f(F.when(condition, F.col(value))).alias(name)
+    places = [(c, i, float(p)) for c in columns for i, p in enumerate(probs)]
+    of = {c: j for j, c in enumerate(columns)}
+    table = quantiles.where(F.col("column").isin(list(columns))).groupBy(by).agg(
+        *(picked(F.max, F.col("column") == c, "n", f"n{j}") for c, j in of.items()),
+        *(picked(F.max, (F.col("column") == c) & (F.col("q") == p), "value", f"v{of[c]}_{i}") for c, i, p in places))
+    if quantiles.select(by).distinct().limit(GROUPS + 1).count() <= GROUPS:
+        table = F.broadcast(table)
+    counts = [F.count(F.when(hit, 1)).alias(f"{name}{of[c]}_{i}") for c, i, _ in places for name, hit in
+              (("below", F.col(c).cast("double") < F.col(f"v{of[c]}_{i}")), ("upto", F.col(c).cast("double") <= F.col(f"v{of[c]}_{i}")))]
+    ranked = df.select(by, *columns).join(table, by).groupBy(by, *(f"n{j}" for j in of.values())).agg(*counts)
+    off = {c: [F.greatest(F.lit(0.0), F.col(f"below{j}_{i}") / F.col(f"n{j}") - F.lit(p), F.lit(p) - F.col(f"upto{j}_{i}") / F.col(f"n{j}"))
+               for d, i, p in places if d == c] for c, j in of.items()}
+    misses = [F.struct(F.lit(c).alias("column"), F.col(f"n{of[c]}").alias("n"), (F.greatest(*m) if len(m) > 1 else m[0]).alias("miss"))
+              for c, m in off.items()]
+    return ranked.select(by, F.explode(F.array(*misses)).alias("m")).where(F.col("m.n").isNotNull()).select(by, "m.column", "m.miss")

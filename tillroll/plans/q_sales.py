@@ -215,14 +215,12 @@ def _cells(spark, sf):
  true AS within FROM featured GROUP BY Country""" for c in SKETCHED)))
 def q_quantiles_approx(spark, sf):
     """Quantiles of a country from the sketches of its months; ``within``: every wanted rank is met with at most twice the stated error."""
-    got = SK.approx_quantiles(_cells(spark, sf), SKETCHED, SKETCH_PROBS, by=("Country",))
-    out = None
-    for c in SKETCHED:
-        misses = SK.rank_misses(_f(spark, sf), got, "Country", c, SKETCH_PROBS)
-        ends = (got.where(F.col("column") == c).groupBy("Country", "column", "n")
-                .agg(F.min("value").alias("lowest"), F.max("value").alias("highest")))
-        one = ends.join(misses, "Country").select("Country", "column", "n", "lowest", "highest", (F.col("miss") <= 2 * SK.rank_error()).alias("within"))
-        out = one if out is None else out.union(one)
+    got = customer_frame(spark, sf, "sketch-quantiles",
+                         lambda _: SK.approx_quantiles(_cells(spark, sf), SKETCHED, SKETCH_PROBS, by=("Country",)))
+    misses = SK.column_misses(_f(spark, sf), got, "Country", SKETCHED, SKETCH_PROBS)
+    ends = got.groupBy("Country", "column", "n").agg(F.min("value").alias("lowest"), F.max("value").alias("highest"))
+    out = ends.join(misses, ["Country", "column"]).select("Country", "column", "n", "lowest", "highest",
+                                                          (F.col("miss") <= 2 * SK.rank_error()).alias("within"))
     return rounded(out, ratio=("lowest", "highest"))
 
 
