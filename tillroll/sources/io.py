@@ -104,11 +104,12 @@ def write_parquet(df: DataFrame, path: str, partition_by: str | None = None) ->
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header CSV, UTF-8, timestamps as ``yyyy-MM-dd HH:mm:ss``, whitespace kept."""
-    (df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("quote", '"').option("escape", '"')
-       .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
-       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-       .csv(path))
+    """Header CSV, UTF-8, timestamps as ``yyyy-MM-dd HH:mm:ss``, whitespace kept. What a task holds is bounded, as in :func:`write_parquet`."""
+    w = (df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("quote", '"').option("escape", '"')
+         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("timestampFormat", "yyyy-MM-dd HH:mm:ss")
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+    with bounded_tasks(df.sparkSession, df):
+        w.csv(path)
 
 
 def save_model(model, path: str) -> None:
